@@ -206,9 +206,13 @@ def _joined(spans):
     return F.array_join(text, ",")
 
 
+def _count(kind: int):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+
 def op1_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = extract(documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [_count(k) for k in range(len(KINDS))]
     return got.select(
         "doc_id", *counts,
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),

@@ -168,8 +168,13 @@ def guessed_spans(text: str | None, least_cost: float = 10.0, words: Iterable[st
 
 def all_spans(text: str | None, least_cost: float = 10.0, words: Iterable[str] = WORDS) -> list[tuple[int, int, int, float]]:
     """Base spans, and guessed ones that no base span touches; by start, then kind."""
-    base = base_spans(text)
-    more = [g for g in guessed_spans(text, least_cost, words) if all(g[1] <= s or e <= g[0] for s, e, _ in base)] if base else guessed_spans(text, least_cost, words)
+    base, more, at, reach = base_spans(text), [], 0, 0
+    for g in guessed_spans(text, least_cost, words):  # both lists go by start: one sweep
+        while at < len(base) and base[at][0] < g[1]:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= g[0]:
+            more.append(g)
     return sorted([(s, e, k, math.nan) for s, e, k in base] + more, key=lambda x: (x[0], x[2]))
 
 
@@ -210,9 +215,13 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[SECRET]", least_
     return done.select(*df.columns)
 
 
+def _count(kind: str):
+    return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op2_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scan(documents(spark, sf_dir))
     base = F.filter("secrets", lambda s: s["kind"] != "guess")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [_count(k) for k in KINDS]
     return got.select("doc_id", *counts[:3], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("secrets")).alias("spans"), counts[3], F.array_max(F.transform("secrets", lambda s: s["cost"])).alias("max_cost"))

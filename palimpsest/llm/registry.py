@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import pii, secrets, simhash
+from palimpsest.llm import packing, pii, quality, secrets, sharding, simhash, tokens, topk
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
     "op2_guess_cost_secrets": secrets.op2_guess_cost_secrets,
     "op4_anchor_simhash": simhash.op4_anchor_simhash,
+    "op6_columnar_topk": topk.op6_columnar_topk,
+    "op7_two_tier_token_counts": tokens.op7_two_tier_token_counts,
+    "op8_cost_balanced_packing": packing.op8_cost_balanced_packing,
+    "op9_kd_tree_shards": sharding.op9_kd_tree_shards,
+    "op10_adaptive_quality": quality.op10_adaptive_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_columnar_topk": topk.ORACLE}

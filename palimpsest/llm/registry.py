@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import packing, pii, quality, secrets, sharding, simhash, tokens, topk
+from palimpsest.llm import packing, pii, quality, secrets, sharding, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
     "op2_guess_cost_secrets": secrets.op2_guess_cost_secrets,
     "op4_anchor_simhash": simhash.op4_anchor_simhash,
+    "op5_lexicon_toxicity": toxicity.op5_lexicon_toxicity,
     "op6_columnar_topk": topk.op6_columnar_topk,
     "op7_two_tier_token_counts": tokens.op7_two_tier_token_counts,
     "op8_cost_balanced_packing": packing.op8_cost_balanced_packing,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import packing, pii, quality, secrets, sharding, simhash, tokens, topk, toxicity
+from palimpsest.llm import mixing, packing, pii, quality, secrets, sharding, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
     "op2_guess_cost_secrets": secrets.op2_guess_cost_secrets,
+    "op3_soft_mixing": mixing.op3_soft_mixing,
     "op4_anchor_simhash": simhash.op4_anchor_simhash,
     "op5_lexicon_toxicity": toxicity.op5_lexicon_toxicity,
     "op6_columnar_topk": topk.op6_columnar_topk,

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from palimpsest.plans import q_aggregates, q_filters, q_graph, q_joins, q_lexical, q_metrics, q_sets, q_sources, q_streams, q_temporal, q_text, q_topk, q_windows  # noqa: F401  (they register)
+from palimpsest.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_topk"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}

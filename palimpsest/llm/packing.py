@@ -9,8 +9,8 @@ A window is what a task has read until it holds `window_tokens` tokens, so packi
 its memory is bounded, and it is as good at any input size.  Sequences of a window have the capacity,
 but for its last tokens, which form sequences of power-of-two lengths: those need no padding either.
 
-Ids come from a map-side cache: lower-casing, NFC and the pre-tokenizer never join what white space
-parts, so a text's ids are those of its words in turn.  A text with a special token's string, or with
+Ids come from caches in the worker: lower-casing, NFC and the pre-tokenizer never join what white space
+parts, so a text's ids are those of its words in turn, and a plain word's those of its pre-tokens.  A text with a special token's string, or with
 a separator that only Python takes for white space, goes through the library whole.
 
 Defined cases: a null or empty text is its end token alone; equal rows are packed as often as they
@@ -20,10 +20,13 @@ documents of equal length keep the order in which they were read.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +42,38 @@ CAPACITY = 4096
 #: Tokens packed at a time by one task; eight bytes and a few objects each at most.
 WINDOW = 2_000_000
 END = 2
-CACHE = 300_000
-LONGEST = 64
+#: Words (and pieces) that a worker remembers: some 250 bytes each.
+CACHE = 1_000_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
-class Ids(dict):
-    """Little-endian 32-bit ids by word, cached."""
+#: Lower-case letters that NFC leaves alone; runs of them, of ASCII punctuation and single digits are pre-tokens of their own.
+_LETTERS = "a-z\xe0-\xf6\xf8-\xff\xdf"
+_PUNCTUATION = "!-&(-/:-@\\[-`{-~"  # without the apostrophe, which begins contractions
+_SIMPLE = re.compile(f"[{_LETTERS}{_PUNCTUATION}0-9]+")
+_PIECE_OF = re.compile(f"[{_LETTERS}]+|[0-9]|[{_PUNCTUATION}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_SPELT = _byte_letters()
+
+
+class Ids:
+    """Little-endian 32-bit ids of texts, by two caches: words as they stand, and the pre-tokens of plain words."""
+
+    STOPS = frozenset(".,!?;:")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -59,20 +82,57 @@ class Ids(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
-        if len(word) <= LONGEST:
-            self[word] = ids
-        return ids
+    def _add_pieces(self, new: list[str]) -> None:
+        """The library's model alone: a piece is a pre-token, and normal already; its bytes are spelt as the model's letters."""
+        tokenize, pieces = self.library.model.tokenize, self.pieces
+        for p in new:
+            spelt = p if p.isascii() else p.encode().decode("latin-1").translate(_SPELT)
+            pieces[p] = array("I", [t.id for t in tokenize(spelt)]).tobytes()
+
+    def _add_words(self, new: set[str]) -> None:
+        alone, ended, cut, pieces = {}, {}, {}, set(self.STOPS)
+        for w in new:
+            low = w.lower()
+            if low.isascii():
+                # Most words are letters, with or without a stop.
+                if low.isalpha():
+                    alone[w] = low
+                    continue
+                if low[-1] in self.STOPS and low[:-1].isalpha():
+                    ended[w] = low
+                    continue
+            if _SIMPLE.fullmatch(low):
+                cut[w] = own = _PIECE_OF.findall(low)
+                pieces.update(own)
+            else:
+                self.words[w] = self.whole(w)
+        pieces.update(alone.values())
+        pieces.update([low[:-1] for low in ended.values()])
+        self._add_pieces(list(pieces.difference(self.pieces)))
+        ids = self.pieces
+        self.words.update({w: ids[low] for w, low in alone.items()})
+        self.words.update({w: ids[low[:-1]] + ids[low[-1]] for w, low in ended.items()})
+        self.words.update({w: b"".join([ids[p] for p in own]) for w, own in cut.items()})
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        odd = [t is not None and (_ODD.search(t) is not None or any(s in t for s in self.specials)) for t in texts]
+        cut = [[] if o else (t or "").split() for t, o in zip(texts, odd, strict=True)]
+        self._add_words(set().union(*cut).difference(self.words))
+        get = self.words.__getitem__
+        return [self.whole(t) if o else b"".join(map(get, w)) for t, o, w in zip(texts, odd, cut, strict=True)]
 
     def of(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text) or any(s in text for s in self.specials):
-            return self.whole(text)
-        if len(self) > CACHE:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.batch([text])[0]
+
+
+@lru_cache(maxsize=2)
+def worker_ids(path: str) -> Ids:
+    """One cache a Python worker; it outlives the task."""
+    return Ids(path)
 
 
 class Open:
@@ -186,7 +246,8 @@ def packed(
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Ids(path)
+        words = worker_ids(path)
+        gc.disable()  # millions of strings and no cycles
         first = TaskContext.get().partitionId() << 40
         keys: list = []
         texts: list[bytes] = []
@@ -216,8 +277,8 @@ def packed(
         kind = None
         for b in batches:
             kind = b.column(0).type
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = words.of(text) + end
+            for key, text in zip(b.column(0).to_pylist(), words.batch(b.column(1).to_pylist()), strict=True):
+                ids = text + end
                 keys.append(key)
                 texts.append(ids)
                 held += len(ids) // 4

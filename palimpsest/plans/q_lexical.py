@@ -1 +1,132 @@
-"""Queries."""
+"""Lexical retrieval over documents and benchmark items."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from palimpsest.functions import text as tx
+from palimpsest.operators import lexical, ranking
+from palimpsest.plans.registry import query, table
+
+_TOKENS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
+BM25 = f"""WITH d AS (SELECT doc_id AS doc, {_TOKENS} AS tokens FROM documents), z AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+p AS (SELECT doc, len(any_value(tokens)) AS dl, term, count(*) AS tf FROM (SELECT doc, tokens, unnest(tokens) AS term FROM d) GROUP BY doc, term),
+r AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, z GROUP BY term),
+t AS (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM r) ELSE raw END AS idf FROM r),
+q AS (SELECT item_id AS query, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT query, doc, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN t USING (term), z GROUP BY 1, 2),
+k AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s)"""
+
+
+def scores(spark, d, distinct=False):
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    return lexical.bm25_scores(lexical.index(docs, "doc_id", tx.words(F.col("text"))), items, "item_id", tx.words(F.col("text")), distinct=distinct)
+
+
+@query("bm25_topk", BM25 + " SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5 AND score > 0")
+def bm25_topk(spark, d):
+    return lexical.bm25_top_k(scores(spark, d), 5)
+
+
+@query("x1_bm25_statistics", BM25 + " SELECT term, df, round(idf, 6) AS idf FROM t WHERE df >= 20")
+def x1(spark, d):
+    ix = lexical.index(table(spark, d, "documents"), "doc_id", tx.words(F.col("text")))
+    return ix.terms.filter("df >= 20").withColumn("idf", F.round("idf", 6))
+
+
+_LEX = "list_filter(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')), lambda x: x <> '')"
+
+
+@query("k10_overlap_topk", f"""WITH q AS (SELECT item_id AS query, {_LEX} AS ts FROM benchmark), d AS (SELECT conv_id * 1000 + turn AS doc, unnest({_LEX}) AS term FROM conversations),
+s AS (SELECT query, doc, round(count(*) / any_value(n), 6) AS score FROM (SELECT query, len(ts) AS n, unnest(ts) AS term FROM q) JOIN d USING (term) GROUP BY query, doc)
+SELECT query, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS r FROM s) WHERE r <= 5""")
+def k10(spark, d):
+    turns = table(spark, d, "conversations").withColumn("doc_key", F.col("conv_id") * 1000 + F.col("turn"))
+    return lexical.overlap_top_k(table(spark, d, "benchmark"), "item_id", "text", turns, "doc_key", "text", 5).drop("rank")
+
+
+_NAME = "list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: x <> '')"
+_TFIDF = f"""WITH d AS (SELECT p_partkey AS doc, {_NAME} AS tokens FROM part WHERE p_partkey % 5 = 0), n AS (SELECT count(*) AS n FROM d),
+tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(tokens) AS term FROM d) GROUP BY 1, 2), i AS (SELECT term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM tf, n GROUP BY term),
+w AS (SELECT doc, term, tf * idf AS w FROM tf JOIN i USING (term)), u AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM w)"""
+
+
+def part_vectors(spark, d):
+    p = table(spark, d, "part").filter("p_partkey % 5 = 0")
+    return lexical.tfidf_vectors(p, "p_partkey", tx.ascii_tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")))
+
+
+@query("x2_tfidf_pairs", _TFIDF + " SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.5")
+def x2(spark, d):
+    return lexical.tfidf_pairs(part_vectors(spark, d)).filter("similarity >= 0.5").withColumn("similarity", F.round("similarity", 6))
+
+
+
+
+@query("g15_relation_bm25", f"""WITH r0 AS (SELECT DISTINCT p_brand, p_type FROM part), d AS (SELECT p_brand || '>' || p_type AS doc, list_filter(regexp_split_to_array(lower(p_brand || ' made ' || p_type), '\\s+'), lambda x: x <> '') AS tokens FROM r0), z AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+p AS (SELECT doc, len(any_value(tokens)) AS dl, term, count(*) AS tf FROM (SELECT doc, tokens, unnest(tokens) AS term FROM d) GROUP BY doc, term),
+r AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, z GROUP BY term), t AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM r) ELSE raw END AS idf FROM r),
+s AS (SELECT doc, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM (SELECT unnest(['brand#11', 'economy', 'made']) AS term) JOIN p USING (term) JOIN t USING (term), z GROUP BY doc)
+SELECT doc, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc) AS k FROM s) WHERE k <= 5 AND score > 0""")
+def g15(spark, d):
+    rel = table(spark, d, "part").select("p_brand", "p_type").distinct().select(F.concat_ws(">", "p_brand", "p_type").alias("doc_key"), F.concat_ws(" made ", "p_brand", "p_type").alias("text"))
+    q = spark.createDataFrame([(1, "brand#11 economy made")], "query_key int, text string")
+    s = lexical.bm25_scores(lexical.index(rel, "doc_key", tx.words(F.col("text"))), q, "query_key", tx.words(F.col("text")))
+    return lexical.bm25_top_k(s, 5).select("doc", "score")
+
+
+@query("k3_key_tag_search", BM25.replace("count(*) AS qtf", "1 AS qtf") + """, c AS (SELECT query, doc, score FROM k WHERE rank <= 10 AND score > 0), b AS (SELECT query, doc, round(0.7 * score + 0.3 * ((doc % 10) / 10.0), 6) AS score FROM c)
+SELECT query, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS r FROM b) WHERE r <= 5""")
+def k3(spark, d):
+    s = scores(spark, d, distinct=True)
+    second = s.select("query", "doc", ((F.col("doc") % 10) / 10.0).alias("similarity"))
+    return lexical.key_tag_search(s, second, 5).select("query", "doc", "score")
+
+
+@query("k4_hybrid", BM25 + """, de AS (SELECT query, doc, (doc % 17) / 17.0 AS score FROM s WHERE doc % 2 = 0), lx AS (SELECT query, doc, score FROM s WHERE doc % 3 <> 0),
+bo AS (SELECT query, doc, coalesce(lx.score, 0.0) AS l, coalesce(de.score, 0.0) AS e FROM lx FULL JOIN de USING (query, doc)),
+h AS (SELECT query, doc, round(0.5 * ((l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w + 1e-6)) + 0.5 * e, 6) AS score FROM bo WINDOW w AS (PARTITION BY query))
+SELECT query, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS r FROM h) WHERE r <= 5""")
+def k4(spark, d):
+    s = scores(spark, d).withColumn("score", F.round("score", 6))
+    dense = s.filter("doc % 2 = 0").select("query", "doc", ((F.col("doc") % 17) / 17.0).alias("score"))
+    return lexical.hybrid(s.filter("doc % 3 <> 0"), dense, 5).select("query", "doc", "score")
+
+
+@query("k16_full_text", """WITH q AS (SELECT * FROM (VALUES (1, 'economy brass'), (2, 'promo br'), (3, 'zzz small')) v(query, question)), t AS (SELECT query, len(ts) AS n, unnest(ts) AS term FROM (SELECT query, string_split(question, ' ') AS ts FROM q)),
+w AS (SELECT p_partkey AS doc, unnest(list_distinct(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'))) AS word, 1.0 AS weight FROM part UNION ALL SELECT p_partkey, unnest(list_distinct(regexp_split_to_array(lower(p_type), '[^a-z0-9]+'))), 0.4 FROM part),
+h AS (SELECT query, doc, n, term, max(weight) AS w FROM t JOIN w ON word = term OR (length(term) >= 3 AND starts_with(word, term)) GROUP BY 1, 2, 3, 4),
+s AS (SELECT query, doc, n, count(*) AS found, sum(w) AS score FROM h GROUP BY 1, 2, 3), f AS (SELECT *, max(CASE WHEN found = n THEN 1 ELSE 0 END) OVER (PARTITION BY query) AS a FROM s)
+SELECT query, doc, CAST(round(score, 6) AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS r FROM f WHERE a = 0 OR found = n) WHERE r <= 5""")
+def k16(spark, d):
+    q = spark.createDataFrame([(1, "economy brass"), (2, "promo br"), (3, "zzz small")], "query int, question string")
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), "p_name", "p_type")
+    return lexical.full_text(q, docs, {"p_name": 1.0, "p_type": 0.4}, 5).select("query", "doc", "score")
+
+
+@query("w3_rrf", BM25 + """, ch AS (SELECT query, doc, rank, 1.0 AS weight, score AS dense FROM k WHERE rank <= 20 UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc % 13, doc), 0.5, 0.0 FROM k WHERE rank <= 20)
+SELECT query, doc, round(sum(weight / (60 + rank)), 6) AS rrf, round(max(dense), 6) AS dense_score, count(*) AS n_channels FROM ch GROUP BY 1, 2""")
+def w3(spark, d):
+    top = lexical.bm25_top_k(scores(spark, d), 20).withColumnRenamed("score", "dense_score")
+    other = ranking.ranked(top.select("query", "doc"), ["query"], [F.col("doc") % 13, "doc"])
+    got = ranking.reciprocal_rank_fusion({"lexical": (top, 1.0), "other": (other, 0.5)}, ["query"], "doc")
+    return got.select("query", "doc", F.round("rrf", 6).alias("rrf"), F.round("dense_score", 6).alias("dense_score"), "n_channels")
+
+
+@query("w4_rrf_topk", BM25 + """, ch AS (SELECT query, doc, rank, 1.0 AS weight FROM k WHERE rank <= 20 UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc % 13, doc), 0.5 FROM k WHERE rank <= 20),
+s2 AS (SELECT query, doc, round(sum(weight / (60 + rank)), 6) AS rrf FROM ch GROUP BY 1, 2) SELECT query, doc, rrf FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, doc) AS r FROM s2) WHERE r <= 5""")
+def w4(spark, d):
+    return ranking.top_k(w3(spark, d), ["query"], [F.desc("rrf"), "doc"], 5).select("query", "doc", "rrf")
+
+
+@query("w5_interleave", BM25 + """, ch AS (SELECT query, doc, rank, 0 AS channel FROM k WHERE rank <= 8 UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc % 13, doc), 1 FROM k WHERE rank <= 8),
+f AS (SELECT query, doc, min(rank * 10 + channel) AS place FROM ch GROUP BY 1, 2) SELECT query, doc, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY place, doc) AS r FROM f) WHERE r <= 5""")
+def w5(spark, d):
+    top = lexical.bm25_top_k(scores(spark, d), 8).select("query", "doc", "rank")
+    other = ranking.ranked(top.select("query", "doc"), ["query"], [F.col("doc") % 13, "doc"])
+    return ranking.interleave([top, other], ["query"], "doc", 5).select("query", "doc", "rank")
+
+
+@query("w6_min_max", BM25 + ", t8 AS (SELECT query, doc, score FROM k WHERE rank <= 8 AND score > 0) SELECT query, doc, round(CASE WHEN max(score) OVER w <= min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 5) AS norm FROM t8 WINDOW w AS (PARTITION BY query)")
+def w6(spark, d):
+    return lexical.bm25_top_k(scores(spark, d), 8).select("query", "doc", F.round(ranking.min_max(F.col("score"), ["query"]), 5).alias("norm"))

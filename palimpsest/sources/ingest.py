@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Dialogue files: sessions with role-tagged messages; noise by which of two keys is there.
-DIALOGUES = T.StructType.fromDDL(
+DIALOGUES = (
     "sessions ARRAY<STRUCT<session_id BIGINT, persona_id BIGINT, event_id STRING, turn_count INT, status STRING, "
     "messages ARRAY<STRUCT<role STRING, content STRING>>, event_info STRUCT<date STRING>, knowledge_points ARRAY<STRING>, "
     "noise_id STRING, noise_family_id STRING, family_role STRUCT<name STRING, relationship STRING>>>"
@@ -18,7 +19,7 @@ DIALOGUES = T.StructType.fromDDL(
 SPEAKERS = {"user": "Patient", "assistant": "Doctor"}
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType, lines: bool = True) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = True) -> DataFrame:
     """JSON, or JSON Lines, with a fixed schema; odd fields become null."""
     return spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
 
@@ -117,7 +118,7 @@ def graph_export(nodes: DataFrame, edges: DataFrame, user: Column) -> tuple[Data
     return own.orderBy(F.desc("created_at"), "id"), touch[0].unionByName(touch[1]).distinct()
 
 
-HISTORY = T.StructType.fromDDL("memory_id STRING, old_memory STRING, new_memory STRING, event STRING, created_at TIMESTAMP, updated_at TIMESTAMP, is_deleted BOOLEAN")
+HISTORY = "memory_id STRING, old_memory STRING, new_memory STRING, event STRING, created_at TIMESTAMP, updated_at TIMESTAMP, is_deleted BOOLEAN"
 
 
 def add_history(history: DataFrame, changes: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ def load_snapshot(spark: SparkSession, path: str, versions: Sequence[int]) -> di
     for r in spark.read.parquet(f"{path}/_manifest_table").collect():
         if r["version"] not in versions:
             raise ValueError(f"snapshot version {r['version']} of {r['name']}; known: {list(versions)}")
-        out[r["name"]] = spark.read.schema(T.StructType.fromJson(__import__("json").loads(r["schema"]))).parquet(f"{path}/{r['name']}")
+        out[r["name"]] = spark.read.schema(T.StructType.fromJson(json.loads(r["schema"]))).parquet(f"{path}/{r['name']}")
     return out
 
 
@@ -196,7 +197,8 @@ def write_report(summary: DataFrame, failures: DataFrame, answers: DataFrame, pa
 class VectorTable:
     """A named collection of (id, vector, payload) kept as Parquet; changes are new versions, never rewrites in place."""
 
-    SCHEMA = T.StructType.fromDDL("id STRING, vector ARRAY<DOUBLE>, payload STRING")
+    COLUMNS = ("id", "vector", "payload")
+    SCHEMA = "id STRING, vector ARRAY<DOUBLE>, payload STRING"
 
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.root, self.name = spark, root.rstrip("/"), name
@@ -210,11 +212,11 @@ class VectorTable:
     def _keep(self, df: DataFrame) -> None:
         self._version += 1
         path = f"{self.root}/{self.name}/v{self._version}"
-        df.select(*self.SCHEMA.names).write.mode("overwrite").parquet(path)
+        df.select(*self.COLUMNS).write.mode("overwrite").parquet(path)
         self._rows = self.spark.read.schema(self.SCHEMA).parquet(path)
 
     def insert(self, new: DataFrame) -> None:
-        self._keep(self._rows.join(new.select("id"), "id", "left_anti").select(*self.SCHEMA.names).unionByName(new.select(*self.SCHEMA.names)))
+        self._keep(self._rows.join(new.select("id"), "id", "left_anti").select(*self.COLUMNS).unionByName(new.select(*self.COLUMNS)))
 
     def update(self, changed: DataFrame) -> None:
         """Vector and payload of known ids; a null keeps what was."""

@@ -80,6 +80,17 @@ def arrow_pass(
     return source.mapInArrow(run, schema)
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, build: Callable):
+    """What a Python worker keeps between tasks: one thing at a time, so that stages don't add up their caches."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build()
+    return _STATE[key]
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

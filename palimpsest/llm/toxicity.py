@@ -2,7 +2,7 @@
 
 The lexicon is learned from labelled rows: terms whose documents are toxic far more often than not,
 in both halves of the sample.  Its trie is intersected with the Levenshtein automaton of every term
-(one edit from five letters on, two from nine on): a state is the set of (trie node, edits) that a
+(one edit from five letters on): a state is the set of (trie node, edits) that a
 prefix of a word reaches, and states and transitions are built when first met, so a word costs a
 table step a character and most words die after a few.  A misspelled match weighs less with each
 edit, and nothing if the sample knows the word from clean documents.
@@ -23,6 +23,7 @@ document whose repeated labels differ is toxic.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import arrow_pass, documents, labels, written
+from palimpsest.llm.common import arrow_pass, documents, labels, worker_state, written
 
 EDGE = ".,;:!?()[]{}<>|*#$%&_~^=+-/\\\"'`«»“”„‘’‚‹›…¡¿"
 _OPEN, _CLOSE = tuple("\"“„«‹"), tuple("\"”“»›")
@@ -43,7 +44,7 @@ STATES = 60_000
 
 
 def allowed_edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 0 if len(term) < 5 else 1
 
 
 class FuzzyTrie:
@@ -225,7 +226,11 @@ def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     chosen = written(sample(labelled, id_col, label_col, max_rows), "toxicity-sample")
     # The broadcast side has at most two times max_rows small rows.
     docs = df.select(F.col(id_col).alias("train_id"), F.col(text_col).cast("string").alias("train_text")).join(F.broadcast(chosen), "train_id")
-    docs = written(docs.dropDuplicates(["train_id"]), "toxicity-train")
+    # Copies and near copies would make their rare words look like evidence: one row for each least shingle hash.
+    words = F.split(F.coalesce("train_text", F.lit("")), r"\s+")
+    least_hash = F.transform(F.array(words), lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 4)))))
+    docs = docs.withColumn("alike", F.get(least_hash, 0)).dropDuplicates(["train_id"]).dropDuplicates(["label", "alike"])
+    docs = written(docs.drop("alike"), "toxicity-train")
     sizes = {(r["label"], r["half"]): r["n"] for r in docs.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
     if not any(y == 1 for y, _ in sizes):
         return Model()
@@ -253,7 +258,8 @@ def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     n = lambda y, h: sizes.get((y, h), 0)
     weight = odds(F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01"), n(1, 0) + n(1, 1), n(0, 0) + n(0, 1))
     by_half = [odds(F.col(f"n1{h}"), F.col(f"n0{h}"), n(1, h), n(0, h)) for h in (0, 1)]
-    good = (F.col("n10") + F.col("n11") >= least_support) & (weight >= 2.5) & (by_half[0] >= 1.2) & (by_half[1] >= 1.2)
+    support = max(least_support, (n(1, 0) + n(1, 1)) * 3 // 1000)
+    good = (F.col("n10") + F.col("n11") >= support) & (weight >= 2.5) & (by_half[0] >= 1.2) & (by_half[1] >= 1.2)
     terms = {r[0]: float(r[1]) for r in counts.select("term", weight.alias("w"), good.alias("g")).filter("g").orderBy(F.desc("w"), "term").limit(TERMS).select("term", "w").collect()}
     if not terms:
         return Model()
@@ -278,10 +284,11 @@ def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
 def scored(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None, name: str = "score") -> DataFrame:
     """The keep columns (all by default) and the score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    key = uuid.uuid4().hex
 
     def make():
         own = shared.value
-        matches = Matches(FuzzyTrie(own.terms, own.clean))
+        matches = worker_state(("toxicity", key), lambda: Matches(FuzzyTrie(own.terms, own.clean)))  # outlives the task
         return lambda columns: [[own.score(window_features(t, matches)) for t in columns[0]]]
 
     return arrow_pass(df, [text_col], df.columns if keep is None else keep, [T.StructField(name, T.DoubleType())], make)

@@ -164,7 +164,7 @@ def window_features(text: str | None, matches: Matches, window: int = 20) -> lis
             flags[i] = inside > 0 or any(x.strip(EDGE) in REPORTING for x in words[max(0, i - 5) : i + 6])
         if w.rstrip(".,;:!?)").endswith(_CLOSE) and (len(w) > 1 or not opened):
             inside = 0
-    plain = sum(w for i, (w, exact) in hits if exact and not flags[i])
+    plain = sum(w for i, (w, _) in hits if not flags[i])  # misspelled ones with what their edits leave of the weight
     fuzzy = sum(w for i, (w, exact) in hits if not exact and not flags[i])
     quoted = sum(w for i, (w, _) in hits if flags[i])
     most = now = 0.0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 from palimpsest.operators.ranking import min_max, top_k
+from palimpsest.operators.tables import cut
 
 
 @dataclass(frozen=True)
@@ -26,15 +27,18 @@ class Index:
 
 
 def index(docs: DataFrame, key: str, tokens: Column, epsilon: float = 0.25) -> Index:
-    """Okapi idf: ln(n - df + .5) - ln(df + .5); where negative, epsilon times the mean idf of all terms."""
+    """The index as tables of the shared folder, made once for any number of queries.
+
+    Okapi idf: ln(n - df + .5) - ln(df + .5); where negative, epsilon times the mean idf of all terms."""
     rows = docs.select(F.col(key).alias("doc"), tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
     size = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = rows.select("doc", "dl", F.explode("tokens").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    postings, size = cut(postings, "postings"), cut(size, "postings-size")
     raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))  # size is one row
     raw = raw.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("raw_idf") * epsilon).alias("floor_idf"))
     terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw_idf") < 0, F.col("floor_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    return Index(postings, terms, size)
+    return Index(postings, cut(terms, "terms"), size)
 
 
 def bm25_scores(ix: Index, queries: DataFrame, key: str, tokens: Column, k1: float = 1.5, b: float = 0.75, distinct: bool = False) -> DataFrame:

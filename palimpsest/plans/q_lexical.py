@@ -9,13 +9,13 @@ from palimpsest.operators import lexical, ranking
 from palimpsest.plans.registry import query, table
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
-BM25 = f"""WITH d AS (SELECT doc_id AS doc, {_TOKENS} AS tokens FROM documents), z AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
-p AS (SELECT doc, len(any_value(tokens)) AS dl, term, count(*) AS tf FROM (SELECT doc, tokens, unnest(tokens) AS term FROM d) GROUP BY doc, term),
-r AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, z GROUP BY term),
-t AS (SELECT term, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM r) ELSE raw END AS idf FROM r),
-q AS (SELECT item_id AS query, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY 1, 2),
-s AS (SELECT query, doc, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN t USING (term), z GROUP BY 1, 2),
-k AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s)"""
+BM25 = f"""WITH d AS MATERIALIZED (SELECT doc_id AS doc, {_TOKENS} AS tokens FROM documents), z AS MATERIALIZED (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d),
+l AS MATERIALIZED (SELECT doc, len(tokens) AS dl FROM d), p AS MATERIALIZED (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(tokens) AS term FROM d) GROUP BY doc, term),
+r AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n FROM z) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p GROUP BY term), fl AS MATERIALIZED (SELECT avg(raw) * 0.25 AS floor_idf FROM r),
+t AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN floor_idf ELSE raw END AS idf FROM r, fl),
+q AS MATERIALIZED (SELECT item_id AS query, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) GROUP BY 1, 2),
+s AS MATERIALIZED (SELECT query, doc, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN t USING (term) JOIN l USING (doc), z GROUP BY 1, 2),
+k AS MATERIALIZED (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s)"""
 
 
 def scores(spark, d, distinct=False):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import arrow_pass, documents, labels, written
+from palimpsest.llm.common import arrow_pass, documents, labels, worker_state, written
 
 DOMAINS = ("good", "low", "toxic")
 #: Target shares of tokens by domain.
@@ -112,7 +112,7 @@ def posteriors(df: DataFrame, domains: DataFrame, id_col: str = "doc_id", text_c
     cell = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("v", T.DoubleType())])
 
     def make_counts():
-        buckets = Buckets()
+        buckets = worker_state("buckets", Buckets)
 
         def fn(columns):
             sums = np.zeros((k, BUCKETS))  # documents of a class with a word of the bucket
@@ -134,7 +134,7 @@ def posteriors(df: DataFrame, domains: DataFrame, id_col: str = "doc_id", text_c
     ratios = (rates - rates[0])[1:] * (sums.sum(0) / (sums.sum(0) + 5))  # a word that was rarely seen says little
 
     def make_features():
-        buckets = Buckets()
+        buckets = worker_state("buckets", Buckets)
         return lambda columns: [[features(t, ratios, buckets)[0] for t in columns[0]]]
 
     seen = arrow_pass(docs.filter("half = 1"), ["mix_text"], ["domain"], [T.StructField("x", T.ArrayType(T.DoubleType()))], make_features).collect()
@@ -143,7 +143,7 @@ def posteriors(df: DataFrame, domains: DataFrame, id_col: str = "doc_id", text_c
     mean, scale, beta = softmax_regression(np.array([r["x"] for r in seen]), np.array([r["domain"] for r in seen]), k)
 
     def make():
-        buckets = Buckets()
+        buckets = worker_state("buckets", Buckets)
 
         def fn(columns):
             got = [features(t, ratios, buckets) for t in columns[0]]

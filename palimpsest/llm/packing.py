@@ -26,7 +26,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import documents, small_batches
+from palimpsest.llm.common import documents, small_batches, worker_state
 from palimpsest.llm.tokens import tokenizer_path
 
 CAPACITY = 4096
@@ -43,7 +42,7 @@ CAPACITY = 4096
 WINDOW = 2_000_000
 END = 2
 #: Words (and pieces) that a worker remembers: some 250 bytes each.
-CACHE = 1_000_000
+CACHE = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -115,6 +114,13 @@ class Ids:
         self.words.update({w: b"".join([ids[p] for p in own]) for w, own in cut.items()})
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
+        gc.disable()  # a great many strings and no cycles
+        try:
+            return self._batch(texts)
+        finally:
+            gc.enable()
+
+    def _batch(self, texts: list[str | None]) -> list[bytes]:
         if len(self.words) > CACHE:
             self.words.clear()
         if len(self.pieces) > CACHE:
@@ -129,12 +135,6 @@ class Ids:
         return self.batch([text])[0]
 
 
-@lru_cache(maxsize=2)
-def worker_ids(path: str) -> Ids:
-    """One cache a Python worker; it outlives the task."""
-    return Ids(path)
-
-
 class Open:
     """Open sequences by room; finds the cheapest with enough room in logarithmic time.
 
@@ -246,8 +246,7 @@ def packed(
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_ids(path)
-        gc.disable()  # millions of strings and no cycles
+        words = worker_state(("ids", path), lambda: Ids(path))  # outlives the task
         first = TaskContext.get().partitionId() << 40
         keys: list = []
         texts: list[bytes] = []

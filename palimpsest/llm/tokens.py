@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import arrow_pass, documents
+from palimpsest.llm.common import arrow_pass, documents, worker_state
 
 #: Unicode White_Space; Python's \s holds four separators more.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -101,7 +101,10 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     table = df.sparkSession.sparkContext.broadcast(frequent_cuts(df, path, text_col, sample_rows, table_size))
 
     def make():
-        counts = Counts(path, table.value)
+        counts = worker_state(("counts", path), lambda: Counts(path, {}))  # outlives the task
+        if counts.table is not table.value:
+            counts.table = table.value
+            counts.update(table.value)
         return lambda columns: [[len((t or "").encode("utf-8", "surrogatepass")) for t in columns[0]], [counts.count(t) for t in columns[0]]]
 
     narrow = df.select(F.col(id_col).alias("tok_id"), F.col(text_col).cast("string").alias("tok_text"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 _SENTENCE = re.compile(r".*?(?:[.!?。！？…]+[\s\"')\]]*|\n+|$)", re.S)
 #: Fixed order of the places where a simple chunk may break, best first.
-BREAKS = ("\n\n", "\n", "。", ". ", "! ", "? ", "; ", ", ", " ")
+BREAKS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", " ")
 
 
 def sentences(text: str) -> list[str]:
@@ -35,24 +35,24 @@ def paragraph_chunks(text: str, most: int) -> list[str]:
     return out + [held] if held else out
 
 
-def simple_chunks(text: str, size: int, overlap: int) -> list[str]:
-    """At most size characters, broken behind the last separator of the best kind, stripped; neighbours overlap."""
+def simple_chunks(text: str, size: int, overlap: int, tails: bool = True) -> list[str]:
+    """At most size characters, ended behind the last separator of the best kind there is, stripped; neighbours overlap.
+
+    With tails, the overlap at the end of the text is given again and again, a character shorter each time.
+    """
     if len(text) <= size:
-        return [text] if text else []
+        return [text] if text.strip() else []
     out, start = [], 0
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
-            for b in BREAKS:
-                at = text.rfind(b, start + overlap + 1, end)
-                if at > 0:
-                    end = at + len(b)
-                    break
+            places = ((text.rfind(b, start, end), len(b)) for b in BREAKS)
+            end = next((at + n for at, n in places if at >= 0), end)
         if piece := text[start:end].strip():
             out.append(piece)
-        if end >= len(text):
+        if end == len(text) and not tails:
             break
-        start = max(end - overlap, start + 1)
+        start = max(start + 1, end - overlap)
     return out
 
 

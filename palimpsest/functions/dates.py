@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed order: the first format that reads the text wins; month-first before day-first.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "d MMMM yyyy", "MMMM d, yyyy", "yyyy-MM")
+#: Fixed values, fixed order: the first format that reads the text wins; month-first before day-first.
+DATE_FORMATS = (
+    "h:mm a 'on' d MMMM, yyyy", "h:mma 'on' d MMMM, yyyy", "yyyy-MM-dd", "yyyy-MM", "yyyy-MM-dd HH:mm", "MMMM d yyyy, h:mm a", "MMM d yyyy, h:mm a",
+    "MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "dd/MM/yyyy", "d MMMM yyyy", "d MMM yyyy", "d MMMM yyyy, h:mm a", "d MMM yyyy, h:mm a",
+)
 STAMP_FORMATS = ("h:mm a 'on' d MMMM, yyyy", "h:mm a 'on' d MMMM yyyy")
 FULL_DATE = r"(\d{4}[-/](?:0?[1-9]|1[0-2])[-/](?:0?[1-9]|[12]\d|3[01]))"
 
@@ -24,9 +27,10 @@ def session_stamp(c: Column) -> Column:
 
 
 def flexible_date(c: Column) -> Column:
-    """By the listed formats, else a bare year from 1900 to 2100 as its first day."""
-    year = F.regexp_extract(c, r"(?:^|\D)((?:19|20)\d\d|2100)(?:\D|$)", 1)
-    return F.coalesce(_first(c, DATE_FORMATS).cast("date"), F.when(year != "", F.make_date(year.cast("int"), F.lit(1), F.lit(1))))
+    """By the listed formats (or a stamp with its weekday), else a bare year from 1900 to 2100 as its first day."""
+    marked = F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)\bam\b|(?<=\d)am\b", "AM"), r"(?i)\bpm\b|(?<=\d)pm\b", "PM")
+    year = F.regexp_extract(c, r"\b(\d{4})\b", 1).try_cast("int")
+    return F.coalesce(_first(marked, DATE_FORMATS).cast("date"), weekday_stamp(c).cast("date"), F.when(year.between(1900, 2100), F.make_date(year, F.lit(1), F.lit(1))))
 
 
 def weekday_stamp(c: Column) -> Column:
@@ -49,22 +53,34 @@ def same_day(a: Column, b: Column) -> Column:
     return F.coalesce(spoken_day(a) == spoken_day(b), F.lit(False))
 
 
+_SPOKEN = r"[a-z]+ \d{1,2},? \d{4}|\d{1,2} [a-z]+,? \d{4}"
+_ANY_DATE = r"(?:(?<!\d)" + FULL_DATE[1:-1] + r"(?!\d)|" + _SPOKEN + ")"
+
+
 def full_dates(c: Column) -> Column:
-    """Days of the full dates in a text, in order; partial dates are never guessed."""
-    found = F.regexp_extract_all(c, F.lit(r"(?<!\d)" + FULL_DATE + r"(?!\d)"), F.lit(1))
-    return F.filter(F.transform(found, lambda s: F.try_to_timestamp(F.regexp_replace(s, "/", "-"), F.lit("yyyy-M-d")).cast("date")), lambda x: x.isNotNull())
+    """Days of the full dates in a text, in order, numeric or with a month's name; partial dates are never guessed."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(f"({_ANY_DATE})"), F.lit(1))
+
+    def day(s: Column) -> Column:
+        plain = F.initcap(F.regexp_replace(F.regexp_replace(s, "/", "-"), ",", ""))
+        return _first(plain, ("yyyy-M-d", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy")).cast("date")
+
+    return F.filter(F.transform(found, day), lambda x: x.isNotNull())
 
 
 def temporal_query(c: Column) -> Column:
-    """kind, start, end of a question: interval, as_of, before, after, record, exact; null where there is no usable date."""
-    days = full_dates(c)
+    """kind, start, end of a question: interval, as_of, before, after, record, exact; null where there is no usable date.
+
+    A cue counts right before its date; a reversed interval, or several dates that form none, give nothing.
+    """
+    low = F.regexp_replace(F.lower(c), r"\s+", " ")
+    days = full_dates(low)
     n, first, second = F.size(days), F.get(days, 0), F.get(days, 1)
-    low = F.lower(c)
-    cue = lambda p: low.rlike(p)
-    interval = (n == 2) & cue(r"\bbetween\b|\bfrom\b|\bduring\b") & (first <= second)
+    cue = lambda words: low.rlike(rf"\b(?:{words}) {_ANY_DATE}")
+    interval = low.rlike(rf"\b(?:between|from) {_ANY_DATE} (?:and|to) {_ANY_DATE}")
     kind = (
-        F.when(interval, "interval").when(n != 1, None).when(cue(r"\bas of\b|\bby\b"), "as_of").when(cue(r"\bbefore\b"), "before").when(cue(r"\bafter\b|\bsince\b"), "after")
-        .when(cue(r"record dated|discussed on"), "record").otherwise("exact")
+        F.when(interval & (n >= 2), F.when(first <= second, "interval")).when(n != 1, None).when(cue("as of|by"), "as_of").when(cue("before"), "before")
+        .when(cue("after"), "after").when(cue("record dated|record on|discuss(?:ed)? on"), "record").otherwise("exact")
     )
     return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), first).alias("start"), F.when(kind == "interval", second).when(kind.isNotNull(), first).alias("end"))
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 
-#: Phrases that decline to answer.
+#: Phrases that decline to answer, negating tokens, judge levels.
 DECLINES = (
-    "no information available", "not mentioned", "cannot be determined", "can't be determined", "not specified", "no information", "unknown",
-    "not provided", "not available", "does not mention", "doesn't mention", "i don't know",
+    "no information available", "not mentioned", "cannot be determined", "not enough information", "no information", "not answerable",
+    "cannot answer", "don't have information", "no relevant information", "not provided", "unknown", "n/a",
 )
-NEGATIONS = ("not", "no", "never", "without", "n't")
-QUALITY = {"excellent": 1.0, "good": 0.9, "fair": 0.7, "poor": 0.4, "bad": 0.1}
+NEGATIONS = ("no", "not", "never", "cannot", "cant", "without")
+QUALITY = {"excellent": 1.0, "good": 0.9, "partial": 0.7, "poor": 0.4, "none": 0.1}
 
 
 def _sum(xs: Column) -> Column:
@@ -61,11 +61,12 @@ def multi_hop_f1(prediction: Column, gold: Column) -> Column:
 
 
 def contains_tokens(prediction: Column, gold: Column) -> Column:
-    """gold's tokens stand together in the prediction, and no negation in the three tokens before."""
-    p, g = tx.words(tx.normalize_answer(prediction)), tx.words(tx.normalize_answer(gold))
-    places = F.sequence(F.lit(1), F.greatest(F.size(p) - F.size(g) + 1, F.lit(1)))
-    negated = lambda i: F.arrays_overlap(F.slice(p, F.greatest(i - 3, F.lit(1)), F.least(i - 1, F.lit(3))), F.array(*map(F.lit, NEGATIONS)))
-    return (F.size(g) > 0) & F.exists(places, lambda i: (F.slice(p, i, F.size(g)) == g) & ~negated(i))
+    """gold's tokens, number words as digits, stand together in the prediction; a negation anywhere before them denies it."""
+    p, g = (tx.words(tx.normalize_answer(tx.number_words(c))) for c in (prediction, gold))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p) - F.size(g) + 1, F.lit(1))), lambda i: F.slice(p, i, F.size(g)) == g)
+    first = F.get(places, 0)
+    denied = F.arrays_overlap(F.slice(p, 1, F.greatest(F.coalesce(first, F.lit(1)) - 1, F.lit(0))), F.array(*map(F.lit, NEGATIONS)))
+    return (F.size(g) > 0) & first.isNotNull() & ~F.coalesce(denied, F.lit(False))
 
 
 def floored_f1(prediction: Column, gold: Column) -> Column:
@@ -85,12 +86,12 @@ def declines(prediction: Column) -> Column:
 
 
 def by_category(category: Column, prediction: Column, gold: Column) -> tuple[Column, Column]:
-    """(score, is_correct): 1 multi-hop, 2 with date floor, 3 before the semicolon, 4 floored, 5 adversarial; correct from 0.5."""
+    """(score, is_correct): 1 multi-hop, 2 with date floor, 3 before the semicolon, 4 single-hop, 5 adversarial; correct from 0.5."""
     from palimpsest.functions.dates import same_day
 
     dated = F.greatest(token_f1(prediction, gold), F.when(same_day(prediction, gold), 0.5).otherwise(0.0))
     head = F.trim(F.get(F.split(gold, ";"), 0))
-    score = F.when(category == 1, multi_hop_f1(prediction, gold)).when(category == 2, dated).when(category == 3, floored_f1(prediction, head)).when(category == 5, declines(prediction).cast("double")).otherwise(floored_f1(prediction, gold))
+    score = F.when(category == 1, multi_hop_f1(prediction, gold)).when(category == 2, dated).when(category == 3, token_f1(prediction, head)).when(category == 5, declines(prediction).cast("double")).otherwise(token_f1(prediction, gold))
     return score, score >= 0.5
 
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 # Answers must normalise as they do in the benchmark.
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-CJK_PUNCTUATION = "，。！？；：、（）【】《》“”‘’「」『』—…·"
+CJK_PUNCTUATION = "，。！？、；：（）【】《》·…—～－–"
 ARTICLES = ("a", "an", "the", "and")
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty")
-NO_INFORMATION = ("", "none", "null", "unknown", "n/a", "na", "not specified", "not mentioned", "unspecified")
+NO_INFORMATION = ("", "unknown", "unspecified", "not specified", "not provided", "n/a")
+META_MARKERS = ("request for concise", "single-sentence state", "asked for summary", "question only", "not an observation", "formatting request")
+OPTION_PATTERNS = (r"\b([A-F])\b", "选([A-F])", r"答案[是为：:]*\s*([A-F])", "([A-F])选项")
 
 _ASCII_CLASS = r"[!-/:-@\[-`{-~]"
 _CJK_CLASS = f"[{CJK_PUNCTUATION}]"
@@ -38,9 +40,9 @@ def number_words(c: Column) -> Column:
 
 
 def option_letters(c: Column) -> Column:
-    """The option letters that an answer names, sorted."""
+    """The option letters that an answer names, sorted; patterns run on the upper-cased text."""
     up = F.upper(c)
-    found = F.array_union(F.regexp_extract_all(up, F.lit(r"\b([A-F])\b"), F.lit(1)), F.regexp_extract_all(up, F.lit(r"[(\[]([A-F])[)\]]"), F.lit(1)))
+    found = F.flatten(F.array(*[F.regexp_extract_all(up, F.lit(p), F.lit(1)) for p in OPTION_PATTERNS]))
     return F.array_sort(F.array_distinct(found))
 
 
@@ -92,10 +94,10 @@ def clean_tokens(c: Column) -> Column:
 
 
 def no_information(c: Column, values: Sequence[str] = NO_INFORMATION) -> Column:
-    return F.lower(F.trim(c)).isin(*values)
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " "))).isin(*values)
 
 
-def has_marker(c: Column, markers: Sequence[str]) -> Column:
+def has_marker(c: Column, markers: Sequence[str] = META_MARKERS) -> Column:
     return reduce(lambda a, b: a | b, [F.lower(c).contains(m.lower()) for m in markers])
 
 

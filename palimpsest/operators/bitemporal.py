@@ -70,7 +70,7 @@ def repaired_bounds(persistence: Column, valid_from: Column, valid_to: Column, r
     return F.when(~odd, start), F.when(~odd, end)
 
 
-def event_annotation(start: Column, end: Column, precision: Column, known: Sequence[str] = ("day", "month", "year", "range")) -> Column:
+def event_annotation(start: Column, end: Column, precision: Column, known: Sequence[str] = ("exact", "bounded", "approximate", "unknown")) -> Column:
     """start, end, precision, or null where the span is reversed or the precision unknown; a missing end is the start."""
     e = F.coalesce(end, start)
     good = start.isNotNull() & (start <= e) & precision.isin(*known)
@@ -106,12 +106,12 @@ def q_learning(rewards: DataFrame, key: str, order: str, reward: str, alpha: flo
     return rows.select(key, F.aggregate("_r", zero, step).alias("s")).select(key, "s.*")
 
 
-def importance(counts: dict[str, Column], weights: dict[str, float], caps: dict[str, float]) -> Column:
-    """Weighted counts, each capped."""
-    total = F.lit(0.0)
-    for name, c in counts.items():
-        total = total + F.least(c * weights.get(name, 1.0), F.lit(caps.get(name, float("inf"))))
-    return total
+def importance(sorting: Column, keywords: Column, recordings: Column, weights: tuple[float, float, float]) -> Column:
+    """Sorting score by its weight, keyword score and recording count by theirs twice: before their caps (5 and 2) and after."""
+    if abs(sum(weights) - 1) > 1e-6:
+        raise ValueError("weights must sum to 1")
+    a, b, c = weights
+    return sorting * a + F.least(keywords * b, F.lit(5.0)) * b + F.least(recordings * c, F.lit(2.0)) * c
 
 
 def merge_working(old: DataFrame, new: DataFrame, keep_old: int, cap: int) -> DataFrame:

@@ -104,7 +104,7 @@ def m11(spark, d):
 
 @query("m12_composite", "SELECT l_orderkey, l_linenumber, round((0.35 * l_tax + 0.35 * l_discount + 0.3 * 0.5) * CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0.5 END * CASE l_linestatus WHEN 'O' THEN 0.9 ELSE 0.5 END, 6) AS score FROM lineitem")
 def m12(spark, d):
-    score = m.composite(F.col("l_tax"), F.col("l_discount"), F.lit(0.5), F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "O", "Good").otherwise("odd"))
+    score = m.composite(F.col("l_tax"), F.col("l_discount"), F.lit(0.5), F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "O", "good").otherwise("odd"))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _r(score).alias("score"))
 
 

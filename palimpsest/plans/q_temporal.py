@@ -17,7 +17,7 @@ def _asked(spark, d):
     day, later, k = F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 7), F.col("o_orderkey") % 7
     s, e = F.date_format(day, "yyyy-MM-dd"), F.date_format(later, "yyyy/MM/dd")
     q = (
-        F.when(k == 0, F.concat(F.lit("What held as of "), s)).when(k == 1, F.concat(F.lit("Before "), s, F.lit("?"))).when(k == 2, F.concat(F.lit("after "), s)).when(k == 3, F.concat(F.lit("from "), s, F.lit(" to "), e))
+        F.when(k == 0, F.concat(F.lit("What held as of "), s)).when(k == 1, F.concat(F.lit("Before "), s, F.lit("?"))).when(k == 2, F.concat(F.lit("after "), F.date_format(day, "MMMM d, yyyy"))).when(k == 3, F.concat(F.lit("from "), s, F.lit(" to "), e))
         .when(k == 4, F.concat(F.lit("between "), e, F.lit(" and "), s)).when(k == 5, F.concat(F.lit("discussed on "), s)).otherwise(F.concat(F.lit("on "), F.date_format(day, "yyyy-MM")))
     )
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), day.alias("day"), later.alias("later"), q.alias("question"))
@@ -110,7 +110,7 @@ def t11(spark, d):
 @query("t12_event_annotation", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 1) THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INTEGER) END AS end_ FROM orders")
 def t12(spark, d):
     k, day = F.col("o_orderkey") % 4, F.to_date("o_orderdate")
-    a = bt.event_annotation(day, F.when(k == 1, F.date_add(day, 1)).when(k == 2, F.date_add(day, -1)), F.when(k == 3, "century").otherwise("day"))
+    a = bt.event_annotation(day, F.when(k == 1, F.date_add(day, 1)).when(k == 2, F.date_add(day, -1)), F.when(k == 3, "century").otherwise("exact"))
     return table(spark, d, "orders").select("o_orderkey", a["end"].alias("end_"))
 
 
@@ -137,10 +137,10 @@ def t15(spark, d):
     return got.select("user_id", "visits", F.round("q", 6).alias("q"))
 
 
-@query("t16_importance", "SELECT user_id, CAST(round(least(count(*) * 0.1, 5.0) + least(count(DISTINCT event_type) * 2.0, 6.0), 6) AS DOUBLE) AS score FROM events GROUP BY 1")
+@query("t16_importance", "SELECT user_id, CAST(round(sum(value) * 0.5 + least(count(*) * 0.3, 5.0) * 0.3 + least(count(DISTINCT event_type) * 0.2, 2.0) * 0.2, 4) AS DOUBLE) AS score FROM events GROUP BY 1")
 def t16(spark, d):
-    g = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("a"), F.count_distinct("event_type").alias("b"))
-    return g.select("user_id", F.round(bt.importance({"a": F.col("a"), "b": F.col("b")}, {"a": 0.1, "b": 2.0}, {"a": 5.0, "b": 6.0}), 6).alias("score"))
+    g = table(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("s"), F.count("*").alias("a"), F.count_distinct("event_type").alias("b"))
+    return g.select("user_id", F.round(bt.importance(F.col("s"), F.col("a"), F.col("b"), (0.5, 0.3, 0.2)), 4).alias("score"))
 
 
 @query("t17_working_memory", """WITH o AS (SELECT c_custkey AS item, c_acctbal AS score FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < 60), n AS (SELECT c_custkey AS item, c_acctbal + 1 AS score FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 60),

@@ -42,7 +42,7 @@ CAPACITY = 4096
 WINDOW = 2_000_000
 END = 2
 #: Words (and pieces) that a worker remembers: some 250 bytes each.
-CACHE = 600_000
+CACHE = 1_000_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -137,10 +136,11 @@ def entities(triples: DataFrame, chunk: str) -> DataFrame:
 
 def injection_stats(rows: DataFrame, order: str, is_noise: Column, kind: str) -> DataFrame:
     """Counts, noise share, and the mean gap before a noise row (the first one's from the start)."""
-    at = rows.withColumn("_p", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
-    noise = at.filter(is_noise).withColumn("_gap", F.col("_p") - F.lag("_p", 1, -1).over(Window.partitionBy(F.lit(0)).orderBy("_p")) - 1)
-    gaps = noise.agg(F.count("*").alias("n_noise"), F.avg("_gap").alias("avg_gap"), F.count_distinct(kind).alias("n_kinds"))
-    return rows.agg(F.count("*").alias("n")).crossJoin(gaps).withColumn("noise_ratio", _ratio(F.col("n_noise").cast("double"), F.col("n")))
+    # The gaps add up to the rows before the last noise row that are no noise themselves.
+    last = rows.filter(is_noise).agg(F.max(order).alias("_last"), F.count("*").alias("n_noise"), F.count_distinct(kind).alias("n_kinds"))
+    both = rows.crossJoin(F.broadcast(last))  # one row
+    counted = both.agg(F.count("*").alias("n"), F.first("n_noise").alias("n_noise"), F.first("n_kinds").alias("n_kinds"), F.count_if(F.col(order) <= F.col("_last")).alias("_upto"))
+    return counted.withColumn("avg_gap", _ratio((F.col("_upto") - F.col("n_noise")).cast("double"), F.col("n_noise"))).drop("_upto").withColumn("noise_ratio", _ratio(F.col("n_noise").cast("double"), F.col("n")))
 
 
 def balanced_partitions(lengths: list[int], k: int) -> list[list[int]]:

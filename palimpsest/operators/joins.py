@@ -163,6 +163,6 @@ def existing_edges(chunk_nodes: DataFrame, chunk_relations: DataFrame, edges: Da
 
 
 def closest(items: DataFrame, candidates: DataFrame, bucket: str) -> DataFrame:
-    """For each item the candidate of its bucket with the least edit distance, then the smaller id."""
-    pairs = items.join(candidates, bucket).withColumn("distance", F.levenshtein("item", "candidate"))
+    """For each item the other candidate of its bucket with the least edit distance, then the smaller id."""
+    pairs = items.join(candidates, bucket).filter("item_id <> candidate_id").withColumn("distance", F.levenshtein("item", "candidate"))
     return ranked(pairs, ["item_id"], ["distance", "candidate_id"]).filter("rank = 1").select("item_id", "candidate_id", "distance")

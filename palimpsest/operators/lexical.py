@@ -67,14 +67,15 @@ def tfidf_vectors(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return raw.join(length, "doc").select("doc", "term", (F.col("w") / F.col("len")).alias("w"))
 
 
-def tfidf_pairs(vectors: DataFrame, other: DataFrame | None = None) -> DataFrame:
-    """(a, b, similarity) of pairs that share a term; a < b within one set."""
-    x = vectors.select(F.col("doc").alias("a"), "term", F.col("w").alias("wa"))
-    y = (vectors if other is None else other).select(F.col("doc").alias("b"), "term", F.col("w").alias("wb"))
-    pairs = x.join(y, "term")
+def tfidf_pairs(vectors: DataFrame, other: DataFrame | None = None, bucket: str | None = None) -> DataFrame:
+    """([bucket,] a, b, similarity) of pairs that share a term (and the bucket, where there is one); a < b within one set."""
+    own = [bucket] if bucket else []
+    x = vectors.select(*own, F.col("doc").alias("a"), "term", F.col("w").alias("wa"))
+    y = (vectors if other is None else other).select(*own, F.col("doc").alias("b"), "term", F.col("w").alias("wb"))
+    pairs = x.join(y, ["term", *own])
     if other is None:
         pairs = pairs.filter(F.col("a") < F.col("b"))
-    return pairs.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
+    return pairs.groupBy(*own, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
 
 
 def key_tag_search(scores: DataFrame, second: DataFrame, k: int, weight: float = 0.7) -> DataFrame:

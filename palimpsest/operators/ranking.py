@@ -64,3 +64,19 @@ def dedupe_max(df: DataFrame, key: Sequence[str], score: str, tie: str) -> DataF
 def last_writer(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row for each key: the first by order."""
     return ranked(df, key, order, "_place").filter("_place = 1").drop("_place")
+
+
+def running(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """The running sum of value over the whole table by a total order, without one task seeing all rows.
+
+    Rows are range-partitioned and stored; sums inside a part run as windows, the parts' totals (a row each) are added up.
+    """
+    from palimpsest.operators.tables import cut
+
+    ranged = df.withColumn(name, value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged, "running")
+    totals = ranged.groupBy("_part").agg(F.sum(name).alias("_total"))
+    before = F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.select("_part", before.alias("_before"))
+    inside = F.sum(name).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_inside", inside).join(offsets, "_part").withColumn(name, F.col("_inside") + F.col("_before")).drop("_part", "_inside", "_before")

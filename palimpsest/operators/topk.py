@@ -97,10 +97,10 @@ def listing(df: DataFrame, equal: Mapping | None = None, after=None, before=None
     return df if deleted is None else df.filter(~deleted)
 
 
-def temporal_order(df: DataFrame, start: str, end: str, tie: str, descending: bool = False) -> DataFrame:
-    """By start ascending, missing last; or by end descending, where a missing end comes first."""
+def temporal_order(df: DataFrame, by: Sequence[str], start: str, end: str, tie: str, descending: bool = False) -> DataFrame:
+    """In each group by start ascending, missing last; or by end descending, where a missing end comes first."""
     order = F.desc_nulls_first(end) if descending else F.asc_nulls_last(start)
-    return ranked(df, [], [order, tie])
+    return ranked(df, by, [order, tie])
 
 
 def with_links(hits: DataFrame, links: DataFrame, k: int) -> DataFrame:

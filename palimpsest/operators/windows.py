@@ -19,9 +19,15 @@ def clean_units(sessions: DataFrame, by: Sequence[str], order: Sequence, is_clea
 
     The trailing unit that no clean session closes is dropped.
     """
-    spec = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = spec.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     clean = is_clean.cast("long")
+    if not by:
+        from palimpsest.operators.ranking import running
+
+        whole = sessions.agg(F.sum(clean)).first()[0] or 0
+        marked = running(sessions, order, clean, "_clean")
+        return marked.withColumn("unit", F.floor((F.col("_clean") - clean) / interval)).filter(F.col("unit") < whole // interval).drop("_clean")
+    spec = Window.partitionBy(*by)
+    upto = spec.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     marked = sessions.withColumn("_clean", F.sum(clean).over(upto)).withColumn("_all", F.sum(clean).over(spec))
     unit = F.floor((F.col("_clean") - clean) / interval)
     return marked.withColumn("unit", unit).filter(F.col("unit") < F.floor(F.col("_all") / interval)).drop("_clean", "_all")

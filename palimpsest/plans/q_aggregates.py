@@ -33,11 +33,11 @@ def a2(spark, d):
     return _r(ag.metric_stats(table(spark, d, "lineitem").select(m.alias("metrics")), "metrics"), "mean")
 
 
-@query("a3_node_rates", "SELECT count(*) AS n_nodes, round(avg(CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.0 END), 6) AS mention_rate, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS link_rate FROM lineitem WHERE l_orderkey % 3 = 0")
+@query("a3_node_rates", "SELECT count(*) AS n_nodes, round(avg(CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.0 END), 6) AS mention_rate, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS link_rate FROM lineitem WHERE l_returnflag = 'R'")
 def a3(spark, d):
     node = F.struct((F.col("l_tax") > 0.04).cast("int").alias("mentioned"), (F.col("l_discount") > 0.05).cast("int").alias("linked"))
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(node).alias("nodes"))
-    return _r(ag.node_rates(rows, "nodes", F.col("l_orderkey") % 3 == 0), "mention_rate", "link_rate")
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.collect_list(node).alias("nodes"))
+    return _r(ag.node_rates(rows, "nodes", F.col("l_returnflag") == "R"), "mention_rate", "link_rate")
 
 
 @query("a4_efficiency", "SELECT round(sum(value), 4) AS memory_time, round(sum(value * 2), 4) AS query_time, count(s) AS scored, round(sum(value) / count(s), 6) AS memory_per_scored, round(sum(value * 2) / count(s), 6) AS query_per_scored FROM (SELECT value, CASE WHEN user_id % 7 <> 0 THEN value END AS s FROM events)")

@@ -46,19 +46,20 @@ def k10(spark, d):
 
 
 _NAME = "list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: x <> '')"
-_TFIDF = f"""WITH d AS (SELECT p_partkey AS doc, {_NAME} AS tokens FROM part WHERE p_partkey % 5 = 0), n AS (SELECT count(*) AS n FROM d),
+_TFIDF = f"""WITH d AS (SELECT p_partkey AS doc, {_NAME} AS tokens FROM part), n AS (SELECT count(*) AS n FROM d),
 tf AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(tokens) AS term FROM d) GROUP BY 1, 2), i AS (SELECT term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 AS idf FROM tf, n GROUP BY term),
 w AS (SELECT doc, term, tf * idf AS w FROM tf JOIN i USING (term)), u AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM w)"""
 
 
 def part_vectors(spark, d):
-    p = table(spark, d, "part").filter("p_partkey % 5 = 0")
-    return lexical.tfidf_vectors(p, "p_partkey", tx.ascii_tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")))
+    p = table(spark, d, "part")
+    v = lexical.tfidf_vectors(p, "p_partkey", tx.ascii_tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")))
+    return v.join(p.select(F.col("p_partkey").alias("doc"), F.col("p_brand").alias("bucket")), "doc")
 
 
-@query("x2_tfidf_pairs", _TFIDF + " SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.5")
+@query("x2_tfidf_pairs", _TFIDF + " SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS similarity FROM (SELECT u.*, p_brand FROM u JOIN part ON p_partkey = doc) a JOIN (SELECT u.*, p_brand FROM u JOIN part ON p_partkey = doc) b ON a.term = b.term AND a.p_brand = b.p_brand AND a.doc < b.doc GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.5")
 def x2(spark, d):
-    return lexical.tfidf_pairs(part_vectors(spark, d)).filter("similarity >= 0.5").withColumn("similarity", F.round("similarity", 6))
+    return lexical.tfidf_pairs(part_vectors(spark, d), bucket="bucket").filter("similarity >= 0.5").drop("bucket").withColumn("similarity", F.round("similarity", 6))
 
 
 

@@ -51,32 +51,32 @@ def d5(spark, d):
 
 @query("d6_greedy_near_duplicates")
 def d6(spark, d):
-    items = table(spark, d, "part").filter("p_partkey % 5 = 0").select(F.lit("all").alias("g"), "p_partkey")
-    pairs = lexical.tfidf_pairs(part_vectors(spark, d)).withColumn("g", F.lit("all"))
+    items = table(spark, d, "part").select(F.col("p_brand").alias("g"), "p_partkey")
+    pairs = lexical.tfidf_pairs(part_vectors(spark, d), bucket="bucket").withColumnRenamed("bucket", "g")
     return sets.greedy_near_duplicates(pairs, items, "p_partkey", "g", 0.75)
 
 
 @query("d7_diverse_subset")
 def d7(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id < 200").withColumn("score", -F.col("vec_id").cast("double"))
+    e = table(spark, d, "embeddings").withColumn("score", -F.col("vec_id").cast("double"))
     return selection.greedy_diverse(e, "label", "vec_id", "score", "embedding", 0.2)
 
 
 @query("d8_score_ordered_dedupe")
 def d8(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id < 200").withColumn("score", F.pmod(F.col("vec_id") * 37, F.lit(101)).cast("double"))
+    e = table(spark, d, "embeddings").withColumn("score", F.pmod(F.col("vec_id") * 37, F.lit(101)).cast("double"))
     return selection.greedy_diverse(e, "label", "vec_id", "score", "embedding", 0.3, cap=10)
 
 
 @query("d9_mmr_dedupe")
 def d9(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id < 200").withColumn("score", F.pmod(F.col("vec_id") * 37, F.lit(101)) / 101.0).withColumn("text", F.concat(F.lit("memory "), F.col("vec_id") % 90))
+    e = table(spark, d, "embeddings").withColumn("score", F.pmod(F.col("vec_id") * 37, F.lit(101)) / 101.0).withColumn("text", F.concat(F.lit("memory "), F.col("vec_id") % 90))
     return selection.mmr_dedupe(e, "label", "vec_id", "score", "embedding", "text", 12)
 
 
 @query("d10_state_mmr")
 def d10(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id < 200").select("label", "vec_id", (F.pmod(F.col("vec_id") * 37, F.lit(101)) / 101.0).alias("score"), "embedding", F.when(F.col("vec_id") % 3 == 0, "turn").otherwise("claim").alias("kind"), (F.col("vec_id") % 11).alias("source"), (F.col("vec_id") % 5 == 0).alias("graph_related"))
+    e = table(spark, d, "embeddings").select("label", "vec_id", (F.pmod(F.col("vec_id") * 37, F.lit(101)) / 101.0).alias("score"), "embedding", F.when(F.col("vec_id") % 3 == 0, "turn").otherwise("claim").alias("kind"), (F.col("vec_id") % 11).alias("source"), (F.col("vec_id") % 5 == 0).alias("graph_related"))
     return selection.state_mmr(e, "label", "vec_id", "score", "embedding", 8)
 
 
@@ -110,10 +110,10 @@ def d15(spark, d):
 
 
 @query("d16_merge_target", f"""SELECT task, target, similarity FROM (SELECT x.vec_id AS task, y.vec_id AS target, round({cos('x.embedding', 'y.embedding')}, 6) AS similarity,
-row_number() OVER (PARTITION BY x.vec_id ORDER BY round({cos('x.embedding', 'y.embedding')}, 6) DESC, y.vec_id) AS r FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE x.vec_id % 10 = 0) WHERE r = 1 AND similarity >= 0.4""")
+row_number() OVER (PARTITION BY x.vec_id ORDER BY round({cos('x.embedding', 'y.embedding')}, 6) DESC, y.vec_id) AS r FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0) WHERE r = 1 AND similarity >= 0.4""")
 def d16(spark, d):
     e = table(spark, d, "embeddings").withColumn("bucket", F.col("label"))
-    return sets.merge_target(e.filter("vec_id % 10 = 0"), e, "embedding", "vec_id", 0.4)
+    return sets.merge_target(e.filter("vec_id % 20 = 0"), e, "embedding", "vec_id", 0.4)
 
 
 @query("d17_second_minus_first", """WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT min(doc_id) AS doc_id FROM n WHERE doc_id % 2 = 1 AND t NOT IN (SELECT t FROM n WHERE doc_id % 2 = 0) GROUP BY t""")

@@ -106,15 +106,15 @@ def s16(spark, d):
     return ingest.history_of(history, "5").select("new_memory", "event")
 
 
-@query("s19_interleaved_order", """SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS position FROM documents WHERE doc_id % 5 <> 0""")
+@query("s19_interleaved_order", """SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents WHERE doc_id % 5 <> 0""")
 def s19(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id"), F.col("doc_id").alias("ix"))
     got = ingest.interleave_noise(docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 5 = 0"))
     kept = got.filter(~F.col("is_noise"))
     # Noise moves rows apart but keeps their order.
-    from palimpsest.operators.ranking import ranked
+    from palimpsest.operators.ranking import running
 
-    return ranked(kept, [], ["position"], "r").select("doc_id", (F.col("r") - 1).alias("position"))
+    return running(kept.select("doc_id", "position"), ["position"], F.lit(1).cast("long"), "r").select("doc_id", (F.col("r") - 1).alias("position"))
 
 
 @query("s20_noise_over_noise", "SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 5 = 0 OR doc_id % 7 = 0) AS n_noise FROM documents")

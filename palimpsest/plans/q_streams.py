@@ -9,12 +9,12 @@ from palimpsest.plans.registry import query, table
 from palimpsest.streaming import maintenance as mt
 
 
-@query("r1_anchored_windows", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id < 12),
+@query("r1_anchored_windows", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 f AS (SELECT user_id, i, event_id, t, t AS clock, t AS last, 0 AS w FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.event_id, e.t,
 CASE WHEN e.t <= f.clock + 21600000000 THEN f.clock WHEN e.t <= f.t + 21600000000 THEN f.t ELSE e.t END, e.t, CASE WHEN e.t <= f.clock + 21600000000 THEN f.w ELSE f.w + 1 END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
 SELECT user_id, event_id, CAST(w AS INTEGER) AS window_ FROM f""")
 def r1(spark, d):
-    return mt.time_windows(table(spark, d, "events").filter("user_id < 12"), "user_id", "event_id", "ts", 6 * 3600).withColumnRenamed("window", "window_")
+    return mt.time_windows(table(spark, d, "events"), "user_id", "event_id", "ts", 6 * 3600).withColumnRenamed("window", "window_")
 
 
 def _turns(spark, d):
@@ -41,17 +41,17 @@ def r4(spark, d):
 def _queue(spark, d):
     e = table(spark, d, "events")
     queue = e.select(F.col("event_id").alias("message_id"))
-    delivered = e.filter("event_id < 300").select(F.col("event_id").alias("message_id"), F.col("ts").alias("delivered_at"))
+    delivered = e.filter("event_type = 'click'").select(F.col("event_id").alias("message_id"), F.col("ts").alias("delivered_at"))
     return queue, delivered, queue.filter("message_id % 3 = 0")
 
 
 _NOW = "2024-02-15 00:00:00"
 
 
-@query("r5_group_read", "SELECT message_id, source FROM (SELECT * FROM (SELECT event_id AS message_id, 0 AS source FROM events WHERE event_id >= 300 AND event_id < 310 ORDER BY 1 LIMIT 30) UNION ALL SELECT event_id, 1 FROM (SELECT * FROM events WHERE event_id < 300 AND event_id % 3 <> 0 ORDER BY event_id LIMIT 90) WHERE ts <= TIMESTAMP '2024-02-14 23:00:00') ORDER BY source, message_id LIMIT 30")
+@query("r5_group_read", "SELECT message_id, source FROM (SELECT * FROM (SELECT event_id AS message_id, 0 AS source FROM events WHERE event_type <> 'click' ORDER BY 1 LIMIT 30) UNION ALL SELECT event_id, 1 FROM (SELECT * FROM events WHERE event_type = 'click' AND event_id % 3 <> 0 ORDER BY event_id LIMIT 90) WHERE ts <= TIMESTAMP '2024-02-14 23:00:00') ORDER BY source, message_id LIMIT 30")
 def r5(spark, d):
     queue, delivered, acked = _queue(spark, d)
-    return mt.group_read(queue.filter("message_id < 310"), delivered, acked, F.lit(_NOW).cast("timestamp"), 3600, 30)
+    return mt.group_read(queue, delivered, acked, F.lit(_NOW).cast("timestamp"), 3600, 30)
 
 
 @query("r6_acknowledged", "SELECT event_id AS message_id FROM events WHERE event_id % 3 <> 0")
@@ -60,7 +60,7 @@ def r6(spark, d):
     return mt.acknowledged(queue, acked)
 
 
-@query("r7_pending", "SELECT event_id AS message_id FROM (SELECT * FROM events WHERE event_id < 300 AND event_id % 3 <> 0 ORDER BY event_id LIMIT 60) WHERE ts <= TIMESTAMP '2024-02-14 23:00:00' ORDER BY event_id LIMIT 20")
+@query("r7_pending", "SELECT event_id AS message_id FROM (SELECT * FROM events WHERE event_type = 'click' AND event_id % 3 <> 0 ORDER BY event_id LIMIT 60) WHERE ts <= TIMESTAMP '2024-02-14 23:00:00' ORDER BY event_id LIMIT 20")
 def r7(spark, d):
     _, delivered, acked = _queue(spark, d)
     return mt.pending(delivered, acked, F.lit(_NOW).cast("timestamp"), 3600, 20).select("message_id")

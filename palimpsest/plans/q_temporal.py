@@ -130,10 +130,10 @@ def t14(spark, d):
     return bt.temporal_rerank(rows, anchors, 0.3).select("query", "item", "final", "rank")
 
 
-@query("t15_q_learning", """WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_id < 400), q AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0.0 AS DOUBLE) AS q FROM (SELECT DISTINCT user_id FROM r)
+@query("t15_q_learning", """WITH RECURSIVE r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), q AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0.0 AS DOUBLE) AS q FROM (SELECT DISTINCT user_id FROM r)
 UNION ALL SELECT r.user_id, r.i, 0.7 * q.q + 0.3 * r.value FROM q JOIN r ON r.user_id = q.user_id AND r.i = q.i + 1) SELECT user_id, max(i) AS visits, round(arg_max(q, i), 6) AS q FROM q GROUP BY 1""")
 def t15(spark, d):
-    got = bt.q_learning(table(spark, d, "events").filter("event_id < 400"), "user_id", "event_id", "value")
+    got = bt.q_learning(table(spark, d, "events"), "user_id", "event_id", "value")
     return got.select("user_id", "visits", F.round("q", 6).alias("q"))
 
 
@@ -143,11 +143,11 @@ def t16(spark, d):
     return g.select("user_id", F.round(bt.importance(F.col("s"), F.col("a"), F.col("b"), (0.5, 0.3, 0.2)), 4).alias("score"))
 
 
-@query("t17_working_memory", """WITH o AS (SELECT c_custkey AS item, c_acctbal AS score FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < 60), n AS (SELECT c_custkey AS item, c_acctbal + 1 AS score FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 60),
+@query("t17_working_memory", """WITH o AS (SELECT c_custkey AS item, c_acctbal AS score FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS item, c_acctbal + 1 AS score FROM customer WHERE c_custkey % 3 = 0),
 f AS (SELECT item, n.score, CASE WHEN o.item IS NULL THEN 0 ELSE 1 END AS hits, 0 AS age FROM n LEFT JOIN o USING (item) UNION ALL SELECT item, 0.0, 0, 1 FROM (SELECT * FROM o WHERE item NOT IN (SELECT item FROM n) ORDER BY score DESC, item LIMIT 5))
 SELECT item, score, hits FROM f ORDER BY age, score DESC, item LIMIT 22""")
 def t17(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey < 60").select(F.col("c_custkey").alias("item"), F.col("c_acctbal").alias("score"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("item"), F.col("c_acctbal").alias("score"))
     old = c.filter("item % 2 = 0").withColumn("hits", F.lit(0))
     new = c.filter("item % 3 = 0").withColumn("score", F.col("score") + 1)
     return bt.merge_working(old, new, 5, 22).select("item", "score", "hits")

@@ -16,19 +16,19 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "lang")
 
 
-@query("n1_normalize_text", f"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '{_P}', '', 'g'), '\\s+', '', 'g'))) AS digest FROM documents WHERE lang IN ('en')")
+@query("n1_normalize_text", f"SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '{_P}', '', 'g'), '\\s+', '', 'g'))) AS digest FROM documents")
 def n1(spark, d):
-    return _docs(spark, d).filter("lang = 'en'").select("doc_id", F.md5(tx.normalize_text(F.col("text"))).alias("digest"))
+    return _docs(spark, d).select("doc_id", F.md5(tx.normalize_text(F.col("text"))).alias("digest"))
 
 
-@query("n2_normalize_answer", f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, ',', '', 'g')), '{_P}', '', 'g'), '\\b(a|an|the|and)\\b', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')")
+@query("n2_normalize_answer", f"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(text, ',', '', 'g')), '{_P}', '', 'g'), '\\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the', 'and')), ' ')) AS digest FROM documents")
 def n2(spark, d):
-    return _docs(spark, d).filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.md5(tx.normalize_answer(F.col("text"))).alias("digest"))
+    return _docs(spark, d).select("doc_id", F.md5(tx.normalize_answer(F.col("text"))).alias("digest"))
 
 
 @query("n3_stems")
 def n3(spark, d):
-    w = _docs(spark, d).filter("lang = 'en'").select(F.explode(tx.ascii_tokens(F.col("text"))).alias("word")).distinct()
+    w = _docs(spark, d).select(F.explode(tx.ascii_tokens(F.col("text"))).alias("word")).distinct()
     return w.select("word", stem.porter("word").alias("stem"))
 
 

@@ -49,10 +49,10 @@ def k7(spark, d):
     return topk.cut_then_threshold(_scored(spark, d).filter("label < 6"), [], 30, 0.2, "vec_id").select("vec_id", "score")
 
 
-@query("k8_level_weights", f"""WITH w AS (SELECT vec_id, round(score * CASE label WHEN 1 THEN 1.2 WHEN 2 THEN 0.8 ELSE 1.0 END, 6) AS score FROM {_SCORED} WHERE vec_id < 6), b AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM w)
+@query("k8_level_weights", f"""WITH w AS (SELECT vec_id, round(score * CASE label WHEN 1 THEN 1.2 WHEN 2 THEN 0.8 ELSE 1.0 END, 6) AS score FROM {_SCORED} WHERE score > 0.3), b AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM w)
 SELECT CAST(s.rank AS INTEGER) AS rank, vec_id, coalesce(score, -1.0) AS score FROM (SELECT unnest(range(1, 9)) AS rank) s LEFT JOIN b USING (rank)""")
 def k8(spark, d):
-    rows = _scored(spark, d).filter("vec_id < 6").withColumn("label", F.col("label").cast("string"))
+    rows = _scored(spark, d).filter("score > 0.3").withColumn("label", F.col("label").cast("string"))
     return topk.weighted_rerank(rows, "label", {"1": 1.2, "2": 0.8}, 8, "vec_id")
 
 
@@ -87,21 +87,21 @@ def k14(spark, d):
     return got.orderBy("event_id").limit(60).select("event_id")
 
 
-_TEMPORAL = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS s, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS e FROM orders WHERE o_orderkey < 400)"
+_TEMPORAL = "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS s, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS e FROM orders)"
 
 
 def _temporal(spark, d):
-    return table(spark, d, "orders").filter("o_orderkey < 400").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("s"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("e"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("s"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("e"))
 
 
-@query("k15_temporal_order", f"SELECT o_orderkey, CAST(row_number() OVER (ORDER BY s ASC NULLS LAST, o_orderkey) AS INTEGER) AS rank FROM {_TEMPORAL}")
+@query("k15_temporal_order", f"SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY s ASC NULLS LAST, o_orderkey) AS INTEGER) AS rank FROM {_TEMPORAL}")
 def k15(spark, d):
-    return topk.temporal_order(_temporal(spark, d), "s", "e", "o_orderkey").select("o_orderkey", "rank")
+    return topk.temporal_order(_temporal(spark, d), ["o_custkey"], "s", "e", "o_orderkey").select("o_orderkey", "rank")
 
 
-@query("k15_temporal_order_descending", f"SELECT o_orderkey, CAST(row_number() OVER (ORDER BY e DESC NULLS FIRST, o_orderkey) AS INTEGER) AS rank FROM {_TEMPORAL}")
+@query("k15_temporal_order_descending", f"SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY e DESC NULLS FIRST, o_orderkey) AS INTEGER) AS rank FROM {_TEMPORAL}")
 def k15b(spark, d):
-    return topk.temporal_order(_temporal(spark, d), "s", "e", "o_orderkey", descending=True).select("o_orderkey", "rank")
+    return topk.temporal_order(_temporal(spark, d), ["o_custkey"], "s", "e", "o_orderkey", descending=True).select("o_orderkey", "rank")
 
 
 @query("k17_fuzzy_topk", "SELECT p_partkey, CAST(d AS INTEGER) AS distance FROM (SELECT p_partkey, levenshtein(lower(p_type), 'economy brass') AS d FROM part) ORDER BY d, p_partkey LIMIT 15")
@@ -136,11 +136,11 @@ def k20(spark, d):
     return topk.with_links(hits, links, 3).select("item", F.col("at").alias("at_"))
 
 
-_TURNS = "(SELECT l_suppkey % 10 AS claim, l_orderkey AS ref, l_linenumber AS pos, l_quantity AS score FROM lineitem WHERE l_orderkey < 300)"
+_TURNS = "(SELECT l_suppkey AS claim, l_orderkey AS ref, l_partkey * 10 + l_linenumber AS pos, l_quantity AS score FROM lineitem)"
 
 
 def _turns(spark, d):
-    return table(spark, d, "lineitem").filter("l_orderkey < 300").select((F.col("l_suppkey") % 10).alias("claim"), F.col("l_orderkey").alias("ref"), F.col("l_linenumber").alias("pos"), F.col("l_quantity").alias("score"), F.lit("t").alias("turn"))
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("claim"), F.col("l_orderkey").alias("ref"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").alias("score"), F.lit("t").alias("turn"))
 
 
 @query("k21_provenance_turns", f"""WITH t AS (SELECT * FROM {_TURNS}), b AS (SELECT claim, ref, row_number() OVER (PARTITION BY claim ORDER BY max(score) DESC, ref) AS r FROM t GROUP BY 1, 2), k AS (SELECT t.*, row_number() OVER (PARTITION BY claim ORDER BY score DESC, ref, pos) AS r2 FROM t JOIN b USING (claim, ref) WHERE r <= 3)
@@ -149,10 +149,10 @@ def k21(spark, d):
     return topk.provenance_turns(_turns(spark, d), 3, 5).select("claim", "ref", "pos", "place")
 
 
-@query("k22_unused_turns", f"SELECT ref, pos, CAST(row_number() OVER (ORDER BY ref, pos) AS INTEGER) AS place FROM (SELECT * FROM {_TURNS} WHERE NOT (ref % 2 = 0 AND pos = 1) ORDER BY score DESC, ref, pos LIMIT 12)")
+@query("k22_unused_turns", f"SELECT ref, pos, CAST(row_number() OVER (ORDER BY ref, pos) AS INTEGER) AS place FROM (SELECT * FROM {_TURNS} WHERE NOT (ref % 2 = 0 AND pos % 10 = 1) ORDER BY score DESC, ref, pos LIMIT 12)")
 def k22(spark, d):
     t = _turns(spark, d)
-    return topk.unused_turns(t, t.filter("ref % 2 = 0 and pos = 1").select("ref", "pos"), 12).select("ref", "pos", "place")
+    return topk.unused_turns(t, t.filter("ref % 2 = 0 and pos % 10 = 1").select("ref", "pos"), 12).select("ref", "pos", "place")
 
 
 @query("k23_state_candidates", f"SELECT vec_id, CAST(row_number() OVER (ORDER BY label = 3 DESC, score DESC, vec_id % 5 DESC, vec_id) AS INTEGER) AS rank FROM (SELECT * FROM {_SCORED} WHERE label = 3 OR score >= 0.2 ORDER BY label = 3 DESC, score DESC, vec_id % 5 DESC, vec_id LIMIT 9)")

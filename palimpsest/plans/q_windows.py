@@ -46,10 +46,10 @@ def w10(spark, d):
 
 def _vectors(spark, d):
     """Embeddings of a label as the turns of a conversation."""
-    return ranking.ranked(table(spark, d, "embeddings").filter("vec_id < 300"), ["label"], ["vec_id"], "turn")
+    return ranking.ranked(table(spark, d, "embeddings"), ["label"], ["vec_id"], "turn")
 
 
-@query("w11_boundaries", """WITH t AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS turn, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 300), l AS (SELECT *, lag(e) OVER (PARTITION BY label ORDER BY turn) AS b FROM t),
+@query("w11_boundaries", """WITH t AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS turn, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), l AS (SELECT *, lag(e) OVER (PARTITION BY label ORDER BY turn) AS b FROM t),
 s AS (SELECT label, turn, list_inner_product(e, b) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(b, b))) AS sim FROM l WHERE b IS NOT NULL), m AS (SELECT *, 0.2 + greatest(ceil((min(sim) OVER (PARTITION BY label) - 0.2) / 0.05 + 1e-9), 0) * 0.05 AS th FROM s)
 SELECT DISTINCT label, CASE WHEN abs(turn - 10) <= 3 THEN 10 ELSE turn END AS cut FROM m WHERE th <= 0.5 + 1e-9 AND sim < round(th, 6)""")
 def w11(spark, d):
@@ -92,10 +92,10 @@ def w16(spark, d):
     return c.select("l_orderkey", F.array_join(windows.even_indices(F.col("n"), 4).cast("array<string>"), ",").alias("places"))
 
 
-@query("w17_episode_order", "SELECT event_id, CAST(row_number() OVER (ORDER BY round(value, 0) DESC, CASE WHEN user_id % 3 <> 0 THEN user_id END ASC NULLS LAST, event_id) AS INTEGER) AS rank FROM events")
+@query("w17_episode_order", "SELECT event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY round(value, 0) DESC, CASE WHEN user_id % 3 <> 0 THEN user_id END ASC NULLS LAST, event_id) AS INTEGER) AS rank FROM events")
 def w17(spark, d):
     e = table(spark, d, "events").withColumn("ix", F.when(F.col("user_id") % 3 != 0, F.col("user_id"))).withColumn("score", F.round("value", 0))
-    return ranking.ranked(e, [], [F.desc("score"), F.asc_nulls_last("ix"), "event_id"]).select("event_id", "rank")
+    return ranking.ranked(e, ["event_type"], [F.desc("score"), F.asc_nulls_last("ix"), "event_id"]).select("event_id", "rank")
 
 
 @query("w18_recency_boost", "SELECT o_orderkey, round(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) / 1e7 + CASE WHEN o_orderdate = max(o_orderdate) OVER (PARTITION BY o_custkey) THEN 1 ELSE 0 END, 7) AS boost FROM orders")

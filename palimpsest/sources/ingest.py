@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 #: Dialogue files: sessions with role-tagged messages; noise by which of two keys is there.
 DIALOGUES = (
@@ -138,7 +137,10 @@ def interleave_noise(original: DataFrame, noise: DataFrame, seed: int = 42, orde
     n = original.agg((F.count("*") + 1).alias("n_places"))
     placed = noise.crossJoin(F.broadcast(n)).withColumn("place", F.pmod(F.xxhash64(order, F.lit(seed)), F.col("n_places"))).drop("n_places")
     both = original.withColumn("place", F.col(order).cast("long")).withColumn("is_noise", F.lit(False)).unionByName(placed.withColumn("is_noise", F.lit(True)))
-    return both.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place", F.desc("is_noise"), order)) - 1)
+    from palimpsest.operators.ranking import running
+
+    numbered = running(both.withColumn("kept_back", ~F.col("is_noise")), ["place", "kept_back", order], F.lit(1).cast("long"), "position")
+    return numbered.withColumn("position", F.col("position") - 1).drop("kept_back")
 
 
 def nested(parents: DataFrame, children: DataFrame, key: str, child_order: Sequence[str], name: str = "items") -> DataFrame:

@@ -157,14 +157,14 @@ def j18(spark, d):
 
 @query("j19_roll_up", """WITH g AS (SELECT o_orderkey AS gist_id, o_custkey AS verbatim_id, o_totalprice AS score FROM orders),
 f AS (SELECT l_orderkey AS gist_id, l_quantity AS score FROM lineitem)
-SELECT verbatim_id, round(avg(score), 2) AS score, count(*) AS n FROM (SELECT verbatim_id, score FROM g WHERE gist_id % 3 = 0 UNION ALL SELECT g.verbatim_id, f.score * 0.5 FROM f JOIN g USING (gist_id)) GROUP BY 1""")
+SELECT verbatim_id, round(avg(score) * count(*), 2) AS total, count(*) AS n FROM (SELECT verbatim_id, score FROM g WHERE gist_id % 3 = 0 UNION ALL SELECT g.verbatim_id, f.score * 0.5 FROM f JOIN g USING (gist_id)) GROUP BY 1""")
 def j19(spark, d):
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     gists = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("gist_id"), F.col("o_totalprice").alias("score"))
     fact = F.concat_ws("-", "l_orderkey", "l_linenumber")
     facts = li.select(fact.alias("fact_id"), F.col("l_quantity").alias("score"))
     got = joins.roll_up(facts, li.select(fact.alias("fact_id"), F.col("l_orderkey").alias("gist_id")), gists, o.select(F.col("o_orderkey").alias("gist_id"), F.col("o_custkey").alias("verbatim_id")), 0.5)
-    return got.withColumn("score", F.round("score", 2))
+    return got.select("verbatim_id", F.round(F.col("score") * F.col("n"), 2).alias("total"), "n")
 
 
 @query("j20_reconstruct", "SELECT event_id FROM events WHERE date_trunc('hour', ts) IN (SELECT date_trunc('hour', ts) FROM (SELECT * FROM events WHERE user_id % 2 = 1 ORDER BY value DESC, event_id LIMIT 10))")

@@ -21,7 +21,7 @@ def j1(spark, d):
     return o.select("o_orderkey", F.col("o_custkey").alias("session_id")).join(c.select(F.col("c_custkey").alias("session_id"), "c_name"), "session_id").select("o_orderkey", "c_name")
 
 
-@query("j2_translate_ids", """SELECT l_orderkey, string_agg(CAST(g AS VARCHAR), ',' ORDER BY pos) AS ids FROM (SELECT l_orderkey, s_nationkey AS g, min(l_linenumber) AS pos FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 3 <> 0 GROUP BY 1, 2) GROUP BY 1""")
+@query("j2_translate_ids", """SELECT l_orderkey, string_agg(CAST(g AS VARCHAR), ',' ORDER BY pos) AS ids FROM (SELECT l_orderkey, s_nationkey AS g, min(p) AS pos FROM (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS p FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 3 <> 0 GROUP BY 1, 2) GROUP BY 1""")
 def j2(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"]).alias("ids"))
     mapping = table(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("from_id"), F.col("s_nationkey").alias("to_id"))
@@ -163,7 +163,7 @@ def j19(spark, d):
     gists = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("gist_id"), F.col("o_totalprice").alias("score"))
     fact = F.concat_ws("-", "l_orderkey", "l_linenumber")
     facts = li.select(fact.alias("fact_id"), F.col("l_quantity").alias("score"))
-    got = joins.roll_up(facts, li.select(fact.alias("fact_id"), F.col("l_orderkey").alias("gist_id")), gists, o.select(F.col("o_orderkey").alias("gist_id"), F.col("o_custkey").alias("verbatim_id")), 0.5)
+    got = joins.roll_up(facts, li.select(fact.alias("fact_id"), F.col("l_orderkey").alias("gist_id")).distinct(), gists, o.select(F.col("o_orderkey").alias("gist_id"), F.col("o_custkey").alias("verbatim_id")), 0.5)
     return got.select("verbatim_id", F.round(F.col("score") * F.col("n"), 2).alias("total"), "n")
 
 

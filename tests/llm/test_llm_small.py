@@ -202,6 +202,21 @@ def test_automaton_equals_edit_distance():
         assert abs(trie.match(word)[0] - want) < 1e-12, word
 
 
+def test_long_terms_match_within_two_edits():
+    trie = toxicity.FuzzyTrie({"worthless": 5.0, "disgusting": 4.0, "pathetic": 3.0})
+    for word, want in (("w0rthl3ss", 5.0 * 0.36), ("d1sgust1ng", 4.0 * 0.36), ("w0rthl3zs", 0.0), ("pathet1c", 3.0 * 0.6), ("p4thet1c", 0.0)):
+        assert abs(trie.match(word)[0] - want) < 1e-12, word
+
+
+def test_support_does_not_grow_with_the_sample(spark):
+    rng = random.Random(10)
+    labelled = spark.createDataFrame([(i, int(i < 4000)) for i in range(8500)], "doc_id long, toxic int")
+    halves = {h: sorted(r.train_id for r in toxicity.sample(labelled).collect() if r.label == 1 and r.half == h)[:3] for h in (0, 1)}
+    rare = {i for ids in halves.values() for i in ids}
+    texts = [" ".join([f"w{rng.randrange(5000)}" for _ in range(12)] + ["scumbags"] * (i in rare)) for i in range(8500)]
+    assert "scumbags" in toxicity.train(docs(spark, texts), labelled).terms
+
+
 def test_quotation_is_kept_apart():
     m = toxicity.Matches(toxicity.FuzzyTrie({"idiot": 3.0}))
     loud = dict(zip(toxicity.FEATURES, toxicity.window_features("you are an idiot today", m), strict=True))

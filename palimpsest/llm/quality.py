@@ -2,9 +2,12 @@
 
 One pass computes each document's counts and writes them (a few numbers a row).  KLL sketches of four
 ratios are then built per language and source with map-side partial sketches, stored, and merged per
-language; a group's threshold is its upper quartile plus `fences` interquartile ranges, but never
-below the ratio's floor, so that a clean group does not reject its own mild outliers.  Groups with
-fewer than `least_rows` documents use their language's merged sketch.  The thresholds are joined back
+language; a group's threshold is its upper quartile plus `fences` spreads.  The spread is the
+interquartile range, but at least what one count (a symbol, a line, a repeated window) makes out in
+the group's median document, known from sketches of the denominators: where most ratios are zero, a
+range of zero only says that the spread is below that resolution, and a clean group does not reject
+its own mild outliers.  Groups with fewer than `least_rows` documents use their language's merged
+sketches.  The thresholds are joined back
 and a document stays if it passes the base rules and lies within all four.
 
 Repeated eight-word windows are found inside the row: words are hashed, windows of hashes hashed; if
@@ -27,8 +30,8 @@ from palimpsest.llm.common import documents, written
 
 WINDOW = 8
 SPACE = r"[\x20\x09-\x0D]+"
-#: Upper fences apply to these ratios, with the least threshold of each.
-RATIOS = {"symbol_ratio": 0.05, "shout_ratio": 0.4, "dup_line_ratio": 0.3, "repeat_ratio": 0.2}
+#: Upper fences apply to these ratios; of each the denominator, and what its numerator grows by at once (a repeated window covers both places).
+RATIOS = {"symbol_ratio": ("word_chars", 1), "shout_ratio": ("word_chars", 1), "dup_line_ratio": ("n_lines", 1), "repeat_ratio": ("n_words", 2 * WINDOW)}
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,17 +94,22 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 def thresholds(rows: DataFrame, fences: float = 3.0, least_rows: int = 50, k: int = 800) -> DataFrame:
     """(q_lang, q_source, max_<ratio>...) of every group, from stored sketches."""
-    sketched = rows.groupBy("q_lang", "q_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r, k).alias(r) for r in RATIOS))
+    values = [*RATIOS, *sorted({base for base, _ in RATIOS.values()})]
+    sketched = rows.groupBy("q_lang", "q_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(F.col(v).cast("double"), k).alias(v) for v in values))
     stored = written(sketched, "quality-sketches")
-    merged = stored.groupBy("q_lang").agg(*(F.kll_merge_agg_double(r, k).alias(f"lang_{r}") for r in RATIOS))
+    merged = stored.groupBy("q_lang").agg(*(F.kll_merge_agg_double(v, k).alias(f"lang_{v}") for v in values))
     both = stored.join(merged, stored["q_lang"].eqNullSafe(merged["q_lang"])).drop(merged["q_lang"])
 
-    def limit(ratio: str, floor: float) -> Column:
-        sketch = F.when(F.col("n") >= least_rows, F.col(ratio)).otherwise(F.col(f"lang_{ratio}"))
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        return F.greatest(high + fences * (high - low), F.lit(floor)).alias(f"max_{ratio}")
+    def quantile(value: str, q: float) -> Column:
+        sketch = F.when(F.col("n") >= least_rows, F.col(value)).otherwise(F.col(f"lang_{value}"))
+        return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
 
-    return both.select("q_lang", "q_source", *(limit(r, f) for r, f in RATIOS.items()))
+    def limit(ratio: str, base: str, unit: int) -> Column:
+        low, high = quantile(ratio, 0.25), quantile(ratio, 0.75)
+        spread = F.greatest(high - low, unit / F.greatest(quantile(base, 0.5), F.lit(1.0)))
+        return (high + fences * spread).alias(f"max_{ratio}")
+
+    return both.select("q_lang", "q_source", *(limit(r, base, unit) for r, (base, unit) in RATIOS.items()))
 
 
 def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", fences: float = 3.0, least_rows: int = 50) -> DataFrame:
@@ -110,7 +118,7 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     limits = thresholds(rows.filter(~F.col("base_failed")), fences, least_rows)
     limits = limits.select(F.col("q_lang").alias("l"), F.col("q_source").alias("s"), *(f"max_{r}" for r in RATIOS))
     joined = rows.join(limits, rows["q_lang"].eqNullSafe(limits["l"]) & rows["q_source"].eqNullSafe(limits["s"]), "left").drop("l", "s", "q_lang", "q_source")
-    within = [F.col(r) <= F.coalesce(f"max_{r}", F.lit(f)) for r, f in RATIOS.items()]
+    within = [F.coalesce(F.col(r) <= F.col(f"max_{r}"), F.lit(True)) for r in RATIOS]  # without thresholds: none of the group passes the base rules
     verdict = ~F.col("base_failed")
     for w in within:
         verdict = verdict & w

@@ -402,6 +402,22 @@ def test_thresholds_adapt_to_groups(spark):
     assert all(got[i] for i in range(80)) and sum(got[100 + i] for i in range(80)) > 70 and not got[300] and got[301]
 
 
+def test_sketches_decide_in_clean_groups(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join(f"w{rng.randint(0, 99999)}" for _ in range(3))
+    def text(copies, n=20):
+        lines = [line() for _ in range(n - copies)] + ["one more line"] * (copies and copies + 1)
+        return "\n".join(rng.sample(lines, len(lines)))
+
+    rows = [(i, text(0), "en", "clean") for i in range(100)] + [(100, text(1), "en", "clean"), (101, text(5), "en", "clean")]
+    rows += [(200 + i, text(rng.randint(3, 6)), "en", "lists") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert 0.2 < got[101].dup_line_ratio < 0.3 and not got[101].kept and got[100].kept and all(got[i].kept for i in range(100))
+    limits = {r.q_source: r for r in quality.thresholds(quality.features(df).filter("not base_failed")).collect()}
+    assert abs(limits["clean"].max_dup_line_ratio - 3 / 20) < 1e-9 and limits["lists"].max_dup_line_ratio > 0.3
+
+
 # --- the queries on the tables ---------------------------------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 Seeds are what four base rules find (email, ip, card, phone).  Every seed, and every other token
 that looks like an identifier, is a node "instance" of a graph; the one and two words before it are
 its "patterns".  Scores flow from seed instances to patterns (a smoothed precision per kind) and
-back to unlabelled instances, for a few rounds of Spark joins; patterns that end above a threshold
-then mark further identifiers of their kind.  Documents are read once: what the graph needs is
+back to unlabelled instances, for a few rounds of Spark joins; an instance that is believed in counts
+like a seed in the next round, so it can bring in patterns that met no seed.  Patterns that end above
+a threshold then mark further identifiers of their kind.  Documents are read once: what the graph needs is
 written to the shared folder, and everything after works on that.
 
 Defined cases: a null or empty text has no span; equal rows each get their own result row; a null
@@ -20,10 +21,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from palimpsest.llm.common import arrow_pass, documents, written
 
 KINDS = ("email", "ip", "card", "phone")
+SALTS = 16
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -161,28 +164,36 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def patterns(nodes: DataFrame, rounds: int = 3, least_score: float = 0.6, least_items: int = 3) -> DataFrame:
     """Patterns with (pattern, kind, score) that end above the threshold.
 
-    nodes: kind (-1: unlabelled), item, one, two, meets.  A pattern's score for a kind is the mass of
+    nodes: kind (-1: unlabelled), fits, item, one, two, meets.  A pattern's score for a kind is the mass of
     that kind among its occurrences, over all places where its words stand in those documents, with
-    one more place as smoothing.  A pattern counts only if it met `least_items` different seeds.
+    one more place as smoothing.  A pattern counts in a round only if it met `least_items` different seeds
+    or instances whose belief has reached `least_score` by then.
     """
-    edges = nodes.select("kind", "item", "meets", F.explode(F.array(F.concat(F.lit("1 "), "one"), F.concat(F.lit("2 "), "two"))).alias("pattern"))
-    edges = edges.groupBy("pattern", "item", "kind").agg(F.count("*").alias("n"), F.sum("meets").alias("meets"))
-    # Only what is connected to a seed can ever score.
+    edges = nodes.select("kind", "fits", "item", "meets", F.explode(F.array(F.concat(F.lit("1 "), "one"), F.concat(F.lit("2 "), "two"))).alias("pattern"))
+    edges = edges.groupBy("pattern", "item", "kind").agg(F.count("*").alias("n"), F.sum("meets").alias("meets"), F.max("fits").alias("fits"))
+    # A pattern of fewer instances than least_items, seeds or not, can never count.
     totals = edges.groupBy("pattern").agg(
         F.sum(F.when(F.col("pattern").startswith("1 "), F.col("meets")).otherwise(F.col("n"))).alias("places"),
-        F.sum(F.when(F.col("kind") >= 0, 1).otherwise(0)).alias("seeds"),
-    ).filter(F.col("seeds") >= least_items)
+        F.count("*").alias("items"),
+    ).filter(F.col("items") >= least_items)
     edges = written(edges.join(totals.select("pattern"), "pattern", "left_semi"), "pii-edges")
-    totals = totals.select("pattern", "places")
+    totals = written(totals.select("pattern", "places"), "pii-places")
+    links = edges.groupBy("pattern", "item").agg(F.sum("n").alias("n"), F.max("fits").alias("fits"))
+    links = written(links.withColumn("salt", F.pmod(F.xxhash64("item"), F.lit(SALTS)).cast("int")), "pii-links")
     belief = edges.filter("kind >= 0").select("item", "kind").distinct().withColumn("belief", F.lit(1.0))
     seeds = belief
     scored = None
     for r in range(rounds):
-        links = edges.select("pattern", "item", "n").groupBy("pattern", "item").agg(F.sum("n").alias("n"))
-        mass = links.join(belief, "item").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("belief")).alias("mass"))
+        mass = links.join(belief, "item").groupBy("pattern", "kind").agg(
+            F.sum(F.col("n") * F.col("belief")).alias("mass"), F.count_if(F.col("belief") >= least_score).alias("sure")
+        )
+        mass = mass.withColumn("sure", F.sum("sure").over(Window.partitionBy("pattern"))).filter(F.col("sure") >= least_items)
         scored = mass.join(totals, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("places") + 1)).alias("score"))
         scored = written(scored.filter(F.col("score") >= least_score / 2), f"pii-patterns-{r}")
-        spread = links.join(scored, "pattern").groupBy("item", "kind").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("belief"))
+        # A pattern may have any number of instances: its links are spread over the salts.
+        salted = scored.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        spread = links.join(salted, ["pattern", "salt"]).filter(F.array_contains("fits", F.col("kind")))
+        spread = spread.groupBy("item", "kind").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("belief"))
         belief = seeds.unionByName(spread.join(seeds, "item", "left_anti"))
     return scored.filter(F.col("score") >= least_score)
 

@@ -61,6 +61,15 @@ def test_pii_patterns_find_unseen_identifiers(spark):
     assert rows[13].found == [] and all(len(rows[i].base) == 1 for i in range(12))
 
 
+def test_pii_discovered_instances_bring_in_patterns(spark):
+    texts = [f"filler words here {i} customer contact: user{i}@mail.example.com and more" for i in range(40)]
+    texts += [f"filler words here {i} customer contact: odd{i}@localhost and more" for i in range(12)]
+    texts += [f"some other words {i} reach via: odd{i}@localhost and more" for i in range(12)]
+    texts += ["some other words reach via: lonely@localhost and more", "another plain text about: nobody@nowhere at all"]
+    rows = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.found] for r in pii.extract(docs(spark, texts)).collect()}
+    assert rows[64] == ["lonely@localhost"] and rows[65] == [] and all(rows[40 + i] == [f"odd{i}@localhost"] for i in range(12))
+
+
 def test_pii_odd_rows(spark):
     got = pii.extract(docs(spark, odd_texts())).collect()
     assert len(got) == len(odd_texts()) and all(r.base == [] and r.found == [] for r in got)

@@ -139,34 +139,88 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return label
 
 
-def cluster(df: DataFrame, key: str, vec: str, most: int = 20, least: int = 10, seed: int = 7, depth: int = 6) -> DataFrame:
-    """(key, cluster): k-means halves until a cluster has at most `most` members; those with over `least` are kept."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    def split(part: DataFrame, name: str, level: int) -> list[tuple[str, DataFrame]]:
-        n = part.count()
-        if n <= most or level >= depth:
-            return [(name, part)] if n > least else []
-        model = KMeans(k=2, seed=seed, featuresCol="_f", predictionCol="_c").fit(part)
-        halves = model.transform(part)
-        if halves.select("_c").distinct().count() < 2:
-            return [(name, part)]
-        out = []
-        for c in (0, 1):
-            out += split(cut(halves.filter(F.col("_c") == c).drop("_c").select(key, F.col("_v")), f"cluster-{name}{c}").withColumn("_f", array_to_vector("_v")), f"{name}{c}", level + 1)
-        return out
-
-    base = df.select(key, F.col(vec).cast("array<double>").alias("_v")).withColumn("_f", array_to_vector("_v"))
-    parts = [p.select(key, F.lit(name).alias("cluster")) for name, p in split(base, "c", 0)]
-    if not parts:
-        return df.select(key, F.lit("").alias("cluster")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def _nearest(x, centers):
+    import numpy as np
+
+    return np.argmin((centers * centers).sum(1) - 2 * (x @ centers.T), axis=1)
+
+
+def _centers(x, k: int, seed: int, rounds: int = 25):
+    """At most k centres of Lloyd's steps from distinct rows; a single one if the rows don't come apart."""
+    import numpy as np
+
+    distinct = np.unique(x, axis=0)
+    at = distinct[np.random.default_rng(seed).choice(len(distinct), min(k, len(distinct)), replace=False)]
+    for _ in range(rounds):
+        label = _nearest(x, at)
+        after = np.array([x[label == i].mean(0) if (label == i).any() else c for i, c in enumerate(at)])
+        if np.array_equal(after, at):
+            break
+        at = after
+    return at if len(np.unique(_nearest(x, at))) > 1 else at[:1]
+
+
+def _pieces(x, most: int, seed: int) -> list:
+    """Row numbers of clusters of at most `most` rows; equal rows are cut in their order."""
+    import numpy as np
+
+    out, open_ = [], [np.arange(len(x))]
+    while open_:
+        own = open_.pop()
+        k = -(-len(own) // most)
+        if k <= 1:
+            out.append(own)
+            continue
+        centers = _centers(x[own], k, seed)
+        if len(centers) < 2:
+            out += np.array_split(own, k)
+        else:
+            label = _nearest(x[own], centers)
+            open_ += [own[label == i] for i in np.unique(label)]
     return out
 
 
+def cluster(df: DataFrame, key: str, vec: str, most: int = 20, least: int = 10, seed: int = 7, local: int = 4096, fan: int = 16) -> DataFrame:
+    """(key, cluster): k-means with k = ceil(n / most), again until no cluster has over `most` members; those with over `least` are kept.
+
+    Clusters of over `local` members are first split together, level by level, by `fan` centres each that a sample
+    of at most `local` members gives; the others are finished in one task each.  Equal vectors are halved by the hashed key, then cut in its order.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from palimpsest.functions import vectors
+
+    kind = df.select(key).schema[0].dataType.simpleString()
+    rows = cut(df.select(F.col(key).alias("k"), F.col(vec).cast("array<double>").alias("v"), F.lit("c").alias("cluster")), "cluster-0")
+
+    def fitted(pdf):
+        x = np.array(pdf.sort_values("k")["v"].tolist(), float)
+        return pd.DataFrame({"cluster": pdf["cluster"].iloc[:1].tolist(), "centers": [_centers(x, fan, seed).tolist()]})
+
+    level = 0
+    while True:
+        big = rows.groupBy("cluster").count().filter(F.col("count") > local).select("cluster")
+        if not big.limit(1).count():
+            break
+        level += 1
+        sample = top_k(rows.join(big, "cluster", "left_semi"), ["cluster"], [F.xxhash64("k"), "k"], local).select("cluster", "k", "v")
+        centers = cut(sample.groupBy("cluster").applyInPandas(fitted, "cluster string, centers array<array<double>>"), f"cluster-centers-{level}")
+        near = F.transform("centers", lambda c: vectors.dot(F.col("v"), c) - vectors.dot(c, c) / 2)
+        part = F.when(F.size("centers") > 1, F.array_position(near, F.array_max(near))).otherwise(F.pmod(F.xxhash64("k"), F.lit(2)))
+        named = F.when(F.col("centers").isNull(), F.col("cluster")).otherwise(F.concat_ws(".", "cluster", part.cast("string")))
+        rows = cut(rows.join(centers, "cluster", "left").select("k", "v", named.alias("cluster")), f"cluster-{level}")
+
+    def finished(pdf):
+        pdf = pdf.sort_values("k")
+        found = [own for own in _pieces(np.array(pdf["v"].tolist(), float), most, seed) if len(own) > least]
+        at = np.concatenate(found) if found else np.array([], int)
+        names = [f"{pdf['cluster'].iloc[0]}.{i}" for i, own in enumerate(found) for _ in own]
+        return pd.DataFrame({"k": pdf["k"].to_numpy()[at], "cluster": pd.Series(names, dtype=object)})
+
+    return rows.groupBy("cluster").applyInPandas(finished, f"k {kind}, cluster string").withColumnRenamed("k", key)
+
+
 def merge_nodes(edges: DataFrame, merged: DataFrame, lineage: str = "MERGED_TO") -> DataFrame:
     """Edges after nodes (from_id, to_id) were merged: lineage stays, self-loops that would come about stay behind, an edge
     moves only where no edge of its relation joins the two ends yet, either way."""

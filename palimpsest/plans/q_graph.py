@@ -104,7 +104,7 @@ def a15(spark, d):
 
 @query("g10_clusters")
 def g10(spark, d):
-    return graph.cluster(table(spark, d, "embeddings"), "vec_id", "embedding", depth=2)
+    return graph.cluster(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 _M = f"(SELECT s, t, CASE WHEN s % 7 = 0 THEN 'MERGED_TO' ELSE 'r' END AS relation FROM {_E})"

@@ -1,8 +1,10 @@
 """Sequential and graph operators against plain restatements of their rules."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import chunks, stem, text
@@ -98,3 +100,19 @@ def test_budget_cut_and_stop(spark):
     df = spark.createDataFrame([(1, 400), (2, 300), (3, 100)], "rank int, n int")
     got = [(r["rank"], r.kept_tokens, r.is_cut) for r in windows.pack_to_budget(df, [], "rank", "n", 650).orderBy("rank").collect()]
     assert got == [(1, 400, False), (2, 250, True)]
+
+
+@pytest.mark.parametrize("local", [4096, 100])
+def test_clusters_have_at_most_twenty_members(spark, local):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(1500)] + [(2000 + i, [9.0] * 8) for i in range(150)]
+    got = graph.cluster(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", local=local).collect()
+    sizes = Counter(r.cluster for r in got)
+    assert len({r.k for r in got}) == len(got) and all(10 < n <= 20 for n in sizes.values()) and sum(r.k >= 2000 for r in got) > 100
+
+
+def test_the_cluster_query_keeps_its_bound(spark):
+    from palimpsest.plans import catalog
+
+    sizes = [r["count"] for r in catalog.QUERIES["g10_clusters"](spark, "/root/testdata/sf0.1").groupBy("cluster").count().collect()]
+    assert sizes and max(sizes) <= 20 and min(sizes) > 10

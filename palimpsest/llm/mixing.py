@@ -5,12 +5,14 @@ layers is fitted on a bounded sample of labelled rows: word log-ratios by class
 Bayes over hashed words), and a softmax regression over those and a few shape features on the other.
 It gives every document soft memberships p.  Rates r >= 0 then minimise
 
-    sum_d ((sum_i r_i t_i p_id - T_d) / T)^2 + ridge * sum_i t_i (r_i - 1)^2 / T
+    sum_d w_d ((sum_i r_i t_i p_id - T_d) / T)^2 + ridge * sum_i t_i (r_i - 1)^2 / T
 
-by projected gradient steps.  In the metric that weighs documents by tokens a document's gradient
-depends on its p and r alone, so a step needs one aggregate (a number a domain) and the rates stay an
-expression over the posteriors; nothing is collected but the domain sums.  Steps are accelerated
-and restart when the residual grows.
+with w_d half the inverse of the domain's share of tokens (0.02 at least).  At the minimum r is
+max(0, 1 - m . p / ridge) for one multiplier m_d a domain, so the fit is Newton's method, with halved
+steps where one does not descend, on the dual problem in m.  A step needs one aggregate (sums over
+domains and pairs of domains) and the rates stay an expression over the posteriors; nothing else is
+collected.  The fit ends when the gradient settles, and fails if it does not; rates() logs the
+expected and the target tokens.
 
 Defined cases: a null or empty text has no tokens and no weight, but gets a rate like any other; with
 fewer than two labelled classes all rates are 1; equal rows share a rate; a null id is passed through;
@@ -20,6 +22,7 @@ document whose repeated labels differ belongs to the worst.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Mapping
 
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.common import arrow_pass, documents, labels, worker_state, written
 
+LOG = logging.getLogger(__name__)
 DOMAINS = ("good", "low", "toxic")
 #: Target shares of tokens by domain.
 TARGETS = {"good": 0.95, "low": 0.05, "toxic": 0.0}
@@ -159,45 +163,59 @@ def posteriors(df: DataFrame, domains: DataFrame, id_col: str = "doc_id", text_c
     return arrow_pass(narrow, ["mix_text"], ["mix_id"], fields, make).withColumnRenamed("mix_id", id_col)
 
 
-def fit(soft: DataFrame, targets: list[float], ridge: float = 0.01, tolerance: float = 2e-3, rounds: int = 40) -> tuple[Column, list[float], list[float]]:
+def fit(soft: DataFrame, targets: list[float], ridge: float = 0.01, tolerance: float = 1e-6, rounds: int = 40) -> tuple[Column, list[float], list[float]]:
     """The rate as an expression over p, and the expected and the target tokens of each domain.
 
-    soft: tokens and p.  The budget is such that the first domain's target is what it has.
+    soft: tokens and p.  The budget is such that the first domain's target is what it has.  Ends when no part
+    of the multipliers' gradient, in shares of all tokens, exceeds the tolerance; fails if `rounds` passes don't do.
     """
     k = len(targets)
     p = [F.get("p", i) for i in range(k)]
     t = F.col("tokens").cast("double")
-
-    def totals(rate: Column) -> list[float]:
-        r = soft.select(t.alias("t"), rate.alias("r"), "p").agg(*(F.sum(F.col("t") * F.col("r") * p[d]).alias(f"s{d}") for d in range(k))).first()
-        return [float(x or 0.0) for x in r]
-
-    have = totals(F.lit(1.0))
+    have = [float(x or 0.0) for x in soft.agg(*(F.sum(t * x) for x in p)).first()]
     whole = sum(have) or 1.0
     share = sum(targets) or 1.0
     budget = have[0] / (targets[0] / share) if targets[0] else whole
     goal = [w / share * budget for w in targets]
-    # Steps as (keep, add, residual): r <- max(0, keep * y + add - eta * p . residual), y a mix of the last two rates.
-    rate = before = F.lit(1.0)
-    eta = 1.0 / (1.0 + ridge)
-    pull, last, momentum = 1.0, None, 0.0
-    now = have
-    for _ in range(rounds):
-        rest = [(s - g) / whole for s, g in zip(now, goal, strict=True)]
-        norm = max(abs(x) for x in rest)
-        if norm < tolerance:
-            break
-        if last is not None and norm > last:
-            pull = 1.0
-        # Residuals of small domains move slowly; scale each by its domain's mass (a diagonal preconditioner).
-        scaled = [x / max(h / whole, 0.02) for x, h in zip(rest, have, strict=True)]
-        step = F.lit(eta * ridge)
+    weights = np.array([0.5 / max(h / whole, 0.02) for h in have])
+    aim = np.array(goal) / whole
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def rate_of(multipliers: np.ndarray) -> tuple[Column, Column]:
+        pull = F.lit(0.0)
         for d in range(k):
-            step = step - F.lit(eta * 0.5 * scaled[d]) * p[d]
-        after = F.greatest(F.lit(0.0), F.lit(1 - eta * ridge) * rate + step)
-        rate, last = after, norm
-        now = totals(rate)
-    return rate, now, goal
+            pull = pull + F.lit(float(multipliers[d])) * p[d]
+        return F.greatest(F.lit(0.0), 1 - pull / ridge), pull
+
+    def state(multipliers: np.ndarray):
+        """Domain totals, the dual's value, gradient and curvature: one aggregate."""
+        rate, pull = rate_of(multipliers)
+        rows = soft.select(t.alias("t"), rate.alias("r"), pull.alias("l"), "p")
+        live = F.when(F.col("r") > 0, F.col("t")).otherwise(0.0)
+        got = rows.agg(*(F.sum(F.col("t") * F.col("r") * x) for x in p), *(F.sum(live * p[a] * p[b]) for a, b in pairs), F.sum(F.col("t") * (ridge / 2 * (F.col("r") - 1) ** 2 + F.col("r") * F.col("l")))).first()
+        got = [float(x or 0.0) for x in got]
+        curve = np.diag(1 / weights)
+        for (a, b), x in zip(pairs, got[k:-1], strict=True):
+            curve[a, b] += x / whole / ridge
+            curve[b, a] = curve[a, b]
+        value = (multipliers**2 / weights).sum() / 2 + multipliers @ aim - got[-1] / whole
+        return got[:k], value, multipliers / weights + aim - np.array(got[:k]) / whole, curve
+
+    at = np.zeros(k)
+    now, value, slope, curve = state(at)
+    step, size = np.linalg.solve(curve, -slope), 1.0
+    for _ in range(rounds):
+        if np.abs(slope).max() <= tolerance:
+            return rate_of(at)[0], now, goal
+        tried = state(at + size * step)
+        if tried[1] <= value + 1e-4 * size * (slope @ step) or np.abs(tried[2]).max() <= tolerance:
+            at, (now, value, slope, curve) = at + size * step, tried
+            step, size = np.linalg.solve(curve, -slope), 1.0
+        else:
+            size /= 2
+    if np.abs(slope).max() <= tolerance:
+        return rate_of(at)[0], now, goal
+    raise RuntimeError(f"mixing rates did not settle in {rounds} passes: gradient {np.abs(slope).max():.2g}, expected tokens {now}, targets {goal}")
 
 
 def rates(df: DataFrame, domains: DataFrame, targets: Mapping[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000) -> DataFrame:
@@ -207,7 +225,9 @@ def rates(df: DataFrame, domains: DataFrame, targets: Mapping[str, float] = TARG
         alone = F.array(*(F.lit(1.0 if i == 0 else 0.0) for i in range(len(targets))))
         return df.select(id_col, F.coalesce(F.size(F.filter(F.split(F.col(text_col).cast("string"), r"\s+"), lambda w: w != "")), F.lit(0)).cast("long").alias("tokens"), alone.alias("p"), F.lit(1.0).alias("rate"))
     soft = written(soft, "mixing-posteriors")
-    rate, _, _ = fit(soft, list(targets.values()))
+    rate, now, goal = fit(soft, list(targets.values()))
+    for name, got, want in zip(targets, now, goal, strict=True):
+        LOG.info("mixing %s: %.0f tokens expected, target %.0f", name, got, want)
     return soft.withColumn("rate", rate)
 
 

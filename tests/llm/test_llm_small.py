@@ -266,6 +266,23 @@ def test_rates_meet_the_targets(spark):
     assert min(r) >= 0 and abs(sum(n * x * p[1] for (n, p), x in zip(rows, r, strict=True)) - now[1]) < 1e-6 * whole
 
 
+def test_rates_are_the_least_squares_solution(spark):
+    rng = np.random.default_rng(12)
+    p = rng.dirichlet([1.2, 0.8, 0.5], 300)
+    tokens = rng.integers(10, 500, 300)
+    soft = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    rate, now, goal = mixing.fit(soft, [0.95, 0.05, 0.0])
+    t = tokens / tokens.sum()
+    have = t @ p
+    want, aim, weights = np.ones(300), np.array(goal) / tokens.sum(), 0.5 / np.maximum(have, 0.02)
+    for _ in range(60_000):
+        want = np.maximum(0, want - 0.2 * (p @ (weights * ((t * want) @ p - aim)) + 0.01 * (want - 1)))
+    got = np.array([x.r for x in soft.select(rate.alias("r")).collect()])
+    assert np.abs(got - want).max() < 1e-3 and np.allclose(now, (tokens * got) @ p)
+    with pytest.raises(RuntimeError):
+        mixing.fit(soft, [0.95, 0.05, 0.0], rounds=1)
+
+
 def test_mixed_rows_and_odd_inputs(spark):
     rng = random.Random(1)
     good = [" ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(40)) for _ in range(60)]

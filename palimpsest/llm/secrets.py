@@ -34,7 +34,7 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CONTEXT = re.compile(
-    r"""(?<![a-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|login|pin)["']?(?:\x20{0,8}[:=]\x20{0,8}|\x20is\x20)["'`]?([^\s"'`<>,;]+)""",
+    r"""(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|login|(?<![a-z])(?:pass|pin))["']?(?:\x20*+[:=]\x20*+|\x20is\x20)["'`]?([^\s"'`<>,;]+)""",
     re.A | re.I,
 )
 _HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "login", "pin")

@@ -117,6 +117,12 @@ def test_guess_cost_is_the_cheapest_cut():
     assert secrets.guess_cost("") == 0 and secrets.guess_cost("x" * 100_000) < 20
 
 
+def test_contexts_with_glued_keywords_and_aligned_values(spark):
+    texts = ["DBPASSWORD=x9F#kQ2v!Lm8 end", "userpassword: x9F#kQ2v!Lm8 end", "password" + " " * 20 + "=" + " " * 30 + "x9F#kQ2v!Lm8 end", "spin: x9F#kQ2v!Lm8 end", "bypass: x9F#kQ2v!Lm8 end"]
+    got = {r.doc_id: r.text for r in secrets.redact(docs(spark, texts)).collect()}
+    assert all("x9F#" not in got[i] and "[SECRET]" in got[i] for i in range(3)) and [got[3], got[4]] == texts[3:]
+
+
 def test_redaction(spark):
     texts = [*odd_texts(), 'my token = "dfd1944d2e84f1aa" ok', "password is x9F#kQ2v!Lm8 now", "password is password now"]
     got = {r.doc_id: r for r in secrets.redact(docs(spark, texts)).collect()}

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-#: Documents sent to a Python worker at once; texts may be long, so batches stay small.
+#: Documents sent to a Python worker at once, and bytes of them: texts may be long, so batches stay small.
 ARROW_ROWS = 512
+ARROW_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +27,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, a local one if all runs on one machine."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = os.path.join(tempfile.gettempdir(), "palimpsest-shared")
-        spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
@@ -43,9 +46,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of documents can weigh in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound what one Arrow batch of documents can weigh in a Python worker: the session's bounds are lowered, never raised."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).strip().rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def arrow_pass(

@@ -9,7 +9,7 @@ A window is what a task has read until it holds `window_tokens` tokens, so packi
 its memory is bounded, and it is as good at any input size.  Sequences of a window have the capacity,
 but for its last tokens, which form sequences of power-of-two lengths: those need no padding either.
 
-Ids come from caches in the worker: lower-casing, NFC and the pre-tokenizer never join what white space
+Ids come from a cache in the worker: lower-casing, NFC and the pre-tokenizer never join what white space
 parts, so a text's ids are those of its words in turn, and a plain word's those of its pre-tokens.  A text with a special token's string, or with
 a separator that only Python takes for white space, goes through the library whole.
 
@@ -41,8 +41,10 @@ CAPACITY = 4096
 #: Tokens packed at a time by one task; eight bytes and a few objects each at most.
 WINDOW = 2_000_000
 END = 2
-#: Words (and pieces) that a worker remembers: some 250 bytes each.
-CACHE = 1_000_000
+#: Words in one of the two generations of a worker's cache: some 120 bytes each.
+ROOM = 500_000
+#: Longer words are not remembered but encoded each time.
+LONGEST = 256
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -64,15 +66,20 @@ _SPELT = _byte_letters()
 
 
 class Ids:
-    """Little-endian 32-bit ids of texts, by two caches: words as they stand, and the pre-tokens of plain words."""
+    """Little-endian 32-bit ids of texts, by a cache of words as they stand and the pre-tokens that they consist of.
+
+    The cache has two generations: what is met goes into the young one; when that is full it becomes the old
+    one, from which words that are met again come back.  So frequent words stay and memory is bounded.
+    """
 
     STOPS = frozenset(".,!?;:")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = ROOM):
         from tokenizers import Tokenizer
 
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.room = room
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -81,37 +88,38 @@ class Ids:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _add_pieces(self, new: list[str]) -> None:
-        """The library's model alone: a piece is a pre-token, and normal already; its bytes are spelt as the model's letters."""
-        tokenize, pieces = self.library.model.tokenize, self.pieces
-        for p in new:
-            spelt = p if p.isascii() else p.encode().decode("latin-1").translate(_SPELT)
-            pieces[p] = array("I", [t.id for t in tokenize(spelt)]).tobytes()
-
-    def _add_words(self, new: set[str]) -> None:
-        alone, ended, cut, pieces = {}, {}, {}, set(self.STOPS)
+    def _add(self, new: set[str]) -> None:
+        young, old, stops = self.young, self.old, self.STOPS
+        if old:
+            again = [w for w in new if w in old]
+            young.update({w: old[w] for w in again})
+            new.difference_update(again)
+        parts: dict[str, list[str]] = {}  # of words that are not a pre-token themselves
+        pieces = set()
         for w in new:
+            if len(w) > LONGEST:
+                continue
             low = w.lower()
-            if low.isascii():
-                # Most words are letters, with or without a stop.
-                if low.isalpha():
-                    alone[w] = low
-                    continue
-                if low[-1] in self.STOPS and low[:-1].isalpha():
-                    ended[w] = low
-                    continue
-            if _SIMPLE.fullmatch(low):
-                cut[w] = own = _PIECE_OF.findall(low)
-                pieces.update(own)
+            if low.isascii() and low.isalpha():  # most words are letters, with or without a stop
+                own = [low]
+            elif low.isascii() and low[-1] in stops and low[:-1].isalpha():
+                own = [low[:-1], low[-1]]
+            elif _SIMPLE.fullmatch(low):
+                own = _PIECE_OF.findall(low)
+            else:
+                young[w] = self.whole(w)
+                continue
+            pieces.update(own)
+            if own[0] != w:
+                parts[w] = own
+        tokenize = self.library.model.tokenize  # a piece is normal already; its bytes are spelt as the model's letters
+        for p in pieces.difference(young):
+            if p in old:
+                young[p] = old[p]
             else:
-                self.words[w] = self.whole(w)
-        pieces.update(alone.values())
-        pieces.update([low[:-1] for low in ended.values()])
-        self._add_pieces(list(pieces.difference(self.pieces)))
-        ids = self.pieces
-        self.words.update({w: ids[low] for w, low in alone.items()})
-        self.words.update({w: ids[low[:-1]] + ids[low[-1]] for w, low in ended.items()})
-        self.words.update({w: b"".join([ids[p] for p in own]) for w, own in cut.items()})
+                spelt = p if p.isascii() else p.encode().decode("latin-1").translate(_SPELT)
+                young[p] = array("I", [t.id for t in tokenize(spelt)]).tobytes()
+        young.update({w: b"".join([young[p] for p in own]) for w, own in parts.items()})
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         gc.disable()  # a great many strings and no cycles
@@ -121,15 +129,18 @@ class Ids:
             gc.enable()
 
     def _batch(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
+        if len(self.young) > self.room:
+            self.old, self.young = self.young, {}
         odd = [t is not None and (_ODD.search(t) is not None or any(s in t for s in self.specials)) for t in texts]
         cut = [[] if o else (t or "").split() for t, o in zip(texts, odd, strict=True)]
-        self._add_words(set().union(*cut).difference(self.words))
-        get = self.words.__getitem__
-        return [self.whole(t) if o else b"".join(map(get, w)) for t, o, w in zip(texts, odd, cut, strict=True)]
+        get = self.young.get
+        found = [list(map(get, w)) for w in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+        self._add({w[i] for w, g in zip(cut, gaps, strict=True) for i in g})
+        for w, f, g in zip(cut, found, gaps, strict=True):
+            for i in g:
+                f[i] = get(w[i]) or self.whole(w[i])
+        return [self.whole(t) if o else b"".join(f) for t, o, f in zip(texts, odd, found, strict=True)]
 
     def of(self, text: str | None) -> bytes:
         return self.batch([text])[0]

@@ -22,6 +22,7 @@ document whose repeated labels differ is toxic.
 
 from __future__ import annotations
 
+import logging
 import math
 import uuid
 from dataclasses import dataclass, field
@@ -31,14 +32,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import arrow_pass, documents, labels, worker_state, written
+from palimpsest.llm.common import arrow_pass, documents, fresh, labels, worker_state, written
 
+LOG = logging.getLogger(__name__)
 EDGE = ".,;:!?()[]{}<>|*#$%&_~^=+-/\\\"'`«»“”„‘’‚‹›…¡¿"
 _OPEN, _CLOSE = tuple("\"“„«‹"), tuple("\"”“»›")
 #: Reporting words of the languages at hand; a parameter.
 REPORTING = frozenset("said says wrote writes called calls quoted quotes quote reported sagte sagt schrieb zitat zitiert nannte dit écrit cité cita dijo dice escribió llamó".split())
+#: Bounds of the model, parameters of train(): terms of the lexicon, and known clean words near them.
 TERMS = 4096
-CLEAN = 20_000
+CLEAN = 100_000
 CACHE = 300_000
 STATES = 60_000
 
@@ -111,7 +114,7 @@ class FuzzyTrie:
         """(weight, exact) of the best term within its edits; 0 if there is none."""
         if (w := self.terms.get(word)) is not None:
             return w, True
-        if len(word) < 4 or len(word) > 40:
+        if len(word) < 4:  # one edit from a term of five letters at least
             return 0.0, False
         if len(self.sets) > STATES:
             self._fresh()
@@ -149,21 +152,27 @@ class Matches(dict):
 FEATURES = ("plain", "misspelled", "quoted", "window", "density", "count")
 
 
+def _quotations(words: list[str]) -> list[bool]:
+    """Which words stand in a quotation, of any length; one that is never closed is none."""
+    inside, begun = [False] * len(words), -1
+    for i, w in enumerate(words):
+        opened = w.startswith(_OPEN)
+        if opened and begun < 0:
+            begun = i
+        if begun >= 0 and w.rstrip(".,;:!?)").endswith(_CLOSE) and (len(w) > 1 or begun < i):
+            inside[begun : i + 1] = [True] * (i + 1 - begun)
+            begun = -1
+    return inside
+
+
 def window_features(text: str | None, matches: Matches, window: int = 20) -> list[float]:
     """The scores that the regression sees, from the matches of a whole text."""
     words = (text or "").lower().split()
     hits = [(i, m) for i, w in enumerate(words) if (m := matches[w])]
     if not hits:
         return [0.0] * len(FEATURES)
-    inside, flags = 0, {}
-    at = {i for i, _ in hits}
-    for i, w in enumerate(words):  # a quotation ends at its mark, or after sixty words without one
-        opened = w.startswith(_OPEN)
-        inside = 60 if opened else max(0, inside - 1)
-        if i in at:
-            flags[i] = inside > 0 or any(x.strip(EDGE) in REPORTING for x in words[max(0, i - 5) : i + 6])
-        if w.rstrip(".,;:!?)").endswith(_CLOSE) and (len(w) > 1 or not opened):
-            inside = 0
+    quoted_at = _quotations(words)
+    flags = {i: quoted_at[i] or any(x.strip(EDGE) in REPORTING for x in words[max(0, i - 5) : i + 6]) for i, _ in hits}
     plain = sum(w for i, (w, _) in hits if not flags[i])  # misspelled ones with what their edits leave of the weight
     fuzzy = sum(w for i, (w, exact) in hits if not exact and not flags[i])
     quoted = sum(w for i, (w, _) in hits if flags[i])
@@ -221,8 +230,12 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 5
     return beta
 
 
-def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, least_support: int = 5) -> Model:
-    """Lexicon, known clean words and regression from a bounded sample of df's labelled rows."""
+def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 6000, least_support: int = 5, max_terms: int = TERMS, max_clean: int = CLEAN) -> Model:
+    """Lexicon, known clean words and regression from a bounded sample of df's labelled rows.
+
+    A sample with more terms or clean words than the bounds gives the strongest terms and the most frequent
+    words, and a warning.
+    """
     chosen = written(sample(labelled, id_col, label_col, max_rows), "toxicity-sample")
     # The broadcast side has at most two times max_rows small rows.
     docs = df.select(F.col(id_col).alias("train_id"), F.col(text_col).cast("string").alias("train_text")).join(F.broadcast(chosen), "train_id")
@@ -241,7 +254,7 @@ def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
             seen: dict[str, list[int]] = {}
             for text, label, half in zip(*columns, strict=True):
                 for w in {w.strip(EDGE) for w in (text or "").lower().split()}:
-                    if 3 < len(w) <= 40:
+                    if len(w) > 3:
                         seen.setdefault(w, [0, 0, 0, 0])[2 * label + half] += 1
             top = [{"term": t, "n00": n[0], "n01": n[1], "n10": n[2], "n11": n[3]} for t, n in seen.items()]
             return [[top] + [[] for _ in columns[0][1:]]]
@@ -259,9 +272,11 @@ def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     weight = odds(F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01"), n(1, 0) + n(1, 1), n(0, 0) + n(0, 1))
     by_half = [odds(F.col(f"n1{h}"), F.col(f"n0{h}"), n(1, h), n(0, h)) for h in (0, 1)]
     good = (F.col("n10") + F.col("n11") >= least_support) & (weight >= 2.5) & (by_half[0] >= 1.2) & (by_half[1] >= 1.2)
-    terms = {r[0]: float(r[1]) for r in counts.select("term", weight.alias("w"), good.alias("g")).filter("g").orderBy(F.desc("w"), "term").limit(TERMS).select("term", "w").collect()}
+    terms = {r[0]: float(r[1]) for r in counts.select("term", weight.alias("w"), good.alias("g")).filter("g").orderBy(F.desc("w"), "term").limit(max_terms).select("term", "w").collect()}
     if not terms:
         return Model()
+    if len(terms) == max_terms:
+        LOG.warning("the lexicon holds the %d strongest terms only", max_terms)
 
     def make_near():
         trie = FuzzyTrie(terms)
@@ -269,7 +284,9 @@ def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
 
     known = counts.filter(F.col("n00") + F.col("n01") > 0)
     near = arrow_pass(known, ["term"], ["term", "n00", "n01"], [T.StructField("near", T.BooleanType())], make_near).filter("near")
-    clean = frozenset(r[0] for r in near.orderBy(F.desc(F.col("n00") + F.col("n01")), "term").limit(CLEAN).select("term").collect())
+    clean = frozenset(r[0] for r in near.orderBy(F.desc(F.col("n00") + F.col("n01")), "term").limit(max_clean).select("term").collect())
+    if len(clean) == max_clean:
+        LOG.warning("only the %d most frequent clean words near the lexicon are known", max_clean)
 
     def make_features():
         matches = Matches(FuzzyTrie(terms, clean))
@@ -296,9 +313,7 @@ def scored(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str,
 def keep_clean(df: DataFrame, labelled: DataFrame, least_toxic: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of df whose score is under least_toxic."""
     model = train(df, labelled, id_col, text_col, label_col)
-    name = "toxicity_score"
-    while name in df.columns:
-        name += "_"
+    name = fresh(df, "toxicity_score")
     return scored(df, model, text_col, None, name).filter(F.col(name) < least_toxic).select(*df.columns)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import arrow_pass, documents, written
+from palimpsest.llm.common import arrow_pass, documents, fresh, written
 
 SEED = 42
 SHINGLE = 4
@@ -218,13 +218,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def groups(fingerprints: DataFrame, id_col: str = "doc_id", cap: int = CAP) -> DataFrame:
-    """(fp, component_id) of every fingerprint; component_id is the smallest non-null id that it reaches."""
+    """(fp, root, component_id) of every fingerprint; component_id is the smallest non-null id that it reaches, root names the component."""
     firsts = fingerprints.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     firsts = written(firsts, "simhash-firsts")
     roots = components(links(firsts, cap))
     rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
@@ -234,13 +234,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
-    """The rows of df whose id is its component's; repeated rows of one id count once.
+    """One row of each component: a row of its smallest id, and of those the one with the smallest text hash.
 
     Rows with a null id have nothing to stand for them and all stay.
     """
-    near = near_duplicates(df, id_col, text_col, cap)
-    stay = near.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = df.join(stay, id_col, "left_semi").dropDuplicates([id_col])
+    digest = fresh(df, "keep_text")
+    marked = df.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    narrow = marked.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("keep_id"), F.col(text_col).alias("text"), F.col(digest).alias("keep_text"))
+    fps = written(with_fingerprint(narrow, "text", ("keep_id", "keep_text")), "simhash-fingerprints")
+    near = fps.join(groups(fps, "keep_id", cap), "fp").filter(F.col("keep_id") == F.col("component_id"))
+    stay = near.groupBy("root", "keep_id").agg(F.min("keep_text").alias("keep_text")).select("keep_id", "keep_text")
+    kept = marked.join(stay, (marked[id_col] == stay["keep_id"]) & (marked[digest] == stay["keep_text"]), "left_semi").dropDuplicates([id_col, digest])
     return kept.select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))
 
 

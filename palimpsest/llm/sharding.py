@@ -1,7 +1,7 @@
 """Shards of equal bytes by a k-d tree over document metadata; DataFrame operations only.
 
-Dimensions, all functions of the text or shared by its copies: log2 of the size, bytes per character,
-language and CRC-32.  A node is cut along its widest dimension (width relative to the whole table's)
+Dimensions, all functions of the text alone, so that its copies share them: log2 of the size, bytes per
+character (the script), characters per word (the kind of text) and CRC-32.  A node is cut along its widest dimension (width relative to the whole table's)
 at the weighted median, the weight being bytes; 16 leaves come from four levels.
 
 A median is found by distributed radix selection: a document's place along a dimension is a 62-bit
@@ -9,13 +9,15 @@ key (31 bits of the value, 31 bits of a tie-break that keeps equal texts side by
 sums the bytes in at most 4096 bins for each node (an aggregate of a bounded number of rows) and goes
 on inside the bin that holds the median, until that bin is too light to matter.
 
-Equal texts have equal keys, so they stay in one shard, unless their bytes exceed 1/200 of a shard:
-such a group is dealt by id into parts of about that weight, which lie side by side in key order.
-There are at most shards x 200 such groups, so their broadcast table has a proven bound.
+Equal texts have equal keys, so they stay in one shard, unless their bytes exceed 1/20 of a shard: such a
+group is dealt by id into parts of about 1/200 of a shard (more from 21 shards on: there are at most 4095
+parts in all), which lie side by side in key order.  There are at most shards x 20 such groups, so their
+broadcast table has a proven bound.
 
-Defined cases: a null text weighs one byte and has CRC-32 zero; a null id or language is a value like
-any other; equal rows are sharded as often as they occur; other columns are ignored; an empty table
-gives an empty result; slots follow the order of id, then CRC-32.
+Defined cases: a null text weighs one byte and has CRC-32 zero, like an empty one; rows without an id are
+dealt by a number that is written with them; equal rows are sharded as often as they occur; other columns
+are ignored; an empty table gives an empty result; slots follow the order of id, then CRC-32, in each of
+the parts that a shard's rows are numbered in.
 """
 
 from __future__ import annotations
@@ -30,23 +32,30 @@ from palimpsest.llm.common import documents, written
 
 BINS = 12  # bits
 PARTS = 200
-DIMENSIONS = ("d_size", "d_width", "d_lang", "d_crc")
+#: Of a shard, what copies must weigh to be parted.
+HEAVY = 1 / 20
+MOST_PARTS = (1 << BINS) - 1
+DIMENSIONS = ("d_size", "d_width", "d_word", "d_crc")
 
 
-def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
-    """id, size, crc and the dimensions' 31-bit values of each row."""
+def _deal(id_: Column) -> Column:
+    """A number to deal rows by; the rows are written with it, as it is no function of rows without an id."""
+    return F.when(id_.isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(id_))
+
+
+def measured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, size, crc, a number to deal by, and the dimensions' 31-bit values of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     got = df.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"),
-        F.char_length(text).alias("chars"), F.xxhash64(text).alias("hash"),
-        (F.xxhash64(F.col(lang_col)) if lang_col else F.lit(0).cast("long")).alias("lang_hash"),
+        F.char_length(text).alias("chars"), F.xxhash64(text).alias("hash"), F.char_length(F.replace(text, F.lit(" "), F.lit(""))).alias("inked"),
     )
     mask = F.lit((1 << 31) - 1)
     return got.select(
-        "id", "size", "crc", "hash",
+        "id", "size", "crc", "hash", _deal(F.col("id")).alias("deal"),
         F.floor(F.log2("size") * (1 << 26)).cast("long").bitwiseAND(mask).alias("d_size"),
         F.floor((F.col("size") - 1) / F.greatest("chars", F.lit(1)) * (1 << 28)).cast("long").bitwiseAND(mask).alias("d_width"),
-        F.col("lang_hash").bitwiseAND(mask).alias("d_lang"),
+        F.floor(F.log2(F.col("inked") / (F.col("chars") - F.col("inked") + 1) + 1) * (1 << 26)).cast("long").bitwiseAND(mask).alias("d_word"),
         F.shiftright("crc", 1).alias("d_crc"),
     )
 
@@ -100,14 +109,16 @@ def _medians(units: DataFrame, tree: Tree, dims: dict[int, str], goals: dict[int
     return cuts
 
 
-def kd_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """id, size, crc and shard (0 to shards - 1) of every row."""
-    docs = written(measured(df, id_col, text_col, lang_col), "kd-documents")
+def kd_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, size, crc and shard (0 to shards - 1) of every row; shards: at most 4095."""
+    if not 1 <= shards <= MOST_PARTS:
+        raise ValueError(f"shards must be 1 to {MOST_PARTS}")
+    docs = written(measured(df, id_col, text_col), "kd-documents")
     total = docs.agg(F.sum("size")).first()[0] or 0
-    part_weight = max(total / shards / PARTS, 1.0)
+    part_weight = max(total / min(shards * PARTS, MOST_PARTS), 1.0)
     texts = docs.groupBy("hash", "crc", "size").agg(F.sum("size").alias("weight"))
-    heavy = texts.filter(F.col("weight") > part_weight).select("hash", "crc", "size", F.least(F.ceil(F.col("weight") / part_weight), F.lit(4095)).cast("int").alias("parts"))
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")))
+    heavy = texts.filter(F.col("weight") > max(part_weight, total / shards * HEAVY)).select("hash", "crc", "size", F.ceil(F.col("weight") / part_weight).cast("int").alias("parts"))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("deal", F.col("parts")))
     docs = docs.join(F.broadcast(heavy), ["hash", "crc", "size"], "left").withColumn("part", part.cast("long")).drop("parts")
     units = docs.groupBy("hash", "part", *DIMENSIONS).agg(F.sum("size").alias("weight"))
     units = written(units, "kd-units")
@@ -138,9 +149,9 @@ def kd_shards(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col:
 
 def with_slots(sharded: DataFrame, id_col: str = "doc_id", rows_per_part: int = 50_000) -> DataFrame:
     """A gapless slot in each shard: counts by (shard, part) give offsets, row numbers only run inside a part."""
-    rows = written(sharded, "kd-sharded")
+    rows = written(sharded.withColumn("slot_deal", _deal(F.col(id_col))), "kd-sharded")
     parts = max(1, rows.count() // rows_per_part)
-    ranged = rows.withColumn("slot_part", F.pmod(F.xxhash64(id_col, "crc"), F.lit(parts)))
+    ranged = rows.withColumn("slot_part", F.pmod("slot_deal", F.lit(parts))).drop("slot_deal")
     counts = ranged.groupBy("shard", "slot_part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("slot_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("shard", "slot_part", before.alias("slot_before"))

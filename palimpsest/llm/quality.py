@@ -1,8 +1,10 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches; DataFrame operations only.
 
-One pass computes each document's counts and writes them (a few numbers a row).  KLL sketches of four
-ratios are then built per language and source with map-side partial sketches, stored, and merged per
-language; a group's threshold is its upper quartile plus `fences` spreads.  The spread is the
+One pass computes each document's counts and writes them (a few numbers a row).  Quantile sketches of four
+ratios are then built per language and source with map-side partial sums, stored, and merged per
+language.  A sketch counts values in buckets of geometrically growing width and keeps each bucket's
+largest value, so a quantile is a value of the group at most `accuracy` (relative) over the exact one;
+merging adds counts, in any order, so thresholds are the same in every run.  A group's threshold is its upper quartile plus `fences` spreads.  The spread is the
 interquartile range, but at least what one count (a symbol, a line, a repeated window) makes out in
 the group's median document, known from sketches of the denominators: where most ratios are zero, a
 range of zero only says that the spread is below that resolution, and a clean group does not reject
@@ -10,7 +12,8 @@ its own mild outliers.  Groups with fewer than `least_rows` documents use their
 sketches.  The thresholds are joined back
 and a document stays if it passes the base rules and lies within all four.
 
-Repeated eight-word windows are found inside the row: words are hashed, windows of hashes hashed; if
+Repeated eight-word windows are found inside the row: words are hashed, then pairs of words, of pairs and
+of fours; if
 any window hash occurs twice, windows are sorted by hash and neighbours compared, and the words that
 the repeated windows cover are counted by the gaps between their starts.
 
@@ -21,10 +24,12 @@ table gives an empty result; a ratio equal to its threshold passes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.llm.common import documents, written
 
@@ -60,7 +65,12 @@ def repeat_words(hashes: Column, n: Column) -> Column:
     def count(windows: Column) -> Column:
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered(windows))
 
-    inside = _let(hashes, lambda w: F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
+    def paired(h: Column, apart: int) -> Column:
+        """Hashes of twice the words: each with the one `apart` places on."""
+        left = F.slice(h, 1, F.greatest(F.size(h) - apart, F.lit(0)))
+        return F.zip_with(left, F.slice(h, apart + 1, F.greatest(F.size(h) - apart, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+
+    inside = _let(_let(_let(hashes, lambda h: paired(h, 1)), lambda h: paired(h, 2)), lambda h: paired(h, 4))
     return F.when(n < WINDOW, F.lit(0).cast("long")).otherwise(_let(inside, count))
 
 
@@ -92,22 +102,41 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     )
 
 
-def thresholds(rows: DataFrame, fences: float = 3.0, least_rows: int = 50, k: int = 800) -> DataFrame:
+def sketches(rows: DataFrame, values: Sequence[str], groups: Sequence[str], accuracy: float = 0.01) -> DataFrame:
+    """(groups..., value, bucket, n, top): values from zero on; value is a place in values, bucket null for zero."""
+    bucket = lambda v: F.when(F.col(v) > 0, F.ceil(F.log(F.col(v).cast("double")) / math.log1p(accuracy)).cast("int"))
+    cells = F.array(*(F.struct(F.lit(i).alias("value"), bucket(v).alias("bucket"), F.col(v).cast("double").alias("top")) for i, v in enumerate(values)))
+    cells = rows.select(*groups, F.explode(cells).alias("c")).select(*groups, "c.*")
+    return cells.groupBy(*groups, "value", "bucket").agg(F.count("*").alias("n"), F.max("top").alias("top"))
+
+
+def merged(sketch: DataFrame, groups: Sequence[str]) -> DataFrame:
+    return sketch.groupBy(*groups, "value", "bucket").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+
+
+def quantiles(sketch: DataFrame, groups: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(groups..., value, n, q array): the smallest kept value up to which each share of the rows lies."""
+    of = [*groups, "value"]
+    order = Window.partitionBy(*of).orderBy(F.asc_nulls_first("bucket"))  # a few thousand buckets at most
+    ranked = sketch.withColumn("below", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(Window.partitionBy(*of)))
+    at = [F.min(F.when(F.col("below") >= s * F.col("all"), F.col("top"))) for s in shares]
+    return ranked.groupBy(*of).agg(F.max("all").alias("n"), F.array(*at).alias("q"))
+
+
+def thresholds(rows: DataFrame, fences: float = 3.0, least_rows: int = 50, accuracy: float = 0.01) -> DataFrame:
     """(q_lang, q_source, max_<ratio>...) of every group, from stored sketches."""
     values = [*RATIOS, *sorted({base for base, _ in RATIOS.values()})]
-    sketched = rows.groupBy("q_lang", "q_source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(F.col(v).cast("double"), k).alias(v) for v in values))
-    stored = written(sketched, "quality-sketches")
-    merged = stored.groupBy("q_lang").agg(*(F.kll_merge_agg_double(v, k).alias(f"lang_{v}") for v in values))
-    both = stored.join(merged, stored["q_lang"].eqNullSafe(merged["q_lang"])).drop(merged["q_lang"])
-
-    def quantile(value: str, q: float) -> Column:
-        sketch = F.when(F.col("n") >= least_rows, F.col(value)).otherwise(F.col(f"lang_{value}"))
-        return F.kll_sketch_get_quantile_double(sketch, F.lit(q))
+    shares = (0.25, 0.5, 0.75)
+    stored = written(sketches(rows, values, ["q_lang", "q_source"], accuracy), "quality-sketches")
+    wide = lambda q, name: [F.max(F.when(F.col("value") == i, F.col(q))).alias(f"{name}{i}") for i in range(len(values))]
+    own = quantiles(stored, ["q_lang", "q_source"], shares).groupBy("q_lang", "q_source").agg(F.max("n").alias("n"), *wide("q", "own"))
+    whole = quantiles(merged(stored, ["q_lang"]), ["q_lang"], shares).groupBy("q_lang").agg(*wide("q", "lang"))
+    both = own.join(whole.withColumnRenamed("q_lang", "l"), F.col("q_lang").eqNullSafe(F.col("l")))
 
     def limit(ratio: str, base: str, unit: int) -> Column:
-        low, high = quantile(ratio, 0.25), quantile(ratio, 0.75)
-        spread = F.greatest(high - low, unit / F.greatest(quantile(base, 0.5), F.lit(1.0)))
-        return (high + fences * spread).alias(f"max_{ratio}")
+        q = lambda v, i: F.get(F.when(F.col("n") >= least_rows, F.col(f"own{values.index(v)}")).otherwise(F.col(f"lang{values.index(v)}")), i)
+        spread = F.greatest(q(ratio, 2) - q(ratio, 0), unit / F.greatest(q(base, 1), F.lit(1.0)))
+        return (q(ratio, 2) + fences * spread).alias(f"max_{ratio}")
 
     return both.select("q_lang", "q_source", *(limit(r, base, unit) for r, (base, unit) in RATIOS.items()))
 

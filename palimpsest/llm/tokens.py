@@ -5,8 +5,9 @@ before it) and the white space between.  A cut's token count is looked up, first
 table of frequent cuts, then in the worker's cache; a miss is encoded by the library and cached.
 Nothing but the counts leaves the task, so no pre-token is ever shuffled.
 
-The broadcast table holds at most `table_size` cuts, taken from at most `sample_rows` documents; it
-only saves work, and every count is what the library gives for the whole text.  A text that holds a
+The broadcast table holds at most `table_size` cuts, the most frequent ones of about `sample_rows`
+documents drawn evenly from the whole table; it only saves work, and every count is what the library
+gives for the whole text.  A text that holds a
 special token's string goes through the library whole, as white space beside it is cut otherwise.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; equal rows each get a result row; a
@@ -75,7 +76,7 @@ class Counts(dict):
 
 
 def frequent_cuts(df: DataFrame, path: str, text_col: str = "text", sample_rows: int = 2000, table_size: int = 32_768) -> dict[str, int]:
-    """Token counts of the most frequent cuts of at most sample_rows documents: at most table_size entries."""
+    """Token counts of the most frequent cuts of about sample_rows documents, drawn from all of df: at most table_size entries."""
 
     def make():
         def fn(columns):
@@ -89,7 +90,8 @@ def frequent_cuts(df: DataFrame, path: str, text_col: str = "text", sample_rows:
         return fn
 
     cut = T.StructType([T.StructField("cut", T.StringType()), T.StructField("n", T.LongType())])
-    sample = df.select(F.col(text_col).cast("string").alias("tok_text")).limit(sample_rows)
+    share = min(1.0, sample_rows / max(1, df.count()))
+    sample = df.select(F.col(text_col).cast("string").alias("tok_text")).sample(share, seed=42)
     got = arrow_pass(sample, ["tok_text"], [], [T.StructField("cuts", T.ArrayType(cut))], make).select(F.explode("cuts").alias("c")).groupBy("c.cut").agg(F.sum("c.n").alias("n"))
     top = got.orderBy(F.desc("n"), "cut").limit(table_size).collect()
     counts = Counts(path, {})

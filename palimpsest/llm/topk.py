@@ -6,19 +6,20 @@ after each, a candidate stays only if its sum so far, plus the product of what i
 norms (Cauchy-Schwarz), can still reach the query's k-th best; survivors are compacted.  The bound
 starts from the k-th best among a bounded set of candidates, which is a true bound for all of them.
 
-Queries go over the candidates in chunks of at most about `chunk` vectors, each chunk broadcast (a
-few MB by construction) to one pass over all candidates, so neither side has to fit anywhere.  A
-task sends at most k rows for each query of the chunk.
+Queries go over the candidates in chunks of about `chunk_bytes`, each chunk broadcast (so bounded by
+construction) to one pass over all candidates, whose results are written before the next chunk begins;
+neither side has to fit anywhere.  A task sends at most k rows for each query of the chunk.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do
 rows without an id; vectors of other lengths than the query's are no candidates; rows that repeat a
-query's id are its own row; a candidate id and score that repeat count once; ties go to the smaller
-id; scores beyond a long are held at its ends; an empty table gives an empty result.
+query's id are its own row, and of those the least vector is the query; candidates that repeat an id or
+a row each count; ties go to the smaller id; scores beyond a long are held at its ends; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from palimpsest.llm.common import written
+
 SCALE = 1024.0
 _ROW = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 _EXACT = float(1 << 53)
@@ -53,25 +56,31 @@ class Best:
         ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
         order = np.lexsort((ids, -scores.astype(object) if len(scores) and scores.min() == -(1 << 63) else -scores))
         ids, scores = ids[order], scores[order]
-        if len(ids) > 1:
-            new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])])
-            ids, scores = ids[new], scores[new]
         self.ids[q], self.scores[q] = ids[: self.k], scores[: self.k]
         if len(ids) >= self.k:
             self.bound[q] = max(self.bound[q], float(scores[self.k - 1]))
 
 
+def _search_whole(best: Best, at: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> int:
+    if not len(queries) or not len(rows):
+        return 0
+    big = [[int(x) for x in r] for r in rows]
+    for p, qid, q in zip(at, query_ids, queries, strict=True):
+        whole, own = [int(x) for x in q], ids != qid
+        best.add(p, ids[own], _clamped([sum(a * b for a, b in zip(whole, r, strict=True)) for r, o in zip(big, own, strict=True) if o]))
+    return queries.size * len(rows)
+
+
 def search_block(best: Best, at: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, step: int = 8) -> int:
     """Update best with candidates (ids, rows) for queries (their places in best: at); returns the products computed."""
     dims = rows.shape[1]
     if dims and len(rows) and np.abs(queries).max() * np.abs(rows).max() * dims >= _EXACT:
-        # Too large for exact doubles: whole Python integers.
-        big = [[int(x) for x in r] for r in rows]
-        for p, qid, q in zip(at, query_ids, queries, strict=True):
-            whole = [int(x) for x in q]
-            own = ids != qid
-            best.add(p, ids[own], _clamped([sum(a * b for a, b in zip(whole, r, strict=True)) for r, o in zip(big, own, strict=True) if o]))
-        return len(rows) * len(queries) * dims
+        # Some products are too large for exact doubles: those of few and huge components, which meet all others as whole Python integers.
+        most = np.sqrt(_EXACT / dims) / 2
+        few_q, few_r = np.abs(queries).max(1) > most, np.abs(rows).max(1) > most
+        work = _search_whole(best, at[few_q], query_ids[few_q], queries[few_q], ids, rows)
+        work += _search_whole(best, at[~few_q], query_ids[~few_q], queries[~few_q], ids[few_r], rows[few_r])
+        return work + search_block(best, at[~few_q], query_ids[~few_q], queries[~few_q], ids[~few_r], rows[~few_r], step)
     columns = np.ascontiguousarray(rows.T)
     left = np.sqrt(np.cumsum((columns**2)[::-1], axis=0)[::-1])
     left = np.vstack([left, np.zeros((1, len(rows)))])
@@ -146,30 +155,33 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return got.filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", odd))
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", chunk: int = 4096, block: int = 4096, first: int = 8192) -> DataFrame:
+def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", chunk_bytes: int = 16 << 20, block: int = 4096, first: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row of df for which is_query (over id) holds."""
     spark = df.sparkSession
     candidates = usable(df, id_col, vec_col)
     queries = candidates.filter(is_query)
-    n_chunks = max(1, -(-queries.count() // chunk))
+    size = queries.agg(F.sum(8 * F.size("vec") + 64)).first()[0] or 0
+    n_chunks = max(1, -(-size // chunk_bytes))
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     parts = []
     for c in range(n_chunks):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == c).dropDuplicates(["id"]).orderBy("id").collect()
+        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == c).groupBy("id").agg(F.min("vec").alias("vec")).orderBy("id").collect()
         by: dict[int, tuple[list, list, list]] = {}
         for place, r in enumerate(rows):
             for to, x in zip(by.setdefault(len(r["vec"]), ([], [], [])), (place, r["id"], r["vec"]), strict=True):
                 to.append(x)
         arrays = {n: (np.array(p), np.array(i, np.int64), integers(np.array(v, np.float64)).reshape(len(p), n)) for n, (p, i, v) in by.items()}
         some = _pass(candidates.limit(first).coalesce(1), spark.sparkContext.broadcast((arrays, None)), k, block)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        reached = {r[0]: r[1] for r in some.withColumn("r", rank).filter(F.col("r") == k).select("query_id", "score").collect()}
+        reached = {r[0]: r[1] for r in some.withColumn("r", ranked).filter(F.col("r") == k).select("query_id", "score").collect()}
         bounds = np.array([reached.get(r["id"], -np.inf) for r in rows], np.float64)
-        parts.append(_pass(candidates, spark.sparkContext.broadcast((arrays, bounds)), k, block))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        shared = spark.sparkContext.broadcast((arrays, bounds))
+        found = _pass(candidates, shared, k, block)
+        if n_chunks > 1:
+            found = written(found.withColumn("rank", ranked).filter(F.col("rank") <= k).select(*_ROW.names), "topk-chunk")
+            shared.unpersist()
+        parts.append(found)
+    found = reduce(DataFrame.unionByName, parts)
+    return found.withColumn("rank", ranked).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

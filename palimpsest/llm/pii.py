@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are what four base rules find (email, ip, card, phone).  Every seed, and every other token
-that looks like an identifier, is a node "instance" of a graph; the one and two words before it are
-its "patterns".  Scores flow from seed instances to patterns (a smoothed precision per kind) and
+that looks like an identifier, is a node "instance" of a graph; the one and two words before it (an
+identifier right before it counts as one) are its "patterns".  Scores flow from seed instances to patterns (a smoothed precision per kind) and
 back to unlabelled instances, for a few rounds of Spark joins; an instance that is believed in counts
 like a seed in the next round, so it can bring in patterns that met no seed.  Patterns that end above
 a threshold then mark further identifiers of their kind.  Documents are read once: what the graph needs is
@@ -16,7 +16,10 @@ lower-numbered kind.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT_OR_AT = re.compile(r"[0-9@]")
 _RUN = re.compile(r"\S+")
+_DIGITS = re.compile("[0-9]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&"
 
@@ -91,14 +95,30 @@ def looks_like(token: str) -> list[int]:
     return out
 
 
-def _word(text: str, end: int) -> tuple[str, int]:
-    """The last non-space run before end, and where it starts."""
-    while end and text[end - 1].isspace():
-        end -= 1
-    start = end
-    while start and end - start < 64 and not text[start - 1].isspace():
-        start -= 1
-    return re.sub("[0-9]+", "0", text[start:end].lower()), start
+def _key(s: str) -> str:
+    """s, or where it is long what stands for it."""
+    return s if len(s) <= 96 else "#" + hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _contexts(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[str, str]]:
+    """The last and the last but one word before each of found (ordered); digits count alike, an identifier between is <kind>.
+
+    Identifiers that overlap share a context.  The words of one lie behind the one before, so the whole is linear in the text.
+    """
+    behind, end, last = [], 0, None
+    i = 0
+    while i < len(found):
+        j, reach = i + 1, found[i][1]
+        while j < len(found) and found[j][0] < reach:
+            reach = max(reach, found[j][1])
+            j += 1
+        words = [_DIGITS.sub("0", w.lower()) for w in text[end : found[i][0]].rsplit(None, 2)[-2:]]
+        words = ([*behind, last] if last else []) + words if len(words) < 2 else words
+        one, two = (words[-1] if words else ""), (words[-2] if len(words) > 1 else "")
+        for _ in range(i, j):
+            yield one, two
+        behind, last, end = words[-1:], f"<{KINDS[found[i][2]] if found[i][2] >= 0 else 'other'}>", reach
+        i = j
 
 
 def graph_rows(text: str | None, spans: list[tuple[int, int, int]]) -> list[dict]:
@@ -120,21 +140,18 @@ def graph_rows(text: str | None, spans: list[tuple[int, int, int]]) -> list[dict
         while at < len(covered) and covered[at][0] < e:
             reach = max(reach, covered[at][1])
             at += 1
-        if s < e and reach <= s and e - s <= 256 and looks_like(text[s:e]):
-            found.append((s, e, -1))  # a longer run is no identifier
+        if s < e and reach <= s and looks_like(text[s:e]):
+            found.append((s, e, -1))
     if not found:
         return []
-    words: dict[str, int] = {}
-    for w in text.lower().split():
-        words[w] = words.get(w, 0) + 1
+    found.sort()
+    words = Counter(_DIGITS.sub("0", text.lower()).split())
     rows = []
-    for s, e, k in found:
-        one, start = _word(text, s)
+    for (s, e, k), (one, two) in zip(found, _contexts(text, found), strict=True):
         if not one:
             continue
-        two, _ = _word(text, start)
-        meets = max(1, words.get(one, 1))
-        rows.append({"kind": k, "start": s, "end": e, "fits": looks_like(text[s:e]) if k < 0 else [], "item": text[s:e].lower(), "one": one, "two": f"{two} {one}", "meets": meets})
+        item = text[s:e]
+        rows.append({"kind": k, "start": s, "end": e, "fits": looks_like(item) if k < 0 else [], "item": _key(item.lower()), "one": _key(one), "two": f"{_key(two)} {_key(one)}", "meets": max(1, words.get(one, 1))})
     return rows
 
 

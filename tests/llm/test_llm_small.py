@@ -262,29 +262,37 @@ def test_toxicity_learns_and_filters(spark):
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
+def soft_table(spark, tokens, p):
+    rows = [(int(n), *map(float, x)) for n, x in zip(tokens, p, strict=True)]
+    return spark.createDataFrame(rows, "mix_tokens long, mix_p0 double, mix_p1 double, mix_p2 double")
+
+
 def test_rates_meet_the_targets(spark):
-    rows = [(100, [0.9, 0.1, 0.0])] * 50 + [(80, [0.2, 0.7, 0.1])] * 60 + [(50, [0.0, 0.1, 0.9])] * 10 + [(0, [1.0, 0.0, 0.0])]
-    soft = spark.createDataFrame(rows, "tokens long, p array<double>")
-    rate, now, goal = mixing.fit(soft, [0.8, 0.2, 0.0], tolerance=1e-3, rounds=80)
-    whole = sum(n * sum(p) for n, p in rows)
-    assert max(abs(a - b) for a, b in zip(now, goal, strict=True)) / whole < 0.02
-    r = [x.r for x in soft.select(rate.alias("r")).collect()]
-    assert min(r) >= 0 and abs(sum(n * x * p[1] for (n, p), x in zip(rows, r, strict=True)) - now[1]) < 1e-6 * whole
+    tokens, p = [100] * 50 + [80] * 60 + [50] * 10 + [0], [[0.9, 0.1, 0.0]] * 50 + [[0.2, 0.7, 0.1]] * 60 + [[0.0, 0.1, 0.9]] * 10 + [[1.0, 0.0, 0.0]]
+    soft = soft_table(spark, tokens, p)
+    found = mixing.fit(soft, [0.8, 0.195, 0.005])
+    whole = sum(tokens)
+    assert max(abs(a - b) for a, b in zip(found.expected, found.targets, strict=True)) / whole < 0.01
+    r = [x.r for x in soft.select(found.rate.alias("r")).collect()]
+    assert min(r) >= 0 and abs(sum(n * x * q[1] for n, q, x in zip(tokens, p, r, strict=True)) - found.expected[1]) < 1e-6 * whole
 
 
-def test_rates_are_the_least_squares_solution(spark):
+@pytest.mark.parametrize("still", [0.0, 0.2])
+def test_rates_are_the_least_squares_solution(spark, still):
     rng = np.random.default_rng(12)
     p = rng.dirichlet([1.2, 0.8, 0.5], 300)
     tokens = rng.integers(10, 500, 300)
-    soft = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p, strict=True)], "tokens long, p array<double>")
-    rate, now, goal = mixing.fit(soft, [0.95, 0.05, 0.0])
+    soft = soft_table(spark, tokens, p)
+    found = mixing.fit(soft, [0.9, 0.08, 0.02], ridge=0.01, still=still)
     t = tokens / tokens.sum()
     have = t @ p
-    want, aim, weights = np.ones(300), np.array(goal) / tokens.sum(), 0.5 / np.maximum(have, 0.02)
-    for _ in range(60_000):
-        want = np.maximum(0, want - 0.2 * (p @ (weights * ((t * want) @ p - aim)) + 0.01 * (want - 1)))
-    got = np.array([x.r for x in soft.select(rate.alias("r")).collect()])
-    assert np.abs(got - want).max() < 1e-3 and np.allclose(now, (tokens * got) @ p)
+    want, aim, weights = np.ones(300), np.array(found.targets) / tokens.sum(), 0.5 / np.maximum(have, 0.02)
+    size = 0.05
+    for _ in range(80_000):
+        moved = want - size * (p @ (weights * ((t * want) @ p - aim)) + 0.01 * (want - 1)) - 1
+        want = np.maximum(0, 1 + np.sign(moved) * np.maximum(np.abs(moved) - size * 0.01 * still, 0))
+    got = np.array([x.r for x in soft.select(found.rate.alias("r")).collect()])
+    assert np.abs(got - want).max() < 2e-3 and np.allclose(found.expected, (tokens * got) @ p)
     with pytest.raises(RuntimeError):
         mixing.fit(soft, [0.95, 0.05, 0.0], rounds=1)
 
@@ -308,16 +316,17 @@ def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     vecs = {i: [float(np.float32(x)) for x in rng.normal(size=6)] for i in range(300)}
     vecs[7] = vecs[8] = vecs[0]
-    rows = [(i, v) for i, v in vecs.items()] + [(900, None), (901, [float("nan")] * 6), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (903, [float("inf")] * 6), (904, [1.0]), (None, [1.0] * 6), (200, vecs[200]), (1000, [1e12] * 6)]
+    rows = [(i, v) for i, v in vecs.items()] + [(900, None), (901, [float("nan")] * 6), (902, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (903, [float("inf")] * 6), (904, [1.0]), (None, [1.0] * 6), (200, vecs[200]), (8, vecs[8]), (1000, [1e12] * 6)]
     vecs[1000] = [1e12] * 6
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for chunk in (4096, 2):
+    for chunk_bytes in (1 << 24, 400):
         got = {}
-        for r in topk.top_k(df, F.col("id") % 100 == 0, chunk=chunk, block=64, first=50).collect():
+        for r in topk.top_k(df, F.col("id") % 100 == 0, chunk_bytes=chunk_bytes, block=64, first=50).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-        whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vecs.items()}
+        whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in [*vecs.items(), (200, vecs[200]), (8, vecs[8])]]
         for q in (0, 100, 200, 1000):
-            s = sorted(((-min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), -(1 << 63)), (1 << 63) - 1), i) for i, v in whole.items() if i != q))[:10]
+            own = dict(whole)[q]
+            s = sorted(((-min(max(sum(a * b for a, b in zip(own, v, strict=True)), -(1 << 63)), (1 << 63) - 1), i) for i, v in whole if i != q))[:10]
             assert sorted(got[q]) == [(n + 1, i, -x) for n, (x, i) in enumerate(s)]
     assert topk.top_k(df.limit(0), F.col("id") % 100 == 0).count() == 0
 

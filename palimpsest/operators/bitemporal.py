@@ -1,14 +1,13 @@
 """A bitemporal, versioned fact store: visibility, transitions, interval closing, invariants, folds by key.
 
-Versions of one (subject, slot) are a sequence: plain closing is a window, the guarded state machine a
-fold over the key's rows in record order.  Keys run in parallel.
+Versions of one (subject, slot) are a sequence: closing and the guarded state machine are windows over
+the key's rows in record order.  Keys run in parallel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,13 +29,19 @@ def versions(facts: DataFrame, key: Sequence[str], order: Sequence[str], valid_f
     return facts.withColumn("valid_to", F.lead(valid_from).over(spec)).withColumn("version", F.row_number().over(spec)).withColumn("status", F.when(F.col("valid_to").isNull(), "active").otherwise("superseded"))
 
 
-def closing_time(old_from: Column, old_to: Column, new_from: Column, new_recorded: Column, correction: Column) -> Column:
-    """Where a superseded interval ends: the new validity, else the new record time; never before it began (unless a correction
-    empties it), never later than it ended already."""
-    at = F.coalesce(new_from, new_recorded)
-    backdated = at < old_from
-    end = F.when(backdated & correction, old_from).when(backdated, old_to).otherwise(at)
-    return F.least(F.coalesce(old_to, end), F.coalesce(end, old_to))
+def closing_time(old_from: Column, old_to: Column, old_recorded: Column, new_from: Column, new_recorded: Column, correction: Column) -> Column:
+    """Where a superseded interval ends; comparisons go by the day.
+
+    It ends where the new validity begins, if that is not before the old one began (a correction), nor before it was
+    recorded (anything else).  Otherwise it ends at the new record time, unless the old one began later still: then it
+    stays as it is, as it does without a new validity.  An end that lies before its own beginning counts as none.
+    """
+    day = F.to_date
+    own_end = F.when(F.coalesce(day(old_to) < day(old_from), F.lit(False)), None).otherwise(old_to)
+    floor = F.when(F.coalesce(correction, F.lit(False)), day(old_from)).otherwise(F.greatest(day(old_from), day(old_recorded)))
+    safe = F.coalesce(day(new_from) >= floor, F.lit(True))
+    late = F.coalesce(day(new_recorded) < day(old_from), F.lit(False))
+    return F.when(new_from.isNull(), own_end).when(safe, new_from).when(new_recorded.isNull() | late, own_end).otherwise(new_recorded)
 
 
 def guarded_decision(decision: Column, same_session: Column, same_value: Column) -> Column:
@@ -122,8 +127,9 @@ def merge_working(old: DataFrame, new: DataFrame, keep_old: int, cap: int) -> Da
     hit = F.col("old_score").isNotNull() & F.col("new_score").isNotNull()
     rows = both.withColumn("hits", F.coalesce("hits", F.lit(0)) + hit.cast("int"))
     fresh = rows.filter("new_score is not null").select("item", F.col("new_score").alias("score"), "hits", F.lit(0).alias("age"))
-    stale = ranked(rows.filter("new_score is null"), [], [F.desc("old_score"), "item"]).filter(F.col("rank") <= keep_old).select("item", F.lit(0.0).alias("score"), "hits", F.lit(1).alias("age"))
-    return ranked(fresh.unionByName(stale), [], ["age", F.desc("score"), "item"]).filter(F.col("rank") <= cap).drop("age")
+    stale = rows.filter("new_score is null").orderBy(F.desc("old_score"), "item").limit(keep_old).select("item", F.lit(0.0).alias("score"), "hits", F.lit(1).alias("age"))
+    best = fresh.unionByName(stale).orderBy("age", F.desc("score"), "item").limit(cap)  # cap rows to number, no more
+    return ranked(best, [], ["age", F.desc("score"), "item"]).drop("age")
 
 
 def apply_actions(memory: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,49 +148,40 @@ def apply_actions(memory: DataFrame, actions: DataFrame) -> tuple[DataFrame, Dat
 def compile_states(claims: DataFrame, key: Sequence[str] = ("subject", "slot")) -> DataFrame:
     """The state machine over claims (claim_id, subject, slot, value, seq, recorded, valid_from, session, decision) in seq order.
 
-    DUPLICATE and CORROBORATE add evidence to the active version, REFINE and SUPERSEDE replace it (the old one ends where the new
-    begins), CONFLICT leaves both contested, EPISODIC stands beside the state, NEW opens one.  Without an active version, any
-    decision about one is NEW.  One row a claim: operation, status, version, ends_at, evidence.
+    A decision is about the claim that was added last.  DUPLICATE and CORROBORATE add evidence to it; SUPERSEDE closes it by
+    closing_time(); REFINE leaves its interval open; CONFLICT leaves both contested; NEW leaves it alone; EPISODIC stands beside
+    the state.  Where nothing was added yet, any decision but EPISODIC is NEW.  A column `correction`, if there, marks explicit
+    corrections.  One row a claim: operation, status, version, ends_at, evidence.
+
+    All by windows: a claim that the session guard turns into a duplicate has the session and value of the one added last, so
+    the guard may look at the last claim that would be added, whether or not it was.
     """
-    cols = [*key, "claim_id", "seq", "value", "session", "decision", "recorded", "valid_from"]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "claim_id"])
-        rows: dict = {}
-        active = None
-        version = 0
-        for r in pdf.itertuples(index=False):
-            op = r.decision
-            if active is None and op not in ("EPISODIC", "NEW"):
-                op = "NEW"
-            if active is not None and rows[active]["session"] == r.session:
-                same = rows[active]["value"] == r.value
-                op = "DUPLICATE" if op == "CORROBORATE" or (op == "SUPERSEDE" and same) else "REFINE" if op == "CONFLICT" else op
-            out = {"session": r.session, "value": r.value, "operation": op, "status": "active", "version": 0, "ends_at": None, "evidence": 1}
-            if op in ("DUPLICATE", "CORROBORATE"):
-                rows[active]["evidence"] += 1
-                out["status"] = "merged"
-            elif op == "EPISODIC":
-                out["status"] = "episodic"
-            else:
-                if active is not None and op in ("REFINE", "SUPERSEDE", "NEW"):
-                    rows[active]["status"] = "superseded"
-                    rows[active]["ends_at"] = r.recorded if pd.isna(r.valid_from) else r.valid_from
-                if op == "CONFLICT":
-                    rows[active]["status"] = out["status"] = "contested"
-                version += 1
-                out["version"] = version
-                active = r.claim_id
-            rows[r.claim_id] = out
-        got = pd.DataFrame([{"claim_id": c, **{k: v for k, v in o.items() if k not in ("session", "value")}} for c, o in rows.items()])
-        for i, k in enumerate(key):
-            got.insert(i, k, pdf[k].iloc[0])
-        got["ends_at"] = pd.to_datetime(got["ends_at"])
-        return got
-
-    kinds = {f.name: f.dataType.simpleString() for f in claims.schema}
-    schema = ", ".join(f"{k} {kinds[k]}" for k in key) + f", claim_id {kinds['claim_id']}, operation string, status string, version int, ends_at timestamp, evidence int"
-    return claims.select(*cols).groupBy(*key).applyInPandas(fold, schema)
+    tied = ["seq", "claim_id", "value", "recorded"]
+    order = Window.partitionBy(*key).orderBy(*tied)
+    back = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in tied]).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    correction = F.col("correction") if "correction" in claims.columns else F.lit(False)
+    rows = claims.select(*key, *tied, "session", "decision", "valid_from", correction.alias("correction"))
+    stateful = F.col("decision") != "EPISODIC"
+    rows = rows.withColumn("first", stateful & (F.count(F.when(stateful, 1)).over(so_far) == 1))
+    would_add = stateful & (F.col("first") | F.col("decision").isin("NEW", "REFINE", "SUPERSEDE", "CONFLICT"))
+    rows = rows.withColumn("last", F.last(F.when(would_add, F.struct("session", "value")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    same = lambda c: F.coalesce(F.col(f"last.{c}") == F.col(c), F.lit(False))
+    rows = rows.withColumn("operation", F.when(F.col("first"), "NEW").otherwise(guarded_decision(F.col("decision"), same("session"), same("value"))))
+    rows = rows.withColumn("added", stateful & ~F.col("operation").isin("DUPLICATE", "CORROBORATE"))
+    rows = rows.withColumn("at", F.count(F.when(F.col("added"), 1)).over(so_far).cast("int"))
+    rows = rows.withColumn("next", F.last(F.when(F.col("added"), F.struct("operation", "valid_from", "recorded", "correction")), ignorenulls=True).over(back))
+    merged = F.count(F.when(stateful & ~F.col("added"), 1)).over(Window.partitionBy(*key, "at")).cast("int")
+    after = F.col("next.operation")
+    status = (
+        F.when(~stateful, "standalone").when(~F.col("added"), "merged").when(after == "SUPERSEDE", "superseded").when(after == "REFINE", "refined")
+        .when((after == "CONFLICT") | (F.col("operation") == "CONFLICT"), "contested").otherwise("active")
+    )
+    ends = closing_time(F.col("valid_from"), F.lit(None).cast("timestamp"), F.col("recorded"), F.col("next.valid_from"), F.col("next.recorded"), F.col("next.correction"))
+    return rows.select(
+        *key, "claim_id", "operation", status.alias("status"), F.when(F.col("added"), F.col("at")).otherwise(0).alias("version"),
+        F.when(F.col("added") & (after == "SUPERSEDE"), ends).cast("timestamp").alias("ends_at"), F.when(F.col("added"), merged + 1).otherwise(1).alias("evidence"),
+    )
 
 
 def invariants(claims: DataFrame, edges: DataFrame) -> DataFrame:

@@ -65,12 +65,53 @@ def t6(spark, d):
     return _facts(spark, d).filter(bt.current_state(status, F.col("recorded"), F.col("valid_from"), F.col("valid_to"), F.lit("1995-06-17").cast("timestamp"))).select("id")
 
 
-@query("t7_state_machine")
+_STATES = """
+WITH RECURSIVE c AS (
+  SELECT event_id AS claim_id, user_id AS subject, event_type AS slot, CAST(floor(value / 40) AS BIGINT) AS value, CAST(ts AS DATE) AS session, ts AS recorded,
+         CASE WHEN event_id % 2 = 0 THEN ts WHEN event_id % 5 = 0 THEN ts - INTERVAL 30 DAY END AS valid_from, event_id % 3 = 0 AS correction,
+         list_extract(['NEW', 'CORROBORATE', 'SUPERSEDE', 'CONFLICT', 'DUPLICATE', 'REFINE', 'EPISODIC', 'SUPERSEDE'], CAST((event_id * event_id + user_id) % 8 + 1 AS BIGINT)) AS decision
+  FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY subject, slot ORDER BY claim_id) AS rn FROM c),
+run AS (
+  SELECT subject, slot, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS claim_id, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS BIGINT) AS open_id, CAST(NULL AS DATE) AS open_session, CAST(NULL AS BIGINT) AS open_value
+  FROM n GROUP BY 1, 2
+  UNION ALL
+  SELECT subject, slot, rn, claim_id, op, CASE WHEN adds THEN claim_id ELSE open_id END, CASE WHEN adds THEN session ELSE open_session END, CASE WHEN adds THEN value ELSE open_value END
+  FROM (SELECT *, op NOT IN ('EPISODIC', 'DUPLICATE', 'CORROBORATE') AS adds
+        FROM (SELECT n.subject, n.slot, n.rn, n.claim_id, n.session, n.value, r.open_id, r.open_session, r.open_value,
+                     CASE WHEN decision = 'EPISODIC' THEN 'EPISODIC' WHEN r.open_id IS NULL THEN 'NEW'
+                          WHEN coalesce(n.session = r.open_session, FALSE) AND decision = 'CORROBORATE' THEN 'DUPLICATE'
+                          WHEN coalesce(n.session = r.open_session, FALSE) AND decision = 'SUPERSEDE' AND coalesce(n.value = r.open_value, FALSE) THEN 'DUPLICATE'
+                          WHEN coalesce(n.session = r.open_session, FALSE) AND decision = 'CONFLICT' THEN 'REFINE' ELSE decision END AS op
+              FROM run r JOIN n ON n.subject = r.subject AND n.slot = r.slot AND n.rn = r.rn + 1))),
+f AS (SELECT n.*, run.op, run.open_id FROM n JOIN run USING (subject, slot, rn)),
+a AS (SELECT *, row_number() OVER w AS version, lead(op) OVER w AS next_op, lead(valid_from) OVER w AS next_from, lead(recorded) OVER w AS next_recorded, lead(correction) OVER w AS next_correction
+      FROM f WHERE claim_id = open_id WINDOW w AS (PARTITION BY subject, slot ORDER BY rn)),
+e AS (SELECT open_id, count(*) AS merged FROM f WHERE op IN ('DUPLICATE', 'CORROBORATE') GROUP BY 1)
+SELECT f.subject, f.slot, f.claim_id, f.op AS operation,
+  CASE WHEN f.op = 'EPISODIC' THEN 'standalone' WHEN a.claim_id IS NULL THEN 'merged' WHEN next_op = 'SUPERSEDE' THEN 'superseded' WHEN next_op = 'REFINE' THEN 'refined'
+       WHEN next_op = 'CONFLICT' OR f.op = 'CONFLICT' THEN 'contested' ELSE 'active' END AS status,
+  CAST(coalesce(a.version, 0) AS INTEGER) AS version,
+  CASE WHEN next_op = 'SUPERSEDE' AND next_from IS NOT NULL THEN
+       CASE WHEN next_correction AND (a.valid_from IS NULL OR CAST(next_from AS DATE) >= CAST(a.valid_from AS DATE)) THEN next_from
+            WHEN NOT next_correction AND CAST(next_from AS DATE) >= CAST(a.recorded AS DATE) AND (a.valid_from IS NULL OR CAST(next_from AS DATE) >= CAST(a.valid_from AS DATE)) THEN next_from
+            WHEN a.valid_from IS NOT NULL AND CAST(next_recorded AS DATE) < CAST(a.valid_from AS DATE) THEN NULL ELSE next_recorded END END AS ends_at,
+  CAST(CASE WHEN a.claim_id IS NULL THEN 1 ELSE 1 + coalesce(merged, 0) END AS INTEGER) AS evidence
+FROM f LEFT JOIN a ON a.claim_id = f.claim_id LEFT JOIN e ON e.open_id = a.claim_id
+"""
+
+
+@query("t7_state_machine", _STATES)
 def t7(spark, d):
-    e = table(spark, d, "events")
-    decisions = F.element_at(F.array(*map(F.lit, ("NEW", "CORROBORATE", "SUPERSEDE", "CONFLICT", "DUPLICATE", "REFINE", "EPISODIC"))), (F.pmod(F.xxhash64("event_id"), F.lit(7)) + 1).cast("int"))
-    claims = e.select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("subject"), F.col("event_type").alias("slot"), F.round("value").cast("string").alias("value"), F.col("event_id").alias("seq"), F.to_date("ts").alias("session"), decisions.alias("decision"), F.col("ts").alias("recorded"), F.when(F.col("event_id") % 2 == 0, F.col("ts")).alias("valid_from"))
-    return bt.compile_states(claims)
+    e, i = table(spark, d, "events"), F.col("event_id")
+    names = ("NEW", "CORROBORATE", "SUPERSEDE", "CONFLICT", "DUPLICATE", "REFINE", "EPISODIC", "SUPERSEDE")
+    decisions = F.element_at(F.array(*map(F.lit, names)), ((i * i + F.col("user_id")) % 8 + 1).cast("int"))
+    claims = e.select(
+        i.alias("claim_id"), F.col("user_id").alias("subject"), F.col("event_type").alias("slot"), F.floor(F.col("value") / 40).alias("value"), i.alias("seq"),
+        F.to_date("ts").alias("session"), decisions.alias("decision"), F.col("ts").alias("recorded"),
+        F.when(i % 2 == 0, F.col("ts")).when(i % 5 == 0, F.expr("ts - INTERVAL 30 DAY")).alias("valid_from"), (i % 3 == 0).alias("correction"),
+    )
+    return bt.compile_states(claims).withColumn("ends_at", F.col("ends_at").cast("timestamp_ntz"))
 
 
 @query("t8_interval_closing", "SELECT event_id, version, status, valid_to FROM (SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS version, CASE WHEN lead(ts) OVER w IS NULL THEN 'active' ELSE 'superseded' END AS status, lead(ts) OVER w AS valid_to FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))")
@@ -79,11 +120,31 @@ def t8(spark, d):
     return v.select("event_id", "version", "status", F.col("valid_to").cast("timestamp_ntz").alias("valid_to"))
 
 
-@query("t8_guarded_closing", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate WHEN o_orderkey % 3 = 1 THEN o_orderdate + INTERVAL 5 DAY ELSE o_orderdate + INTERVAL 9 DAY END AS ends FROM orders")
+_CLOSING = """
+WITH x AS (
+  SELECT o_orderkey, o_orderkey % 7 AS k, o_orderkey % 2 = 0 AS correction, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END AS old_from,
+         CASE o_orderkey % 3 WHEN 0 THEN o_orderdate + INTERVAL 20 DAY WHEN 1 THEN o_orderdate - INTERVAL 1 DAY END AS old_to, o_orderdate + INTERVAL 3 DAY AS old_recorded
+  FROM orders),
+y AS (SELECT *, CASE k WHEN 0 THEN NULL WHEN 1 THEN old_recorded - INTERVAL 7 DAY WHEN 2 THEN old_recorded - INTERVAL 2 DAY ELSE old_recorded + INTERVAL 2 DAY END AS new_from,
+             CASE k WHEN 4 THEN NULL WHEN 1 THEN old_recorded - INTERVAL 5 DAY ELSE old_recorded + INTERVAL 6 DAY END AS new_recorded,
+             CASE WHEN old_from IS NOT NULL AND old_to < old_from THEN NULL ELSE old_to END AS own_end FROM x),
+z AS (SELECT *, CASE WHEN new_from IS NULL THEN 'stay'
+                     WHEN correction AND old_from IS NOT NULL AND new_from < old_from THEN 'fall back' WHEN correction THEN 'shift'
+                     WHEN new_from < old_recorded OR (old_from IS NOT NULL AND new_from < old_from) THEN 'fall back' ELSE 'shift' END AS way FROM y)
+SELECT o_orderkey, CASE WHEN way = 'stay' THEN own_end WHEN way = 'shift' THEN new_from
+                        WHEN new_recorded IS NULL OR (old_from IS NOT NULL AND new_recorded < old_from) THEN own_end ELSE new_recorded END AS ends
+FROM z
+"""
+
+
+@query("t8_guarded_closing", _CLOSING)
 def t8b(spark, d):
-    k, day = F.col("o_orderkey") % 3, lambda n: F.expr(f"o_orderdate + INTERVAL {n} DAY")
-    new_from = F.when(k == 0, day(-4)).when(k == 1, day(5))
-    ends = bt.closing_time(F.col("o_orderdate"), F.lit(None).cast("timestamp"), new_from, day(9), k == 0)
+    k, date = F.col("o_orderkey"), F.col("o_orderdate")
+    day = lambda n: F.expr(f"o_orderdate + INTERVAL {n} DAY")
+    old_from, old_to = F.when(k % 5 != 0, date), F.when(k % 3 == 0, day(20)).when(k % 3 == 1, day(-1))
+    new_from = F.when(k % 7 == 0, None).when(k % 7 == 1, day(-4)).when(k % 7 == 2, day(1)).otherwise(day(5))
+    new_recorded = F.when(k % 7 == 4, None).when(k % 7 == 1, day(-2)).otherwise(day(9))
+    ends = bt.closing_time(old_from, old_to, day(3), new_from, new_recorded, k % 2 == 0)
     return table(spark, d, "orders").select("o_orderkey", ends.cast("timestamp_ntz").alias("ends"))
 
 

@@ -78,13 +78,27 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return rank
 
 
-def expand_scores(base: DataFrame, edges: DataFrame, relation_weights: Mapping[str, float], hops: int = 2, mix: float = 0.65, rounds: int = 20) -> DataFrame:
-    """(id, score): mix * base + (1 - mix) * ppr on the seeded subgraph; nodes found on the way score (1 - mix) * ppr."""
-    weight = F.coalesce(F.element_at(F.create_map(*[x for k, v in relation_weights.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("relation")), F.lit(1.0))
-    near = subgraph(edges.select("source_id", "target_id", weight.alias("weight")), base, hops)
-    ppr = pagerank(both_ways(near), base.select("id", F.col("score").alias("weight")), rounds=rounds)
-    both = base.select("id", F.col("score").alias("base")).join(ppr, "id", "full_outer")
-    return both.select("id", F.when(F.col("base").isNotNull(), mix * F.col("base") + (1 - mix) * F.coalesce("ppr", F.lit(0.0))).otherwise((1 - mix) * F.col("ppr")).alias("score"))
+def expand_scores(base: DataFrame, edges: DataFrame, relation_weights: Mapping[str, float], hops: int = 2, mix: float = 0.65, rounds: int = 20, tolerance: float | None = 1e-6) -> DataFrame:
+    """(id, score): mix * base + (1 - mix) * ppr on the subgraph that the base reaches along the edges within so many hops.
+
+    The base score is min-max normalised (all 1 if it is constant); nodes found on the way score (1 - mix) * ppr.  Edges of
+    relations without a weight are left out.
+    """
+    weight = F.element_at(F.create_map(*[x for k, v in relation_weights.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("relation"))
+    known = cut(edges.select("source_id", "target_id", weight.alias("weight")).filter("weight > 0"), "expand-edges")
+    seen = base.select("id").distinct()
+    for _ in range(hops):
+        step = known.join(seen.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(F.col("target_id").alias("id"))
+        seen = seen.unionByName(step).distinct()
+    seen = cut(seen, "expand-nodes")
+    for end in ("source_id", "target_id"):
+        known = known.join(seen.withColumnRenamed("id", end), end, "left_semi")
+    ppr = pagerank(known, base.select("id", F.col("score").alias("weight")), rounds=rounds, tolerance=tolerance)
+    ends = base.agg(F.min("score").alias("low"), F.max("score").alias("high"))
+    flat = F.when(F.col("high") <= F.col("low"), 1.0).otherwise((F.col("score") - F.col("low")) / (F.col("high") - F.col("low")))
+    own = base.crossJoin(F.broadcast(ends)).select("id", flat.alias("base"))  # one row
+    both = own.join(seen.join(ppr, "id", "left"), "id", "full_outer").withColumn("ppr", F.coalesce("ppr", F.lit(0.0)))
+    return both.select("id", F.when(F.col("base").isNotNull(), mix * F.col("base") + (1 - mix) * F.col("ppr")).otherwise((1 - mix) * F.col("ppr")).alias("score"))
 
 
 def cheapest_paths(edges: DataFrame, seeds: DataFrame, rounds: int = 5) -> DataFrame:
@@ -136,7 +150,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if not after.join(label.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count():
             return after
         label = after
-    return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def _nearest(x, centers):

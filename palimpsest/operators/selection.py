@@ -107,34 +107,44 @@ def mmr_dedupe(df: DataFrame, group: str, key: str, score: str, vec: str, text:
 
 
 def state_mmr(df: DataFrame, group: str, key: str, score: str, vec: str, k: int, trade: float = 0.7) -> DataFrame:
-    """trade * relevance - (1 - trade) * the largest similarity to a chosen one, +0.05 if graph related, +0.02 if the kind
-    differs from the last one's, +0.02 for a new source; the first pick is no turn where that is possible; ties go to the larger key.
+    """trade * relevance - (1 - trade) * the largest similarity to a chosen one; relevance is the score, min-max normalised in the
+    group.  From the second pick on +0.05 if related to a chosen one, +0.02 if the kind differs from the last one's, +0.02 for a
+    new source; the first pick is no turn where that is possible; ties go to the larger key.
 
-    df: kind, source and graph_related besides.
+    df: kind, source and related (array of keys; a relation holds both ways) besides.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
         sim = unit(pdf[vec])
-        sim = sim @ sim.T
-        rel, kinds, sources, related = pdf[score].to_numpy(float), pdf["kind"].tolist(), pdf["source"].tolist(), pdf["graph_related"].tolist()
+        rel, kinds, sources, keys = pdf[score].to_numpy(float), pdf["kind"].tolist(), pdf["source"].tolist(), pdf[key].tolist()
+        low, high = rel.min(), rel.max()
+        rel = (rel - low) / (high - low) if high > low else np.ones(len(rel))
+        near: dict = {x: set() for x in keys}
+        for x, others in zip(keys, pdf["related"], strict=True):
+            for y in others if others is not None else ():
+                near[x].add(y)
+                near.setdefault(y, set()).add(x)
         taken: list[int] = []
-        while len(taken) < min(k, len(pdf)):
-            rest = [i for i in range(len(pdf)) if i not in taken]
-            if not taken and any(kinds[i] != "turn" for i in rest):
-                rest = [i for i in rest if kinds[i] != "turn"]
+        rest, most = list(range(len(pdf))), np.full(len(pdf), 0.0)
+        while rest and len(taken) < k:
+            choices = [i for i in rest if kinds[i] != "turn"] if not taken else rest
+            chosen, seen = {keys[i] for i in taken}, {sources[i] for i in taken}
 
             def value(i: int) -> float:
-                near = max((sim[i, j] for j in taken), default=0.0)
-                out = trade * rel[i] - (1 - trade) * near + 0.05 * bool(related[i])
+                out = trade * rel[i] - (1 - trade) * most[i]
                 if taken:
-                    out += 0.02 * (kinds[i] != kinds[taken[-1]]) + 0.02 * (sources[i] not in {sources[j] for j in taken})
+                    out += 0.05 * bool(near[keys[i]] & chosen) + 0.02 * (kinds[i] != kinds[taken[-1]]) + 0.02 * (sources[i] not in seen)
                 return round(out, 12)
 
-            taken.append(max(rest, key=lambda i: (value(i), pdf[key].iloc[i])))
+            best = max(choices or rest, key=lambda i: (value(i), keys[i]))
+            taken.append(best)
+            rest.remove(best)
+            own = sim @ sim[best]
+            most = own if len(taken) == 1 else np.maximum(most, own)
         return pd.DataFrame({group: pdf[group].iloc[taken], key: pdf[key].iloc[taken], "place": range(1, len(taken) + 1)})
 
-    return _grouped(df.select(group, key, score, vec, "kind", "source", "graph_related"), group, key, fold)
+    return _grouped(df.select(group, key, score, vec, "kind", "source", "related"), group, key, fold)
 
 
 def epsilon_greedy(df: DataFrame, value: str, similarity: str, key: str, k: int, epsilon: float = 0.0, least: float | None = None, seed: int = 7) -> DataFrame:

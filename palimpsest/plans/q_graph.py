@@ -54,7 +54,7 @@ def g3(spark, d):
 @query("g2_expanded_scores")
 def g2b(spark, d):
     base = _seeds(spark, 1, 2, 4).withColumn("score", F.lit(1.0))
-    return graph.expand_scores(base, _edges(spark, d).withColumn("relation", F.lit("supersedes")), {"supersedes": 1.2, "related": 0.7}, rounds=5)
+    return graph.expand_scores(base, _edges(spark, d).withColumn("relation", F.lit("supersedes")), {"supersedes": 1.2, "related": 0.7})
 
 
 @query("g4_k_hop", f"WITH RECURSIVE h AS (SELECT unnest([1, 4])::BIGINT AS id, 0 AS hop UNION SELECT e.t, hop + 1 FROM h JOIN {_E} e ON e.s = h.id WHERE hop < 3) SELECT id, min(hop) AS hop FROM h GROUP BY 1")

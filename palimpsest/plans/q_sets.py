@@ -76,7 +76,7 @@ def d9(spark, d):
 
 @query("d10_state_mmr")
 def d10(spark, d):
-    e = table(spark, d, "embeddings").select("label", "vec_id", (F.pmod(F.col("vec_id") * 37, F.lit(101)) / 101.0).alias("score"), "embedding", F.when(F.col("vec_id") % 3 == 0, "turn").otherwise("claim").alias("kind"), (F.col("vec_id") % 11).alias("source"), (F.col("vec_id") % 5 == 0).alias("graph_related"))
+    e = table(spark, d, "embeddings").select("label", "vec_id", (F.pmod(F.col("vec_id") * 37, F.lit(101)) / 101.0).alias("score"), "embedding", F.when(F.col("vec_id") % 3 == 0, "turn").otherwise("claim").alias("kind"), (F.col("vec_id") % 11).alias("source"), F.array(F.col("vec_id") + 5, F.col("vec_id") - 20).alias("related"))
     return selection.state_mmr(e, "label", "vec_id", "score", "embedding", 8)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,22 +150,42 @@ def nested(parents: DataFrame, children: DataFrame, key: str, child_order: Seque
     return parents.join(children.groupBy(key).agg(F.array_sort(F.collect_list(rows)).alias(name)), key, "left")
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete folders path/v<n>, ascending; on any file system that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
+    names = [f.getPath().getParent().getName()[1:] for f in found]
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _newest(spark: SparkSession, path: str) -> int:
+    return max(_versions(spark, path), default=0)
+
+
 def save_snapshot(tables: Mapping[str, DataFrame], path: str, version: int) -> None:
-    """A Parquet set with its schema version; the manifest is written last, so a snapshot without one is void."""
+    """A Parquet set with its schema version, beside older ones; it counts from when its manifest is complete, so a crash leaves the last one."""
     spark = next(iter(tables.values())).sparkSession
+    data = f"data-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    rows = [(name, version, df.schema.json()) for name, df in tables.items()]
-    spark.createDataFrame(rows, "name STRING, version INT, schema STRING").coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest_table")
+        df.write.parquet(f"{path}/{data}/{name}")
+    rows = [(name, version, df.schema.json(), data) for name, df in tables.items()]
+    manifest = spark.createDataFrame(rows, "name STRING, version INT, schema STRING, data STRING")
+    manifest.coalesce(1).write.parquet(f"{path}/_manifest/v{_newest(spark, f'{path}/_manifest') + 1}")
 
 
 def load_snapshot(spark: SparkSession, path: str, versions: Sequence[int]) -> dict[str, DataFrame]:
-    """The tables of a snapshot; an unknown version is refused."""
+    """The tables of the newest snapshot; an unknown schema version is refused."""
     out = {}
-    for r in spark.read.parquet(f"{path}/_manifest_table").collect():
+    for r in spark.read.parquet(f"{path}/_manifest/v{_newest(spark, f'{path}/_manifest')}").collect():
         if r["version"] not in versions:
             raise ValueError(f"snapshot version {r['version']} of {r['name']}; known: {list(versions)}")
-        out[r["name"]] = spark.read.schema(T.StructType.fromJson(json.loads(r["schema"]))).parquet(f"{path}/{r['name']}")
+        out[r["name"]] = spark.read.schema(T.StructType.fromJson(json.loads(r["schema"]))).parquet(f"{path}/{r['data']}/{r['name']}")
     return out
 
 
@@ -175,15 +196,18 @@ def checksum(df: DataFrame) -> DataFrame:
 
 
 def publish_vectors(df: DataFrame, path: str) -> None:
-    """A vector artifact with its length, row count and checksum beside it."""
-    df.write.mode("overwrite").parquet(f"{path}/vectors")
-    stored = df.sparkSession.read.parquet(f"{path}/vectors")
-    checksum(stored).withColumn("schema", F.lit(stored.schema.json())).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    """A vector artifact with its row count, checksum and schema beside it; older ones count until the new manifest is complete."""
+    spark = df.sparkSession
+    n = max(_newest(spark, f"{path}/vectors"), _newest(spark, f"{path}/manifest")) + 1
+    df.write.parquet(f"{path}/vectors/v{n}")
+    stored = spark.read.parquet(f"{path}/vectors/v{n}")
+    checksum(stored).withColumn("schema", F.lit(stored.schema.json())).coalesce(1).write.parquet(f"{path}/manifest/v{n}")
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """The artifact, refused if rows or schema differ from its manifest."""
-    df, want = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/manifest").first()
+    """The newest artifact, refused if rows or schema differ from its manifest."""
+    n = _newest(spark, f"{path}/manifest")
+    df, want = spark.read.parquet(f"{path}/vectors/v{n}"), spark.read.parquet(f"{path}/manifest/v{n}").first()
     got = checksum(df).first()
     if (got["n"], got["checksum"], df.schema.json()) != (want["n"], want["checksum"], want["schema"]):
         raise ValueError(f"{path} does not match its manifest")
@@ -204,20 +228,38 @@ class VectorTable:
 
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.root, self.name = spark, root.rstrip("/"), name
-        self._rows = spark.createDataFrame([], self.SCHEMA)
-        self._version = 0
+        self._version = _newest(spark, self._path())
+        self._rows = spark.read.schema(self.SCHEMA).parquet(self._path(self._version)) if self._version else spark.createDataFrame([], self.SCHEMA)
+
+    def _path(self, version: int | None = None) -> str:
+        return f"{self.root}/{self.name}" + ("" if version is None else f"/v{version}")
+
+    @staticmethod
+    def collections(spark: SparkSession, root: str) -> list[str]:
+        """Names of the collections under root that hold a version."""
+        marks = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/v*/_SUCCESS")
+        found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
+        return sorted({f.getPath().getParent().getParent().getName() for f in found})
+
+    def drop(self) -> None:
+        """Delete the collection with all its versions."""
+        _remove(self.spark, self._path())
+        self._rows, self._version = self.spark.createDataFrame([], self.SCHEMA), 0
 
     @property
     def rows(self) -> DataFrame:
         return self._rows
 
     def _keep(self, df: DataFrame) -> None:
-        self._version += 1
-        path = f"{self.root}/{self.name}/v{self._version}"
-        df.select(*self.COLUMNS).write.mode("overwrite").parquet(path)
+        """A version beside the others, of the next number that no folder has: one that another writer made is never overwritten."""
+        path = self._path(max(self._version, _newest(self.spark, self._path())) + 1)
+        df.select(*self.COLUMNS).write.parquet(path)
+        self._version = int(path.rsplit("/v", 1)[1])
         self._rows = self.spark.read.schema(self.SCHEMA).parquet(path)
 
     def insert(self, new: DataFrame) -> None:
+        """New ids, or other rows for known ones; of several rows of an id the one with the least payload counts."""
+        new = new.groupBy("id").agg(F.min(F.struct("payload", "vector")).alias("_r")).select("id", "_r.*")
         self._keep(self._rows.join(new.select("id"), "id", "left_anti").select(*self.COLUMNS).unionByName(new.select(*self.COLUMNS)))
 
     def update(self, changed: DataFrame) -> None:

@@ -73,27 +73,89 @@ def test_components(spark):
 
 def test_mmr_equals_naive(spark):
     rng = np.random.default_rng(3)
-    rows = [(0, i, float(rng.random()), rng.normal(size=4).tolist(), ["turn", "claim"][i % 2], i % 3, i % 4 == 0) for i in range(24)]
-    df = spark.createDataFrame(rows, "g int, k int, score double, vec array<double>, kind string, source int, graph_related boolean")
+    rows = [(0, i, float(rng.random() * 5 - 2), rng.normal(size=4).tolist(), ["turn", "claim"][i % 2], i % 3, [(i * 7) % 24] if i % 4 == 0 else None) for i in range(24)]
+    df = spark.createDataFrame(rows, "g int, k int, score double, vec array<double>, kind string, source int, related array<int>")
     got = [r.k for r in selection.state_mmr(df, "g", "k", "score", "vec", 8).orderBy("place").collect()]
     v = {r[1]: np.array(r[3]) / np.linalg.norm(r[3]) for r in rows}
     by = {r[1]: r for r in rows}
+    low, high = min(r[2] for r in rows), max(r[2] for r in rows)
+    pairs = {(r[1], y) for r in rows for y in r[6] or ()}
     want: list[int] = []
+
+    def value(k):
+        out = 0.7 * (by[k][2] - low) / (high - low) - 0.3 * max((float(v[k] @ v[j]) for j in want), default=0.0)
+        if want:
+            out += 0.05 * any((k, j) in pairs or (j, k) in pairs for j in want) + 0.02 * (by[k][4] != by[want[-1]][4]) + 0.02 * (by[k][5] not in {by[j][5] for j in want})
+        return round(out, 12)
+
     while len(want) < 8:
         rest = [k for k in by if k not in want and (want or by[k][4] != "turn")]
-        value = lambda k: round(0.7 * by[k][2] - 0.3 * max((float(v[k] @ v[j]) for j in want), default=0.0) + 0.05 * by[k][6] + (0.02 * (by[k][4] != by[want[-1]][4]) + 0.02 * (by[k][5] not in {by[j][5] for j in want}) if want else 0), 12)
         want.append(max(rest, key=lambda k: (value(k), k)))
     assert got == want
 
 
+def test_expansion_equals_naive(spark):
+    edges = [("a", "b", "SUPERSEDES"), ("b", "c", "REFINES"), ("c", "d", "REFINES"), ("x", "a", "REFINES"), ("a", "y", "UNKNOWN"), ("b", "a", "SUPERSEDES"), ("e", "c", "CONFLICTS_WITH")]
+    base, weights = {"a": 2.0, "e": 1.0, "f": 0.5}, {"SUPERSEDES": 1.2, "REFINES": 1.0, "CONFLICTS_WITH": 0.8}
+    got = {r.id: r.score for r in graph.expand_scores(spark.createDataFrame(list(base.items()), "id string, score double"), spark.createDataFrame(edges, "source_id string, target_id string, relation string"), weights).collect()}
+    near = {}
+    for s, t, r in edges:
+        if r in weights:
+            near.setdefault(s, []).append((t, weights[r]))
+    seen = set(base)
+    for _ in range(2):
+        seen |= {t for s in seen for t, _ in near.get(s, [])}
+    start = {i: base.get(i, 0.0) / sum(base.values()) for i in seen}
+    rank = dict(start)
+    for _ in range(20):
+        after, loose = {i: 0.15 * start[i] for i in seen}, 0.0
+        for s in seen:
+            out = [(t, w) for t, w in near.get(s, []) if t in seen]
+            loose += 0 if out else rank[s]
+            for t, w in out:
+                after[t] += 0.85 * rank[s] * w / sum(x for _, x in out)
+        after = {i: x + 0.85 * loose * start[i] for i, x in after.items()}
+        change, rank = sum(abs(after[i] - rank[i]) for i in seen), after
+        if change < 1e-6:
+            break
+    low, high = min(base.values()), max(base.values())
+    want = {i: (0.65 * (base[i] - low) / (high - low) if i in base else 0) + 0.35 * rank[i] for i in seen}
+    assert got.keys() == want.keys() == {"a", "b", "c", "d", "e", "f"} - ({"d"} - seen) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def states(spark, rows):
+    """rows: (id, decision, value, session, recorded day, valid_from day or None, correction)."""
+    day = lambda n: None if n is None else f"2024-01-{n:02} 00:00:00"
+    df = spark.createDataFrame([("me", "home", c, d, v, s, q, day(q), day(f), x) for c, d, v, s, q, f, x in rows], "subject string, slot string, claim_id int, decision string, value string, session string, seq int, recorded string, valid_from string, correction boolean")
+    return {r.claim_id: r for r in bitemporal.compile_states(df.withColumn("recorded", F.col("recorded").cast("timestamp")).withColumn("valid_from", F.col("valid_from").cast("timestamp"))).collect()}
+
+
 def test_state_machine(spark):
-    rows = [(1, "NEW", "v1", "s1", 1), (2, "CORROBORATE", "v1", "s1", 2), (3, "CORROBORATE", "v1", "s2", 3), (4, "SUPERSEDE", "v2", "s3", 4), (5, "CONFLICT", "v3", "s4", 5), (6, "EPISODIC", "v", "s5", 6)]
-    df = spark.createDataFrame([("me", "home", c, d, v, s, q, f"2024-01-0{q} 00:00:00", None) for c, d, v, s, q in rows], "subject string, slot string, claim_id int, decision string, value string, session string, seq int, recorded string, valid_from string")
-    df = df.withColumn("recorded", F.col("recorded").cast("timestamp")).withColumn("valid_from", F.col("valid_from").cast("timestamp"))
-    got = {r.claim_id: r for r in bitemporal.compile_states(df).collect()}
-    assert got[2].operation == "DUPLICATE" and got[3].operation == "CORROBORATE" and got[1].evidence == 3
+    got = states(spark, [(1, "NEW", "v1", "s1", 1, None, False), (2, "CORROBORATE", "v1", "s1", 2, None, False), (3, "CORROBORATE", "v1", "s2", 3, None, False), (4, "SUPERSEDE", "v2", "s3", 4, 4, False), (5, "CONFLICT", "v3", "s4", 5, None, False), (6, "EPISODIC", "v", "s5", 6, None, False), (7, "REFINE", "v4", "s6", 7, None, False), (8, "NEW", "v5", "s7", 8, 8, False)])
+    assert got[2].operation == "DUPLICATE" and got[3].operation == "CORROBORATE" and got[1].evidence == 3 and got[2].status == "merged"
     assert got[1].status == "superseded" and str(got[1].ends_at)[:10] == "2024-01-04"
-    assert got[4].status == got[5].status == "contested" and got[6].status == "episodic"
+    assert got[4].status == "contested" and got[6].status == "standalone"
+    assert got[5].status == "refined" and got[5].ends_at is None  # refining closes nothing
+    assert got[7].status == got[8].status == "active" and got[7].ends_at is None  # nor does something new
+    assert [got[i].version for i in range(1, 9)] == [1, 0, 0, 2, 3, 0, 4, 5]
+
+
+@pytest.mark.parametrize(
+    "old_from, new, ends",
+    [
+        (None, (9, None, False), None),  # no new validity: the interval stays open
+        (2, (9, 7, False), 7),
+        (2, (9, 4, False), 9),  # before the old one was recorded: the record time
+        (2, (9, 4, True), 4),  # but for a correction
+        (5, (9, 3, True), 9),  # not even a correction goes behind the beginning
+        (20, (9, 3, False), None),  # nor does the record time
+        (None, (9, 3, True), 3),
+    ],
+)
+def test_closing(spark, old_from, new, ends):
+    recorded, valid_from, correction = new
+    got = states(spark, [(1, "NEW", "a", "s1", 5, old_from, False), (2, "SUPERSEDE", "b", "s2", recorded, valid_from, correction)])
+    assert got[1].status == "superseded" and (got[1].ends_at.day if got[1].ends_at else None) == ends
 
 
 def test_budget_cut_and_stop(spark):

@@ -30,7 +30,7 @@ def test_vector_artifact_is_checked(spark, tmp_path):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, vector array<double>")
     ingest.publish_vectors(df, str(tmp_path))
     assert ingest.load_vectors(spark, str(tmp_path)).count() == 2
-    df.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/vectors")
+    df.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/vectors/v1")
     with pytest.raises(ValueError):
         ingest.load_vectors(spark, str(tmp_path))
 
@@ -46,6 +46,22 @@ def test_vector_table(spark, tmp_path):
     assert t.get("a").first()["payload"] == "z" and t.get("a").first()["vector"] == [1.0, 0.0]
     t.delete(spark.createDataFrame([("b",)], "id string"))
     assert [r.id for r in t.list().collect()] == ["a"]
+    again = ingest.VectorTable(spark, str(tmp_path), "c")
+    assert [r.id for r in again.list().collect()] == ["a"]
+    again.insert(rows.unionByName(rows))
+    assert again.info().first()["n"] == 2 and ingest.VectorTable.collections(spark, str(tmp_path)) == ["c"]
+    t.delete(rows.select("id"))  # of an older state: a version of its own
+    assert again.rows.count() == 2 and ingest.VectorTable(spark, str(tmp_path), "c").rows.count() == 0
+    again.drop()
+    assert ingest.VectorTable.collections(spark, str(tmp_path)) == [] and ingest.VectorTable(spark, str(tmp_path), "c").rows.count() == 0
+
+
+def test_snapshots_stand_beside_each_other(spark, tmp_path):
+    for n in (1, 2):
+        ingest.save_snapshot({"claims": spark.range(n)}, str(tmp_path), 2)
+        ingest.publish_vectors(spark.range(n), f"{tmp_path}/vectors")
+    spark.range(9).write.parquet(f"{tmp_path}/data-of-a-crash/claims")
+    assert ingest.load_snapshot(spark, str(tmp_path), [2])["claims"].count() == 2 and ingest.load_vectors(spark, f"{tmp_path}/vectors").count() == 2
 
 
 def test_upsert_keeps_first_owner_and_known_embedding(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,35 +44,48 @@ def similar_pairs(df: DataFrame, key: str, vec: str, least: float, group: Column
     return base.join(other, (base["g"] == other["g"]) & (F.col("a") < F.col("b"))).select("a", "b", vectors.dot(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") > least)
 
 
-def knn(queries: DataFrame, candidates: DataFrame, key: str, vec: str, k: int, block: int = 1024) -> DataFrame:
-    """(query, candidate, rank, score): k best inner products by query block and candidate batch, merged.
+def knn(queries: DataFrame, candidates: DataFrame, key: str, vec: str, k: int, chunk_bytes: int = 8 << 20, block: int = 1024) -> DataFrame:
+    """(query, candidate, rank, score): the k best inner products (six digits) of each query, ties to the smaller candidate.
 
-    Query blocks go to every candidate batch; each batch keeps k for a query, so what is merged is
-    small whatever the candidates' number.
+    Queries go in chunks of about chunk_bytes, each broadcast to one pass over the candidates; a task holds one block of
+    candidates and k rows for each query of the chunk.
     """
     import numpy as np
     import pandas as pd
 
-    q = queries.select(F.col(key).alias("query"), F.col(vec).alias("qv"))
-    blocks = q.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query"), F.lit(64))).orderBy("query")) - 1) / block))
-    packed = blocks.groupBy(F.pmod(F.xxhash64("query"), F.lit(64)).alias("salt"), "block").agg(F.collect_list(F.struct("query", "qv")).alias("qs"))
-    batches = candidates.select(F.col(key).alias("candidate"), F.col(vec).alias("cv"), F.pmod(F.xxhash64(key), F.lit(32)).alias("batch"))
-    packed_c = batches.groupBy("batch").agg(F.collect_list(F.struct("candidate", "cv")).alias("cs"))
-
-    def best(parts):
-        for pdf in parts:
-            for _, r in pdf.iterrows():
-                qs, cs = r["qs"], r["cs"]
-                scores = np.array([x["qv"] for x in qs], float) @ np.array([x["cv"] for x in cs], float).T
-                ids = np.array([x["candidate"] for x in cs])
-                for x, row in zip(qs, scores, strict=True):
-                    row = np.round(row, 6)
-                    own = np.lexsort((ids, -row))
-                    own = own[ids[own] != x["query"]][:k]
-                    yield pd.DataFrame({"query": x["query"], "candidate": ids[own], "score": row[own]})
-
-    pairs = packed.crossJoin(packed_c)  # blocks by batches, not rows by rows
-    return top_k(pairs.mapInPandas(best, "query long, candidate long, score double"), ["query"], [F.desc("score"), "candidate"], k)
+    context = queries.sparkSession.sparkContext
+    q = queries.select(F.col(key).alias("query"), F.col(vec).cast("array<double>").alias("qv")).filter("qv is not null")
+    c = candidates.select(F.col(key).alias("candidate"), F.col(vec).cast("array<double>").alias("cv")).filter("cv is not null")
+    n_chunks = max(1, -(-(q.agg(F.sum(8 * F.size("qv") + 64)).first()[0] or 0) // chunk_bytes))
+
+    def nearest(shared):
+        def run(parts):
+            ids, rows = shared.value
+            kept_s, kept_c = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+            for pdf in parts:
+                for i in range(0, len(pdf) if len(ids) else 0, block):
+                    own = pdf["candidate"].to_numpy()[i : i + block]
+                    scores = np.round(rows @ np.stack(pdf["cv"].to_numpy()[i : i + block]).T, 6)
+                    scores[ids[:, None] == own] = -np.inf
+                    news = np.flatnonzero((scores >= kept_s[:, -1:]).any(1))
+                    s = np.hstack([kept_s[news], scores[news]])
+                    at = np.hstack([kept_c[news], np.broadcast_to(own, (len(news), len(own)))])
+                    order = np.lexsort((at, -s), axis=1)[:, :k]
+                    kept_s[news], kept_c[news] = np.take_along_axis(s, order, 1), np.take_along_axis(at, order, 1)
+            real = np.isfinite(kept_s)
+            yield pd.DataFrame({"query": np.repeat(ids, real.sum(1)), "candidate": kept_c[real], "score": kept_s[real]})
+
+        return run
+
+    found = []
+    for n in range(n_chunks):
+        rows = q.filter(F.pmod(F.xxhash64("query"), F.lit(n_chunks)) == n).collect()
+        if rows:
+            shared = context.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)))
+            found.append(c.mapInPandas(nearest(shared), "query long, candidate long, score double"))
+    if not found:
+        return q.sparkSession.createDataFrame([], "query long, candidate long, score double, rank int")
+    return top_k(reduce(DataFrame.unionByName, found), ["query"], [F.desc("score"), "candidate"], k)
 
 
 def earlier_neighbours(df: DataFrame, key: str, ts: str, vec: str, group: str, k: int) -> DataFrame:

@@ -32,10 +32,10 @@ def n3(spark, d):
     return w.select("word", stem.porter("word").alias("stem"))
 
 
-@query("n4_number_words", "SELECT l_orderkey, l_linenumber, 'row ' || l_linenumber || ' of 12' AS phrase FROM lineitem WHERE l_linenumber <= 3")
+@query("n4_number_words", "SELECT l_orderkey, l_linenumber, 'row ' || l_linenumber || ' of 12' AS phrase FROM lineitem")
 def n4(spark, d):
-    name = F.element_at(F.array(F.lit("One"), F.lit("two"), F.lit("THREE")), F.col("l_linenumber"))
-    return table(spark, d, "lineitem").filter("l_linenumber <= 3").select("l_orderkey", "l_linenumber", tx.number_words(F.concat_ws(" ", F.lit("row"), name, F.lit("of twelve"))).alias("phrase"))
+    name = F.element_at(F.array(*map(F.lit, ("One", "two", "THREE", "Four", "five", "SIX", "Seven"))), F.col("l_linenumber"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tx.number_words(F.concat_ws(" ", F.lit("row"), name, F.lit("of twelve"))).alias("phrase"))
 
 
 @query("n5_option_letters", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B,D' ELSE '' END AS letters FROM part")
@@ -49,9 +49,9 @@ def n6(spark, d):
     return _docs(spark, d).select("doc_id", F.size(tx.alnum_tokens(F.col("text"))).cast("long").alias("n"))
 
 
-@query("n7_language", "SELECT doc_id, CASE WHEN (length(t) - length(regexp_replace(t, '[一-鿿]', '', 'g'))) / length(t) > 0.1 THEN 'zh' ELSE 'en' END AS language FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '中文字符' || substr(text, 1, 12) ELSE text END AS t FROM documents)")
+@query("n7_language", "SELECT doc_id, CASE WHEN (length(t) - length(regexp_replace(t, '[一-鿿]', '', 'g'))) / length(t) > 0.1 THEN 'zh' ELSE 'en' END AS language FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN repeat('中文字符', length(text) // 20 + 1) || text ELSE text END AS t FROM documents)")
 def n7(spark, d):
-    t = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("中文字符"), F.substring("text", 1, 12))).otherwise(F.col("text"))
+    t = F.when(F.col("doc_id") % 10 == 0, F.expr("concat(repeat('中文字符', cast(length(text) div 20 + 1 as int)), text)")).otherwise(F.col("text"))
     return _docs(spark, d).select("doc_id", tx.language(t).alias("language"))
 
 

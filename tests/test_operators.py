@@ -94,6 +94,20 @@ def test_mmr_equals_naive(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("cap", [None, 4])
+def test_diverse_subset_equals_naive(spark, cap):
+    rng = np.random.default_rng(5)
+    rows = [(i % 3, i, float(rng.integers(0, 9)), rng.normal(size=3).tolist()) for i in range(60)]
+    got = selection.greedy_diverse(spark.createDataFrame(rows, "g int, k int, score double, vec array<double>"), "g", "k", "score", "vec", 0.4, cap).collect()
+    for g in range(3):
+        want: list = []
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+            near = [np.dot(r[3], w[3]) / np.linalg.norm(r[3]) / np.linalg.norm(w[3]) for w in want]
+            if (cap is None or len(want) < cap) and all(x <= 0.4 for x in near):
+                want.append(r)
+        assert [r.k for r in sorted(got, key=lambda r: r.place) if r.g == g] == [r[1] for r in want]
+
+
 def test_expansion_equals_naive(spark):
     edges = [("a", "b", "SUPERSEDES"), ("b", "c", "REFINES"), ("c", "d", "REFINES"), ("x", "a", "REFINES"), ("a", "y", "UNKNOWN"), ("b", "a", "SUPERSEDES"), ("e", "c", "CONFLICTS_WITH")]
     base, weights = {"a": 2.0, "e": 1.0, "f": 0.5}, {"SUPERSEDES": 1.2, "REFINES": 1.0, "CONFLICTS_WITH": 0.8}

@@ -254,16 +254,6 @@ def merge_nodes(edges: DataFrame, merged: DataFrame, lineage: str = "MERGED_TO")
     return stay.unionByName(fresh.select("source_id", "target_id", "relation"))
 
 
-def similar_candidates(df: DataFrame, key: str, vec: str, bucket: str, k: int, least: float) -> DataFrame:
-    """For each row the k most similar ones of its bucket over the score, itself left out."""
-    from palimpsest.functions.vectors import cosine
-
-    a = df.select(F.col(key).alias("id"), F.col(vec).alias("va"), bucket)
-    b = df.select(F.col(key).alias("other"), F.col(vec).alias("vb"), bucket)
-    pairs = a.join(b, bucket).filter("id <> other").select("id", "other", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score"))
-    return top_k(pairs.filter(F.col("score") >= least), ["id"], [F.desc("score"), "other"], k)
-
-
 def merged_metadata(a: DataFrame, b: DataFrame, fields: list[str], sources: str) -> DataFrame:
     """Rows of both by id: the first non-null of each field, sources joined."""
     x, y = a.alias("x"), b.alias("y")

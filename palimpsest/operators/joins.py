@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.functions import vectors
-from palimpsest.operators.ranking import ranked, top_k
+from palimpsest.operators import blocks, containment
+from palimpsest.operators.ranking import top_k
+from palimpsest.operators.tables import cut
 
 
 def translate_ids(df: DataFrame, by: str, ids: str, mapping: DataFrame) -> DataFrame:
@@ -32,18 +33,6 @@ def evidence_turns(claims: DataFrame, turns: DataFrame, at_most: int = 4) -> Dat
     return top_k(e.join(turns, ["episode_id", "turn_id"]), ["claim_id"], ["_e", "pos", "turn_id"], at_most).drop("_e")
 
 
-def similar_pairs(df: DataFrame, key: str, vec: str, least: float, group: Column | None = None) -> DataFrame:
-    """(a, b, similarity) for a < b with cosine over `least`.
-
-    Pass `group` wherever the data has one: the join is then an equi-join on it.  Without it every
-    pair is compared, in codegen, which suits bounded tables only.
-    """
-    g = F.lit(0) if group is None else group
-    base = df.select(F.col(key).alias("a"), g.alias("g"), vectors.normalized(F.col(vec)).alias("va"))
-    other = base.select(F.col("a").alias("b"), "g", F.col("va").alias("vb"))
-    return base.join(other, (base["g"] == other["g"]) & (F.col("a") < F.col("b"))).select("a", "b", vectors.dot(F.col("va"), F.col("vb")).alias("similarity")).filter(F.col("similarity") > least)
-
-
 def knn(queries: DataFrame, candidates: DataFrame, key: str, vec: str, k: int, chunk_bytes: int = 8 << 20, block: int = 1024) -> DataFrame:
     """(query, candidate, rank, score): the k best inner products (six digits) of each query, ties to the smaller candidate.
 
@@ -88,14 +77,6 @@ def knn(queries: DataFrame, candidates: DataFrame, key: str, vec: str, k: int, c
     return top_k(reduce(DataFrame.unionByName, found), ["query"], [F.desc("score"), "candidate"], k)
 
 
-def earlier_neighbours(df: DataFrame, key: str, ts: str, vec: str, group: str, k: int) -> DataFrame:
-    """For each entry the k most similar ones of its group that are not later, itself left out."""
-    a = df.select(F.col(key).alias("id"), F.col(group).alias("g"), F.col(ts).alias("t"), vectors.normalized(F.col(vec)).alias("v"))
-    b = a.select(F.col("id").alias("other"), F.col("g"), F.col("t").alias("t2"), F.col("v").alias("v2"))
-    pairs = a.join(b, "g").filter((F.col("t2") <= F.col("t")) & (F.col("id") != F.col("other")))
-    return top_k(pairs.select("id", "other", F.round(vectors.dot(F.col("v"), F.col("v2")), 6).alias("score")), ["id"], [F.desc("score"), "other"], k)
-
-
 def reverse_queue(queue: DataFrame, least: float) -> DataFrame:
     """Who lists me: queue (id, other, score) turned round, entries with at least the score, best first."""
     entry = F.struct((-F.col("score")).alias("s"), F.col("id"))
@@ -148,11 +129,17 @@ def rematch(saved: DataFrame, dataset: DataFrame, signature: list[str]) -> DataF
     return a.unionByName(b)
 
 
-def contained_in(chunks: DataFrame, originals: DataFrame, bucket: str) -> DataFrame:
-    """(chunk_id, original_id) where the stripped chunk is part of the original of the same bucket."""
+def contained_in(chunks: DataFrame, originals: DataFrame) -> DataFrame:
+    """(chunk_id, original_id) where the stripped chunk (chunk_id, chunk) is part of the original (original_id, original).
+
+    An empty chunk is part of every text; null ones take no part.  See operators.containment for the search.
+    """
     bare = F.regexp_replace(F.regexp_replace("chunk", r"^Date: [^\n]*\n", ""), r"^(user|assistant): ", "")
-    c = chunks.withColumn("bare", bare)
-    return c.join(originals, bucket).filter(F.col("original").contains(F.col("bare"))).select("chunk_id", "original_id")
+    c = chunks.select("chunk_id", bare.alias("bare")).filter("bare is not null")
+    o = originals.filter("original is not null").withColumn("digest", F.sha2("original", 256))
+    texts = o.groupBy("digest").agg(F.first("original").alias("text"))
+    found = containment.parts(c.select("bare").distinct(), texts)
+    return found.join(c, "bare").join(o.select("original_id", "digest"), "digest").select("chunk_id", "original_id")
 
 
 def roll_up(facts: DataFrame, fact_to_gist: DataFrame, gists: DataFrame, gist_to_verbatim: DataFrame, fact_weight: float) -> DataFrame:
@@ -177,7 +164,21 @@ def existing_edges(chunk_nodes: DataFrame, chunk_relations: DataFrame, edges: Da
     return every.join(edges, ["source_id", "target_id", "relation"], "left_semi")
 
 
-def closest(items: DataFrame, candidates: DataFrame, bucket: str) -> DataFrame:
-    """For each item the other candidate of its bucket with the least edit distance, then the smaller id."""
-    pairs = items.join(candidates, bucket).filter("item_id <> candidate_id").withColumn("distance", F.levenshtein("item", "candidate"))
-    return ranked(pairs, ["item_id"], ["distance", "candidate_id"]).filter("rank = 1").select("item_id", "candidate_id", "distance")
+def closest(items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For each item the other candidate with the least edit distance, then the smaller id, over the whole tables.
+
+    A text that another id bears too is its own closest; only the others are compared, each distinct text once.
+    """
+    kind = candidates.schema["candidate_id"].dataType
+    rows = candidates.filter("candidate is not null")
+    ids = rows.groupBy("candidate").agg(F.min("candidate_id").alias("first"))
+    second = rows.join(ids, "candidate").filter("candidate_id > first").groupBy("candidate").agg(F.min("candidate_id").alias("second"))
+    ids = cut(ids.join(second, "candidate", "left"), "closest-texts")
+    own = items.filter("item is not null").join(ids.withColumnRenamed("candidate", "item"), "item", "left")
+    twin = F.when(F.col("first") != F.col("item_id"), F.col("first")).otherwise(F.col("second")).cast(kind)
+    own = cut(own.select("item_id", "item", twin.alias("candidate_id")), "closest-items")
+    same = own.filter("candidate_id is not null").select("item_id", "candidate_id", F.lit(0).alias("distance"))
+    alone = own.filter("candidate_id is null").select("item_id", "item")
+    near = blocks.closest_texts(alone.select("item").distinct(), ids.select("candidate"))
+    near = near.join(ids.select("candidate", "first"), "candidate").groupBy("item", "distance").agg(F.min("first").alias("candidate_id"))
+    return same.unionByName(alone.join(near, "item").select("item_id", "candidate_id", "distance"))

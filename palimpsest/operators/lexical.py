@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.functions import text as tx
 from palimpsest.operators.ranking import min_max, top_k
@@ -67,15 +68,21 @@ def tfidf_vectors(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return raw.join(length, "doc").select("doc", "term", (F.col("w") / F.col("len")).alias("w"))
 
 
-def tfidf_pairs(vectors: DataFrame, other: DataFrame | None = None, bucket: str | None = None) -> DataFrame:
-    """([bucket,] a, b, similarity) of pairs that share a term (and the bucket, where there is one); a < b within one set."""
-    own = [bucket] if bucket else []
-    x = vectors.select(*own, F.col("doc").alias("a"), "term", F.col("w").alias("wa"))
-    y = (vectors if other is None else other).select(*own, F.col("doc").alias("b"), "term", F.col("w").alias("wb"))
-    pairs = x.join(y, ["term", *own])
-    if other is None:
-        pairs = pairs.filter(F.col("a") < F.col("b"))
-    return pairs.groupBy(*own, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
+def tfidf_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) for a < b of unit vectors (doc, term, w) whose cosine is at least `least` (over 0), over the whole table.
+
+    A document's most frequent terms, as long as their part of the vector is shorter than `least`, can't make a pair by
+    themselves: two similar documents share a term among the rest, so only those terms are joined on; then the pair's
+    cosine is summed over all terms.
+    """
+    df = vectors.groupBy("term").agg(F.count("*").alias("df"))
+    up_to = Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    marked = cut(vectors.join(df, "term").select("doc", "term", "w", F.sum(F.col("w") * F.col("w")).over(up_to).alias("mass")), "tfidf")
+    rest = marked.filter(F.col("mass") >= least * least - 1e-9)
+    x, y = rest.select(F.col("doc").alias("a"), "term"), rest.select(F.col("doc").alias("b"), "term")
+    pairs = x.join(y, "term").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    whole = pairs.join(marked.select(F.col("doc").alias("a"), "term", F.col("w").alias("wa")), "a").join(marked.select(F.col("doc").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
+    return whole.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def key_tag_search(scores: DataFrame, second: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
@@ -88,8 +95,6 @@ def key_tag_search(scores: DataFrame, second: DataFrame, k: int, weight: float =
 def hybrid(bm25: DataFrame, dense: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
     """alpha * normalised bm25 + (1 - alpha) * cosine over the documents of either list."""
     both = bm25.select("query", "doc", F.col("score").alias("lexical")).join(dense.select("query", "doc", F.col("score").alias("dense")), ["query", "doc"], "full_outer").fillna(0.0, ["lexical", "dense"])
-    from pyspark.sql.window import Window
-
     over = Window.partitionBy("query")
     low, high = F.min("lexical").over(over), F.max("lexical").over(over)
     norm = (F.col("lexical") - low) / (high - low + 1e-6)
@@ -118,8 +123,6 @@ def full_text(queries: DataFrame, docs: DataFrame, fields: dict[str, float], k:
     match = (F.col("word") == F.col("term")) | ((F.char_length("term") >= 3) & F.col("word").startswith(F.col("term")))
     hits = term.join(posts, "head").filter(match).groupBy("query", "doc", "n", "term").agg(F.max("weight").alias("w"))
     scored = hits.groupBy("query", "doc", "n").agg(F.count("*").alias("found"), F.sum("w").alias("score"))
-    from pyspark.sql.window import Window
-
     any_full = F.max((F.col("found") == F.col("n")).cast("int")).over(Window.partitionBy("query")) == 1
     kept = scored.withColumn("any_full", any_full).filter(~F.col("any_full") | (F.col("found") == F.col("n")))
     return top_k(kept.select("query", "doc", F.round("score", 6).alias("score")), ["query"], [F.desc("score"), "doc"], k)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators import blocks
 from palimpsest.operators.ranking import ranked
+from palimpsest.operators.tables import cut
 
 
 def normalized_ids(ids: Column) -> Column:
@@ -56,33 +59,23 @@ def connected_only(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 def merge_target(task: DataFrame, rows: DataFrame, vec: str, key: str, least: float = 0.85) -> DataFrame:
     """For each task the one most similar row, if similar enough."""
-    from palimpsest.functions.vectors import cosine
-    from palimpsest.operators.ranking import top_k
+    found = blocks.neighbours(task, rows, key, vec, 1, least)
+    return found.select(F.col("id").alias("task"), F.col("other").alias("target"), F.col("score").alias("similarity"))
 
-    pairs = task.select(F.col(key).alias("task"), F.col(vec).alias("tv"), "bucket").join(rows.select(F.col(key).alias("target"), F.col(vec).alias("rv"), "bucket"), "bucket")
-    scored = pairs.filter("task <> target").select("task", "target", F.round(cosine(F.col("tv"), F.col("rv")), 6).alias("similarity"))
-    return top_k(scored, ["task"], [F.desc("similarity"), "target"], 1).filter(F.col("similarity") >= least).drop("rank")
 
-
-def greedy_near_duplicates(pairs: DataFrame, items: DataFrame, key: str, group: str, least: float) -> DataFrame:
+def greedy_near_duplicates(pairs: DataFrame, items: DataFrame, key: str, least: float) -> DataFrame:
     """Items kept by the sweep: i stays unless an earlier kept one is at least that similar; removed ones remove none.
 
-    pairs: (group, a, b, similarity) with a before b.  Sequential inside a group.
+    pairs: (a, b, similarity) with a before b.  In rounds: whoever has no undecided earlier neighbour is kept, its later
+    neighbours go.  Every round decides the first of what is left, so the rounds end; groups of copies take one.
     """
-    import pandas as pd
-
-    def sweep(a_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        for a, b in zip(right.a, right.b, strict=True):
-            after.setdefault(a, []).append(b)
-        gone: set = set()
-        kept = []
-        for i in sorted(left[key]):
-            if i not in gone:
-                kept.append(i)
-                gone.update(after.get(i, ()))
-        return pd.DataFrame({group: [a_key[0]] * len(kept), key: kept})
-
-    close = pairs.filter(F.col("similarity") >= least).select(group, "a", "b")
-    names = {f.name: f.dataType.simpleString() for f in items.schema}
-    return items.select(group, key).groupBy(group).cogroup(close.groupBy(group)).applyInPandas(sweep, f"{group} {names[group]}, {key} {names[key]}")
+    live = cut(pairs.filter(F.col("similarity") >= least).select("a", "b"), "sweep")
+    gone = []
+    while not live.isEmpty():
+        first = live.join(live.select(F.col("b").alias("a")), "a", "left_anti")
+        out = cut(first.select("b").distinct(), "sweep-gone")
+        gone.append(out)
+        held = live.join(first.select("a").distinct(), "a", "left_anti")
+        live = cut(held.join(out.select(F.col("b").alias("a")), "a", "left_anti").join(out, "b", "left_anti").select("a", "b"), "sweep")
+    kept = items.select(key)
+    return kept.join(reduce(DataFrame.unionByName, gone).withColumnRenamed("b", key), key, "left_anti") if gone else kept

@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (where or os.path.join(tempfile.gettempdir(), "palimpsest-shared")).rstrip("/")
+    """spark.checkpoint.dir; where it is unset, as in tests, a local folder if all runs on one machine."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = os.path.join(tempfile.gettempdir(), "palimpsest-shared")
+    return where.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import joins
+from palimpsest.operators import blocks, joins
 from palimpsest.plans.registry import query, table
 
 DOT = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -42,9 +42,9 @@ def j4(spark, d):
     return joins.evidence_turns(claims, turns).select("claim_id", "pos")
 
 
-@query("j5_similar_pairs", f"SELECT x.vec_id AS a, y.vec_id AS b, round({cos('x.embedding', 'y.embedding')}, 6) AS similarity FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE {cos('x.embedding', 'y.embedding')} > 0.3")
+@query("j5_similar_pairs", f"SELECT x.vec_id AS a, y.vec_id AS b, round({cos('x.embedding', 'y.embedding')}, 6) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {cos('x.embedding', 'y.embedding')} > 0.3")
 def j5(spark, d):
-    return joins.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3, F.col("label")).withColumn("similarity", F.round("similarity", 6))
+    return blocks.pairs_over(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("j6_blocked_knn", f"""SELECT query, candidate, score FROM (SELECT x.vec_id AS query, y.vec_id AS candidate, round({DOT.format(a='x.embedding', b='y.embedding')}, 6) AS score,
@@ -55,13 +55,14 @@ def j6(spark, d):
 
 
 @query("j7_earlier_neighbours", f"""SELECT id, other, score FROM (SELECT x.vec_id AS id, y.vec_id AS other, round({cos('x.embedding', 'y.embedding')}, 6) AS score,
-row_number() OVER (PARTITION BY x.vec_id ORDER BY round({cos('x.embedding', 'y.embedding')}, 6) DESC, y.vec_id) AS r FROM embeddings x JOIN embeddings y ON x.label = y.label AND y.vec_id < x.vec_id) WHERE r <= 3""")
+row_number() OVER (PARTITION BY x.vec_id ORDER BY round({cos('x.embedding', 'y.embedding')}, 6) DESC, y.vec_id) AS r FROM embeddings x JOIN embeddings y ON y.vec_id < x.vec_id) WHERE r <= 3""")
 def j7(spark, d):
-    return joins.earlier_neighbours(table(spark, d, "embeddings").withColumn("t", F.col("vec_id")), "vec_id", "t", "embedding", "label", 3).select("id", "other", "score")
+    e = table(spark, d, "embeddings")
+    return blocks.neighbours(e, e, "vec_id", "embedding", 3, not_after="vec_id").select("id", "other", "score")
 
 
 @query("j8_reverse_queue", f"""SELECT other, string_agg(CAST(id AS VARCHAR), ',' ORDER BY score DESC, id) AS listed_by FROM (SELECT id, other, score FROM (SELECT x.vec_id AS id, y.vec_id AS other, round({cos('x.embedding', 'y.embedding')}, 6) AS score,
-row_number() OVER (PARTITION BY x.vec_id ORDER BY round({cos('x.embedding', 'y.embedding')}, 6) DESC, y.vec_id) AS r FROM embeddings x JOIN embeddings y ON x.label = y.label AND y.vec_id < x.vec_id) WHERE r <= 3) WHERE score >= 0.2 GROUP BY other""")
+row_number() OVER (PARTITION BY x.vec_id ORDER BY round({cos('x.embedding', 'y.embedding')}, 6) DESC, y.vec_id) AS r FROM embeddings x JOIN embeddings y ON y.vec_id < x.vec_id) WHERE r <= 3) WHERE score >= 0.2 GROUP BY other""")
 def j8(spark, d):
     return joins.reverse_queue(j7(spark, d), 0.2).select("other", F.array_join(F.col("listed_by").cast("array<string>"), ",").alias("listed_by"))
 
@@ -142,11 +143,11 @@ def j16(spark, d):
     return c.groupBy(F.ceil(F.col("cum") / 1000.0).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("n_user"))
 
 
-@query("j17_contained", "SELECT a.doc_id AS chunk_id, b.doc_id AS original_id FROM documents a JOIN documents b ON a.lang = b.lang AND a.source = b.source AND contains(b.text, substr(a.text, 11, 40))")
+@query("j17_contained", "SELECT a.doc_id AS chunk_id, b.doc_id AS original_id FROM documents a JOIN documents b ON contains(b.text, substr(a.text, 11, 40))")
 def j17(spark, d):
-    docs = table(spark, d, "documents").withColumn("bucket", F.concat_ws("|", "lang", "source"))
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), "bucket", F.concat(F.lit("Date: 2024\nuser: "), F.substring("text", 11, 40)).alias("chunk"))
-    return joins.contained_in(chunks, docs.select(F.col("doc_id").alias("original_id"), "bucket", F.col("text").alias("original")), "bucket")
+    docs = table(spark, d, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("Date: 2024\nuser: "), F.substring("text", 11, 40)).alias("chunk"))
+    return joins.contained_in(chunks, docs.select(F.col("doc_id").alias("original_id"), F.col("text").alias("original")))
 
 
 @query("j18_nodes_by_type", "SELECT kind, count(*) AS n, min(id) AS first FROM (SELECT 'customer' AS kind, 'customer-' || c_custkey AS id FROM customer UNION ALL SELECT 'part', 'part-' || p_partkey FROM part) GROUP BY 1")
@@ -183,7 +184,7 @@ def j21(spark, d):
 
 
 @query("j22_closest", """SELECT item_id, candidate_id, CAST(distance AS INTEGER) AS distance FROM (SELECT a.p_partkey AS item_id, b.p_partkey AS candidate_id, levenshtein(a.p_name, b.p_name) AS distance,
-row_number() OVER (PARTITION BY a.p_partkey ORDER BY levenshtein(a.p_name, b.p_name), b.p_partkey) AS r FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey) WHERE r = 1""")
+row_number() OVER (PARTITION BY a.p_partkey ORDER BY levenshtein(a.p_name, b.p_name), b.p_partkey) AS r FROM part a JOIN part b ON a.p_partkey <> b.p_partkey) WHERE r = 1""")
 def j22(spark, d):
     p = table(spark, d, "part")
-    return joins.closest(p.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item"), "p_brand"), p.select(F.col("p_partkey").alias("candidate_id"), F.col("p_name").alias("candidate"), "p_brand"), "p_brand")
+    return joins.closest(p.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item")), p.select(F.col("p_partkey").alias("candidate_id"), F.col("p_name").alias("candidate")))

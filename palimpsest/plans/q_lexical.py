@@ -53,13 +53,12 @@ w AS (SELECT doc, term, tf * idf AS w FROM tf JOIN i USING (term)), u AS (SELECT
 
 def part_vectors(spark, d):
     p = table(spark, d, "part")
-    v = lexical.tfidf_vectors(p, "p_partkey", tx.ascii_tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")))
-    return v.join(p.select(F.col("p_partkey").alias("doc"), F.col("p_brand").alias("bucket")), "doc")
+    return lexical.tfidf_vectors(p, "p_partkey", tx.ascii_tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand")))
 
 
-@query("x2_tfidf_pairs", _TFIDF + " SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS similarity FROM (SELECT u.*, p_brand FROM u JOIN part ON p_partkey = doc) a JOIN (SELECT u.*, p_brand FROM u JOIN part ON p_partkey = doc) b ON a.term = b.term AND a.p_brand = b.p_brand AND a.doc < b.doc GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.5")
+@query("x2_tfidf_pairs", _TFIDF + " SELECT a.doc AS a, b.doc AS b, round(sum(a.w * b.w), 6) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.doc < b.doc GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.5")
 def x2(spark, d):
-    return lexical.tfidf_pairs(part_vectors(spark, d), bucket="bucket").filter("similarity >= 0.5").drop("bucket").withColumn("similarity", F.round("similarity", 6))
+    return lexical.tfidf_pairs(part_vectors(spark, d), 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
 

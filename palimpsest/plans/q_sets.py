@@ -51,9 +51,7 @@ def d5(spark, d):
 
 @query("d6_greedy_near_duplicates")
 def d6(spark, d):
-    items = table(spark, d, "part").select(F.col("p_brand").alias("g"), "p_partkey")
-    pairs = lexical.tfidf_pairs(part_vectors(spark, d), bucket="bucket").withColumnRenamed("bucket", "g")
-    return sets.greedy_near_duplicates(pairs, items, "p_partkey", "g", 0.75)
+    return sets.greedy_near_duplicates(lexical.tfidf_pairs(part_vectors(spark, d), 0.75), table(spark, d, "part"), "p_partkey", 0.75)
 
 
 @query("d7_diverse_subset")
@@ -110,9 +108,9 @@ def d15(spark, d):
 
 
 @query("d16_merge_target", f"""SELECT task, target, similarity FROM (SELECT x.vec_id AS task, y.vec_id AS target, round({cos('x.embedding', 'y.embedding')}, 6) AS similarity,
-row_number() OVER (PARTITION BY x.vec_id ORDER BY round({cos('x.embedding', 'y.embedding')}, 6) DESC, y.vec_id) AS r FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0) WHERE r = 1 AND similarity >= 0.4""")
+row_number() OVER (PARTITION BY x.vec_id ORDER BY round({cos('x.embedding', 'y.embedding')}, 6) DESC, y.vec_id) AS r FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0) WHERE r = 1 AND similarity >= 0.4""")
 def d16(spark, d):
-    e = table(spark, d, "embeddings").withColumn("bucket", F.col("label"))
+    e = table(spark, d, "embeddings")
     return sets.merge_target(e.filter("vec_id % 20 = 0"), e, "embedding", "vec_id", 0.4)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
+from palimpsest.functions.stem import stem_word
 
 #: Phrases that decline to answer, negating tokens, judge levels.
 DECLINES = (
@@ -114,9 +116,11 @@ def session_quality(found: Column, gold: Column) -> Column:
     return F.when(F.size(gold) > 0, body)
 
 
-def best_over(metric, prediction: Column, golds: Column, how: str = "max") -> Column:
-    """A metric against every gold answer, by max or mean."""
+def best_over(metric, prediction: Column, golds: Column, how="max") -> Column:
+    """A metric against every gold answer, by max, mean or a function of the array of values."""
     values = F.transform(golds, lambda g: metric(prediction, g))
+    if callable(how):
+        return how(values)
     return F.array_max(values) if how == "max" else _sum(values) / F.size(values)
 
 
@@ -157,8 +161,69 @@ def bleu(prediction: Column, gold: Column, n: int = 4) -> Column:
     return F.when(F.size(p) == 0, 0.0).otherwise(brevity * F.exp(logs))
 
 
+def _in_common(p: list[str], g: list[str]) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(g) + 1)
+    for w in p:
+        before = row
+        row = [0]
+        for j, v in enumerate(g):
+            row.append(before[j] + 1 if w == v else max(before[j + 1], row[-1]))
+    return row[-1]
+
+
+def rouge_l(prediction: Column, gold: Column) -> Column:
+    """F1 of the longest common subsequence of words; 0 where both are empty."""
+
+    @F.pandas_udf("double")
+    def score(p: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([2.0 * _in_common(list(a), list(b)) / (len(a) + len(b)) if len(a) + len(b) else 0.0 for a, b in zip(p, g, strict=True)])
+
+    empty = F.array().cast("array<string>")
+    return score(F.coalesce(tx.words(prediction), empty), F.coalesce(tx.words(gold), empty))
+
+
+def _aligned(p: list[str], g: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places: equal words first, then equal stems; from its end on, each word of the prediction takes the last free one."""
+    pairs, free, left = [], set(range(len(g))), list(range(len(p)))
+    for same in (lambda w: w, stem_word):
+        places: dict[str, list[int]] = {}
+        for j in sorted(free):
+            places.setdefault(same(g[j]), []).append(j)
+        rest = []
+        for i in reversed(left):
+            if at := places.get(same(p[i])):
+                pairs.append((i, at.pop()))
+                free.discard(pairs[-1][1])
+            else:
+                rest.append(i)
+        left = rest[::-1]
+    return sorted(pairs)
+
+
+def meteor(prediction: Column, gold: Column, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> Column:
+    """METEOR of exact and stemmed words (no synonyms, which need a thesaurus): weighted harmonic mean of precision and
+    recall, less a penalty for the number of runs the matched words fall into."""
+
+    def one(p: list[str], g: list[str]) -> float:
+        pairs = _aligned(p, g)
+        n = len(pairs)
+        if not n:
+            return 0.0
+        mean = (n / len(p)) * (n / len(g)) / (alpha * n / len(p) + (1 - alpha) * n / len(g))
+        runs = 1 + sum(b[0] != a[0] + 1 or b[1] != a[1] + 1 for a, b in zip(pairs, pairs[1:], strict=False))
+        return (1 - gamma * (runs / n) ** beta) * mean
+
+    @F.pandas_udf("double")
+    def score(p: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series([one(list(a), list(b)) for a, b in zip(p, g, strict=True)], dtype="float64")
+
+    empty = F.array().cast("array<string>")
+    return score(F.coalesce(tx.words(prediction), empty), F.coalesce(tx.words(gold), empty))
+
+
 #: Metrics by name, and what each question type uses.
-REGISTRY = {"string_contain": string_contain, "exact_match": exact_match, "option_match": option_match, "option_score": option_score, "token_f1": token_f1, "multi_hop_f1": multi_hop_f1, "floored_f1": floored_f1, "permissive_f1": permissive_f1, "em": em, "set_f1": set_f1}
+REGISTRY = {"string_contain": string_contain, "exact_match": exact_match, "option_match": option_match, "option_score": option_score, "token_f1": token_f1, "multi_hop_f1": multi_hop_f1, "floored_f1": floored_f1, "permissive_f1": permissive_f1, "em": em, "set_f1": set_f1, "rouge_l": rouge_l, "meteor": meteor}
 DEFAULTS = {"single_choice": "option_match", "multiple_choice": "option_score", "short_answer": "string_contain", "open": "token_f1"}
 
 

@@ -35,11 +35,15 @@ def index(docs: DataFrame, key: str, tokens: Column, epsilon: float = 0.25) -> I
     size = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = rows.select("doc", "dl", F.explode("tokens").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     postings, size = cut(postings, "postings"), cut(size, "postings-size")
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))  # size is one row
+    return Index(postings, cut(idf_of(postings.groupBy("term").agg(F.count("*").alias("df")), size, epsilon), "terms"), size)
+
+
+def idf_of(df: DataFrame, size: DataFrame, epsilon: float = 0.25) -> DataFrame:
+    """(term, df, idf) from document frequencies and the row of (n, avgdl)."""
+    raw = df.crossJoin(F.broadcast(size))  # size is one row
     raw = raw.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.avg("raw_idf") * epsilon).alias("floor_idf"))
-    terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw_idf") < 0, F.col("floor_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    return Index(postings, cut(terms, "terms"), size)
+    return raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw_idf") < 0, F.col("floor_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
 
 def bm25_scores(ix: Index, queries: DataFrame, key: str, tokens: Column, k1: float = 1.5, b: float = 0.75, distinct: bool = False) -> DataFrame:

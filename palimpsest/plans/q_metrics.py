@@ -149,6 +149,11 @@ def m16b(spark, d):
     return _pairs(spark, d).select("id", _r(m.rouge_n(F.col("pred"), F.col("gold"), 2)).alias("rouge_2"), _r(m.bleu(F.col("pred"), F.col("gold"))).alias("bleu"))
 
 
+@query("m16_rouge_l_meteor")
+def m16c(spark, d):
+    return _pairs(spark, d).select("id", _r(m.rouge_l(F.col("pred"), F.col("gold"))).alias("rouge_l"), _r(m.meteor(F.col("pred"), F.col("gold"))).alias("meteor"))
+
+
 @query("m17_category_scores", f"WITH s AS (SELECT id % 3 AS category, {f1()} AS f FROM {_PAIRS}) SELECT category, count(*) AS n, round(avg(f), 6) AS score FROM s GROUP BY ROLLUP (category)")
 def m17(spark, d):
     rows = _pairs(spark, d).select((F.col("id") % 3).alias("category"), m.token_f1(F.col("pred"), F.col("gold")).alias("score"), F.lit(True).alias("is_correct"))

@@ -18,13 +18,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import arrow_pass, documents, worker_state
+from palimpsest.llm.common import arrow_pass, documents, worker_state, written
 
 #: Unicode White_Space; Python's \s holds four separators more.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -93,9 +92,10 @@ def frequent_cuts(df: DataFrame, path: str, text_col: str = "text", sample_rows:
     share = min(1.0, sample_rows / max(1, df.count()))
     sample = df.select(F.col(text_col).cast("string").alias("tok_text")).sample(share, seed=42)
     got = arrow_pass(sample, ["tok_text"], [], [T.StructField("cuts", T.ArrayType(cut))], make).select(F.explode("cuts").alias("c")).groupBy("c.cut").agg(F.sum("c.n").alias("n"))
-    top = got.orderBy(F.desc("n"), "cut").limit(table_size).collect()
+    # Cut down on the cluster: collecting a sorted limit sends table_size rows of every partition to the driver.
+    top = written(got.orderBy(F.desc("n"), "cut").limit(table_size), "frequent-cuts").collect()
     counts = Counts(path, {})
-    return {r[0]: counts.whole(r[0]) for r in islice(top, table_size)}
+    return {r[0]: counts.whole(r[0]) for r in top}
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000, table_size: int = 32_768) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -46,6 +47,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: int = 1000) -> DataFrame:
+    """rows joined with the stored table groups, one row a key, whose column size counts the key's rows.
+
+    Keys with at least 1 / hot of all rows, and so at most `hot` of them, are broadcast; only the others are shuffled.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    often = F.col(size) * hot >= total
+    large = F.broadcast(groups.filter(often))
+    rest = rows.join(large.select(key), key, "left_anti").join(groups.filter(~often), key)
+    return rows.join(large, key).unionByName(rest)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores if df has such a column."""
     taken = {c.lower() for c in df.columns}

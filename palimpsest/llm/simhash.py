@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import arrow_pass, documents, fresh, written
+from palimpsest.llm.common import arrow_pass, documents, fresh, spread_join, written
 
 SEED = 42
 SHINGLE = 4
@@ -218,19 +218,21 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def groups(fingerprints: DataFrame, id_col: str = "doc_id", cap: int = CAP) -> DataFrame:
-    """(fp, root, component_id) of every fingerprint; component_id is the smallest non-null id that it reaches, root names the component."""
-    firsts = fingerprints.groupBy("fp").agg(F.min(id_col).alias("least_id"))
+    """(fp, root, component_id, n_rows) of every fingerprint; component_id is the smallest non-null id that it reaches, root names the component."""
+    firsts = fingerprints.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n_rows"))
     firsts = written(firsts, "simhash-firsts")
     roots = components(links(firsts, cap))
-    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", "n_rows", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "simhash-rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_fps")), "simhash-least")
+    return spread_join(rooted, least, "root", "n_fps").select("fp", "root", "component_id", "n_rows")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
     """A row for each row of df: id, fp (signed long) and component_id."""
     fps = written(with_fingerprint(df, text_col, (id_col,)), "simhash-fingerprints")
-    return fps.join(groups(fps, id_col, cap), "fp").select(id_col, "fp", "component_id")
+    near = written(groups(fps, id_col, cap), "simhash-groups")
+    return spread_join(fps, near, "fp", "n_rows").select(id_col, "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = CAP) -> DataFrame:
@@ -242,7 +244,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap:
     marked = df.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     narrow = marked.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("keep_id"), F.col(text_col).alias("text"), F.col(digest).alias("keep_text"))
     fps = written(with_fingerprint(narrow, "text", ("keep_id", "keep_text")), "simhash-fingerprints")
-    near = fps.join(groups(fps, "keep_id", cap), "fp").filter(F.col("keep_id") == F.col("component_id"))
+    known = written(groups(fps, "keep_id", cap), "simhash-groups")
+    near = spread_join(fps, known, "fp", "n_rows").filter(F.col("keep_id") == F.col("component_id"))
     stay = near.groupBy("root", "keep_id").agg(F.min("keep_text").alias("keep_text")).select("keep_id", "keep_text")
     kept = marked.join(stay, (marked[id_col] == stay["keep_id"]) & (marked[digest] == stay["keep_text"]), "left_semi").dropDuplicates([id_col, digest])
     return kept.select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing, packing, pii, quality, secrets, sharding, simhash, tokens, topk, toxicity
+from palimpsest.llm import common, mixing, packing, pii, quality, secrets, sharding, simhash, tokens, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, component_id string"
 SENTENCE = "The quick brown fox jumps over the lazy dog near the old river bank while two small birds sing in a tall tree "
@@ -480,3 +480,12 @@ def test_topk_query_equals_its_sql(spark):
     from compare import DATA, differences
 
     assert differences(topk.op6_columnar_topk(spark, f"{DATA}/sf0.001"), topk.ORACLE, f"{DATA}/sf0.001") == ""
+
+
+def test_spread_join_gives_the_rows_of_a_plain_join(spark):
+    rows = spark.range(300).selectExpr("id", "if(id % 3 = 0, 0, id) as k")
+    sizes = common.written(rows.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 7"), "sizes")
+    for hot in (2, 1000):
+        got = common.spread_join(rows, sizes, "k", "n", hot)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(sizes, "k").collect()))
+    assert common.spread_join(rows.limit(0), sizes.limit(0), "k", "n").count() == 0

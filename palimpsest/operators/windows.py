@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -140,14 +141,15 @@ def chat_windows(turns: DataFrame, by: str, order: str, tokens: str, most: int,
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        out, held, window = [], [], 0
+        out, held, window, mass = [], deque(), 0, 0
         for place, n in zip(pdf[order], pdf[tokens], strict=True):
             held.append((place, n))
-            if sum(x for _, x in held) > most:
+            mass += n
+            if mass > most:
                 out += [(pdf[by].iloc[0], window, p) for p, _ in held]
                 window += 1
-                while held and sum(x for _, x in held) > overlap:
-                    held.pop(0)
+                while held and mass > overlap:
+                    mass -= held.popleft()[1]
         out += [(pdf[by].iloc[0], window, p) for p, _ in held]
         return pd.DataFrame(out, columns=[by, "window", order])
 

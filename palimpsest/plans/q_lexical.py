@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.operators import lexical, ranking
+from palimpsest.operators import joins, lexical, ranking
+from palimpsest.operators.tables import cut
+from palimpsest.plans.q_joins import DOT
 from palimpsest.plans.registry import query, table
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
@@ -75,22 +77,43 @@ def g15(spark, d):
     return lexical.bm25_top_k(s, 5).select("doc", "score")
 
 
-@query("k3_key_tag_search", BM25.replace("count(*) AS qtf", "1 AS qtf") + """, c AS (SELECT query, doc, score FROM k WHERE rank <= 10 AND score > 0), b AS (SELECT query, doc, round(0.7 * score + 0.3 * ((doc % 10) / 10.0), 6) AS score FROM c)
+_DOT = DOT.format(a="x.embedding", b="y.embedding")
+DENSE = f"""dn AS MATERIALIZED (SELECT * FROM (SELECT x.vec_id AS query, y.vec_id AS doc, round({_DOT}, 6) AS score, row_number() OVER (PARTITION BY x.vec_id ORDER BY round({_DOT}, 6) DESC, y.vec_id) AS rank
+FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id IN (SELECT item_id FROM benchmark) AND y.vec_id IN (SELECT doc_id FROM documents)) WHERE rank <= 20)"""
+
+
+def dense(spark, d, k):
+    """(query, doc, rank, score): the k documents whose vectors are nearest to the item's; ids name vectors."""
+    e = table(spark, d, "embeddings")
+    ids = lambda name, key: table(spark, d, name).select(F.col(key).alias("vec_id"))
+    near = joins.knn(e.join(ids("benchmark", "item_id"), "vec_id", "left_semi"), e.join(ids("documents", "doc_id"), "vec_id", "left_semi"), "vec_id", "embedding", k)
+    return near.select("query", F.col("candidate").alias("doc"), "rank", "score")
+
+
+@query("k3_key_tag_search", BM25.replace("count(*) AS qtf", "1 AS qtf") + f""", c AS (SELECT query, doc, score FROM k WHERE rank <= 10 AND score > 0),
+u AS (SELECT doc_id AS doc, {_TOKENS} AS tokens FROM documents UNION ALL SELECT -1 - item_id, {_TOKENS} FROM benchmark), un AS (SELECT count(*) AS n FROM u), tf AS MATERIALIZED (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(tokens) AS term FROM u) GROUP BY 1, 2),
+ui AS (SELECT term, ln((1.0 + (SELECT n FROM un)) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term), uv AS MATERIALIZED (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM (SELECT doc, term, tf * idf AS w FROM tf JOIN ui USING (term))),
+sim AS (SELECT query, c.doc, sum(a.w * b.w) AS similarity FROM c JOIN uv a ON a.doc = -1 - query JOIN uv b ON b.doc = c.doc AND b.term = a.term GROUP BY 1, 2),
+b AS (SELECT query, doc, round(0.7 * score + 0.3 * coalesce(similarity, 0.0), 6) AS score FROM c LEFT JOIN sim USING (query, doc))
 SELECT query, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS r FROM b) WHERE r <= 5""")
 def k3(spark, d):
+    """The TF-IDF part is taken for the candidates of BM25 only; items share the documents' idf under negative keys."""
     s = scores(spark, d, distinct=True)
-    second = s.select("query", "doc", ((F.col("doc") % 10) / 10.0).alias("similarity"))
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    both = docs.select(F.col("doc_id").alias("key"), "text").unionByName(items.select((-1 - F.col("item_id")).alias("key"), "text"))
+    v = cut(lexical.tfidf_vectors(both, "key", tx.words(F.col("text"))), "tfidf")
+    q = v.filter("doc < 0").select((-1 - F.col("doc")).alias("query"), "term", F.col("w").alias("wq"))
+    pairs = lexical.bm25_top_k(s, 10).select("query", "doc").join(q, "query").join(v, ["doc", "term"])
+    second = pairs.groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("wq")).alias("similarity"))
     return lexical.key_tag_search(s, second, 5).select("query", "doc", "score")
 
 
-@query("k4_hybrid", BM25 + """, de AS (SELECT query, doc, (doc % 17) / 17.0 AS score FROM s WHERE doc % 2 = 0), lx AS (SELECT query, doc, score FROM s WHERE doc % 3 <> 0),
-bo AS (SELECT query, doc, coalesce(lx.score, 0.0) AS l, coalesce(de.score, 0.0) AS e FROM lx FULL JOIN de USING (query, doc)),
+@query("k4_hybrid", BM25 + f""", {DENSE}, lx AS (SELECT query, doc, score FROM k WHERE rank <= 20 AND score > 0),
+bo AS (SELECT query, doc, coalesce(lx.score, 0.0) AS l, coalesce(dn.score, 0.0) AS e FROM lx FULL JOIN dn USING (query, doc)),
 h AS (SELECT query, doc, round(0.5 * ((l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w + 1e-6)) + 0.5 * e, 6) AS score FROM bo WINDOW w AS (PARTITION BY query))
 SELECT query, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS r FROM h) WHERE r <= 5""")
 def k4(spark, d):
-    s = scores(spark, d).withColumn("score", F.round("score", 6))
-    dense = s.filter("doc % 2 = 0").select("query", "doc", ((F.col("doc") % 17) / 17.0).alias("score"))
-    return lexical.hybrid(s.filter("doc % 3 <> 0"), dense, 5).select("query", "doc", "score")
+    return lexical.hybrid(lexical.bm25_top_k(scores(spark, d), 20), dense(spark, d, 20), 5).select("query", "doc", "score")
 
 
 @query("k16_full_text", """WITH q AS (SELECT * FROM (VALUES (1, 'economy brass'), (2, 'promo br'), (3, 'zzz small')) v(query, question)), t AS (SELECT query, len(ts) AS n, unnest(ts) AS term FROM (SELECT query, string_split(question, ' ') AS ts FROM q)),
@@ -104,27 +127,29 @@ def k16(spark, d):
     return lexical.full_text(q, docs, {"p_name": 1.0, "p_type": 0.4}, 5).select("query", "doc", "score")
 
 
-@query("w3_rrf", BM25 + """, ch AS (SELECT query, doc, rank, 1.0 AS weight, score AS dense FROM k WHERE rank <= 20 UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc % 13, doc), 0.5, 0.0 FROM k WHERE rank <= 20)
+_CHANNELS = f"{DENSE}, ch AS (SELECT query, doc, rank, 1.0 AS weight, 0.0 AS dense FROM k WHERE rank <= 20 AND score > 0 UNION ALL SELECT query, doc, rank, 0.5, score FROM dn)"
+
+
+@query("w3_rrf", BM25 + f""", {_CHANNELS}
 SELECT query, doc, round(sum(weight / (60 + rank)), 6) AS rrf, round(max(dense), 6) AS dense_score, count(*) AS n_channels FROM ch GROUP BY 1, 2""")
 def w3(spark, d):
-    top = lexical.bm25_top_k(scores(spark, d), 20).withColumnRenamed("score", "dense_score")
-    other = ranking.ranked(top.select("query", "doc"), ["query"], [F.col("doc") % 13, "doc"])
-    got = ranking.reciprocal_rank_fusion({"lexical": (top, 1.0), "other": (other, 0.5)}, ["query"], "doc")
+    top = lexical.bm25_top_k(scores(spark, d), 20).drop("score")
+    other = dense(spark, d, 20).withColumnRenamed("score", "dense_score")
+    got = ranking.reciprocal_rank_fusion({"lexical": (top, 1.0), "dense": (other, 0.5)}, ["query"], "doc")
     return got.select("query", "doc", F.round("rrf", 6).alias("rrf"), F.round("dense_score", 6).alias("dense_score"), "n_channels")
 
 
-@query("w4_rrf_topk", BM25 + """, ch AS (SELECT query, doc, rank, 1.0 AS weight FROM k WHERE rank <= 20 UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc % 13, doc), 0.5 FROM k WHERE rank <= 20),
+@query("w4_rrf_topk", BM25 + f""", {_CHANNELS},
 s2 AS (SELECT query, doc, round(sum(weight / (60 + rank)), 6) AS rrf FROM ch GROUP BY 1, 2) SELECT query, doc, rrf FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf DESC, doc) AS r FROM s2) WHERE r <= 5""")
 def w4(spark, d):
     return ranking.top_k(w3(spark, d), ["query"], [F.desc("rrf"), "doc"], 5).select("query", "doc", "rrf")
 
 
-@query("w5_interleave", BM25 + """, ch AS (SELECT query, doc, rank, 0 AS channel FROM k WHERE rank <= 8 UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc % 13, doc), 1 FROM k WHERE rank <= 8),
+@query("w5_interleave", BM25 + f""", {DENSE}, ch AS (SELECT query, doc, rank, 0 AS channel FROM k WHERE rank <= 8 AND score > 0 UNION ALL SELECT query, doc, rank, 1 FROM dn WHERE rank <= 8),
 f AS (SELECT query, doc, min(rank * 10 + channel) AS place FROM ch GROUP BY 1, 2) SELECT query, doc, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY place, doc) AS r FROM f) WHERE r <= 5""")
 def w5(spark, d):
     top = lexical.bm25_top_k(scores(spark, d), 8).select("query", "doc", "rank")
-    other = ranking.ranked(top.select("query", "doc"), ["query"], [F.col("doc") % 13, "doc"])
-    return ranking.interleave([top, other], ["query"], "doc", 5).select("query", "doc", "rank")
+    return ranking.interleave([top, dense(spark, d, 8).select("query", "doc", "rank")], ["query"], "doc", 5).select("query", "doc", "rank")
 
 
 @query("w6_min_max", BM25 + ", t8 AS (SELECT query, doc, score FROM k WHERE rank <= 8 AND score > 0) SELECT query, doc, round(CASE WHEN max(score) OVER w <= min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 5) AS norm FROM t8 WINDOW w AS (PARTITION BY query)")

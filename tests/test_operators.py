@@ -192,3 +192,49 @@ def test_the_cluster_query_keeps_its_bound(spark):
 
     sizes = [r["count"] for r in catalog.QUERIES["g10_clusters"](spark, "/root/testdata/sf0.1").groupBy("cluster").count().collect()]
     assert sizes and max(sizes) <= 20 and min(sizes) > 10
+
+
+def test_chat_windows_equal_naive(spark):
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice([1, 5, 20, 45, 250])) for c in range(4) for t in range(40)]
+    got = windows.chat_windows(spark.createDataFrame(rows, "chat long, turn long, n long"), "chat", "turn", "n", 200, 60).collect()
+    for c in range(4):
+        held: list = []
+        want: list = []
+        number = 0
+        for _, t, n in (r for r in rows if r[0] == c):
+            held = [*held, (t, n)]
+            if sum(x for _, x in held) > 200:
+                want += [(number, x) for x, _ in held]
+                number += 1
+                held = next(held[i:] for i in range(len(held) + 1) if sum(x for _, x in held[i:]) <= 60)
+        want += [(number, x) for x, _ in held]
+        assert sorted((r.window, r.turn) for r in got if r.chat == c) == want
+
+
+def test_mmr_dedupe_equals_naive(spark):
+    rng = np.random.default_rng(8)
+    words = "red blue green river house stone".split()
+    rows = [(0, i, float(rng.random()), rng.normal(size=3).tolist(), " ".join(words[j] for j in rng.integers(0, 6, 4))) for i in range(30)]
+    rows += [(0, 30 + i, r[2] - 0.01, r[3], r[4] + " now" * (i % 2)) for i, r in enumerate(rows[:10])]  # near copies and copies
+    df = spark.createDataFrame(rows, "g int, k int, score double, vec array<double>, text string")
+    got = [r.k for r in selection.mmr_dedupe(df, "g", "k", "score", "vec", "text", 12).orderBy("place").collect()]
+    by = {r[1]: r for r in rows}
+    unit = {k: np.array(r[3]) / np.linalg.norm(r[3]) for k, r in by.items()}
+    likeness = lambda a, b: float(unit[a] @ unit[b])
+    order = sorted(by, key=lambda k: (-by[k][2], k))
+    want: list[int] = []
+
+    def allowed(k):
+        if k in want or any(by[k][4] == by[j][4] for j in want):
+            return False
+        near = max(want, key=lambda j: likeness(k, j), default=None)
+        return near is None or likeness(k, near) <= 0.9 or not selection.highly_similar(by[k][4], by[near][4])
+
+    def value(k):
+        m = max(likeness(k, j) for j in want)
+        return 0.8 * by[k][2] - 0.2 * (m * np.exp(10 * (m - 0.9)) if m > 0.9 else m)
+
+    while len(want) < 12 and (rest := [k for k in order if allowed(k)]):
+        want.append(rest[0] if len(want) < 2 else max(rest, key=value))
+    assert got == sorted(want, key=lambda k: (-by[k][2], k)) and len(got) == 12

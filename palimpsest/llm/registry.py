@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import conversations, idstore, mixing, packing, pii, quality, secrets, sharding, simhash, tokens, topk, toxicity
+from palimpsest.llm import conversations, divergence, idstore, mixing, packing, pii, quality, secrets, sharding, simhash, tokens, topk, toxicity
 
 QUERIES = {
     "op1_bootstrapped_pii": pii.op1_bootstrapped_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_kd_tree_shards": sharding.op9_kd_tree_shards,
     "op10_adaptive_quality": quality.op10_adaptive_quality,
     "op11_token_id_store": idstore.op11_token_id_store,
+    "op12_systolic_divergence": divergence.op12_systolic_divergence,
     "op13_rank_repair": conversations.op13_rank_repair,
 }
-ORACLES: dict[str, str] = {"op6_columnar_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op6_columnar_topk": topk.ORACLE, "op12_systolic_divergence": divergence.ORACLE}

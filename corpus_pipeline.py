@@ -1,7 +1,10 @@
 """A training corpus in five stages: toxicity, near-duplicates, secrets, mixture, packing.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet in the
-shared folder and read again as the next stage's docs.  All but the last return the columns of
+shared folder and read again as the next stage's docs.  In all of them a null text is empty, extra columns are carried
+along whatever their names, repeated rows are kept as such (but for near_duplicates, which keeps one), and an empty
+table gives an empty result.  A null id is scored like any other; near_duplicates and mixture keep rows without an id once, as
+they are; packing passes it through.  Of equal ids near_duplicates takes the least text hash.  All but the last return the columns of
 documents:
 
 1. toxicity drops the documents that score 0.7 or more;
@@ -37,7 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """n_chars follows the text where a secret was replaced."""
     before = common.fresh(docs, "n_chars_before")
     marked = docs.withColumn(before, F.char_length("text"))
-    done = secrets.redact(marked)
+    done = secrets.redact(marked, words=secrets.vocabulary_words(tokens.tokenizer_path("word_bpe_49k.json")))
     changed = F.char_length("text") != F.col(before)
     return done.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -59,6 +59,20 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot: in
     return rows.join(large, key).unionByName(rest)
 
 
+def fewest(rows: DataFrame, order: list, most: int) -> DataFrame:
+    """The `most` rows that come first in order, whose first column is a hash that spreads over all longs.
+
+    Rows whose hash is far from the first ones are dropped before the sort, so a task never gets more than about most rows.
+    """
+    first = fresh(rows, "fewest_hash")
+    hashed = rows.withColumn(first, order[0])
+    n = rows.count()
+    wanted = 1.2 * most + 1000  # some forty standard deviations more than most
+    if n > 2 * wanted:
+        hashed = hashed.filter(F.col(first) < int(-(1 << 63) + (1 << 64) * (wanted / n)))
+    return hashed.orderBy(first, *order[1:]).limit(most).drop(first)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores if df has such a column."""
     taken = {c.lower() for c in df.columns}

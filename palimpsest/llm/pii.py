@@ -122,7 +122,7 @@ def _contexts(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[st
 
 
 def graph_rows(text: str | None, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """Instances of one text with their patterns; `meets` counts a pattern's first word in the text."""
+    """Instances of one text with their patterns; `meets`, at the first instance after a word, counts the word's places in the text, else 0."""
     if not text or not _DIGIT_OR_AT.search(text):
         return []
     found = [(s, e, k) for k, s, e in spans]
@@ -146,12 +146,14 @@ def graph_rows(text: str | None, spans: list[tuple[int, int, int]]) -> list[dict
         return []
     found.sort()
     words = Counter(_DIGITS.sub("0", text.lower()).split())
+    contexts = list(_contexts(text, found))
+    followed = Counter(one for one, _ in contexts)  # a word that touches what follows is no token
     rows = []
-    for (s, e, k), (one, two) in zip(found, _contexts(text, found), strict=True):
+    for (s, e, k), (one, two) in zip(found, contexts, strict=True):
         if not one:
             continue
         item = text[s:e]
-        rows.append({"kind": k, "start": s, "end": e, "fits": looks_like(item) if k < 0 else [], "item": _key(item.lower()), "one": _key(one), "two": f"{_key(two)} {_key(one)}", "meets": max(1, words.get(one, 1))})
+        rows.append({"kind": k, "start": s, "end": e, "fits": looks_like(item) if k < 0 else [], "item": _key(item.lower()), "one": _key(one), "two": f"{_key(two)} {_key(one)}", "meets": max(words.get(one, 0), followed.pop(one)) if one in followed else 0})
     return rows
 
 
@@ -221,7 +223,10 @@ def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
     nodes = rows.select("row", F.explode("nodes").alias("x")).select("row", "x.*")
     good = patterns(nodes, rounds, least_score, least_items)
     open_ = nodes.filter("kind = -1").select("row", "start", "end", "fits", F.explode(F.array(F.concat(F.lit("1 "), "one"), F.concat(F.lit("2 "), "two"))).alias("pattern"))
-    hits = open_.join(good, "pattern").filter(F.array_contains("fits", F.col("kind")))
+    # A pattern may stand before any number of open identifiers: those are dealt over the salts.
+    open_ = open_.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
+    good = good.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    hits = open_.join(good, ["pattern", "salt"]).filter(F.array_contains("fits", F.col("kind")))
     best = hits.groupBy("row", "start", "end").agg(F.max(F.struct("score", -F.col("kind"))).alias("best"))
     added = best.select("row", F.struct((-F.col("best.col2")).cast("int").alias("kind"), "start", "end").alias("s")).groupBy("row").agg(F.collect_list("s").alias("found"))
     out = rows.select("row", "pii_id", "base_found").join(added, "row", "left")

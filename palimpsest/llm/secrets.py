@@ -7,8 +7,10 @@ secret even where the base rules are silent (too short, other characters), and a
 cheap (a placeholder such as "passwordpassword") adds nothing.
 
 The program looks at every start for words (bounded by the longest word), dates (at most 10
-characters), runs of equal or walking characters (one extension per character) and single
-brute-force characters, so its time is linear in the value's length.
+characters) and single brute-force characters.  Repeats and keyboard walks may begin and end anywhere
+in a run; a run's cost is concave in its length, so the starts that can still win form a stack (Starts),
+and the program takes linear time for them, too.  Words come ranked, most common first: WORDS, or those
+of a tokenizer's vocabulary (vocabulary_words), whose ids follow frequency.
 
 Defined cases: a null or empty text has no span; equal rows each get a result row; a null id is
 passed through; other columns are ignored or, in redact(), carried along; an empty table gives an
@@ -17,6 +19,7 @@ empty result.  On equal cost the cut with fewer parts wins.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterable
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm.common import arrow_pass, documents
+from palimpsest.llm.tokens import tokenizer_path
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -74,8 +78,9 @@ _LEET = str.maketrans("013457@$!", "oieastasi")
 
 
 @lru_cache(maxsize=8)
-def _ranks(words: tuple[str, ...]) -> tuple[dict[str, float], int]:
-    return {w: math.log10(i + 2) for i, w in reversed(list(enumerate(words)))}, max(map(len, words), default=0)
+def _ranks(words: tuple[str, ...]) -> tuple[dict[str, float], int, int]:
+    """log10 guesses of each word, length of the shortest and of the longest."""
+    return {w: math.log10(i + 2) for i, w in reversed(list(enumerate(words)))}, min(map(len, words), default=1), max(map(len, words), default=0)
 
 
 def _alphabet(value: str) -> float:
@@ -84,9 +89,60 @@ def _alphabet(value: str) -> float:
     return math.log10(max(size, 10))
 
 
+def vocabulary_words(path: str, first: Iterable[str] = WORDS) -> tuple[str, ...]:
+    """first, and then the words of a tokenizer's vocabulary (three letters or more) by their ids."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix") or ""
+    words = (w.removesuffix(end) for w in sorted(model["vocab"], key=model["vocab"].get) if w.endswith(end))
+    return tuple(dict.fromkeys([*first, *(w for w in words if len(w) > 2 and w.isascii() and w.isalpha())]))
+
+
+class Starts:
+    """The start of a part that makes cost + log10(length) least, as its end moves on.
+
+    Of two starts the earlier one gains on the later one all the time, so a later start is worth keeping
+    while it is ahead; the stack holds starts by when they fall behind, the best one on top.
+    """
+
+    def __init__(self):
+        self.stack: list[tuple[float, int, float]] = []  # cost, start, the end from which the one beneath is better
+
+    def clear(self) -> None:
+        self.stack.clear()
+
+    def add(self, cost: float, start: int, end: int) -> None:
+        """A start that parts ending at `end` or later may have."""
+        stack = self.stack
+        if stack and cost + math.log10(end - start) >= self.least(end):
+            return
+        while stack:
+            until = self._overtaken(cost, start, *stack[-1][:2])
+            if len(stack) > 1 and until >= stack[-1][2]:
+                stack.pop()
+                continue
+            stack.append((cost, start, until))
+            return
+        stack.append((cost, start, math.inf))
+
+    @staticmethod
+    def _overtaken(cost: float, start: int, before_cost: float, before: int) -> float:
+        gap = before_cost - cost  # at an end e the earlier one wins if gap < log10((e - start) / (e - before))
+        if gap >= 0:
+            return math.inf
+        ratio = 10**gap
+        return (start - ratio * before) / (1 - ratio) if ratio < 1 else math.inf
+
+    def least(self, end: int) -> float:
+        stack = self.stack
+        while len(stack) > 1 and end >= stack[-1][2]:
+            stack.pop()
+        return stack[-1][0] + math.log10(end - stack[-1][1]) if stack else math.inf
+
+
 def guess_cost(value: str, words: Iterable[str] = WORDS) -> float:
     """log10 of the guesses that the cheapest segmentation of value needs."""
-    ranks, longest = _ranks(tuple(words))
+    ranks, shortest, longest = _ranks(tuple(words))
     n = len(value)
     if not n:
         return 0.0
@@ -96,40 +152,40 @@ def guess_cost(value: str, words: Iterable[str] = WORDS) -> float:
     one = _alphabet(value)
     joint = 0.3  # where parts meet must be guessed as well
     best = [0.0] + [math.inf] * n
-    for i in range(n):
-        here = best[i] + (joint if i else 0.0)
-        # Brute force: a character at a time, so that longer spans cost the sum; no joint inside one.
-        if best[i] + one < best[i + 1]:
-            best[i + 1] = best[i] + one
-        for j in range(i + 3, min(n, i + longest) + 1):
+    here = [0.0] * n  # a part that begins here: what is before it, and the joint
+    repeats, walks = Starts(), Starts()
+    run = walk = 0
+    turns = [0] * n  # of the walk up to a character
+    for i in range(n + 1):
+        if i:
+            # Brute force: a character at a time, so that longer spans cost the sum; no joint inside one.
+            best[i] = min(best[i], best[i - 1] + one)
+            last, start = i - 1, i - 3
+            if last and low[last] != low[last - 1]:
+                repeats.clear()
+                run = last
+            if start >= run:
+                repeats.add(here[start] + one, start, i)
+                best[i] = min(best[i], repeats.least(i))
+            if last and low[last] not in _NEAR.get(low[last - 1], ()):
+                walks.clear()
+                walk = last
+            elif last > walk + 1:
+                turns[last] = turns[last - 1] + (ord(low[last]) - ord(low[last - 1]) != ord(low[last - 1]) - ord(low[last - 2]))
+            if start >= walk:
+                walks.add(here[start] + 2.0 - 0.5 * turns[start + 1], start, i)
+                best[i] = min(best[i], walks.least(i) + 0.5 * turns[last])
+        if i == n:
+            break
+        here[i] = best[i] + (joint if i else 0.0)
+        for j in range(i + shortest, min(n, i + longest) + 1):
             for w, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
                 if (r := ranks.get(w)) is not None:
                     upper = 0.0 if value[i:j] == low[i:j] else 0.6
-                    if here + r + extra + upper < best[j]:
-                        best[j] = here + r + extra + upper
+                    best[j] = min(best[j], here[i] + r + extra + upper)
                     break
         if low[i].isdigit() and (m := _DATE.match(low, i, min(n, i + 10))):
-            cost = here + (2.2 if m.end() - i == 4 else 4.6)
-            if cost < best[m.end()]:
-                best[m.end()] = cost
-        # Runs of one character and keyboard walks; only from where they begin, or they would be cut up.
-        if i == 0 or low[i - 1] != low[i]:
-            j = i + 1
-            while j < n and low[j] == low[i]:
-                j += 1
-                if j - i >= 3 and here + one + math.log10(j - i) < best[j]:
-                    best[j] = here + one + math.log10(j - i)
-        if i == 0 or low[i] not in _NEAR.get(low[i - 1], ()):
-            j, turns, way = i + 1, 1, None
-            while j < n and low[j] in _NEAR.get(low[j - 1], ()):
-                step = ord(low[j]) - ord(low[j - 1])
-                turns += way is not None and step != way
-                way = step
-                j += 1
-                if j - i >= 3:
-                    cost = here + 1.5 + math.log10(j - i) + 0.5 * turns
-                    if cost < best[j]:
-                        best[j] = cost
+            best[m.end()] = min(best[m.end()], here[i] + (2.2 if m.end() - i == 4 else 4.6))
     whole = best[n]
     # A value that repeats a shorter one costs that one, times the number of repeats.
     period = (low + low).find(low, 1)
@@ -161,7 +217,7 @@ def guessed_spans(text: str | None, least_cost: float = 10.0, words: Iterable[st
     out = []
     for m in _CONTEXT.finditer(text):
         value = m.group(1).rstrip(".!?)]}|*#$%&")
-        if len(value) >= 6 and (cost := guess_cost(value, words)) >= least_cost:
+        if (cost := guess_cost(value, words)) >= least_cost:
             out.append((m.start(1), m.start(1) + len(value), 3, cost))
     return out
 
@@ -220,7 +276,7 @@ def _count(kind: str):
 
 
 def op2_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = scan(documents(spark, sf_dir))
+    got = scan(documents(spark, sf_dir), words=vocabulary_words(tokenizer_path("word_bpe_49k.json")))
     base = F.filter("secrets", lambda s: s["kind"] != "guess")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [_count(k) for k in KINDS]

@@ -39,8 +39,8 @@ DIMENSIONS = ("d_size", "d_width", "d_word", "d_crc")
 
 
 def _deal(id_: Column) -> Column:
-    """A number to deal rows by; the rows are written with it, as it is no function of rows without an id."""
-    return F.when(id_.isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(id_))
+    """A number to deal rows by, also those of one id; the rows are written with it, as their number is mixed in."""
+    return F.xxhash64(id_, F.monotonically_increasing_id())
 
 
 def measured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Exact inner-product top-k by columnar branch-and-bound.
 
-Vectors are turned to integers, floor(1024 x).  A task stacks its candidates into vertical blocks
+Vectors are turned to integers, floor(1024 x), of any size.  A task stacks its candidates into vertical blocks
 (one row a dimension).  For a query it adds up the inner product one block of dimensions at a time;
 after each, a candidate stays only if its sum so far, plus the product of what is left of both
 norms (Cauchy-Schwarz), can still reach the query's k-th best; survivors are compacted.  The bound
@@ -35,8 +35,16 @@ _ROW = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec
 _EXACT = float(1 << 53)
 
 
-def integers(values: np.ndarray) -> np.ndarray:
-    return np.floor(SCALE * values.astype(np.float64))
+def cut(values: np.ndarray) -> np.ndarray:
+    """floor(1024 x) / 1024, which every finite double has; from 2^53 on doubles are integers, and stay."""
+    values = values.astype(np.float64)
+    small = np.abs(values) < _EXACT
+    return np.where(small, np.floor(SCALE * np.where(small, values, 0.0)) / SCALE, values)
+
+
+def _whole(x: float) -> int:
+    """1024 x as an integer, of any size."""
+    return int(x * SCALE) if abs(x) < _EXACT else int(x) * int(SCALE)
 
 
 def _clamped(scores: list) -> np.ndarray:
@@ -64,24 +72,24 @@ class Best:
 def _search_whole(best: Best, at: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> int:
     if not len(queries) or not len(rows):
         return 0
-    big = [[int(x) for x in r] for r in rows]
+    big = [[_whole(x) for x in r] for r in rows.tolist()]
     for p, qid, q in zip(at, query_ids, queries, strict=True):
-        whole, own = [int(x) for x in q], ids != qid
+        whole, own = [_whole(x) for x in q.tolist()], ids != qid
         best.add(p, ids[own], _clamped([sum(a * b for a, b in zip(whole, r, strict=True)) for r, o in zip(big, own, strict=True) if o]))
     return queries.size * len(rows)
 
 
 def search_block(best: Best, at: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, step: int = 8) -> int:
-    """Update best with candidates (ids, rows) for queries (their places in best: at); returns the products computed."""
+    """Update best with cut candidates (ids, rows) for cut queries (their places in best: at); returns the products computed."""
     dims = rows.shape[1]
-    if dims and len(rows) and np.abs(queries).max() * np.abs(rows).max() * dims >= _EXACT:
-        # Some products are too large for exact doubles: those of few and huge components, which meet all others as whole Python integers.
-        most = np.sqrt(_EXACT / dims) / 2
+    most = np.sqrt(_EXACT / max(1, dims)) / 2 / SCALE
+    if dims and len(rows) and len(queries) and max(np.abs(queries).max(), np.abs(rows).max()) > most:
+        # Some products may be too large for exact doubles: those of few and huge components, which meet all others as whole Python integers.
         few_q, few_r = np.abs(queries).max(1) > most, np.abs(rows).max(1) > most
         work = _search_whole(best, at[few_q], query_ids[few_q], queries[few_q], ids, rows)
         work += _search_whole(best, at[~few_q], query_ids[~few_q], queries[~few_q], ids[few_r], rows[few_r])
         return work + search_block(best, at[~few_q], query_ids[~few_q], queries[~few_q], ids[~few_r], rows[~few_r], step)
-    columns = np.ascontiguousarray(rows.T)
+    columns, queries = np.ascontiguousarray(rows.T * SCALE), queries * SCALE
     left = np.sqrt(np.cumsum((columns**2)[::-1], axis=0)[::-1])
     left = np.vstack([left, np.zeros((1, len(rows)))])
     work = 0
@@ -114,7 +122,7 @@ def _vectors(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     out = {}
     for n in np.unique(lengths):
         own = np.flatnonzero(lengths == n)
-        out[int(n)] = ids[own], integers(flat[starts[own, None] + np.arange(n)])
+        out[int(n)] = ids[own], cut(flat[starts[own, None] + np.arange(n)])
     return out
 
 
@@ -170,7 +178,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
         for place, r in enumerate(rows):
             for to, x in zip(by.setdefault(len(r["vec"]), ([], [], [])), (place, r["id"], r["vec"]), strict=True):
                 to.append(x)
-        arrays = {n: (np.array(p), np.array(i, np.int64), integers(np.array(v, np.float64)).reshape(len(p), n)) for n, (p, i, v) in by.items()}
+        arrays = {n: (np.array(p), np.array(i, np.int64), cut(np.array(v, np.float64)).reshape(len(p), n)) for n, (p, i, v) in by.items()}
         some = _pass(candidates.limit(first).coalesce(1), spark.sparkContext.broadcast((arrays, None)), k, block)
         reached = {r[0]: r[1] for r in some.withColumn("r", ranked).filter(F.col("r") == k).select("query_id", "score").collect()}
         bounds = np.array([reached.get(r["id"], -np.inf) for r in rows], np.float64)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import arrow_pass, documents, fresh, labels, worker_state, written
+from palimpsest.llm.common import arrow_pass, documents, fewest, fresh, labels, worker_state, written
 
 LOG = logging.getLogger(__name__)
 EDGE = ".,;:!?()[]{}<>|*#$%&_~^=+-/\\\"'`«»“”„‘’‚‹›…¡¿"
@@ -211,7 +211,7 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", label_col: str = "toxic"
     rows = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.groupBy(F.col(id_col).alias("train_id")).agg(F.max(label_col).cast("int").alias("label"))
     order = F.xxhash64("train_id", F.lit("toxicity"))
-    parts = [rows.filter(F.col("label") == y).orderBy(order, "train_id").limit(max_rows) for y in (0, 1)]
+    parts = [fewest(rows.filter(F.col("label") == y), [order, "train_id"], max_rows) for y in (0, 1)]
     return parts[0].unionByName(parts[1]).withColumn("half", F.pmod(F.xxhash64("train_id", F.lit("half")), F.lit(2)).cast("int"))
 
 
@@ -242,8 +242,10 @@ def train(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     # Copies and near copies would make their rare words look like evidence: one row for each least shingle hash.
     words = F.split(F.coalesce("train_text", F.lit("")), r"\s+")
     least_hash = F.transform(F.array(words), lambda w: F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 4)))))
-    docs = docs.withColumn("alike", F.get(least_hash, 0)).dropDuplicates(["train_id"]).dropDuplicates(["label", "alike"])
-    docs = written(docs.drop("alike"), "toxicity-train")
+    # Of rows that share an id, and of copies, the least is taken: always the same one.
+    docs = docs.groupBy("train_id", "label", "half").agg(F.min("train_text").alias("train_text")).withColumn("alike", F.get(least_hash, 0))
+    docs = docs.groupBy("label", "alike").agg(F.min(F.struct("train_id", "half", "train_text")).alias("d")).select("d.*", "label")
+    docs = written(docs, "toxicity-train")
     sizes = {(r["label"], r["half"]): r["n"] for r in docs.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
     if not any(y == 1 for y, _ in sizes):
         return Model()

@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -21,10 +22,14 @@ SF = "/root/testdata/sf0.001"
 def brute_found(texts, rounds=3, least=0.6, items=3):
     nodes = [(i, n) for i, t in enumerate(texts) for n in pii.graph_rows(t, pii.base_spans(t))]
     links, places, fits = defaultdict(Counter), Counter(), {}
+    # A text's places of a word are all its tokens that are the word, digits alike, and at least the identifiers that follow it.
+    for i, word in {(i, n["one"]) for i, n in nodes}:
+        tokens_of = re.sub("[0-9]+", "0", texts[i].lower()).split()
+        places["1 " + word] += max(sum(pii._key(t) == word for t in tokens_of), sum(j == i and n["one"] == word for j, n in nodes))
     for _, n in nodes:
-        for q, meets in (("1 " + n["one"], n["meets"]), ("2 " + n["two"], 1)):
+        places["2 " + n["two"]] += 1
+        for q in ("1 " + n["one"], "2 " + n["two"]):
             links[q][n["item"], n["kind"]] += 1
-            places[q] += meets
             if n["fits"]:
                 fits[q, n["item"]] = max(fits.get((q, n["item"]), []), n["fits"])
     links = {q: v for q, v in links.items() if len(v) >= items}
@@ -79,11 +84,21 @@ def test_found_spans_equal_brute_force(spark):
     assert any(n["end"] - n["start"] == 310 for n in pii.graph_rows(texts[261], []))  # an identifier of any length
 
 
+def test_places_count_once_a_text(spark):
+    """Five addresses a text are as good evidence as one each."""
+    one = [f"mail user{i}@mail.example.com" for i in range(60)]
+    five = [" and ".join(one[i : i + 5]) for i in range(0, 60, 5)]
+    for texts in (one, five):
+        last = len(texts)
+        got = {r.doc_id: [s.start for s in r.found] for r in pii.extract(docs(spark, [*texts, "mail odd_one@localhost"])).collect()}
+        assert got[last] == [5] and not any(got[i] for i in range(last))
+
+
 # --- secrets: every segmentation --------------------------------------------------------------------------------------
 
 
 def brute_cost(v):
-    ranks, _ = secrets._ranks(tuple(secrets.WORDS))
+    ranks = secrets._ranks(tuple(secrets.WORDS))[0]
     low = v.lower()
     plain, one, near = low.translate(secrets._LEET), secrets._alphabet(v), secrets._NEAR
 
@@ -96,13 +111,14 @@ def brute_cost(v):
                 break
         if (m := secrets._DATE.fullmatch(low[i:j])) and secrets._DATE.match(low, i, min(len(low), i + 10)).end() == j:
             best = min(best, 2.2 if m.end() == 4 else 4.6)
-        if j - i >= 3 and len(set(low[i:j])) == 1 and (i == 0 or low[i - 1] != low[i]):
+        if j - i >= 3 and len(set(low[i:j])) == 1:
             best = min(best, one + math.log10(j - i))
-        if j - i >= 3 and all(b in near.get(a, ()) for a, b in zip(low[i : j - 1], low[i + 1 : j])) and (i == 0 or low[i] not in near.get(low[i - 1], ())):
+        if j - i >= 3 and all(b in near.get(a, ()) for a, b in zip(low[i : j - 1], low[i + 1 : j])):
             steps = [ord(b) - ord(a) for a, b in zip(low[i : j - 1], low[i + 1 : j])]
             best = min(best, 1.5 + math.log10(j - i) + 0.5 * (1 + sum(a != b for a, b in zip(steps, steps[1:]))))
         return best
 
+    @lru_cache(None)
     def cheapest(n):
         if n == 0:
             return 0.0
@@ -117,10 +133,32 @@ def brute_cost(v):
 
 def test_guess_cost_equals_every_segmentation():
     rng = random.Random(31)
-    bits = ["love", "p4ss", "Red", "2019", "0412", "aaa", "qwe", "asdf", "x", "9", "#", "zz", "123"]
-    for _ in range(150):
-        v = "".join(rng.choice(bits) for _ in range(rng.randint(1, 4)))[:11]
+    bits = ["love", "p4ss", "Red", "2019", "0412", "aaa", "qwe", "asdf", "x", "9", "#", "zz", "123", "password", "sdfghjkl", "dragon", "mnbvcxz", "eeeee", "abcb", "xxx", "xxxxxx", "a", "s", "eee"]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 6)))[:24] for _ in range(600)]
+    made += ["".join(rng.choice("aasdx") for _ in range(16)) for _ in range(300)]
+    for v in [*made, "passwordsdfghjkl", "dragonmnbvcxz", "abc" + "x" * 40, "xxxx" * 9 + "y"]:
         assert abs(secrets.guess_cost(v) - brute_cost(v)) < 1e-9, v
+    assert secrets.guess_cost("passwordsdfghjkl") < 6 and secrets.guess_cost("dragonmnbvcxz") < 7
+    assert secrets.guess_cost("ab" * 30_000 + "c" * 30_000) > 10  # linear in the length
+
+
+def test_stack_of_starts_is_the_minimum():
+    rng = random.Random(8)
+    for _ in range(300):
+        cost = [rng.choice([0, 0.1, 0.3, 1.0, rng.random() * 3]) + i * rng.choice([0, 0.02, 0.2]) for i in range(60)]
+        stack = secrets.Starts()
+        for end in range(3, 60):
+            stack.add(cost[end - 3], end - 3, end)
+            assert abs(stack.least(end) - min(cost[i] + math.log10(end - i) for i in range(end - 2))) < 1e-9
+
+
+def test_short_values_and_ranked_words(tmp_path):
+    text = "login: aB9#é and more"
+    assert [text[s:e] for s, e, _, _ in secrets.guessed_spans(text)] == ["aB9#é"]
+    assert secrets.guessed_spans("login: passwordsdfghjkl") == []
+    path = tmp_path / "v.json"
+    path.write_text('{"model": {"vocab": {"ing</w>": 2, "sunflower</w>": 1, "sun": 0, "a</w>": 3, "n1ne</w>": 4}, "end_of_word_suffix": "</w>"}}')
+    assert secrets.vocabulary_words(str(path), ["first", "ing"]) == ("first", "ing", "sunflower")
 
 
 # --- toxicity: context windows ----------------------------------------------------------------------------------------
@@ -271,10 +309,11 @@ def test_stage_near_duplicates(staged):
 def test_stage_secrets(staged):
     before, after = staged["secrets"]
     assert len(before) == len(after)
+    words = secrets.vocabulary_words(tokens.tokenizer_path("word_bpe_49k.json"))
     changed = 0
     for r in after:
         text, at, out = by_id(before)[r.doc_id].text, 0, []
-        for s, e, *_ in secrets.all_spans(text):
+        for s, e, *_ in secrets.all_spans(text, words=words):
             if s >= at:
                 out += [text[at:s], "[SECRET]"]
             at = max(at, e)

@@ -104,6 +104,7 @@ def numbered(counts: DataFrame, least_documents: int, slice_terms: int) -> DataF
     kept = written(counts.filter("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_documents), "divergence-kept")
     slices = kept.groupBy("lang").agg(F.ceil(F.count("*") / slice_terms).alias("slices"))
     dealt = kept.join(slices, "lang").withColumn("slice", F.pmod(F.xxhash64("term"), "slices").cast("int"))
+    dealt = dealt.repartition("lang", "slice")  # else all terms of a language would be numbered where the join left them
     return written(dealt.withColumn("number", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("term")) - 1).select("lang", "term", "total", "slice", "number"), "divergence-terms")
 
 

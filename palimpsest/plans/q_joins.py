@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from palimpsest.operators import blocks, joins
+from palimpsest.operators import blocks, intervals, joins
 from palimpsest.plans.registry import query, table
 
 DOT = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -87,6 +88,27 @@ def j10(spark, d):
     return _facts(spark, d).filter(joins.overlaps(F.col("valid_from"), F.col("valid_to"), s, e)).select("id")
 
 
+#: A supplier's question: what was known on the day its dearest line was shipped.
+_ASKED = """(SELECT l_suppkey AS query, l_shipdate AS date FROM (SELECT l_suppkey, l_shipdate,
+row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1)"""
+
+
+def _asked(spark, d):
+    first = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"))
+    return table(spark, d, "lineitem").withColumn("r", first).filter("r = 1").select(F.col("l_suppkey").alias("query"), F.col("l_shipdate").alias("date"))
+
+
+@query("j9_as_of_join", f"""SELECT query, id, 1.0::DOUBLE AS score FROM {_FACTS} JOIN {_ASKED} ON recorded <= date AND valid_from <= date AND (valid_to IS NULL OR date < valid_to)""")
+def j9_join(spark, d):
+    return intervals.as_of(_facts(spark, d), _asked(spark, d)).select("query", "id", "score")
+
+
+@query("j10_overlap_join", f"""SELECT query, id FROM {_FACTS} JOIN {_ASKED} ON valid_from <= date + INTERVAL 30 DAY AND (valid_to IS NULL OR date < valid_to)""")
+def j10_join(spark, d):
+    asked = _asked(spark, d).select("query", F.col("date").alias("start"), F.expr("date + INTERVAL 30 DAY").alias("end"))
+    return intervals.overlapping(_facts(spark, d), asked).select("query", "id")
+
+
 @query("j11_evidence_on_date", "SELECT o_orderkey AS claim_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01' AND l_shipdate < TIMESTAMP '1995-09-01')")
 def j11(spark, d):
     when = table(spark, d, "lineitem").filter((F.col("l_shipdate") >= "1995-06-01") & (F.col("l_shipdate") < "1995-09-01")).select(F.col("l_orderkey").alias("claim_id"))

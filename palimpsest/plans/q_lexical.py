@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.operators import joins, lexical, ranking
+from palimpsest.operators import bm25, joins, lexical, ranking
 from palimpsest.operators.tables import cut
 from palimpsest.plans.q_joins import DOT
 from palimpsest.plans.registry import query, table
@@ -20,14 +20,15 @@ s AS MATERIALIZED (SELECT query, doc, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5
 k AS MATERIALIZED (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s)"""
 
 
-def scores(spark, d, distinct=False):
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    return lexical.bm25_scores(lexical.index(docs, "doc_id", tx.words(F.col("text"))), items, "item_id", tx.words(F.col("text")), distinct=distinct)
+def best(spark, d, k, distinct=False):
+    """The k best documents of each benchmark item from the kept index of the documents, which the first query builds."""
+    ix = bm25.kept(table(spark, d, "documents"), "doc_id", tx.words)
+    return bm25.search(ix, table(spark, d, "benchmark"), "item_id", tx.words(F.col("text")), k, distinct)
 
 
 @query("bm25_topk", BM25 + " SELECT query, doc, score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5 AND score > 0")
 def bm25_topk(spark, d):
-    return lexical.bm25_top_k(scores(spark, d), 5)
+    return best(spark, d, 5)
 
 
 @query("x1_bm25_statistics", BM25 + " SELECT term, df, round(idf, 6) AS idf FROM t WHERE df >= 20")
@@ -98,12 +99,12 @@ b AS (SELECT query, doc, round(0.7 * score + 0.3 * coalesce(similarity, 0.0), 6)
 SELECT query, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS r FROM b) WHERE r <= 5""")
 def k3(spark, d):
     """The TF-IDF part is taken for the candidates of BM25 only; items share the documents' idf under negative keys."""
-    s = scores(spark, d, distinct=True)
+    s = cut(best(spark, d, 10, distinct=True).select("query", "doc", "score"), "candidates")
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     both = docs.select(F.col("doc_id").alias("key"), "text").unionByName(items.select((-1 - F.col("item_id")).alias("key"), "text"))
     v = cut(lexical.tfidf_vectors(both, "key", tx.words(F.col("text"))), "tfidf")
     q = v.filter("doc < 0").select((-1 - F.col("doc")).alias("query"), "term", F.col("w").alias("wq"))
-    pairs = lexical.bm25_top_k(s, 10).select("query", "doc").join(q, "query").join(v, ["doc", "term"])
+    pairs = s.select("query", "doc").join(q, "query").join(v, ["doc", "term"])
     second = pairs.groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("wq")).alias("similarity"))
     return lexical.key_tag_search(s, second, 5).select("query", "doc", "score")
 
@@ -113,7 +114,7 @@ bo AS (SELECT query, doc, coalesce(lx.score, 0.0) AS l, coalesce(dn.score, 0.0)
 h AS (SELECT query, doc, round(0.5 * ((l - min(l) OVER w) / (max(l) OVER w - min(l) OVER w + 1e-6)) + 0.5 * e, 6) AS score FROM bo WINDOW w AS (PARTITION BY query))
 SELECT query, doc, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS r FROM h) WHERE r <= 5""")
 def k4(spark, d):
-    return lexical.hybrid(lexical.bm25_top_k(scores(spark, d), 20), dense(spark, d, 20), 5).select("query", "doc", "score")
+    return lexical.hybrid(best(spark, d, 20), dense(spark, d, 20), 5).select("query", "doc", "score")
 
 
 @query("k16_full_text", """WITH q AS (SELECT * FROM (VALUES (1, 'economy brass'), (2, 'promo br'), (3, 'zzz small')) v(query, question)), t AS (SELECT query, len(ts) AS n, unnest(ts) AS term FROM (SELECT query, string_split(question, ' ') AS ts FROM q)),
@@ -133,7 +134,7 @@ _CHANNELS = f"{DENSE}, ch AS (SELECT query, doc, rank, 1.0 AS weight, 0.0 AS den
 @query("w3_rrf", BM25 + f""", {_CHANNELS}
 SELECT query, doc, round(sum(weight / (60 + rank)), 6) AS rrf, round(max(dense), 6) AS dense_score, count(*) AS n_channels FROM ch GROUP BY 1, 2""")
 def w3(spark, d):
-    top = lexical.bm25_top_k(scores(spark, d), 20).drop("score")
+    top = best(spark, d, 20).drop("score")
     other = dense(spark, d, 20).withColumnRenamed("score", "dense_score")
     got = ranking.reciprocal_rank_fusion({"lexical": (top, 1.0), "dense": (other, 0.5)}, ["query"], "doc")
     return got.select("query", "doc", F.round("rrf", 6).alias("rrf"), F.round("dense_score", 6).alias("dense_score"), "n_channels")
@@ -148,10 +149,10 @@ def w4(spark, d):
 @query("w5_interleave", BM25 + f""", {DENSE}, ch AS (SELECT query, doc, rank, 0 AS channel FROM k WHERE rank <= 8 AND score > 0 UNION ALL SELECT query, doc, rank, 1 FROM dn WHERE rank <= 8),
 f AS (SELECT query, doc, min(rank * 10 + channel) AS place FROM ch GROUP BY 1, 2) SELECT query, doc, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY place, doc) AS r FROM f) WHERE r <= 5""")
 def w5(spark, d):
-    top = lexical.bm25_top_k(scores(spark, d), 8).select("query", "doc", "rank")
+    top = best(spark, d, 8).select("query", "doc", "rank")
     return ranking.interleave([top, dense(spark, d, 8).select("query", "doc", "rank")], ["query"], "doc", 5).select("query", "doc", "rank")
 
 
 @query("w6_min_max", BM25 + ", t8 AS (SELECT query, doc, score FROM k WHERE rank <= 8 AND score > 0) SELECT query, doc, round(CASE WHEN max(score) OVER w <= min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 5) AS norm FROM t8 WINDOW w AS (PARTITION BY query)")
 def w6(spark, d):
-    return lexical.bm25_top_k(scores(spark, d), 8).select("query", "doc", F.round(ranking.min_max(F.col("score"), ["query"]), 5).alias("norm"))
+    return best(spark, d, 8).select("query", "doc", F.round(ranking.min_max(F.col("score"), ["query"]), 5).alias("norm"))

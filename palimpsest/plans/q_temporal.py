@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.functions import dates
 from palimpsest.operators import bitemporal as bt
-from palimpsest.operators import joins
+from palimpsest.operators import compiler, joins
 from palimpsest.plans.q_joins import _FACTS, _facts
 from palimpsest.plans.registry import query, table
 
@@ -114,6 +115,23 @@ def t7(spark, d):
     return bt.compile_states(claims).withColumn("ends_at", F.col("ends_at").cast("timestamp_ntz"))
 
 
+@query("t7_compiled_claims")
+def t7_compiled(spark, d):
+    """Users' events as claims: equal values of a slot are evidence for the open claim, whichever it is; other values follow the decision about an earlier event."""
+    e, i = table(spark, d, "events"), F.col("event_id")
+    names = ("SUPERSEDE", "REFINE", "CONFLICT", "CORROBORATE", "NEW")
+    relations = ("changed", "refinement", "contradictory", "equivalent", "uncertain")
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.floor(F.col("value") * 100) % len(words) + 1).cast("int"))
+    earlier = F.lag("event_id", 2).over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    claims = e.select(
+        F.col("user_id").alias("subject"), i.alias("claim_id"), i.alias("seq"), F.col("event_type").alias("slot"), F.floor(F.col("value") / 8).alias("value"), F.to_date("ts").alias("episode"),
+        F.array(F.hour("ts")).alias("turns"), F.col("ts").alias("recorded"), F.col("ts").alias("valid_from"), earlier.alias("matched_id"), pick(names).alias("decision"), pick(relations).alias("relation"),
+        (F.length("props") % 10 / 9 + 0.3).alias("confidence"),
+    )
+    got = compiler.compile_claims(claims, ["subject", "slot"])
+    return got.select("subject", "slot", "claim_id", "operation", "matched_id", "fallback", F.size("changes").alias("n_changes"))
+
+
 @query("t8_interval_closing", "SELECT event_id, version, status, valid_to FROM (SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS version, CASE WHEN lead(ts) OVER w IS NULL THEN 'active' ELSE 'superseded' END AS status, lead(ts) OVER w AS valid_to FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))")
 def t8(spark, d):
     v = bt.versions(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"], "ts")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors
-from palimpsest.operators import lexical, selection, topk
+from palimpsest.operators import selection, topk
 from palimpsest.plans.q_joins import DOT, _TRIPLETS, cos, triplets
-from palimpsest.plans.q_lexical import BM25, scores
+from palimpsest.plans.q_lexical import BM25, best
 from palimpsest.plans.registry import query, table
 
 Q = [((i * 37) % 19 - 9) / 10 for i in range(64)]
@@ -23,7 +23,7 @@ def k1(spark, d):
 
 @query("k2_bm25_topk_positive", BM25 + " SELECT query, doc, score FROM k WHERE rank <= 3 AND score > 0")
 def k2(spark, d):
-    return lexical.bm25_top_k(scores(spark, d), 3).select("query", "doc", "score")
+    return best(spark, d, 3).select("query", "doc", "score")
 
 
 @query("k5_cosine_topk", f"SELECT vec_id, {_COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")

@@ -72,10 +72,8 @@ def _by_length(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[tuple[pd.DataFrame,
             yield some, np.stack(some["v"].to_numpy()), q, of_q
 
 
-def pairs_over(df: DataFrame, key: str, vec: str, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(a, b, similarity) for a < b with cosine over `least`, over the whole table."""
-    rows = _unit(df, key, vec)
-    kind = rows.schema["id"].dataType.simpleString()
+def pair_compare(least: float) -> Callable:
+    """Pairs (a, b, similarity), a < b, of two blocks, or of one with itself."""
 
     def compare(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
         for p, of_p, q, of_q in _by_length(x, y):
@@ -88,26 +86,24 @@ def pairs_over(df: DataFrame, key: str, vec: str, least: float, block_bytes: int
                 keep, a, b = a != b, np.where(a < b, a, b), np.where(a < b, b, a)
             yield pd.DataFrame({"a": a[keep], "b": b[keep], "similarity": s[keep]})
 
-    return grid(rows, None, _weight(), compare, f"a {kind}, b {kind}, similarity double", block_bytes)
+    return compare
 
 
-def neighbours(left: DataFrame, right: DataFrame, key: str, vec: str, k: int, least: float | None = None, not_after: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, other, score, rank): the k rows of right most similar to each row of left, rows of its own id left out.
+def pairs_over(df: DataFrame, key: str, vec: str, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b, similarity) for a < b with cosine over `least`, over the whole table."""
+    rows = _unit(df, key, vec)
+    kind = rows.schema["id"].dataType.simpleString()
+    return grid(rows, None, _weight(), pair_compare(least), f"a {kind}, b {kind}, similarity double", block_bytes)
 
-    score is the cosine to six digits, ties go to the smaller id; with `least`, only scores of at least that; with
-    `not_after`, only rows whose value there is not later than the left row's (unknown ones are left out).
-    """
-    more = [F.col(not_after).alias("t")] if not_after else []
-    a, b = _unit(left, key, vec, *more), _unit(right, key, vec, *more)
-    if not_after:
-        a, b = a.filter("t is not null"), b.filter("t is not null")
-    kind = a.schema["id"].dataType.simpleString()
+
+def near_compare(k: int, least: float | None, timed: bool) -> Callable:
+    """The k best of block y for each row of block x, as far as they can be among its k best."""
 
     def compare(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
         for p, of_p, q, of_q in _by_length(x, y.sort_values("id", kind="stable")):
             scores = np.round(of_p @ of_q.T, 6)
             scores[p["id"].to_numpy()[:, None] == q["id"].to_numpy()[None, :]] = -np.inf
-            if not_after:
+            if timed:
                 scores[q["t"].to_numpy()[None, :] > p["t"].to_numpy()[:, None]] = -np.inf
             if least is not None:
                 scores[scores < least] = -np.inf
@@ -119,7 +115,27 @@ def neighbours(left: DataFrame, right: DataFrame, key: str, vec: str, k: int, le
             r, c = r[place < k], c[place < k]
             yield pd.DataFrame({"id": p["id"].to_numpy()[r], "other": q["id"].to_numpy()[c], "score": scores[r, c]})
 
-    return top_k(grid(a, b, _weight(), compare, f"id {kind}, other {kind}, score double", block_bytes), ["id"], [F.desc("score"), "other"], k)
+    return compare
+
+
+def near_sides(left: DataFrame, right: DataFrame, key: str, vec: str, not_after: str | None) -> tuple[DataFrame, DataFrame, str]:
+    """Both sides as (id, v[, t]), and the schema of what near_compare finds."""
+    more = [F.col(not_after).alias("t")] if not_after else []
+    a, b = _unit(left, key, vec, *more), _unit(right, key, vec, *more)
+    if not_after:
+        a, b = a.filter("t is not null"), b.filter("t is not null")
+    kind = a.schema["id"].dataType.simpleString()
+    return a, b, f"id {kind}, other {kind}, score double"
+
+
+def neighbours(left: DataFrame, right: DataFrame, key: str, vec: str, k: int, least: float | None = None, not_after: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, other, score, rank): the k rows of right most similar to each row of left, rows of its own id left out.
+
+    score is the cosine to six digits, ties go to the smaller id; with `least`, only scores of at least that; with
+    `not_after`, only rows whose value there is not later than the left row's (unknown ones are left out).
+    """
+    a, b, schema = near_sides(left, right, key, vec, not_after)
+    return top_k(grid(a, b, _weight(), near_compare(k, least, bool(not_after)), schema, block_bytes), ["id"], [F.desc("score"), "other"], k)
 
 
 def _edits(a: str, b: str, most: int) -> int:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators import blocks
+from palimpsest.operators import pivots
 from palimpsest.operators.ranking import ranked
 from palimpsest.operators.tables import cut
 
@@ -59,7 +59,7 @@ def connected_only(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 def merge_target(task: DataFrame, rows: DataFrame, vec: str, key: str, least: float = 0.85) -> DataFrame:
     """For each task the one most similar row, if similar enough."""
-    found = blocks.neighbours(task, rows, key, vec, 1, least)
+    found = pivots.neighbours(task, rows, key, vec, 1, least)
     return found.select(F.col("id").alias("task"), F.col("other").alias("target"), F.col("score").alias("similarity"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import dates
 from palimpsest.operators import aggregates as ag
-from palimpsest.operators import blocks, graph, joins, topk
+from palimpsest.operators import graph, joins, pivots, topk
 from palimpsest.plans.q_joins import _TRIPLETS, cos, triplets
 from palimpsest.plans.registry import query, table
 
@@ -122,7 +122,7 @@ def g11(spark, d):
 @query("g12_conflict_candidates", f"SELECT id, other, score FROM (SELECT x.vec_id AS id, y.vec_id AS other, round({cos('x.embedding', 'y.embedding')}, 6) AS score, row_number() OVER (PARTITION BY x.vec_id ORDER BY round({cos('x.embedding', 'y.embedding')}, 6) DESC, y.vec_id) AS r FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE round({cos('x.embedding', 'y.embedding')}, 6) >= 0.25) WHERE r <= 5")
 def g12(spark, d):
     e = table(spark, d, "embeddings")
-    return blocks.neighbours(e, e, "vec_id", "embedding", 5, 0.25).select("id", "other", "score")
+    return pivots.neighbours(e, e, "vec_id", "embedding", 5, 0.25).select("id", "other", "score")
 
 
 @query("g12_merged_metadata", "SELECT coalesce(a.c_custkey, b.c_custkey) AS id, coalesce(CASE WHEN a.c_custkey % 4 <> 0 THEN a.c_name END, b.c_mktsegment) AS name, CASE WHEN a.c_custkey IS NULL THEN 1 ELSE 1 END + CASE WHEN a.c_custkey IS NOT NULL AND b.c_custkey IS NOT NULL THEN 1 ELSE 0 END AS n FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) b ON a.c_custkey = b.c_custkey")

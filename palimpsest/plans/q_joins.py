@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.operators import blocks, intervals, joins
+from palimpsest.operators import blocks, intervals, joins, pivots
 from palimpsest.plans.registry import query, table
 
 DOT = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -45,7 +45,7 @@ def j4(spark, d):
 
 @query("j5_similar_pairs", f"SELECT x.vec_id AS a, y.vec_id AS b, round({cos('x.embedding', 'y.embedding')}, 6) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {cos('x.embedding', 'y.embedding')} > 0.3")
 def j5(spark, d):
-    return blocks.pairs_over(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 6))
+    return pivots.pairs_over(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("j6_blocked_knn", f"""SELECT query, candidate, score FROM (SELECT x.vec_id AS query, y.vec_id AS candidate, round({DOT.format(a='x.embedding', b='y.embedding')}, 6) AS score,

@@ -7,9 +7,11 @@ folder.  Frontiers and scores stay distributed; the driver sees only counts and
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.operators.ranking import ranked, top_k
 from palimpsest.operators.tables import cut
@@ -101,15 +103,70 @@ def expand_scores(base: DataFrame, edges: DataFrame, relation_weights: Mapping[s
     return both.select("id", F.when(F.col("base").isNotNull(), mix * F.col("base") + (1 - mix) * F.col("ppr")).otherwise((1 - mix) * F.col("ppr")).alias("score"))
 
 
-def cheapest_paths(edges: DataFrame, seeds: DataFrame, rounds: int = 5) -> DataFrame:
-    """(id, cost) by Bellman-Ford rounds; an edge costs 1 / weight, a seed (id, similarity) starts at 1 / similarity."""
-    best = seeds.select("id", (1 / F.col("similarity")).alias("cost"))
-    for r in range(rounds):
-        step = edges.join(best.withColumnRenamed("id", "source_id"), "source_id").select(F.col("target_id").alias("id"), (F.col("cost") + 1 / F.col("weight")).alias("cost"))
-        best = best.unionByName(step).groupBy("id").agg(F.min("cost").alias("cost"))
-        if r % 3 == 2:
-            best = cut(best, "paths")
-    return best
+def cheapest_paths(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, cost); an edge costs 1 / weight, a seed (id, similarity) starts at 1 / similarity.
+
+    Bellman-Ford: a round relaxes the edges of nodes that became cheaper in the one before, until none does, or for so many rounds (hops).
+    """
+    known = cut(edges.select("source_id", "target_id", (1 / F.col("weight")).alias("step")), "paths-edges")
+    best = cut(seeds.groupBy("id").agg(F.min(1 / F.col("similarity")).alias("cost")).withColumn("fresh", F.lit(True)), "paths")
+    done = 0
+    while (rounds is None or done < rounds) and not best.filter("fresh").isEmpty():
+        step = known.join(best.filter("fresh").select(F.col("id").alias("source_id"), "cost"), "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min(F.col("cost") + F.col("step")).alias("offer"))
+        both = best.select("id", "cost").join(step, "id", "full_outer")
+        best = cut(both.select("id", F.least("cost", "offer").alias("cost"), F.coalesce(F.col("offer") < F.col("cost"), F.col("cost").isNull()).alias("fresh")), "paths")
+        done += 1
+    return best.select("id", "cost")
+
+
+def expansion(edges: DataFrame, seeds: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(place, id, cost, expands): nodes in the order in which a search by priority reaches them.
+
+    A seed (id, similarity) has priority 1 / similarity, an edge adds 1 / weight; the cheapest node comes next, ties by id.  A node
+    leads on only if it has a concept (id, concept) that no node before it had, so a concept's first node is what counts, and a
+    node without concepts never leads on.
+
+    Nodes are settled in rounds: all that are cheaper than any way on from the front could be, as no node of the front can make them
+    cheaper.  Rounds are bounded by the range of costs over the cheapest step, whatever the number of hops; each takes joins of the front only.
+    """
+    least = 1e-10
+    known = cut(edges.select("source_id", "target_id", (1 / F.greatest(F.col("weight"), F.lit(least))).alias("step")), "expansion-edges")
+    cheapest = cut(known.groupBy(F.col("source_id").alias("id")).agg(F.min("step").alias("out")), "expansion-out")
+    named = cut(concepts.select("id", "concept").distinct(), "expansion-concepts")
+    front = cut(seeds.groupBy("id").agg(F.min(1 / F.greatest(F.col("similarity"), F.lit(least))).alias("cost")).join(cheapest, "id", "left"), "expansion-front")
+    settled, known_concepts = [], None
+    while True:
+        limit = front.agg(F.min(F.col("cost") + F.coalesce("out", F.lit(float("inf")))).alias("limit"), F.min("cost").alias("cost")).first()
+        if limit["cost"] is None:
+            break
+        # A step so small that it adds nothing still settles the cheapest.
+        now = front.filter((F.col("cost") < limit["limit"]) | (F.col("cost") == limit["cost"]))
+        news = now.join(named, "id")
+        if known_concepts is not None:
+            news = news.join(known_concepts, "concept", "left_anti")
+        firsts = cut(news.groupBy("concept").agg(F.min(F.struct("cost", "id")).alias("first")).select("concept", "first.id"), "expansion-firsts")
+        leads = firsts.select("id").distinct().withColumn("expands", F.lit(True))
+        batch = cut(now.join(leads, "id", "left").select("id", "cost", F.coalesce("expands", F.lit(False)).alias("expands")), "expansion-settled")
+        settled.append(batch)
+        known_concepts = firsts.select("concept") if known_concepts is None else known_concepts.unionByName(firsts.select("concept"))
+        offers = batch.filter("expands").withColumnRenamed("id", "source_id").join(known, "source_id").select(F.col("target_id").alias("id"), (F.col("cost") + F.col("step")).alias("cost"))
+        every = reduce(DataFrame.unionByName, settled).select("id")
+        rest = front.select("id", "cost").unionByName(offers).groupBy("id").agg(F.min("cost").alias("cost")).join(every, "id", "left_anti")
+        front = cut(rest.join(cheapest, "id", "left"), "expansion-front")
+        if len(settled) % 10 == 0:  # keeps plans short
+            settled, known_concepts = [cut(reduce(DataFrame.unionByName, settled), "expansion-settled")], cut(known_concepts, "expansion-known")
+    if not settled:
+        return front.select(F.lit(0).cast("long").alias("place"), "id", "cost", F.lit(False).alias("expands")).limit(0)
+    return _placed(reduce(DataFrame.unionByName, settled))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with place from 1 by (cost, id): sorted over all tasks, numbered inside each, offsets from the counts of parts."""
+    part = cut(rows.repartitionByRange("cost", "id").withColumn("_part", F.spark_partition_id()), "places")
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = part.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("offset"))  # a row a part
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("cost", "id"))
+    return part.withColumn("_inside", inside).join(F.broadcast(offsets), "_part").select((F.col("offset") + F.col("_inside")).alias("place"), "id", "cost", "expands")
 
 
 def paths(edges: DataFrame, source, target, most: int) -> DataFrame:
@@ -123,16 +180,24 @@ def paths(edges: DataFrame, source, target, most: int) -> DataFrame:
     return found.select((F.size("path") - 1).alias("hops"), "path").orderBy("hops", "path")
 
 
-def version_chain(starts: DataFrame, edges: DataFrame, most: int = 3, depth: int = 8) -> DataFrame:
-    """Predecessors of each start, breadth first, the first `most` ones; edges lead from a version to the one before it."""
-    now = starts.select(F.col("id").alias("start"), F.col("id").alias("at"))
-    seen = None
-    for h in range(1, depth + 1):
-        now = now.join(edges, now["at"] == edges["source_id"]).select("start", F.col("target_id").alias("at")).distinct()
-        layer = now.withColumn("depth", F.lit(h))
+def version_chain(starts: DataFrame, edges: DataFrame, most: int = 3, depth: int | None = None) -> DataFrame:
+    """Predecessors of each start, breadth first, the first `most` ones; edges lead from a version to the one before it.
+
+    A start goes on until it has as many or there are no more; depth, if given, bounds the layers.
+    """
+    front = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("at")).distinct(), "chain-front")
+    seen, h = None, 0
+    while (depth is None or h < depth) and not front.isEmpty():
+        h += 1
+        layer = front.join(edges, front["at"] == edges["source_id"]).select("start", F.col("target_id").alias("at")).distinct()
         if seen is not None:
             layer = layer.join(seen.select("start", "at"), ["start", "at"], "left_anti")
-        seen = layer if seen is None else seen.unionByName(layer)
+        layer = layer.withColumn("depth", F.lit(h))
+        seen = cut(layer if seen is None else seen.unionByName(layer), "chain")
+        enough = seen.groupBy("start").agg(F.count("*").alias("n")).filter(F.col("n") >= most).select("start")
+        front = cut(seen.filter(F.col("depth") == h).select("start", "at").join(enough, "start", "left_anti"), "chain-front")
+    if seen is None:
+        return ranked(front.withColumn("depth", F.lit(0)).limit(0), ["start"], ["depth", "at"])
     return top_k(seen, ["start"], ["depth", "at"], most)
 
 

@@ -68,6 +68,17 @@ def g5(spark, d):
     return graph.cheapest_paths(e, _seeds(spark, 1).withColumn("similarity", F.lit(0.5)), 4).withColumn("cost", F.round("cost", 6))
 
 
+@query("g5_expansion")
+def g5_expansion(spark, d):
+    """Customers and order numbers as nodes, statuses and priorities of the orders at them as concepts."""
+    o = table(spark, d, "orders")
+    out = _edges(spark, d).withColumn("weight", 0.2 + (F.col("target_id") % 5) / 10)
+    both = out.unionByName(out.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "weight"))
+    named = lambda c, name: o.select((F.col("o_orderkey") % 60).alias("id"), F.col(c).alias("concept")).unionByName(o.select(F.col("o_custkey").alias("id"), F.concat_ws(" ", F.lit(name), c, F.col("o_custkey") % 9).alias("concept")))
+    got = graph.expansion(both, _seeds(spark, 1, 7).withColumn("similarity", F.lit(0.5)), named("o_orderstatus", "status").unionByName(named("o_orderpriority", "priority")))
+    return got.withColumn("cost", F.round("cost", 6))
+
+
 @query("g6_paths", f"WITH RECURSIVE p AS (SELECT [s, t] AS path, t FROM {_E} WHERE s = 1 UNION ALL SELECT list_append(path, e.t), e.t FROM p JOIN {_E} e ON e.s = p.t WHERE p.t <> 9 AND NOT list_contains(path, e.t) AND len(path) <= 3) SELECT CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM p WHERE t = 9")
 def g6(spark, d):
     got = graph.paths(_edges(spark, d), 1, 9, 3)

@@ -13,12 +13,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions import vectors
+from palimpsest.functions import edits, vectors
 from palimpsest.operators.ranking import top_k
 from palimpsest.operators.tables import cut
 
 BLOCK_BYTES = 4 << 20
 ROWS = 512
+#: Texts whose edit distances from one text are computed at a time.
+AT_ONCE = 256
 
 
 def _blocked(df: DataFrame, weight: Column, block_bytes: int) -> tuple[DataFrame, int]:
@@ -138,18 +140,6 @@ def neighbours(left: DataFrame, right: DataFrame, key: str, vec: str, k: int, le
     return top_k(grid(a, b, _weight(), near_compare(k, least, bool(not_after)), schema, block_bytes), ["id"], [F.desc("score"), "other"], k)
 
 
-def _edits(a: str, b: str, most: int) -> int:
-    """Edit distance, or a number over `most`."""
-    row = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        before, row = row, [i]
-        for j, cb in enumerate(b, 1):
-            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (ca != cb)))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
 def _letters(texts: pd.Series, alphabet: dict[str, int]) -> np.ndarray:
     counts = np.zeros((len(texts), len(alphabet)), np.int32)
     for i, s in enumerate(texts):
@@ -174,16 +164,14 @@ def closest_texts(items: DataFrame, candidates: DataFrame, block_bytes: int = 1
             gap = own - of_y
             floor = np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1))
             best, found = None, []
-            for i in np.argsort(floor, kind="stable"):
-                if best is not None and floor[i] > best:
-                    break
-                if texts[i] == s:
-                    continue
-                d = _edits(s, texts[i], max(len(s), len(texts[i])) if best is None else best)
-                if best is None or d < best:
-                    best, found = d, []
-                if d == best:
-                    found.append(texts[i])
+            order = np.argsort(floor, kind="stable")
+            for at in range(0, len(order), AT_ONCE):
+                some = [i for i in order[at : at + AT_ONCE] if (best is None or floor[i] <= best) and texts[i] != s]
+                if some:
+                    d = edits.distances(s, [texts[i] for i in some])
+                    if best is None or d.min() < best:
+                        best, found = int(d.min()), []
+                    found += [texts[i] for i, x in zip(some, d, strict=True) if x == best]
             yield pd.DataFrame({"item": [s] * len(found), "candidate": found, "distance": np.full(len(found), best or 0, np.int32)})
 
     every = grid(x, y, 4 * F.char_length("text") + 64, compare, "item string, candidate string, distance int", block_bytes)

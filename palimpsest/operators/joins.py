@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.operators import blocks, containment
+from palimpsest.operators import containment, fuzzy
 from palimpsest.operators.ranking import top_k
 from palimpsest.operators.tables import cut
 
@@ -179,6 +179,6 @@ def closest(items: DataFrame, candidates: DataFrame) -> DataFrame:
     own = cut(own.select("item_id", "item", twin.alias("candidate_id")), "closest-items")
     same = own.filter("candidate_id is not null").select("item_id", "candidate_id", F.lit(0).alias("distance"))
     alone = own.filter("candidate_id is null").select("item_id", "item")
-    near = blocks.closest_texts(alone.select("item").distinct(), ids.select("candidate"))
+    near = fuzzy.closest_texts(alone.select("item").distinct(), ids.select("candidate"))
     near = near.join(ids.select("candidate", "first"), "candidate").groupBy("item", "distance").agg(F.min("first").alias("candidate_id"))
     return same.unionByName(alone.join(near, "item").select("item_id", "candidate_id", "distance"))

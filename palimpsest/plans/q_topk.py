@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors
-from palimpsest.operators import selection, topk
+from palimpsest.operators import fuzzy, selection, topk
 from palimpsest.plans.q_joins import DOT, _TRIPLETS, cos, triplets
 from palimpsest.plans.q_lexical import BM25, best
 from palimpsest.plans.registry import query, table
@@ -110,6 +110,15 @@ def k17(spark, d):
     return p.orderBy("distance", "p_partkey").limit(15)
 
 
+@query("k17_partial_ratio")
+def k17_partial(spark, d):
+    """The benchmark items' first words as searches, over the names of all parts and suppliers."""
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("question"))
+    names = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    names = names.unionByName(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    return fuzzy.partial_ratio_top_k(names, "id", "name", q, 5)
+
+
 @query("k18_value_selection", f"SELECT vec_id, label FROM {_SCORED} WHERE label >= 1 ORDER BY label DESC, score DESC, vec_id LIMIT 12")
 def k18(spark, d):
     return selection.epsilon_greedy(_scored(spark, d), "label", "score", "vec_id", 12, least=1).select("vec_id", "label")

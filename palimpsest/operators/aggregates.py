@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.tables import cut
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -158,41 +160,75 @@ def balanced_partitions(lengths: list[int], k: int) -> list[list[int]]:
 
 def differencing_partitions(lengths: list[int], k: int) -> list[list[int]]:
     """Largest differencing (Karmarkar-Karp): merge the two states of widest spread, heaviest part onto lightest."""
+    if not lengths:
+        return [[] for _ in range(k)]
+    return [items for _, items in _differenced([[(0, []) for _ in range(k - 1)] + [(n, [i])] for i, n in enumerate(lengths)])]
+
+
+def _differenced(states: list[list[tuple]]) -> list[tuple]:
+    """One state of (sum, items) by sum out of many, each sorted likewise."""
     import heapq
 
-    heap = []
-    for i, n in enumerate(lengths):
-        parts = [(0, []) for _ in range(k - 1)] + [(n, [i])]
-        heap.append((-n, i, parts))
-    if not heap:
-        return [[] for _ in range(k)]
+    heap = [(parts[0][0] - parts[-1][0], i, parts) for i, parts in enumerate(states)]
     heapq.heapify(heap)
-    fresh = len(lengths)
+    fresh = len(states)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
         merged = sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b), strict=True)), key=lambda p: p[0])
         heapq.heappush(heap, (merged[0][0] - merged[-1][0], fresh, merged))
         fresh += 1
-    return [items for _, items in heap[0][2]]
+    return heap[0][2]
+
 
+#: Short rows that a task of a divided group leaves for the end.
+HELD = 64
+
+
+def balance(df: DataFrame, by: str, key: str, length: str, k: int, method: str = "greedy", rows_a_task: int = 100_000) -> DataFrame:
+    """part of every row, per group, so that lengths are even.
+
+    A group of more than `rows_a_task` rows is dealt over tasks by hash.  Each holds back its HELD shortest rows (a quarter at most) and
+    splits the others into k parts, whose sums are merged like differencing merges states: the widest spread first, heaviest
+    onto lightest.  Then the short rows go onto the lightest parts.  A merge sees k + HELD numbers a task.
+    """
+    import heapq
 
-def balance(df: DataFrame, by: str, key: str, length: str, k: int, method: str = "greedy") -> DataFrame:
-    """part of every row, per group, so that lengths are even; sequential within a group."""
     import pandas as pd
 
     split = {"greedy": balanced_partitions, "differencing": differencing_partitions}[method]
+    rows = df.select(by, key, F.col(length).cast("long").alias(length))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    tasks = rows.groupBy(F.col(by).alias("_by")).agg(F.ceil(F.count("*") / rows_a_task).cast("int").alias("_tasks"))
+    dealt = rows.join(tasks, F.col(by).eqNullSafe(F.col("_by"))).withColumn("_task", F.pmod(F.xxhash64(key, length), "_tasks").cast("int"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        part = [0] * len(pdf)
-        for p, items in enumerate(split(pdf[length].tolist(), k)):
+        held = min(HELD, len(pdf) // 4) if pdf["_tasks"].iloc[0] > 1 else 0
+        pdf = pdf.sort_values([length, key] if held else [key, length]).reset_index(drop=True)
+        part = [k + i for i in range(held)] + [0] * (len(pdf) - held)
+        for p, items in enumerate(split(pdf[length].tolist()[held:], k)):
             for i in items:
-                part[i] = p
-        return pd.DataFrame({by: pdf[by], key: pdf[key], length: pdf[length], "part": part})
-
-    s = df.select(by, key, F.col(length).cast("long").alias(length)).schema
-    return df.select(by, key, F.col(length).cast("long").alias(length)).groupBy(by).applyInPandas(fold, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s) + ", part int")
+                part[held + i] = p
+        return pdf[[by, key, length, "_task"]].assign(slot=part)
+
+    slots = cut(dealt.groupBy(by, "_task").applyInPandas(fold, f"{by} {kind[by]}, {key} {kind[key]}, {length} bigint, _task int, slot int"), "balance-slots")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        states = [sorted([(0, [])] * (k - len(own)) + [(int(n), [(t, s)]) for s, n in zip(own["slot"], own["n"], strict=True)], key=lambda p: p[0]) for t, own in pdf[pdf["slot"] < k].groupby("_task")]
+        merged = _differenced(states)
+        found = [(t, s, p) for p, (_, items) in enumerate(merged) for t, s in items]
+        lightest = [(n, p) for p, (n, _) in enumerate(merged)]
+        heapq.heapify(lightest)
+        for t, s, n in pdf[pdf["slot"] >= k].sort_values(["n", "_task", "slot"], ascending=[False, True, True])[["_task", "slot", "n"]].itertuples(index=False):
+            total, p = lightest[0]
+            heapq.heapreplace(lightest, (total + n, p))
+            found.append((t, s, p))
+        return pd.DataFrame(found, columns=["_task", "slot", "part"]).assign(_by=pdf[by].iloc[0])
+
+    sums = slots.groupBy(by, "_task", "slot").agg(F.sum(length).alias("n"))
+    merged = sums.groupBy(by).applyInPandas(merge, f"_task int, slot int, part int, _by {kind[by]}").withColumnRenamed("slot", "_slot").withColumnRenamed("_task", "_of")
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("_task") == F.col("_of")) & (F.col("slot") == F.col("_slot"))
+    return slots.join(merged, same).select(by, key, length, "part")
 
 
 def imbalance(df: DataFrame, by: str, length: str, most: int) -> DataFrame:

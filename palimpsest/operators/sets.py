@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,15 +64,28 @@ def merge_target(task: DataFrame, rows: DataFrame, vec: str, key: str, least: fl
     return found.select(F.col("id").alias("task"), F.col("other").alias("target"), F.col("score").alias("similarity"))
 
 
-def greedy_near_duplicates(pairs: DataFrame, items: DataFrame, key: str, least: float) -> DataFrame:
+def _swept(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Who goes when pairs (a, b), a before b, are swept in order."""
+    gone: set = set()
+    for a, b in pairs.sort_values(["a", "b"]).itertuples(index=False):
+        if a not in gone:
+            gone.add(b)
+    return pd.DataFrame({"b": pd.Series(sorted(gone), dtype=pairs["b"].dtype)})
+
+
+def greedy_near_duplicates(pairs: DataFrame, items: DataFrame, key: str, least: float, few: int = 1_000_000) -> DataFrame:
     """Items kept by the sweep: i stays unless an earlier kept one is at least that similar; removed ones remove none.
 
     pairs: (a, b, similarity) with a before b.  In rounds: whoever has no undecided earlier neighbour is kept, its later
-    neighbours go.  Every round decides the first of what is left, so the rounds end; groups of copies take one.
+    neighbours go.  Every round decides the first of what is left, so the rounds end; groups of copies take one.  As soon as
+    no more than `few` pairs are undecided, one task finishes them in order, so long chains take no rounds of their own.
     """
     live = cut(pairs.filter(F.col("similarity") >= least).select("a", "b"), "sweep")
     gone = []
-    while not live.isEmpty():
+    while n := live.count():
+        if n <= few:
+            gone.append(cut(live.groupBy().applyInPandas(_swept, live.select("b").schema), "sweep-gone"))
+            break
         first = live.join(live.select(F.col("b").alias("a")), "a", "left_anti")
         out = cut(first.select("b").distinct(), "sweep-gone")
         gone.append(out)

@@ -54,13 +54,25 @@ def d6(spark, d):
     return sets.greedy_near_duplicates(lexical.tfidf_pairs(part_vectors(spark, d), 0.75), table(spark, d, "part"), "p_partkey", 0.75)
 
 
-@query("d7_diverse_subset")
+def _greedy_sql(order: str, bar: float, cap: int | None = None) -> str:
+    """Each label's rows in order; a list of the kept ones grows by whoever is in conflict with none of them."""
+    room = f" AND len(kept) < {cap}" if cap else ""
+    return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY {order}) AS r FROM embeddings),
+c AS MATERIALIZED (SELECT b.label, b.vec_id, list(a.vec_id) AS against FROM o a JOIN o b ON a.label = b.label AND a.r < b.r AND {cos('a.embedding', 'b.embedding')} > {bar} GROUP BY 1, 2),
+n AS MATERIALIZED (SELECT o.label, o.r, o.vec_id, coalesce(c.against, []::BIGINT[]) AS against FROM o LEFT JOIN c USING (label, vec_id)),
+g AS (SELECT label, 0::BIGINT AS r, []::BIGINT[] AS kept FROM n GROUP BY 1
+UNION ALL SELECT n.label, n.r, CASE WHEN NOT list_has_any(kept, against){room} THEN list_append(kept, vec_id) ELSE kept END FROM g JOIN n ON n.label = g.label AND n.r = g.r + 1),
+k AS (SELECT label, arg_max(kept, r) AS kept FROM g GROUP BY 1)
+SELECT label, unnest(kept) AS vec_id, CAST(generate_subscripts(kept, 1) AS INTEGER) AS place FROM k"""
+
+
+@query("d7_diverse_subset", _greedy_sql("vec_id", 0.2))
 def d7(spark, d):
     e = table(spark, d, "embeddings").withColumn("score", -F.col("vec_id").cast("double"))
     return selection.greedy_diverse(e, "label", "vec_id", "score", "embedding", 0.2)
 
 
-@query("d8_score_ordered_dedupe")
+@query("d8_score_ordered_dedupe", _greedy_sql("vec_id * 37 % 101 DESC, vec_id", 0.3, 10))
 def d8(spark, d):
     e = table(spark, d, "embeddings").withColumn("score", F.pmod(F.col("vec_id") * 37, F.lit(101)).cast("double"))
     return selection.greedy_diverse(e, "label", "vec_id", "score", "embedding", 0.3, cap=10)

@@ -94,11 +94,11 @@ def test_mmr_equals_naive(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("cap", [None, 4])
-def test_diverse_subset_equals_naive(spark, cap):
+@pytest.mark.parametrize(("cap", "block"), [(None, 2048), (4, 2048), (None, 3), (4, 2)])
+def test_diverse_subset_equals_naive(spark, cap, block):
     rng = np.random.default_rng(5)
     rows = [(i % 3, i, float(rng.integers(0, 9)), rng.normal(size=3).tolist()) for i in range(60)]
-    got = selection.greedy_diverse(spark.createDataFrame(rows, "g int, k int, score double, vec array<double>"), "g", "k", "score", "vec", 0.4, cap).collect()
+    got = selection.greedy_diverse(spark.createDataFrame(rows, "g int, k int, score double, vec array<double>"), "g", "k", "score", "vec", 0.4, cap, block).collect()
     for g in range(3):
         want: list = []
         for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):

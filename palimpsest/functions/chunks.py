@@ -6,8 +6,10 @@ import re
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 _SENTENCE = re.compile(r".*?(?:[.!?。！？…]+[\s\"')\]]*|\n+|$)", re.S)
 #: Fixed order of the places where a simple chunk may break, best first.
@@ -75,6 +77,52 @@ def simple(df: DataFrame, key: str, text: str, size: int, overlap: int) -> DataF
     return _exploded(df, key, text, lambda t: simple_chunks(t, size, overlap))
 
 
+_CHUNK = T.StructType([T.StructField("chunk", T.IntegerType()), T.StructField("chunk_id", T.StringType()), T.StructField("chunk_text", T.StringType())])
+
+
+def _checked(text: AnalyzeArgument, **numbers: AnalyzeArgument) -> AnalyzeResult:
+    """The generators' schema; a text that is none, or a size that is no fixed number over 0, is refused before anything runs."""
+    if not isinstance(text.dataType, T.StringType | T.NullType):
+        raise ValueError("the first argument must be a string")
+    for name, n in numbers.items():
+        if not n.isConstantExpression or not isinstance(n.value, int) or n.value < (0 if name == "overlap" else 1):
+            raise ValueError(f"{name} must be a whole number, given as a constant")
+    return AnalyzeResult(schema=_CHUNK)
+
+
+def _numbered(pieces: list[str]):
+    for i, c in enumerate(pieces):
+        yield i, str(uuid.uuid5(uuid.NAMESPACE_OID, c)), c
+
+
+class ParagraphChunks:
+    """paragraph_chunks(text, most): a row a chunk, for LATERAL joins."""
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, most: AnalyzeArgument) -> AnalyzeResult:
+        return _checked(text, most=most)
+
+    def eval(self, text: str | None, most: int):
+        yield from _numbered(paragraph_chunks(text or "", most))
+
+
+class SimpleChunks:
+    """simple_chunks(text, size, overlap)."""
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, size: AnalyzeArgument, overlap: AnalyzeArgument) -> AnalyzeResult:
+        return _checked(text, size=size, overlap=overlap)
+
+    def eval(self, text: str | None, size: int, overlap: int):
+        yield from _numbered(simple_chunks(text or "", size, overlap))
+
+
+def register_generators(spark: SparkSession) -> None:
+    """Makes the chunkers table functions of the session's SQL: FROM docs, LATERAL paragraph_chunks(text, 120)."""
+    spark.udtf.register("paragraph_chunks", F.udtf(ParagraphChunks))
+    spark.udtf.register("simple_chunks", F.udtf(SimpleChunks))
+
+
 def markdown_sections(text: Column) -> Column:
     """Sections of a text at its # headers, each with its header."""
     return F.filter(F.split(text, r"(?m)(?=^#{1,6} )"), lambda s: F.trim(s) != "")

@@ -116,16 +116,25 @@ def overlap_top_k(queries: DataFrame, q_key: str, q_text: str, docs: DataFrame,
 
 def full_text(queries: DataFrame, docs: DataFrame, fields: dict[str, float], k: int) -> DataFrame:
     """Terms of two letters or more must all be in a document (prefixes of three letters or more count);
-    a query without such a document takes those with any term.  A hit scores its field's weight."""
+    a query without such a document takes those with any term.  A hit scores its field's weight.
+
+    Terms first meet the dictionary, each word once, by the words' whole prefixes of the lengths that terms have; documents then
+    join on whole words, and only once for each query, term and document.
+    """
     q = queries.select("query", F.array_distinct(F.filter(tx.ascii_tokens(F.col("question")), lambda t: F.char_length(t) >= 2)).alias("ts"))
     words = [docs.select("doc", F.explode(F.array_distinct(tx.ascii_tokens(F.col(f)))).alias("word"), F.lit(w).alias("weight")) for f, w in fields.items()]
     posts = words[0]
     for w in words[1:]:
         posts = posts.unionByName(w)
-    term = q.select("query", F.size("ts").alias("n"), F.explode("ts").alias("term")).withColumn("head", F.substring("term", 1, 2))
-    posts = posts.withColumn("head", F.substring("word", 1, 2))
-    match = (F.col("word") == F.col("term")) | ((F.char_length("term") >= 3) & F.col("word").startswith(F.col("term")))
-    hits = term.join(posts, "head").filter(match).groupBy("query", "doc", "n", "term").agg(F.max("weight").alias("w"))
+    posts = posts.groupBy("doc", "word").agg(F.max("weight").alias("weight"))
+    term = q.select("query", F.size("ts").alias("n"), F.explode("ts").alias("term"))
+    known = term.select("term").distinct()
+    sizes = known.select(F.char_length("term").alias("size")).filter("size >= 3").distinct()
+    lengths = F.array(*(F.lit(r["size"]) for r in sizes.collect()), F.lit(0))  # a number for each length that terms have
+    prefixes = posts.select("word").distinct().select("word", F.explode(F.filter(lengths, lambda n: (n > 0) & (n < F.char_length("word")))).alias("size"))
+    longer = prefixes.select("word", F.expr("substring(word, 1, size)").alias("term")).join(known, "term")
+    meant = longer.unionByName(known.select(F.col("term").alias("word"), "term"))
+    hits = term.join(meant, "term").join(posts, "word").groupBy("query", "doc", "n", "term").agg(F.max("weight").alias("w"))
     scored = hits.groupBy("query", "doc", "n").agg(F.count("*").alias("found"), F.sum("w").alias("score"))
     any_full = F.max((F.col("found") == F.col("n")).cast("int")).over(Window.partitionBy("query")) == 1
     kept = scored.withColumn("any_full", any_full).filter(~F.col("any_full") | (F.col("found") == F.col("n")))

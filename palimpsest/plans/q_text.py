@@ -169,6 +169,17 @@ def n26(spark, d):
     return chunks.simple(_docs(spark, d), "doc_id", "text", 500, 50)
 
 
+@query("u7_chunk_generators")
+def u7(spark, d):
+    """The chunkers as table functions of SQL, a row into many."""
+    chunks.register_generators(spark)
+    return spark.sql(
+        "SELECT doc_id, c.chunk, c.chunk_id, length(c.chunk_text) AS n FROM {docs}, LATERAL paragraph_chunks(text, 120) AS c "
+        "UNION ALL SELECT doc_id, -1 - c.chunk, c.chunk_id, length(c.chunk_text) FROM {docs}, LATERAL simple_chunks(text, 500, 50) AS c",
+        docs=_docs(spark, d),
+    )
+
+
 @query("n27_urls", "SELECT page_id, len(regexp_extract_all(html, 'https?://[^\\s\"''<>]+')) AS n, TRUE AS restored FROM pages")
 def n27(spark, d):
     bare, urls = tx.protect_urls(F.col("html"))

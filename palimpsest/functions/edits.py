@@ -111,6 +111,39 @@ class Partial:
         return 100 * best
 
 
+    def many(self, texts: list[str]) -> np.ndarray:
+        """The ratios with many texts; those longer than the query are aligned in common passes."""
+        m, out = self.pattern.length, np.zeros(len(texts))
+        longer = [i for i, t in enumerate(texts) if len(t) > m > 0 and self.query not in t]
+        rest = set(range(len(texts))).difference(longer)
+        for i in rest:
+            out[i] = self(texts[i])
+        at = 0
+        while at < len(longer):
+            some, size = [], 0
+            while at < len(longer) and (not some or size + len(texts[longer[at]]) + 2 * m <= WINDOWS):
+                size += len(texts[longer[at]]) + 2 * m
+                some.append(longer[at])
+                at += 1
+            if len(some) == 1:
+                out[some[0]] = self(texts[some[0]])
+                continue
+            sizes = np.array([len(texts[i]) for i in some])
+            flat = self.pattern.numbered(codes("".join(texts[i] for i in some)))
+            first = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(some)), sizes - m + 1)
+            begin = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes - m + 1) - (sizes - m + 1), sizes - m + 1)
+            best = np.zeros(len(some))
+            np.maximum.at(best, owner, common(self.pattern, flat[begin[:, None] + np.arange(m)]) / m)
+            if m > 1:
+                owner, cut = np.repeat(np.arange(len(some)), m - 1), np.tile(np.arange(1, m), len(some))
+                for begin in (first[owner], first[owner] + sizes[owner] - cut):
+                    places = np.minimum(begin[:, None] + np.arange(m - 1), len(flat) - 1)
+                    np.maximum.at(best, owner, 2 * common(self.pattern, flat[places], cut) / (m + cut))
+            out[some] = 100 * best
+        return out
+
+
 def distances(text: str, others: list[str]) -> np.ndarray:
     """Edit distances of a text to others: one bit-parallel pass over all of them."""
     lengths = np.array([len(o) for o in others], np.int64)

@@ -13,6 +13,7 @@ import heapq
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,42 @@ from palimpsest.operators.tables import cut
 
 QUERY_CHARS = 1 << 20
 THRESHOLDS = (1, 3)
+#: Texts that are aligned with a query at a time, the most promising first.
+AT_ONCE = 256
+
+
+class _Letters:
+    """What letters allow: with c letters in common and s letters in the shorter text, no window's ratio is over 2 c / (s + c)."""
+
+    def __init__(self, texts: list[str]):
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.alphabet, at = np.unique(edits.codes("".join(texts)), return_inverse=True)
+        self.counts = np.zeros((len(texts), len(self.alphabet)), np.int32)
+        np.add.at(self.counts, (np.repeat(np.arange(len(texts)), self.sizes), at), 1)
+
+    def bound(self, query: str) -> np.ndarray:
+        chars, n = np.unique(edits.codes(query), return_counts=True)
+        own = np.zeros(len(self.alphabet), np.int32)
+        known = np.isin(chars, self.alphabet)
+        own[np.searchsorted(self.alphabet, chars[known])] = n[known]
+        shared = np.minimum(self.counts, own).sum(1)
+        out = 200 * shared / np.maximum(np.minimum(self.sizes, len(query)) + shared, 1)
+        return np.where((self.sizes == 0) & (not query), 100.0, out)
+
+
+def _scores(ratio: edits.Partial, texts: list[str], bound: np.ndarray, best: list[float], k: int) -> np.ndarray:
+    """The ratios of the texts that can be among the k best, given the best so far; -inf for the others."""
+    out, order = np.full(len(texts), -np.inf), np.argsort(-bound, kind="stable")
+    best = heapq.nlargest(k, best)
+    for at in range(0, len(order), AT_ONCE):
+        some = order[at : at + AT_ONCE]
+        if len(best) == k:
+            some = some[bound[some] + 1e-5 >= best[-1]]
+        if not len(some):
+            break
+        out[some] = np.round(ratio.many([texts[i] for i in some]), 6)
+        best = heapq.nlargest(k, best + out[some].tolist())
+    return out
 
 
 def partial_ratio_top_k(rows: DataFrame, key: str, text: str, queries: DataFrame, k: int, query_chars: int = QUERY_CHARS) -> DataFrame:
@@ -31,21 +68,31 @@ def partial_ratio_top_k(rows: DataFrame, key: str, text: str, queries: DataFrame
 
     A null text or question takes no part; repeated rows count each.
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     context = rows.sparkSession.sparkContext
     asked = queries.filter("question is not null").select("query", "question")
     kinds = f"query {asked.schema['query'].dataType.simpleString()}, id {rows.schema[key].dataType.simpleString()}, score double"
     n = max(1, -(-int(asked.agg(F.sum(F.char_length("question") + 64)).first()[0] or 0) // query_chars))
     narrow = rows.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
+    if (most := context.defaultParallelism) > narrow.rdd.getNumPartitions():
+        narrow = narrow.repartition(most)  # small files: aligning costs far more than moving
+
     def best(shared):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             chunk = [(q, edits.Partial(t.lower())) for q, t in shared.value]
             kept: list[list] = [[] for _ in chunk]
             for pdf in parts:
-                for id_, low in zip(pdf["id"], pdf["text"].str.lower(), strict=True):
-                    for (_, ratio), own in zip(chunk, kept, strict=True):
-                        own.append((-round(ratio(low), 6), id_))
-                kept = [heapq.nsmallest(k, own) for own in kept]
+                lows, at = np.unique(pdf["text"].str.lower().to_numpy(dtype=object), return_inverse=True)
+                ids = pdf["id"].tolist()
+                lows = lows.tolist()
+                letters = _Letters(lows)
+                for q, (_, ratio) in enumerate(chunk):
+                    scores = _scores(ratio, lows, letters.bound(ratio.query), [-s for s, _ in kept[q]], k)[at]
+                    enough = np.partition(scores, -k)[-k] if k <= len(scores) else -np.inf
+                    rows = np.flatnonzero((scores >= enough) & np.isfinite(scores))
+                    kept[q] = heapq.nsmallest(k, kept[q] + [(-float(scores[i]), ids[i]) for i in rows])
             found = [(q, i, -s) for (q, _), own in zip(chunk, kept, strict=True) for s, i in own]
             yield pd.DataFrame(found, columns=["query", "id", "score"])
 

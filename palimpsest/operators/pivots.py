@@ -13,7 +13,7 @@ How much is skipped depends on the data: with clusters, a row visits a few cells
 (low thresholds, or vectors spread evenly over many dimensions, where all are about as far apart) it visits nearly all, and the join costs
 what comparing all blocks costs.  `visits` tells which it is before anything is compared.
 
-Pivots are at most MOST_PIVOTS rows, chosen farthest-first from about SAMPLE rows drawn evenly from the table: the bounds hold for any
+Pivots are two for each block of the table, at most MOST_PIVOTS, chosen farthest-first from about SAMPLE rows drawn evenly from the table: the bounds hold for any
 choice.  Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do zero vectors,
 whose cosine is 0 (thresholds are above 0); vectors of other lengths are never similar; equal rows are rows of their own.
 """
@@ -158,9 +158,13 @@ def _met(members: DataFrame, visitors: DataFrame, alone: bool, compare: Callable
     return met.select("cell", "_i", "_j", "_right", *[c for c in members.columns if c not in ("cell", "far")]).groupBy("cell", "_i", "_j").applyInPandas(run, schema)
 
 
-def _cells(rows: DataFrame, least: float, most: int) -> tuple[Cells, DataFrame]:
+def _cells(rows: DataFrame, least: float, most: int | None, block_bytes: int = blocks.BLOCK_BYTES) -> tuple[Cells, DataFrame]:
+    """most: pivots; by default two for each block of the table, so that a row's copies are no more than in a join of all blocks."""
     if not 0 < least <= 1:
         raise ValueError("a threshold must be over 0 and at most 1")
+    if most is None:
+        size = rows.agg(F.sum(8 * F.size("v") + 64)).first()[0] or 0
+        most = min(MOST_PIVOTS, 2 * -(-size // block_bytes) or 1)
     # A pair of similarity `least` is `reach` apart.
     cells = Cells(_pivots(rows, most), float(np.sqrt(2 - 2 * least)))
     members = _celled(rows, cells)
@@ -174,24 +178,24 @@ def _units(rows: DataFrame) -> DataFrame:
     return rows.filter(F.exists("v", lambda x: x != 0))
 
 
-def visits(df: DataFrame, key: str, vec: str, least: float, pivots: int = MOST_PIVOTS) -> tuple[int, int, int]:
+def visits(df: DataFrame, key: str, vec: str, least: float, pivots: int | None = None) -> tuple[int, int, int]:
     """(rows, visits, cells) of a join within df: visits near rows x cells / 2 mean that the bounds skip next to nothing."""
     cells, members = _cells(_units(blocks._unit(df, key, vec)), least, pivots)
     return members.count(), _visiting(members, cells, True).count(), len(cells.radius)
 
 
-def pairs_over(df: DataFrame, key: str, vec: str, least: float, block_bytes: int = blocks.BLOCK_BYTES, pivots: int = MOST_PIVOTS) -> DataFrame:
+def pairs_over(df: DataFrame, key: str, vec: str, least: float, block_bytes: int = blocks.BLOCK_BYTES, pivots: int | None = None) -> DataFrame:
     """(a, b, similarity) for a < b with cosine over `least`, over the whole table."""
     rows = _units(blocks._unit(df, key, vec))
     kind = rows.schema["id"].dataType.simpleString()
-    cells, members = _cells(rows, least, pivots)
+    cells, members = _cells(rows, least, pivots, block_bytes)
     return _met(members, _visiting(members, cells, True), True, blocks.pair_compare(least), f"a {kind}, b {kind}, similarity double", block_bytes)
 
 
-def neighbours(left: DataFrame, right: DataFrame, key: str, vec: str, k: int, least: float, not_after: str | None = None, block_bytes: int = blocks.BLOCK_BYTES, pivots: int = MOST_PIVOTS) -> DataFrame:
+def neighbours(left: DataFrame, right: DataFrame, key: str, vec: str, k: int, least: float, not_after: str | None = None, block_bytes: int = blocks.BLOCK_BYTES, pivots: int | None = None) -> DataFrame:
     """blocks.neighbours() for a threshold: left rows visit the cells of right."""
     a, b, schema = blocks.near_sides(left, right, key, vec, not_after)
     # Scores are rounded before they are compared.
-    cells, members = _cells(_units(b), max(least - 5e-7, 1e-9), pivots)
+    cells, members = _cells(_units(b), max(least - 5e-7, 1e-9), pivots, block_bytes)
     compare = blocks.near_compare(k, least, bool(not_after))
     return top_k(_met(members, _visiting(_units(a), cells, False), False, compare, schema, block_bytes), ["id"], [F.desc("score"), "other"], k)

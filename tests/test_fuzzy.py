@@ -43,11 +43,14 @@ def texts(rng, n, sizes):
 
 def test_bits_equal_tables(monkeypatch):
     rng = random.Random(1)
-    monkeypatch.setattr(edits, "WINDOWS", 7)
+    monkeypatch.setattr(edits, "WINDOWS", 700)
     for a in texts(rng, 120, [0, 1, 3, 8, 20, 64, 65, 130]):
         others = texts(rng, 4, [0, 1, 3, 8, 30, 64, 70])
         assert edits.distances(a, others).tolist() == [plain_distance(a, b) for b in others]
         ratio = edits.Partial(a)
+        if len(a) < 65:
+            several = [b for b in others if len(a) * len(b) < 2500]
+            assert ratio.many(several * 2).tolist() == [ratio(b) for b in several * 2]
         for b in others:
             if len(a) * len(b) < 2500:
                 assert ratio(b) == pytest.approx(plain_ratio(a, b)), (a, b)

@@ -139,10 +139,10 @@ def triplets(spark, d):
 query("j13_triplet_distances", _TRIPLETS)(triplets)
 
 
-@query("j14_neighbours_both_ways", """WITH e AS (SELECT DISTINCT o_custkey AS s, o_orderkey % 100 AS t FROM orders) SELECT DISTINCT id, neighbour FROM (SELECT s AS id, t AS neighbour FROM e WHERE s < 20 AND s IN (SELECT c_custkey FROM customer) UNION ALL SELECT t, s FROM e WHERE t < 20 AND t IN (SELECT c_custkey FROM customer))""")
+@query("j14_neighbours_both_ways", """WITH e AS (SELECT DISTINCT o_custkey AS s, o_orderkey % 100 AS t FROM orders) SELECT DISTINCT id, neighbour FROM (SELECT s AS id, t AS neighbour FROM e WHERE s IN (SELECT c_custkey FROM customer) UNION ALL SELECT t, s FROM e WHERE t IN (SELECT c_custkey FROM customer))""")
 def j14(spark, d):
     edges = table(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), (F.col("o_orderkey") % 100).alias("target_id")).distinct()
-    nodes = table(spark, d, "customer").filter("c_custkey < 20").select(F.col("c_custkey").alias("id"))
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     return joins.neighbours_both_ways(nodes, edges)
 
 
@@ -165,10 +165,14 @@ def j16(spark, d):
     return c.groupBy(F.ceil(F.col("cum") / 1000.0).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(F.col("role") == "user").alias("n_user"))
 
 
-@query("j17_contained", "SELECT a.doc_id AS chunk_id, b.doc_id AS original_id FROM documents a JOIN documents b ON contains(b.text, substr(a.text, 11, 40))")
+@query("j17_contained", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+h AS (SELECT line, doc_id AS original_id FROM (SELECT DISTINCT line FROM l WHERE line <> '') JOIN documents ON contains(text, line))
+SELECT l.doc_id || ':' || n AS chunk_id, original_id FROM l JOIN h USING (line)""")
 def j17(spark, d):
+    """Every line of every document, as a dated turn, against all documents."""
     docs = table(spark, d, "documents")
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("Date: 2024\nuser: "), F.substring("text", 11, 40)).alias("chunk"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter("line <> ''")
+    chunks = lines.select(F.concat_ws(":", "doc_id", "n").alias("chunk_id"), F.concat(F.lit("Date: 2024\nuser: "), "line").alias("chunk"))
     return joins.contained_in(chunks, docs.select(F.col("doc_id").alias("original_id"), F.col("text").alias("original")))
 
 

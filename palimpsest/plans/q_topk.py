@@ -44,9 +44,9 @@ def _scored(spark, d):
 _SCORED = f"(SELECT vec_id, label, {_COS} AS score FROM embeddings)"
 
 
-@query("k7_threshold_after_cut", f"SELECT vec_id, score FROM (SELECT * FROM {_SCORED} WHERE label < 6 ORDER BY score DESC, vec_id LIMIT 30) WHERE score >= 0.2")
+@query("k7_threshold_after_cut", f"SELECT vec_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS r FROM {_SCORED}) WHERE r <= 30 AND score >= 0.2")
 def k7(spark, d):
-    return topk.cut_then_threshold(_scored(spark, d).filter("label < 6"), [], 30, 0.2, "vec_id").select("vec_id", "score")
+    return topk.cut_then_threshold(_scored(spark, d), ["label"], 30, 0.2, "vec_id").select("vec_id", "label", "score")
 
 
 @query("k8_level_weights", f"""WITH w AS (SELECT vec_id, round(score * CASE label WHEN 1 THEN 1.2 WHEN 2 THEN 0.8 ELSE 1.0 END, 6) AS score FROM {_SCORED} WHERE score > 0.3), b AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM w)

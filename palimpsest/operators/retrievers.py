@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.operators import blocks, lexical, topk
+from palimpsest.operators import blocks, joins, lexical, rerank, topk
 from palimpsest.sources import ingest
 
 
@@ -125,6 +125,25 @@ class VectorRetriever:
         self.table.drop()
 
 
+class OverlapRetriever:
+    """Retrieval by the share of the question's tokens that a text has, over the rows themselves; known docs come in once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows = spark, None
+
+    def memorize(self, rows: DataFrame) -> None:
+        new = rows.filter("doc IS NOT NULL").groupBy("doc").agg(F.min("text").alias("text"))
+        self.rows = new if self.rows is None else self.rows.unionByName(new.join(self.rows.select("doc"), "doc", "left_anti"))
+
+    def query(self, questions: DataFrame, k: int) -> DataFrame:
+        if self.rows is None:
+            raise ValueError("nothing is memorised")
+        return lexical.overlap_top_k(questions, "query", "question", self.rows, "doc", "text", k)
+
+    def reset(self) -> None:
+        self.rows = None
+
+
 class Parts:
     """Makers by name, of one sort: an unknown name is an error, and no name is taken twice."""
 
@@ -164,6 +183,23 @@ def _by_level(level: str, weights: Mapping[str, float], k: int, tie: str) -> Cal
     return lambda scored: topk.weighted_rerank(scored, level, weights, k, tie)
 
 
+@RERANKERS.register("concat", "concat_sources")
+def _by_sources(k: int, score: rerank.Scorer = rerank.overlap) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    return lambda candidates, sources: rerank.rerank(candidates, sources, "concat_sources", k, score)
+
+
+@RERANKERS.register("strategy")
+def _by_strategy(k: int, strategy: str = "single_turn", score: rerank.Scorer = rerank.overlap) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    if strategy not in rerank.STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
+    return lambda candidates, sources: rerank.rerank(candidates, sources, strategy, k, score)
+
+
+@SEGMENTERS.register("topics")
+def _topics(by: str, order: str, similarity: str, bar: float, most: int) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: rerank.topic_segments(df, by, order, similarity, bar, most)
+
+
 @SEGMENTERS.register("paragraphs")
 def _paragraphs(key: str, text: str, most: int) -> Callable[[DataFrame], DataFrame]:
     from palimpsest.functions import chunks
@@ -185,6 +221,87 @@ def _informative(word: str, score: str, share: float) -> Callable[[Column], Colu
     return lambda words: chunks.keep_informative(words, word, score, share)
 
 
+@COMPRESSORS.register("entropy")
+def _entropy(key: str, text: str, share: float) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: rerank.entropy_kept(df, key, text, share)
+
+
+@dataclass(frozen=True)
+class Knowledge:
+    """What the search kinds look into; each kind takes a question and k.
+
+    texts (doc, text) stand behind `chunks`; nodes (id, name) behind `names`, whose docs are node ids; edges (source_id, relation,
+    target_id, edge), edge being unique.  relations ranks edges by their relation, as (relation, distance).  summarize
+    maps a context to a shorter one, translate a question to SQL; both may be a language model's.  A retriever's score is a
+    similarity, its distance 1 - score.  code: (piece, file) of the pieces that `pieces` retrieves, whose docs are pieces.
+    """
+
+    texts: DataFrame
+    chunks: Retriever
+    summaries: Retriever
+    nodes: DataFrame
+    edges: DataFrame
+    names: Retriever
+    relations: Callable[[str], DataFrame]
+    pieces: Retriever
+    code: DataFrame
+    summarize: Callable[[DataFrame], DataFrame] = lambda context: context
+    translate: Callable[[str], str] = lambda question: question
+    near: float = 0.5
+
+    def _ask(self, retriever: Retriever, question: str, k: int) -> DataFrame:
+        return retriever.query(self.nodes.sparkSession.createDataFrame([(0, question)], "query long, question string"), k).drop("query")
+
+    def find_chunks(self, question: str, k: int) -> DataFrame:
+        return self._ask(self.chunks, question, k)
+
+    def find_summaries(self, question: str, k: int) -> DataFrame:
+        return self._ask(self.summaries, question, k)
+
+    def context(self, question: str, k: int) -> DataFrame:
+        """One row: the k chunks, best first, as the text that an answer is made from."""
+        best = self._ask(self.chunks, question, k).join(self.texts, "doc")
+        in_order = F.array_sort(F.collect_list(F.struct("rank", "text")))  # k texts
+        return best.agg(F.array_join(F.transform(in_order, lambda x: x["text"]), "\n").alias("context"))
+
+    def insights(self, question: str, k: int) -> DataFrame:
+        """Edges of the node with that id; if there is none, of the k nodes whose names are nearer than `near`.  Each edge once."""
+        exact = self.nodes.filter(F.col("id") == question).select("id")
+        if exact.isEmpty():
+            exact = self._ask(self.names, question, k).filter(1 - F.col("score") < self.near).select(F.col("doc").alias("id"))
+        touched = [self.edges.join(F.broadcast(exact.limit(k)), self.edges[end] == exact["id"], "left_semi") for end in ("source_id", "target_id")]  # k ids
+        return touched[0].unionByName(touched[1]).select("source_id", "relation", "target_id").distinct()
+
+    def triplets(self, question: str, k: int) -> DataFrame:
+        """The k edges with the least sum of the distances of both nodes and the relation, what isn't found counting as 1."""
+        found = self._ask(self.names, question, 2 * k).select(F.col("doc").alias("id"), (1 - F.col("score")).alias("distance"))
+        return topk.best_triplets(joins.triplet_distances(self.edges, found, self.relations(question)), k, "edge")
+
+    def graph_context(self, question: str, k: int) -> DataFrame:
+        """One row: the triplets as lines `source -- relation -- target` by name."""
+        name = lambda end: self.nodes.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"))
+        lines = self.triplets(question, k).join(name("source"), "source_id").join(name("target"), "target_id")
+        in_order = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" -- ", "source_name", "relation", "target_name").alias("line"))))  # k lines
+        return lines.agg(F.array_join(F.transform(in_order, lambda x: x["line"]), "\n").alias("context"))
+
+    def graph_summary(self, question: str, k: int) -> DataFrame:
+        return self.summarize(self.graph_context(question, k))
+
+    def files(self, question: str, k: int) -> DataFrame:
+        """Files of the k best pieces, by their best piece."""
+        best = self._ask(self.pieces, question, k).join(self.code, F.col("doc") == F.col("piece"))
+        return best.groupBy("file").agg(F.min("rank").alias("rank"))
+
+    def natural_language(self, question: str, _: int) -> DataFrame:
+        return self.nodes.sparkSession.sql(self.translate(question))
+
+    def kinds(self) -> dict[str, Callable[[str, int], DataFrame]]:
+        return {
+            "SUMMARIES": self.find_summaries, "INSIGHTS": self.insights, "CHUNKS": self.find_chunks, "RAG_COMPLETION": self.context, "GRAPH_COMPLETION": self.graph_context,
+            "GRAPH_SUMMARY_COMPLETION": self.graph_summary, "CODE": self.files, "NATURAL_LANGUAGE": self.natural_language,
+        }
+
+
 class Search:
     """Search kinds by name; each takes (question, k) and gives a DataFrame.  The kind `sql` runs the question as it stands."""
 

@@ -9,7 +9,7 @@ from palimpsest.plans import catalog
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     sf_dir = f"{DATA}/sf0.001"
-    assert differences(catalog.QUERIES[name](spark, sf_dir), catalog.ORACLES[name], sf_dir) in ("", "no rows")
+    assert differences(catalog.QUERIES[name](spark, sf_dir), catalog.ORACLES[name], sf_dir) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))

@@ -83,7 +83,7 @@ def test_names_are_known_and_taken_once(spark):
         retrievers.RERANKERS.make("no such")
     with pytest.raises(ValueError):
         retrievers.RERANKERS.register("noop")(lambda: None)
-    assert retrievers.RERANKERS.names() == ["cosine", "cosine_local", "disabled", "none", "noop"]
+    assert retrievers.RERANKERS.names() == ["concat", "concat_sources", "cosine", "cosine_local", "disabled", "none", "noop", "strategy"]
     df = spark.createDataFrame([(1, "one. two.")], "id int, text string")
     assert retrievers.SEGMENTERS.make("windows", key="id", text="text", size=4, overlap=1)(df).count() >= 2
     with pytest.raises(ValueError):

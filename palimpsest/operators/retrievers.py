@@ -32,22 +32,67 @@ class GrowingIndex:
     A batch is postings/vN, frequencies/vN and sizes/vN; it counts once sizes/vN, written last, is complete.  Rows whose
     doc is known, null or repeated in the batch (the least text stays) add nothing, so a batch may come again.  One writer
     at a time: what a crash left incomplete is overwritten.
+
+    As soon as `fan` batches of about the same size (within a factor of `fan`) are there, they are merged into one, so a row is
+    rewritten a logarithmic number of times and few batches are open at a time.  A merge is a batch with merges/vN, the numbers that it
+    replaces; that is written first, so the merge takes their place in the moment in which it counts.  Replaced batches stay
+    for those who read them until `vacuum`.
     """
 
-    PARTS = ("postings", "frequencies", "sizes")
+    PARTS = ("merges", "postings", "frequencies", "sizes")
 
-    def __init__(self, spark: SparkSession, root: str, tokens: Callable[[Column], Column] = tx.words):
-        self.spark, self.root, self.tokens = spark, root.rstrip("/"), tokens
+    def __init__(self, spark: SparkSession, root: str, tokens: Callable[[Column], Column] = tx.words, fan: int = 8):
+        if fan < 2:
+            raise ValueError("fan must be at least 2")
+        self.spark, self.root, self.tokens, self.fan = spark, root.rstrip("/"), tokens, fan
 
     def _path(self, part: str, version: int) -> str:
         return f"{self.root}/{part}/v{version}"
 
+    def batches(self) -> list[int]:
+        """Numbers of the batches that count: complete ones that no complete merge replaces."""
+        done = set(ingest._versions(self.spark, f"{self.root}/sizes"))
+        merges = [self._path("merges", v) for v in ingest._versions(self.spark, f"{self.root}/merges") if v in done]
+        replaced = {r[0] for r in self.spark.read.parquet(*merges).collect()} if merges else set()  # a number a batch
+        return sorted(done - replaced)
+
+    def _of(self, part: str, versions: Sequence[int]) -> DataFrame:
+        return self.spark.read.parquet(*[self._path(part, v) for v in versions])
+
     def _read(self, part: str) -> DataFrame | None:
-        done = ingest._versions(self.spark, f"{self.root}/sizes")
-        return self.spark.read.parquet(*[self._path(part, v) for v in done]) if done else None
+        live = self.batches()
+        return self._of(part, live) if live else None
+
+    def _next(self) -> int:
+        return max(ingest._newest(self.spark, f"{self.root}/{part}") for part in self.PARTS) + 1
+
+    def merge(self, versions: Sequence[int]) -> None:
+        """These batches as one."""
+        n = self._next()
+        self.spark.createDataFrame([(v,) for v in versions], "version int").coalesce(1).write.mode("overwrite").parquet(self._path("merges", n))
+        self._of("postings", versions).repartition("doc").write.mode("overwrite").parquet(self._path("postings", n))
+        self._of("frequencies", versions).groupBy("term").agg(F.sum("df").alias("df")).write.mode("overwrite").parquet(self._path("frequencies", n))
+        self._of("sizes", versions).agg(F.sum("n").alias("n"), F.sum("length").alias("length")).coalesce(1).write.mode("overwrite").parquet(self._path("sizes", n))
+
+    def _full_tier(self) -> list[int] | None:
+        tiers: dict[int, list[int]] = {}
+        for v in self.batches():
+            n, tier = self._of("sizes", [v]).first()["n"], 0
+            while n >= self.fan:
+                n, tier = n // self.fan, tier + 1
+            tiers.setdefault(tier, []).append(v)
+        return next((found for _, found in sorted(tiers.items()) if len(found) >= self.fan), None)
+
+    def vacuum(self) -> None:
+        """Deletes what merges have replaced, and what was left incomplete; nobody may be reading it."""
+        live = set(self.batches())
+        for part in ("sizes", "frequencies", "postings"):  # sizes first: without them a batch doesn't count; merges stay
+            for v in range(1, self._next()):
+                if v not in live:
+                    ingest._remove(self.spark, self._path(part, v))
 
     def memorize(self, rows: DataFrame) -> None:
-        n = max(ingest._newest(self.spark, f"{self.root}/{part}") for part in self.PARTS) + 1
+        n = self._next()
         new = rows.filter("doc is not null").groupBy("doc").agg(F.min("text").alias("text"))
         if (known := self._read("postings")) is not None:
             new = new.join(known.select("doc"), "doc", "left_anti")
@@ -58,6 +103,8 @@ class GrowingIndex:
         stored.filter("term is not null").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(self._path("frequencies", n))
         once = stored.groupBy("doc").agg(F.first("dl").alias("dl"))
         once.agg(F.count("*").alias("n"), F.sum("dl").alias("length")).coalesce(1).write.mode("overwrite").parquet(self._path("sizes", n))
+        while (full := self._full_tier()) is not None:
+            self.merge(full)
 
     def index(self) -> lexical.Index:
         if (sizes := self._read("sizes")) is None:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from palimpsest.operators.tables import shared_dir
+from palimpsest.plans.q_lexical import BM25
 from palimpsest.plans.registry import query, table
-from palimpsest.sources import ingest
+from palimpsest.sources import corpus, ingest
 
 
 @query("s1_persona_scan", """WITH p AS (SELECT doc_id, CAST(regexp_extract(source, '(\\d+)', 1) AS BIGINT) AS persona FROM documents)
@@ -45,9 +49,28 @@ def s4(spark, d):
     return ingest.parse_questions(e, [1, 4, 5]).select("event_id", "answer", F.size("evidence").alias("n_evidence"))
 
 
-@query("s5_embedding_table", "SELECT vec_id, len(embedding) AS dims, CAST(label AS BIGINT) AS label FROM embeddings")
+@query("s5_embedding_table", "SELECT vec_id, len(embedding) AS dims, label, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM (SELECT vec_id, embedding, CAST(label AS BIGINT) AS label FROM embeddings)")
 def s5(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dims"), F.col("label").cast("long").alias("label"))
+    """Saved in two batches, the second with rows of the first, and read back by a store that is opened anew."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("string").alias("payload"))
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}"
+    saved = ingest.VectorTable(spark, root, "embeddings")
+    saved.insert(e.filter("id % 2 = 0"))
+    saved.insert(e)
+    rows = ingest.VectorTable(spark, root, "embeddings").rows
+    v = F.col("vector")
+    return rows.select(F.col("id").cast("long").alias("vec_id"), F.size(v).cast("long").alias("dims"), F.col("payload").cast("long").alias("label"), v[0].alias("first"), F.element_at(v, -1).alias("last"))
+
+
+@query("s18_corpus_search", BM25 + " SELECT query, CAST(doc AS VARCHAR) AS doc, score, CAST(rank AS INTEGER) AS rank, lang AS title, md5(text) AS text FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, CAST(doc AS VARCHAR)) AS rank FROM k) JOIN documents ON doc = doc_id WHERE rank <= 3 AND score > 0")
+def s18(spark, d):
+    """Documents as JSON Lines, loaded, indexed and searched by the benchmark's items, with the texts that are found."""
+    docs = table(spark, d, "documents")
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/corpus-{uuid.uuid4().hex}"
+    docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"), F.col("text").alias("contents")).write.json(path)
+    held = corpus.indexed(corpus.load(spark, path))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
+    return held.search(items, 3).withColumn("text", F.md5("text"))
 
 
 _STORE = "SELECT DISTINCT 'chunk-' || md5(text) AS hash_id FROM documents WHERE doc_id % 2 = 0"

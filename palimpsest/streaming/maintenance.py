@@ -183,14 +183,21 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
 
 
 def append_new(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: rows whose key the Parquet table at path lacks are appended; a replayed batch adds nothing."""
+    """foreachBatch sink: rows whose key the Parquet table at path lacks are appended; a replayed batch adds nothing.
+
+    Only row groups whose keys lie between the batch's least and largest are read.  A null key is appended once.
+    """
 
     def sink(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates([key])
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
+            low, high = rows.agg(F.min(key), F.max(key)).first()
+            known = spark.read.parquet(path).select(F.col(key).alias("_known"))
+            near = F.col("_known").isNull()
+            known = known.filter(near if low is None else near | F.col("_known").between(low, high))
+            rows = rows.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
         rows.write.mode("append").parquet(path)
 
     return sink

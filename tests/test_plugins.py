@@ -72,6 +72,29 @@ def test_growing_index_takes_every_row_once(spark, tmp_path):
         growing.index()
 
 
+def test_batches_of_the_index_are_merged_by_size(spark, tmp_path):
+    growing = retrievers.GrowingIndex(spark, f"{tmp_path}/ix", fan=2)
+    rows = [(i, f"red w{i % 3} " + "bolt " * (i % 4)) for i in range(7)]
+    df = spark.createDataFrame(rows, "doc int, text string")
+    for i in range(7):
+        growing.memorize(df.filter(F.col("doc") <= i))  # one new row each
+    assert len(growing.batches()) == 3  # 4 + 2 + 1 rows
+    asked = spark.createDataFrame([(1, "red bolt w1")], "query int, question string")
+    whole = lexical.index(df, "doc", F.expr("filter(split(text, ' '), x -> x <> '')"))
+    want = sorted(map(tuple, lexical.bm25_top_k(lexical.bm25_scores(whole, asked, "query", F.split("question", " ")), 5).collect()))
+    assert sorted(map(tuple, growing.query(asked, 5).collect())) == want
+    before = growing.batches()
+    spark.createDataFrame([(v,) for v in before], "version int").write.parquet(growing._path("merges", growing._next()))  # a merge that didn't come to its end
+    assert growing.batches() == before and sorted(map(tuple, growing.query(asked, 5).collect())) == want
+    growing.vacuum()
+    again = retrievers.GrowingIndex(spark, f"{tmp_path}/ix", fan=2)
+    assert again.batches() == before and sorted(map(tuple, again.query(asked, 5).collect())) == want
+    again.memorize(spark.createDataFrame([(7, "new")], "doc int, text string"))
+    assert len(again.batches()) == 1 and again.index().size.first()["n"] == 8
+    with pytest.raises(ValueError):
+        retrievers.GrowingIndex(spark, f"{tmp_path}/iy", fan=1)
+
+
 def test_embedder_gives_unit_vectors_and_nulls(spark):
     embed = retrievers.Embedder(lambda texts: [[float(len(t)), 0.0 if t == "z" else 1.0] for t in texts]).embed
     got = spark.createDataFrame([("abc",), (None,), ("",), ("z",)], "t string").select("t", embed(F.col("t")).alias("v")).collect()

@@ -41,6 +41,10 @@ def test_append_new_is_idempotent(spark, tmp_path):
     sink(df, 0)
     sink(df, 0)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 100
+    sink(spark.sql("select cast(null as bigint) as id union all select -5L"), 1)
+    sink(spark.sql("select cast(null as bigint) as id union all select null"), 2)
+    sink(df.limit(0), 3)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 102
 
 
 def test_incremental_index_by_stream(spark, tmp_path):

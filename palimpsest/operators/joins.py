@@ -129,13 +129,30 @@ def rematch(saved: DataFrame, dataset: DataFrame, signature: list[str]) -> DataF
     return a.unionByName(b)
 
 
+def _stripped(chunks: DataFrame) -> DataFrame:
+    bare = F.regexp_replace(F.regexp_replace("chunk", r"^Date: [^\n]*\n", ""), r"^(user|assistant): ", "")
+    return chunks.select("chunk_id", bare.alias("bare")).filter("bare is not null")
+
+
+def contained_counts(chunks: DataFrame, originals: DataFrame) -> DataFrame:
+    """(bare, first_chunk, n_chunks, first_original, n_originals) of each distinct stripped chunk that is part of an original.
+
+    Chunks and originals as in contained_in; equal ones are counted before they meet, so no pairs of copies are made.
+    """
+    c = cut(_stripped(chunks).groupBy("bare").agg(F.min("chunk_id").alias("first_chunk"), F.count("*").alias("n_chunks")), "distinct-chunks")
+    o = originals.filter("original is not null").groupBy(F.sha2("original", 256).alias("digest")).agg(F.min("original_id").alias("first"), F.count("*").alias("n"), F.first("original").alias("text"))
+    o = cut(o, "distinct-originals")
+    found = containment.parts(c.select("bare"), o.select("digest", "text")).join(o.select("digest", "first", "n"), "digest")
+    return found.groupBy("bare").agg(F.min("first").alias("first_original"), F.sum("n").alias("n_originals")).join(c, "bare").select("bare", "first_chunk", "n_chunks", "first_original", "n_originals")
+
+
 def contained_in(chunks: DataFrame, originals: DataFrame) -> DataFrame:
     """(chunk_id, original_id) where the stripped chunk (chunk_id, chunk) is part of the original (original_id, original).
 
     An empty chunk is part of every text; null ones take no part.  See operators.containment for the search.
+    Copies on both sides give all pairs of them; contained_counts names each text once.
     """
-    bare = F.regexp_replace(F.regexp_replace("chunk", r"^Date: [^\n]*\n", ""), r"^(user|assistant): ", "")
-    c = chunks.select("chunk_id", bare.alias("bare")).filter("bare is not null")
+    c = _stripped(chunks)
     o = originals.filter("original is not null").withColumn("digest", F.sha2("original", 256))
     texts = o.groupBy("digest").agg(F.first("original").alias("text"))
     found = containment.parts(c.select("bare").distinct(), texts)

@@ -167,13 +167,14 @@ def j16(spark, d):
 
 @query("j17_contained", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
 h AS (SELECT line, doc_id AS original_id FROM (SELECT DISTINCT line FROM l WHERE line <> '') JOIN documents ON contains(text, line))
-SELECT l.doc_id || ':' || n AS chunk_id, original_id FROM l JOIN h USING (line)""")
+SELECT md5(line) AS line, first_chunk, n_chunks, min(original_id) AS first_original, count(*) AS n_originals FROM h JOIN (SELECT line, min(doc_id || ':' || n) AS first_chunk, count(*) AS n_chunks FROM l GROUP BY 1) c USING (line) GROUP BY 1, 2, 3""")
 def j17(spark, d):
     """Every line of every document, as a dated turn, against all documents."""
     docs = table(spark, d, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter("line <> ''")
     chunks = lines.select(F.concat_ws(":", "doc_id", "n").alias("chunk_id"), F.concat(F.lit("Date: 2024\nuser: "), "line").alias("chunk"))
-    return joins.contained_in(chunks, docs.select(F.col("doc_id").alias("original_id"), F.col("text").alias("original")))
+    found = joins.contained_counts(chunks, docs.select(F.col("doc_id").alias("original_id"), F.col("text").alias("original")))
+    return found.select(F.md5("bare").alias("line"), "first_chunk", "n_chunks", "first_original", "n_originals")
 
 
 @query("j18_nodes_by_type", "SELECT kind, count(*) AS n, min(id) AS first FROM (SELECT 'customer' AS kind, 'customer-' || c_custkey AS id FROM customer UNION ALL SELECT 'part', 'part-' || p_partkey FROM part) GROUP BY 1")

@@ -55,7 +55,23 @@ def test_contained_in_finds_long_short_empty_and_repeated_chunks(spark):
     chunks = spark.createDataFrame([(i, c if c is None or i % 2 else f"Date: today\nuser: {c}") for i, c in enumerate(cuts)], "chunk_id int, chunk string")
     originals = spark.createDataFrame(list(enumerate(texts)), "original_id int, original string")
     got = [tuple(r) for r in joins.contained_in(chunks, originals).collect()]
-    assert sorted(got) == sorted((i, j) for i, c in enumerate(cuts) if c is not None for j, t in enumerate(texts) if t is not None and c in t)
+    pairs = [(i, j) for i, c in enumerate(cuts) if c is not None for j, t in enumerate(texts) if t is not None and c in t]
+    assert sorted(got) == sorted(pairs)
+    counts = {r.bare: tuple(r)[1:] for r in joins.contained_counts(chunks, originals).collect()}
+    held = {}
+    for i, j in pairs:
+        held.setdefault(cuts[i], []).append((i, j))
+    assert counts == {c: (min(i for i, _ in p), len({i for i, _ in p}), min(j for _, j in p), len({j for _, j in p})) for c, p in held.items()}
+    for empty in (joins.contained_counts(chunks.limit(0), originals), joins.contained_counts(chunks, originals.limit(0))):
+        assert empty.count() == 0
+
+
+def test_a_common_anchor_is_dealt_over_tasks(spark):
+    places = spark.createDataFrame([(str(i), 7 if i % 3 else i) for i in range(900)], "digest string, anchor long")
+    wanted = spark.createDataFrame([("a", 7), ("b", 7), ("c", 3), ("d", -1)], "bare string, anchor long")
+    met = containment._met(places, wanted)
+    assert sorted((r.bare, r.digest) for r in met.collect()) == sorted([(b, str(i)) for b in "ab" for i in range(900) if i % 3] + [("c", "3")])
+    assert met.filter("anchor = 7").select("salt").distinct().count() == containment.SALTS
 
 
 def test_anchors_of_a_text_hold_those_of_its_parts():

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.functions import text as tx
+from palimpsest.operators import sets
 from palimpsest.operators.ranking import min_max, top_k
 from palimpsest.operators.tables import cut
 
@@ -72,8 +73,19 @@ def tfidf_vectors(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return raw.join(length, "doc").select("doc", "term", (F.col("w") / F.col("len")).alias("w"))
 
 
-def tfidf_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) for a < b of unit vectors (doc, term, w) whose cosine is at least `least` (over 0), over the whole table.
+#: Documents of a class that stand in one row.
+MEMBERS = 1024
+
+
+def same_vectors(vectors: DataFrame) -> DataFrame:
+    """(doc, class): documents of equal unit vectors (doc, term, w), to twelve digits, bear the smallest of their keys as class."""
+    content = F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("term", F.round("w", 12).alias("w"))))), 256)
+    marked = cut(vectors.groupBy("doc").agg(content.alias("content")), "vector-contents")
+    return marked.join(marked.groupBy("content").agg(F.min("doc").alias("class")), "content").select("doc", "class")
+
+
+def class_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) for a < b of unit vectors (doc, term, w), all different, whose cosine is at least `least` (over 0).
 
     A document's most frequent terms, as long as their part of the vector is shorter than `least`, can't make a pair by
     themselves: two similar documents share a term among the rest, so only those terms are joined on; then the pair's
@@ -89,6 +101,44 @@ def tfidf_pairs(vectors: DataFrame, least: float) -> DataFrame:
     return whole.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
+def tfidf_pairs(vectors: DataFrame, least: float, members: int = MEMBERS) -> DataFrame:
+    """(a, b, similarity) for a < b of unit vectors (doc, term, w) whose cosine is at least `least` (over 0), over the whole table.
+
+    Equal vectors meet others once, as a class; pairs of classes then give all pairs of their documents, where they are
+    made: rows of at most `members` documents meet, and the pairs themselves are never shuffled.
+    """
+    vectors = cut(vectors, "tfidf-vectors")
+    of = cut(same_vectors(vectors), "vector-classes")
+    own = vectors.join(of.filter("doc = class").select("doc"), "doc", "left_semi")
+    alone = own.groupBy(F.col("doc").alias("a")).agg(F.sum(F.col("w") * F.col("w")).alias("similarity")).filter(F.col("similarity") >= least)
+    pairs = class_pairs(own, least).unionByName(alone.select("a", F.col("a").alias("b"), "similarity"))
+    # Equal vectors' documents in rows of bounded size; a row of one document joins as any other.
+    sizes = of.groupBy("class").agg(F.ceil(F.count("*") / members).alias("rows"))
+    held = of.join(sizes, "class").groupBy("class", F.pmod(F.xxhash64("doc"), "rows").alias("row")).agg(F.collect_list("doc").alias("docs"))
+    held = cut(held.select("class", "docs"), "class-members")
+    side = lambda key, docs: held.select(F.col("class").alias(key), F.col("docs").alias(docs))
+    met = pairs.join(side("a", "of_a"), "a").join(side("b", "of_b"), "b")
+    each = met.select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity", "of_b", F.explode("of_a").alias("p")).select("x", "y", "similarity", "p", F.explode("of_b").alias("q"))
+    each = each.filter((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
+    return each.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
+
+
+def tfidf_near_duplicates(vectors: DataFrame, items: DataFrame, key: str, least: float) -> DataFrame:
+    """Items kept by the sweep of sets.greedy_near_duplicates over the pairs of tfidf_pairs, without making the pairs of copies.
+
+    Of equal vectors the first document goes or stays as it would among all; the others are as similar to whatever removed
+    it, or to itself if it stays, so they go.  Items without a vector stay.
+    """
+    vectors = cut(vectors, "tfidf-vectors")
+    of = cut(same_vectors(vectors), "vector-classes")
+    first = of.filter("doc = class")
+    own = vectors.join(first.select("doc"), "doc", "left_semi")
+    later = of.filter("doc <> class").select(F.col("doc").alias(key))
+    if least > 1 - 1e-9:  # rounding decides then whether copies are similar enough
+        return sets.greedy_near_duplicates(tfidf_pairs(vectors, least), items, key, least)
+    return sets.greedy_near_duplicates(class_pairs(own, least), items.join(later, key, "left_anti"), key, least)
+
+
 def key_tag_search(scores: DataFrame, second: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
     """The 2k best by BM25, re-scored as weight * bm25 + (1 - weight) * tf-idf (query, doc, similarity), then the k best."""
     first = bm25_top_k(scores, 2 * k).drop("rank")
@@ -141,4 +191,4 @@ def full_text(queries: DataFrame, docs: DataFrame, fields: dict[str, float], k:
     return top_k(kept.select("query", "doc", F.round("score", 6).alias("score")), ["query"], [F.desc("score"), "doc"], k)
 
 
-__all__ = ["Index", "bm25_scores", "bm25_top_k", "full_text", "hybrid", "index", "key_tag_search", "min_max", "overlap_top_k", "tfidf_pairs", "tfidf_vectors"]
+__all__ = ["Index", "bm25_scores", "bm25_top_k", "full_text", "hybrid", "index", "key_tag_search", "min_max", "overlap_top_k", "tfidf_near_duplicates", "tfidf_pairs", "tfidf_vectors"]

@@ -129,3 +129,26 @@ def test_closest_takes_twins_then_the_least_distance_then_the_smaller_id(spark):
     few = blocks.closest_texts(distinct, distinct.withColumnRenamed("item", "candidate"), 1000)
     texts = set(names) - {None}
     assert {(r.item, r.candidate) for r in few.collect()} == {(s, t) for s in texts for t in texts - {s} if edits(s, t) == min(edits(s, u) for u in texts - {s})}
+
+
+def test_equal_vectors_meet_once_as_a_class_and_keep_all_their_pairs(spark):
+    texts = ["red bolt", "bolt red", "red nut", "blue gear", "red bolt pin", ""]
+    docs = spark.createDataFrame([((i * 7) % 120, texts[i % 6]) for i in range(120)], "id int, text string")
+    vec = lexical.tfidf_vectors(docs, "id", tx.words(F.col("text")))
+    of = {r.doc: r["class"] for r in lexical.same_vectors(vec).collect()}
+    held = {r.id: sorted(r.text.split()) for r in docs.collect() if r.text}
+    assert of == {i: min(j for j, u in held.items() if u == t) for i, t in held.items()} and len(set(of.values())) == 4
+    by_doc = {}
+    for r in vec.collect():
+        by_doc.setdefault(r.doc, {})[r.term] = r.w
+    every = {(a, b): sum(w * by_doc[b].get(t, 0) for t, w in by_doc[a].items()) for a, b in itertools.combinations(sorted(by_doc), 2)}
+    want = {p for p, s in every.items() if s >= 0.4}
+    for members in (3, 1000):
+        got = [(r.a, r.b) for r in lexical.tfidf_pairs(vec, 0.4, members).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 2000
+    kept, gone = [], set()
+    for i in range(120):
+        if i not in gone:
+            kept.append(i)
+            gone |= {b for a, b in want if a == i}
+    assert sorted(r.id for r in lexical.tfidf_near_duplicates(vec, docs, "id", 0.4).collect()) == kept

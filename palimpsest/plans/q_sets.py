@@ -51,7 +51,7 @@ def d5(spark, d):
 
 @query("d6_greedy_near_duplicates")
 def d6(spark, d):
-    return sets.greedy_near_duplicates(lexical.tfidf_pairs(part_vectors(spark, d), 0.75), table(spark, d, "part"), "p_partkey", 0.75)
+    return lexical.tfidf_near_duplicates(part_vectors(spark, d), table(spark, d, "part"), "p_partkey", 0.75)
 
 
 def _greedy_sql(order: str, bar: float, cap: int | None = None) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from palimpsest.functions import text as tx
 from palimpsest.operators import sets
 from palimpsest.operators.ranking import min_max, top_k
-from palimpsest.operators.tables import cut
+from palimpsest.operators.tables import MEMBERS, cut, members
 
 
 @dataclass(frozen=True)
@@ -73,10 +73,6 @@ def tfidf_vectors(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return raw.join(length, "doc").select("doc", "term", (F.col("w") / F.col("len")).alias("w"))
 
 
-#: Documents of a class that stand in one row.
-MEMBERS = 1024
-
-
 def same_vectors(vectors: DataFrame) -> DataFrame:
     """(doc, class): documents of equal unit vectors (doc, term, w), to twelve digits, bear the smallest of their keys as class."""
     content = F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("term", F.round("w", 12).alias("w"))))), 256)
@@ -101,21 +97,18 @@ def class_pairs(vectors: DataFrame, least: float) -> DataFrame:
     return whole.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def tfidf_pairs(vectors: DataFrame, least: float, members: int = MEMBERS) -> DataFrame:
+def tfidf_pairs(vectors: DataFrame, least: float, most: int = MEMBERS) -> DataFrame:
     """(a, b, similarity) for a < b of unit vectors (doc, term, w) whose cosine is at least `least` (over 0), over the whole table.
 
     Equal vectors meet others once, as a class; pairs of classes then give all pairs of their documents, where they are
-    made: rows of at most `members` documents meet, and the pairs themselves are never shuffled.
+    made: rows of about `most` documents meet, and the pairs themselves are never shuffled.
     """
     vectors = cut(vectors, "tfidf-vectors")
     of = cut(same_vectors(vectors), "vector-classes")
     own = vectors.join(of.filter("doc = class").select("doc"), "doc", "left_semi")
     alone = own.groupBy(F.col("doc").alias("a")).agg(F.sum(F.col("w") * F.col("w")).alias("similarity")).filter(F.col("similarity") >= least)
     pairs = class_pairs(own, least).unionByName(alone.select("a", F.col("a").alias("b"), "similarity"))
-    # Equal vectors' documents in rows of bounded size; a row of one document joins as any other.
-    sizes = of.groupBy("class").agg(F.ceil(F.count("*") / members).alias("rows"))
-    held = of.join(sizes, "class").groupBy("class", F.pmod(F.xxhash64("doc"), "rows").alias("row")).agg(F.collect_list("doc").alias("docs"))
-    held = cut(held.select("class", "docs"), "class-members")
+    held = members(of, "class", "doc", most)
     side = lambda key, docs: held.select(F.col("class").alias(key), F.col("docs").alias(docs))
     met = pairs.join(side("a", "of_a"), "a").join(side("b", "of_b"), "b")
     each = met.select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity", "of_b", F.explode("of_a").alias("p")).select("x", "y", "similarity", "p", F.explode("of_b").alias("q"))

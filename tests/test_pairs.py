@@ -152,3 +152,11 @@ def test_equal_vectors_meet_once_as_a_class_and_keep_all_their_pairs(spark):
             kept.append(i)
             gone |= {b for a, b in want if a == i}
     assert sorted(r.id for r in lexical.tfidf_near_duplicates(vec, docs, "id", 0.4).collect()) == kept
+
+
+def test_contained_in_gives_all_pairs_of_copies_from_rows_of_bounded_size(spark):
+    long, short = "one line that is long enough for an anchor of its own", "short"
+    texts = [f"{long}\nx{i % 3}" for i in range(40)] + [f"{short} {i}" for i in range(9)]
+    chunks = spark.createDataFrame([(f"a{i}", long) for i in range(30)] + [(f"b{i}", short) for i in range(20)], "chunk_id string, chunk string")
+    got = [tuple(r) for r in joins.contained_in(chunks, spark.createDataFrame(list(enumerate(texts)), "original_id int, original string"), 4).collect()]
+    assert sorted(got) == sorted([(f"a{i}", j) for i in range(30) for j in range(40)] + [(f"b{i}", j) for i in range(20) for j in range(40, 49)])

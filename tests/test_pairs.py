@@ -160,3 +160,13 @@ def test_contained_in_gives_all_pairs_of_copies_from_rows_of_bounded_size(spark)
     chunks = spark.createDataFrame([(f"a{i}", long) for i in range(30)] + [(f"b{i}", short) for i in range(20)], "chunk_id string, chunk string")
     got = [tuple(r) for r in joins.contained_in(chunks, spark.createDataFrame(list(enumerate(texts)), "original_id int, original string"), 4).collect()]
     assert sorted(got) == sorted([(f"a{i}", j) for i in range(30) for j in range(40)] + [(f"b{i}", j) for i in range(20) for j in range(40, 49)])
+
+
+def test_j17_gives_every_line_with_every_document_that_holds_it(spark, tmp_path):
+    from palimpsest.plans import catalog
+
+    docs = [(1, "alpha\nbeta"), (2, "alpha\nalpha"), (3, "say alpha"), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in catalog.QUERIES["j17_contained"](spark, str(tmp_path)).collect()]
+    lines = [(i, n, x) for i, t in docs for n, x in enumerate(t.split("\n")) if x]
+    assert sorted(got) == sorted((f"{i}:{n}", j) for i, n, x in lines for j, t in docs if x in t)

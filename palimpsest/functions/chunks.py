@@ -16,6 +16,10 @@ _SENTENCE = re.compile(r".*?(?:[.!?。！？…]+[\s\"')\]]*|\n+|$)", re.S)
 BREAKS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", " ")
 
 
+#: Characters of chunks that leave a task together.
+AT_ONCE = 4_000_000
+
+
 def sentences(text: str) -> list[str]:
     """Pieces whose concatenation is the text."""
     return [m for m in _SENTENCE.findall(text) if m]
@@ -58,15 +62,29 @@ def simple_chunks(text: str, size: int, overlap: int, tails: bool = True) -> lis
     return out
 
 
-def _exploded(df: DataFrame, key: str, text: str, cut) -> DataFrame:
-    kind = df.schema[key].dataType.simpleString()
+def _numbered(pieces: list[str]):
+    for i, c in enumerate(pieces):
+        yield i, str(uuid.uuid5(uuid.NAMESPACE_OID, c)), c
+
 
-    def run(parts):
-        for pdf in parts:
-            rows = [(k, i, str(uuid.uuid5(uuid.NAMESPACE_OID, c)), c) for k, t in zip(pdf[key], pdf[text], strict=True) for i, c in enumerate(cut(t or ""))]
-            yield pd.DataFrame(rows, columns=[key, "chunk", "chunk_id", "chunk_text"])
+def _frames(parts, key: str, text: str, cut, at_once: int = AT_ONCE):
+    """The chunks of each batch of texts, in frames of about `at_once` characters."""
+    columns = [key, "chunk", "chunk_id", "chunk_text"]
+    for pdf in parts:
+        rows, held = [], 0
+        for k, t in zip(pdf[key], pdf[text], strict=True):
+            for piece in _numbered(cut(t or "")):
+                rows.append((k, *piece))
+                held += len(piece[-1]) + 200  # what a row takes besides
+                if held > at_once:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
-    return df.select(key, text).mapInPandas(run, f"{key} {kind}, chunk int, chunk_id string, chunk_text string")
+
+def _exploded(df: DataFrame, key: str, text: str, cut) -> DataFrame:
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInPandas(lambda parts: _frames(parts, key, text, cut), f"{key} {kind}, chunk int, chunk_id string, chunk_text string")
 
 
 def paragraphs(df: DataFrame, key: str, text: str, most: int) -> DataFrame:
@@ -90,11 +108,6 @@ def _checked(text: AnalyzeArgument, **numbers: AnalyzeArgument) -> AnalyzeResult
     return AnalyzeResult(schema=_CHUNK)
 
 
-def _numbered(pieces: list[str]):
-    for i, c in enumerate(pieces):
-        yield i, str(uuid.uuid5(uuid.NAMESPACE_OID, c)), c
-
-
 class ParagraphChunks:
     """paragraph_chunks(text, most): a row a chunk, for LATERAL joins."""
 

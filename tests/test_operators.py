@@ -238,3 +238,33 @@ def test_mmr_dedupe_equals_naive(spark):
     while len(want) < 12 and (rest := [k for k in order if allowed(k)]):
         want.append(rest[0] if len(want) < 2 else max(rest, key=value))
     assert got == sorted(want, key=lambda k: (-by[k][2], k)) and len(got) == 12
+
+
+def test_chunks_leave_a_task_in_frames_of_bounded_size():
+    import pandas as pd
+
+    from palimpsest.functions import chunks
+
+    texts = pd.DataFrame({"id": range(30), "text": ["word " * (i * 7) for i in range(29)] + [None]})
+    cut = lambda t: chunks.simple_chunks(t, 60, 10)
+    frames = list(chunks._frames([texts], "id", "text", cut, 2000))
+    rows = [tuple(r) for f in frames for r in f[["id", "chunk", "chunk_text"]].itertuples(index=False)]
+    assert rows == [(k, i, c) for k, t in zip(texts["id"], texts["text"]) for i, c in enumerate(cut(t or ""))]
+    assert len(frames) > 5 and all(len(f) <= 11 for f in frames)
+
+
+def test_nearest_neighbours_score_a_few_queries_at_a_time(spark):
+    import random
+
+    from palimpsest.operators import joins
+
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").coalesce(2)
+    want = set()
+    for i, v in rows:
+        near = sorted((-round(sum(a * b for a, b in zip(v, w)), 6), j) for j, w in rows if j != i)[:4]
+        want |= {(i, j, r, -s) for r, (s, j) in enumerate(near, 1)}
+    for at_once in (1, 7, 500):
+        got = joins.knn(df, df, "id", "v", 4, block=16, at_once=at_once).collect()
+        assert {(r.query, r.candidate, r["rank"], r.score) for r in got} == want

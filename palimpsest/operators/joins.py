@@ -189,11 +189,15 @@ def reconstruct(rows: DataFrame, key: str, ts: str, order: list, k: int, exclude
 
 
 def existing_edges(chunk_nodes: DataFrame, chunk_relations: DataFrame, edges: DataFrame) -> DataFrame:
-    """Derived edges (exists_in, is_a, relations) of all chunks that the graph already has."""
-    exists_in = chunk_nodes.select("chunk_id", "node_id").distinct().select(F.col("node_id").alias("source_id"), F.col("chunk_id").alias("target_id"), F.lit("exists_in").alias("relation"))
+    """Derived edges (exists_in, is_a, relations) of all chunks that the graph already has.
+
+    The graph's edges are made distinct and looked up among the derived ones, so these need no pass of their own to become distinct.
+    """
+    key = ["source_id", "target_id", "relation"]
+    exists_in = chunk_nodes.select(F.col("node_id").alias("source_id"), F.col("chunk_id").alias("target_id"), F.lit("exists_in").alias("relation"))
     is_a = chunk_nodes.select(F.col("node_id").alias("source_id"), F.col("type_id").alias("target_id"), F.lit("is_a").alias("relation")).distinct()
-    every = exists_in.unionByName(is_a).unionByName(chunk_relations.select("source_id", "target_id", "relation")).distinct()
-    return every.join(edges, ["source_id", "target_id", "relation"], "left_semi")
+    every = exists_in.unionByName(is_a).unionByName(chunk_relations.select(*key))
+    return edges.select(*key).distinct().join(every, key, "left_semi")
 
 
 def closest(items: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -268,3 +268,14 @@ def test_nearest_neighbours_score_a_few_queries_at_a_time(spark):
     for at_once in (1, 7, 500):
         got = joins.knn(df, df, "id", "v", 4, block=16, at_once=at_once).collect()
         assert {(r.query, r.candidate, r["rank"], r.score) for r in got} == want
+
+
+def test_existing_edges_makes_only_the_graphs_edges_and_types_distinct(spark):
+    from palimpsest.operators import joins
+
+    nodes = spark.createDataFrame([("c1", "n1", "t"), ("c1", "n1", "t"), ("c2", "n2", None)], "chunk_id string, node_id string, type_id string")
+    relations = spark.createDataFrame([("n1", "n2", "knows"), ("n2", "n1", "knows")], "source_id string, target_id string, relation string")
+    edges = [("n1", "c1", "exists_in"), ("n1", "c1", "exists_in"), ("n1", "t", "is_a"), ("n2", None, "is_a"), ("n2", "n1", "knows"), ("n9", "c1", "exists_in")]
+    got = joins.existing_edges(nodes, relations, spark.createDataFrame(edges, "source_id string, target_id string, relation string"))
+    assert sorted(map(tuple, got.collect())) == [("n1", "c1", "exists_in"), ("n1", "t", "is_a"), ("n2", "n1", "knows")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2

@@ -1,6 +1,6 @@
 """Fuzzy text: the best partial ratios of queries, and closest texts by segments.
 
-*Partial ratio.*  Queries are a stated set and go over the table in chunks of bounded size; a task keeps the k best of each.
+*Partial ratio.*  Queries are a stated set and go over the table's distinct texts in chunks of bounded size; a task keeps the k best of each.
 
 *Closest texts.*  Two texts within t edits share one of t + 1 segments into which either is cut, at places that differ by at
 most t.  For t = 1 and then 3, texts join on (length, segment, its characters) and what meets is measured; a text that has found a
@@ -27,6 +27,8 @@ QUERY_CHARS = 1 << 20
 THRESHOLDS = (1, 3)
 #: Texts that are aligned with a query at a time, the most promising first.
 AT_ONCE = 256
+#: Parts of the distinct texts for each core.
+SPREAD = 2
 
 
 class _Letters:
@@ -76,8 +78,9 @@ def partial_ratio_top_k(rows: DataFrame, key: str, text: str, queries: DataFrame
     n = max(1, -(-int(asked.agg(F.sum(F.char_length("question") + 64)).first()[0] or 0) // query_chars))
     narrow = rows.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
-    if (most := context.defaultParallelism) > narrow.rdd.getNumPartitions():
-        narrow = narrow.repartition(most)  # small files: aligning costs far more than moving
+    # Equal texts are aligned once: a text goes with the k smallest of its ids, more can't be among the k best.
+    of = top_k(narrow, ["text"], ["id"], k).groupBy("text").agg(F.collect_list("id").alias("ids"))
+    texts = cut(of.repartition(SPREAD * context.defaultParallelism), "distinct-texts")  # aligning costs far more than moving
 
     def best(shared):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,14 +88,14 @@ def partial_ratio_top_k(rows: DataFrame, key: str, text: str, queries: DataFrame
             kept: list[list] = [[] for _ in chunk]
             for pdf in parts:
                 lows, at = np.unique(pdf["text"].str.lower().to_numpy(dtype=object), return_inverse=True)
-                ids = pdf["id"].tolist()
+                ids = [i.tolist() for i in pdf["ids"]]
                 lows = lows.tolist()
                 letters = _Letters(lows)
                 for q, (_, ratio) in enumerate(chunk):
                     scores = _scores(ratio, lows, letters.bound(ratio.query), [-s for s, _ in kept[q]], k)[at]
                     enough = np.partition(scores, -k)[-k] if k <= len(scores) else -np.inf
                     rows = np.flatnonzero((scores >= enough) & np.isfinite(scores))
-                    kept[q] = heapq.nsmallest(k, kept[q] + [(-float(scores[i]), ids[i]) for i in rows])
+                    kept[q] = heapq.nsmallest(k, kept[q] + [(-float(scores[i]), x) for i in rows for x in ids[i]])
             found = [(q, i, -s) for (q, _), own in zip(chunk, kept, strict=True) for s, i in own]
             yield pd.DataFrame(found, columns=["query", "id", "score"])
 
@@ -102,7 +105,7 @@ def partial_ratio_top_k(rows: DataFrame, key: str, text: str, queries: DataFrame
     for c in range(n):
         some = [tuple(r) for r in asked.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == c).collect()]
         if some:
-            parts.append(narrow.mapInPandas(best(context.broadcast(some)), kinds))
+            parts.append(texts.mapInPandas(best(context.broadcast(some)), kinds))
     if not parts:
         return rows.sparkSession.createDataFrame([], f"{kinds}, rank int")
     return top_k(reduce(DataFrame.unionByName, parts), ["query"], [F.desc("score"), "id"], k)

@@ -1,8 +1,10 @@
 """Bit-parallel distances and ratios, partial-ratio search and closest texts, against plain tables."""
 
 import random
+import uuid
 
 import pytest
+from pyspark import cloudpickle
 
 from palimpsest.functions import edits
 from palimpsest.operators import fuzzy
@@ -73,6 +75,29 @@ def test_partial_ratio_lists(spark):
     assert fuzzy.partial_ratio_top_k(df.limit(0), "id", "t", asked, 4).count() == 0
 
 
+def test_equal_texts_are_aligned_once(spark, tmp_path, monkeypatch):
+    df = spark.range(400).selectExpr("id", "concat('Text ', id % 4) AS t").repartition(8)
+    asked = spark.createDataFrame([(1, "text 2 of")], "query int, question string")
+    many = edits.Partial.many
+
+    def seen(self, texts):
+        with open(tmp_path / str(uuid.uuid4()), "w") as f:
+            f.write("\n".join(texts))
+        return many(self, texts)
+
+    monkeypatch.setattr(edits.Partial, "many", seen)
+    cloudpickle.register_pickle_by_value(edits)  # so that the tasks count, too
+    cloudpickle.register_pickle_by_value(fuzzy)
+    try:
+        got = fuzzy.partial_ratio_top_k(df, "id", "t", asked, 3).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(edits)
+        cloudpickle.unregister_pickle_by_value(fuzzy)
+    assert [r["id"] for r in sorted(got, key=lambda r: r["rank"])] == [2, 6, 10]
+    aligned = [t for f in tmp_path.iterdir() for t in f.read_text().split("\n")]
+    assert sorted(aligned) == [f"text {i}" for i in range(4)]
+
+
 def test_within_and_closest_equal_every_pair(spark):
     rng = random.Random(3)
     some = {*texts(rng, 70, [0, 1, 2, 3, 4, 6, 9, 14]), "a long text of its own, far from all others", "aaaa", "aaab"}

@@ -17,8 +17,9 @@ def norm(a: Column) -> Column:
 
 
 def normalized(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    # The norm stands in an array of its own, as a lambda would compute it again for each component.
+    unit = lambda n: F.when(n == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    return F.get(F.transform(F.array(norm(a)), unit), 0)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -19,6 +19,8 @@ from palimpsest.operators.tables import cut
 
 BLOCK_BYTES = 4 << 20
 ROWS = 512
+#: Scores of rows of one block with another's that a task holds at a time.
+SCORES = 1 << 21
 #: Texts whose edit distances from one text are computed at a time.
 AT_ONCE = 256
 
@@ -69,8 +71,9 @@ def _by_length(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[tuple[pd.DataFrame,
     for n in sorted(set(long_x) & set(long_y) - {0}):
         p, q = x[long_x == n], y[long_y == n]
         of_q = np.stack(q["v"].to_numpy())
-        for at in range(0, len(p), ROWS):
-            some = p.iloc[at : at + ROWS]
+        step = max(1, min(ROWS, SCORES // len(q)))
+        for at in range(0, len(p), step):
+            some = p.iloc[at : at + step]
             yield some, np.stack(some["v"].to_numpy()), q, of_q
 
 
@@ -98,24 +101,36 @@ def pairs_over(df: DataFrame, key: str, vec: str, least: float, block_bytes: int
     return grid(rows, None, _weight(), pair_compare(least), f"a {kind}, b {kind}, similarity double", block_bytes)
 
 
+def _first(p: pd.DataFrame, q: pd.DataFrame, r: np.ndarray, c: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
+    """Of the hits (row, column, score), rows in order, the k best of each row, ties to the smaller column."""
+    order = np.lexsort((c, -score, r))
+    r, c, score = r[order], c[order], score[order]
+    first = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return pd.DataFrame({"id": p["id"].to_numpy()[r[first]], "other": q["id"].to_numpy()[c[first]], "score": score[first]})
+
+
 def near_compare(k: int, least: float | None, timed: bool) -> Callable:
     """The k best of block y for each row of block x, as far as they can be among its k best."""
 
     def compare(x: pd.DataFrame, y: pd.DataFrame, same: bool) -> Iterator[pd.DataFrame]:
         for p, of_p, q, of_q in _by_length(x, y.sort_values("id", kind="stable")):
+            if least is not None:  # hits are few: only they are rounded and ordered
+                scores = of_p @ of_q.T
+                r, c = np.nonzero(scores >= least - 1e-6)
+                score = np.round(scores[r, c], 6)
+                a, b = p["id"].to_numpy()[r], q["id"].to_numpy()[c]
+                keep = (score >= least) & (a != b)
+                if timed:
+                    keep &= ~(q["t"].to_numpy()[c] > p["t"].to_numpy()[r])
+                yield _first(p, q, r[keep], c[keep], score[keep], k)
+                continue
             scores = np.round(of_p @ of_q.T, 6)
             scores[p["id"].to_numpy()[:, None] == q["id"].to_numpy()[None, :]] = -np.inf
             if timed:
                 scores[q["t"].to_numpy()[None, :] > p["t"].to_numpy()[:, None]] = -np.inf
-            if least is not None:
-                scores[scores < least] = -np.inf
             enough = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k] if k < scores.shape[1] else -np.inf
             r, c = np.nonzero((scores >= enough) & np.isfinite(scores))
-            order = np.lexsort((c, -scores[r, c], r))
-            r, c = r[order], c[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            r, c = r[place < k], c[place < k]
-            yield pd.DataFrame({"id": p["id"].to_numpy()[r], "other": q["id"].to_numpy()[c], "score": scores[r, c]})
+            yield _first(p, q, r, c, scores[r, c], k)
 
     return compare
 

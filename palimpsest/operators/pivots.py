@@ -13,8 +13,9 @@ How much is skipped depends on the data: with clusters, a row visits a few cells
 (low thresholds, or vectors spread evenly over many dimensions, where all are about as far apart) it visits nearly all, and the join costs
 what comparing all blocks costs.  `visits` tells which it is before anything is compared.
 
-Pivots are two for each block of the table, at most MOST_PIVOTS, chosen farthest-first from about SAMPLE rows drawn evenly from the table: the bounds hold for any
-choice.  Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do zero vectors,
+A table has BLOCKS blocks, more only where one would be over MOST_BYTES, so what is shuffled grows with the table, not with its square.
+Pivots are at most MOST_PIVOTS, chosen farthest-first from about SAMPLE rows drawn evenly from the table, fewer where the sample would visit many cells: the bounds hold for
+any choice.  Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do zero vectors,
 whose cosine is 0 (thresholds are above 0); vectors of other lengths are never similar; equal rows are rows of their own.
 """
 
@@ -33,16 +34,22 @@ from palimpsest.operators.ranking import top_k
 from palimpsest.operators.tables import cut
 
 MOST_PIVOTS, SAMPLE = 256, 2048
+#: Blocks of a table, whatever its size, until a block has MOST_BYTES: a row's copies are as many for a large table as for a small one.
+BLOCKS, LEAST_BYTES, MOST_BYTES = 8, 1 << 18, 64 << 20
 _EPS = 1e-7
 
 
-def _pivots(rows: DataFrame, most: int) -> dict[int, np.ndarray]:
-    """Pivots by vector length, farthest-first among a bounded sample."""
+def _drawn(rows: DataFrame) -> dict[int, np.ndarray]:
+    """A bounded sample of the vectors by length."""
     n = rows.count()
     drawn = [np.array(r.v) for r in rows.select("v").sample(min(1.0, SAMPLE / max(1, n)), seed=7).limit(2 * SAMPLE).collect()]
+    return {length: np.stack([v for v in drawn if len(v) == length]) for length in {len(v) for v in drawn}}
+
+
+def _pivots(drawn: dict[int, np.ndarray], most: int) -> dict[int, np.ndarray]:
+    """Pivots by vector length, farthest-first among a sample: fewer are the first of more."""
     out = {}
-    for length in {len(v) for v in drawn}:
-        of = np.stack([v for v in drawn if len(v) == length])
+    for length, of in drawn.items():
         chosen, gap = [0], np.full(len(of), np.inf)
         while len(chosen) < min(most, len(of)):
             gap = np.minimum(gap, np.linalg.norm(of - of[chosen[-1]], axis=1))
@@ -53,6 +60,21 @@ def _pivots(rows: DataFrame, most: int) -> dict[int, np.ndarray]:
     return out
 
 
+def _chosen(drawn: dict[int, np.ndarray], reach: float) -> dict[int, np.ndarray]:
+    """As many pivots as leave a row of the sample with about 2 BLOCKS visits, and 2 BLOCKS at least."""
+    every, most = _pivots(drawn, MOST_PIVOTS), MOST_PIVOTS
+    while True:
+        pivots = {length: p[:most] for length, p in every.items()}
+        cells, seen = Cells(pivots, reach), 0
+        for of in drawn.values():
+            cell, far = cells.own(of)
+            np.maximum.at(cells.radius, cell, far)
+            seen += len(cells.visits(of, None)[0])
+        if most <= 2 * BLOCKS or seen <= 2 * BLOCKS * sum(map(len, drawn.values())):
+            return pivots
+        most //= 2
+
+
 class Cells:
     """Cells by number: those of one vector length follow each other; a length without pivots is one cell, numbered below 0."""
 
@@ -158,19 +180,22 @@ def _met(members: DataFrame, visitors: DataFrame, alone: bool, compare: Callable
     return met.select("cell", "_i", "_j", "_right", *[c for c in members.columns if c not in ("cell", "far")]).groupBy("cell", "_i", "_j").applyInPandas(run, schema)
 
 
-def _cells(rows: DataFrame, least: float, most: int | None, block_bytes: int = blocks.BLOCK_BYTES) -> tuple[Cells, DataFrame]:
-    """most: pivots; by default two for each block of the table, so that a row's copies are no more than in a join of all blocks."""
+def _cells(rows: DataFrame, least: float, most: int | None, block_bytes: int | None = None) -> tuple[Cells, DataFrame, int]:
+    """Cells, rows in cells, bytes of a block.  most: pivots; by default as many as the sample's visits allow; blocks are by default a fixed part of the table."""
     if not 0 < least <= 1:
         raise ValueError("a threshold must be over 0 and at most 1")
-    if most is None:
+    rows = cut(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism), "unit-vectors")
+    if block_bytes is None:
         size = rows.agg(F.sum(8 * F.size("v") + 64)).first()[0] or 0
-        most = min(MOST_PIVOTS, 2 * -(-size // block_bytes) or 1)
+        block_bytes = min(MOST_BYTES, max(LEAST_BYTES, -(-size // BLOCKS)))
     # A pair of similarity `least` is `reach` apart.
-    cells = Cells(_pivots(rows, most), float(np.sqrt(2 - 2 * least)))
+    reach = float(np.sqrt(2 - 2 * least))
+    drawn = _drawn(rows)
+    cells = Cells(_chosen(drawn, reach) if most is None else _pivots(drawn, most), reach)
     members = _celled(rows, cells)
     for r in members.groupBy("cell").agg(F.max("far").alias("far")).filter("cell >= 0").collect():  # a row a cell
         cells.radius[r.cell] = r.far
-    return cells, members
+    return cells, members, block_bytes
 
 
 def _units(rows: DataFrame) -> DataFrame:
@@ -180,22 +205,22 @@ def _units(rows: DataFrame) -> DataFrame:
 
 def visits(df: DataFrame, key: str, vec: str, least: float, pivots: int | None = None) -> tuple[int, int, int]:
     """(rows, visits, cells) of a join within df: visits near rows x cells / 2 mean that the bounds skip next to nothing."""
-    cells, members = _cells(_units(blocks._unit(df, key, vec)), least, pivots)
+    cells, members, _ = _cells(_units(blocks._unit(df, key, vec)), least, pivots)
     return members.count(), _visiting(members, cells, True).count(), len(cells.radius)
 
 
-def pairs_over(df: DataFrame, key: str, vec: str, least: float, block_bytes: int = blocks.BLOCK_BYTES, pivots: int | None = None) -> DataFrame:
+def pairs_over(df: DataFrame, key: str, vec: str, least: float, block_bytes: int | None = None, pivots: int | None = None) -> DataFrame:
     """(a, b, similarity) for a < b with cosine over `least`, over the whole table."""
     rows = _units(blocks._unit(df, key, vec))
     kind = rows.schema["id"].dataType.simpleString()
-    cells, members = _cells(rows, least, pivots, block_bytes)
+    cells, members, block_bytes = _cells(rows, least, pivots, block_bytes)
     return _met(members, _visiting(members, cells, True), True, blocks.pair_compare(least), f"a {kind}, b {kind}, similarity double", block_bytes)
 
 
-def neighbours(left: DataFrame, right: DataFrame, key: str, vec: str, k: int, least: float, not_after: str | None = None, block_bytes: int = blocks.BLOCK_BYTES, pivots: int | None = None) -> DataFrame:
+def neighbours(left: DataFrame, right: DataFrame, key: str, vec: str, k: int, least: float, not_after: str | None = None, block_bytes: int | None = None, pivots: int | None = None) -> DataFrame:
     """blocks.neighbours() for a threshold: left rows visit the cells of right."""
     a, b, schema = blocks.near_sides(left, right, key, vec, not_after)
     # Scores are rounded before they are compared.
-    cells, members = _cells(_units(b), max(least - 5e-7, 1e-9), pivots, block_bytes)
+    cells, members, block_bytes = _cells(_units(b), max(least - 5e-7, 1e-9), pivots, block_bytes)
     compare = blocks.near_compare(k, least, bool(not_after))
     return top_k(_met(members, _visiting(_units(a), cells, False), False, compare, schema, block_bytes), ["id"], [F.desc("score"), "other"], k)

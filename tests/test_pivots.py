@@ -55,3 +55,13 @@ def test_spread_vectors_visit_most_cells(spark):
     df = spark.createDataFrame(clustered(random.Random(5), 300, 300, 48, 1.0), "id int, v array<double>")
     n, seen, cells = pivots.visits(df, "id", "v", 0.3, 32)
     assert seen > n * cells / 2 / 2
+
+
+def test_blocks_are_a_fixed_part_of_the_table(spark):
+    """So a row's copies don't grow with the table: spread vectors visit all cells, of which there are as many."""
+    most = []
+    for n in (2000, 8000):
+        df = spark.createDataFrame(clustered(random.Random(6), n, n, 24, 1.0), "id int, v array<double>")
+        cells, _, size = pivots._cells(pivots._units(pivots.blocks._unit(df, "id", "v")), 0.3, None)
+        most.append((len(cells.radius), -(-n * (8 * 24 + 64) // size)))
+    assert all(c <= 2 * pivots.BLOCKS and b <= pivots.BLOCKS for c, b in most)

@@ -39,6 +39,23 @@ def index(docs: DataFrame, key: str, tokens: Column, epsilon: float = 0.25) -> I
     return Index(postings, cut(idf_of(postings.groupBy("term").agg(F.count("*").alias("df")), size, epsilon), "terms"), size)
 
 
+def statistics(docs: DataFrame, key: str, tokens: Column, epsilon: float = 0.25) -> DataFrame:
+    """(term, df, idf) as of index(), without its postings: a document's words are made distinct where it is read, so only terms are shuffled.
+
+    Documents that come with one key in several rows are one document; only their words meet by key.
+    """
+    rows = docs.select(F.col(key).alias("doc"), tokens.alias("tokens"))
+    words = lambda df: df.select("doc", F.explode(F.array_distinct("tokens")).alias("term"))
+    again = cut(docs.groupBy(F.col(key).alias("_doc")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_doc"), "repeated-documents")
+    if again.isEmpty():
+        each = words(rows)
+    else:
+        same = F.col("doc").eqNullSafe(F.col("_doc"))
+        each = words(rows.join(again, same, "left_anti")).unionByName(words(rows.join(again, same, "left_semi")).distinct())
+    df = cut(each.groupBy("term").agg(F.count("*").alias("df")), "document-frequencies")
+    return idf_of(df, rows.agg(F.count("*").alias("n")), epsilon)
+
+
 def idf_of(df: DataFrame, size: DataFrame, epsilon: float = 0.25) -> DataFrame:
     """(term, df, idf) from document frequencies and the row of (n, avgdl)."""
     raw = df.crossJoin(F.broadcast(size))  # size is one row

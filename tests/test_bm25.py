@@ -86,3 +86,15 @@ def test_documents_are_counted_a_bounded_number_of_words_at_a_time():
     assert [x for p in parts for x in p.column(1).to_pylist()] == held and [x for p in parts for x in p.column(0).to_pylist()] == list(range(len(held)))
     assert all(p.num_rows == 1 or sum(len(x or ()) for x in p.column(1).to_pylist()) <= 10 for p in parts) and len(parts) > 3
     assert list(bm25._slices(batch.slice(0, 0), 1, 10)) == []
+
+
+def test_statistics_equal_the_index_without_its_postings(spark, monkeypatch):
+    docs, _ = corpus(spark)
+    words = tx.words(F.col("text"))
+    rows = lambda df: sorted((r["term"], r["df"], round(r["idf"], 9)) for r in df.collect())
+    want = rows(lexical.index(docs, "doc", words).terms)
+    stored, cut = [], lexical.cut
+    monkeypatch.setattr(lexical, "cut", lambda df, name: stored.append(name) or cut(df, name))
+    assert rows(lexical.statistics(docs, "doc", words)) == want and "postings" not in stored
+    twice = spark.createDataFrame([(1, "a b"), (1, "b c"), (2, "b"), (None, "a"), (None, "a d"), (3, None)], "doc long, text string")
+    assert {r["term"]: r["df"] for r in lexical.statistics(twice, "doc", words).collect()} == {"a": 2, "b": 2, "c": 1, "d": 1}

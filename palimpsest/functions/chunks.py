@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-_SENTENCE = re.compile(r".*?(?:[.!?。！？…]+[\s\"')\]]*|\n+|$)", re.S)
+_SENTENCE = re.compile(r"[^.!?。！？…\n]*(?:[.!?。！？…]+[\s\"')\]]*|\n+|$)")
 #: Fixed order of the places where a simple chunk may break, best first.
 BREAKS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", " ")
 
@@ -62,9 +63,18 @@ def simple_chunks(text: str, size: int, overlap: int, tails: bool = True) -> lis
     return out
 
 
+_SPACE, _VARIANT = uuid.NAMESPACE_OID.bytes, {c: "89ab"[i & 3] for i, c in enumerate("0123456789abcdef")}
+
+
+def chunk_id(chunk: str) -> str:
+    """str(uuid.uuid5(uuid.NAMESPACE_OID, chunk)), without the objects between."""
+    h = hashlib.sha1(_SPACE + chunk.encode(), usedforsecurity=False).hexdigest()
+    return f"{h[:8]}-{h[8:12]}-5{h[13:16]}-{_VARIANT[h[16]]}{h[17:20]}-{h[20:32]}"
+
+
 def _numbered(pieces: list[str]):
     for i, c in enumerate(pieces):
-        yield i, str(uuid.uuid5(uuid.NAMESPACE_OID, c)), c
+        yield i, chunk_id(c), c
 
 
 def _frames(parts, key: str, text: str, cut, at_once: int = AT_ONCE):

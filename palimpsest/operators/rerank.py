@@ -13,11 +13,17 @@ of a query count once.  Equal scores are ordered by item, then by pair.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from palimpsest.functions import text as tx
@@ -26,6 +32,10 @@ from palimpsest.operators.tables import cut
 
 Scorer = Callable[[Column, Column], Column]
 RECENT, MOST = 10, 2048
+#: Most frequent words that every task of the compressor knows.
+KNOWN = 1 << 16
+#: White space as in Spark's patterns.
+_SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def overlap(question: Column, passage: Column) -> Column:
@@ -133,23 +143,63 @@ def rerank(candidates: DataFrame, sources: DataFrame, strategy: str, k: int, sco
     return top_k(scored, ["query"], [F.desc("score"), "item", "piece"], k)
 
 
-def entropy_kept(df: DataFrame, key: str, text: str, share: float) -> DataFrame:
+def entropy_kept(df: DataFrame, key: str, text: str, share: float, known: int = KNOWN) -> DataFrame:
     """(key, kept): the int(share x n) words of a text, at least one, that tell most under the table's word frequencies, in order.
 
     Rare words tell most; of equally frequent ones the earlier stays.  A text without words, or a null one, gives ''.
+
+    The `known` most frequent words go to every task.  Where no more of a text's words are rarer than those than may stay, all the
+    rarer ones stay whatever their numbers, and the text is done where it is read; only words of the other texts meet their numbers in a join.
     """
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
-    rows = df.select(F.col(key).alias("_k"), F.posexplode_outer(words).alias("_at", "_word"))
-    often = cut(rows.filter("_word IS NOT NULL").groupBy("_word").agg(F.count("*").alias("_often")), "word-counts")
+    rows = df.select(F.col(key).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
+    often = cut(rows.select(F.explode(_words(F.col("_t"))).alias("_word")).groupBy("_word").agg(F.count("*").alias("_often")), "word-counts")
+    most = often.orderBy(F.desc("_often")).limit(known + 1).collect()  # `known` rows, whatever the table
+    bar = most[known]["_often"] if len(most) > known else 0
+    shared = df.sparkSession.sparkContext.broadcast({r["_word"]: r["_often"] for r in most if r["_often"] > bar})
+
+    def kept(t: str, numbers: dict[str, int]) -> str | None:
+        words = [w for w in _SPACES.split(t) if w]
+        counts = np.fromiter((numbers.get(w, 0) for w in words), np.int64, len(words))
+        n = max(1, math.floor(len(words) * share))
+        if np.count_nonzero(counts == 0) > n:
+            return None
+        return " ".join(words[i] for i in np.sort(np.argsort(counts, kind="stable")[:n]))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            pdf["kept"] = [kept(t, shared.value) for t in pdf["_t"]]
+            pdf["_t"] = pdf["_t"].where(pdf["kept"].isna(), None)
+            yield pdf
+
+    again = cut(rows.groupBy(F.col("_k").alias("_same")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_same"), "repeated-texts")
+    if again.isEmpty():
+        once, open_texts = rows, []
+    else:  # texts of one key are one text
+        same = F.col("_k").eqNullSafe(F.col("_same"))
+        once, open_texts = rows.join(again, same, "left_anti"), [rows.join(again, same, "left_semi")]
+    schema = T.StructType([T.StructField("_k", rows.schema["_k"].dataType), T.StructField("_t", T.StringType()), T.StructField("kept", T.StringType())])
+    done = cut(once.mapInPandas(run, schema), "kept-words")
+    undecided = reduce(DataFrame.unionByName, [done.filter("kept IS NULL").select("_k", "_t"), *open_texts])
+    every = done.filter("kept IS NOT NULL").select("_k", "kept").unionByName(_kept_by_join(undecided, often, share))
+    return every.withColumnRenamed("_k", key)
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _kept_by_join(texts: DataFrame, often: DataFrame, share: float) -> DataFrame:
+    """(_k, kept) of texts (_k, _t) by the numbers of all their words (_word, _often)."""
+    rows = texts.select("_k", F.posexplode_outer(_words(F.col("_t"))).alias("_at", "_word"))
     total = often.agg(F.sum("_often")).first()[0] or 0
     hot = often.filter(F.col("_often") * 1000 >= total)  # a thousand words at most, so that no frequent word fills a task
     met = rows.join(F.broadcast(hot), "_word", "left")
     rare = met.filter("_word IS NOT NULL AND _often IS NULL").drop("_often").join(often, "_word")
     each = met.filter("_word IS NULL OR _often IS NOT NULL").unionByName(rare)
     n = F.count("_word").over(Window.partitionBy("_k"))
-    placed = ranked(each.withColumn("_n", n), ["_k"], ["_often", "_at"], "_r").filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share))))
+    placed = ranked(each.withColumn("_n", n), ["_k"], [F.asc_nulls_last("_often"), "_at"], "_r").filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share))))
     in_order = F.array_sort(F.collect_list(F.struct("_at", "_word")))  # words of one text
-    return placed.groupBy("_k").agg(F.array_join(F.transform(in_order, lambda x: x["_word"]), " ").alias("kept")).withColumnRenamed("_k", key)
+    return placed.groupBy("_k").agg(F.array_join(F.transform(in_order, lambda x: x["_word"]), " ").alias("kept"))
 
 
 def topic_segments(df: DataFrame, by: str, order: str, similarity: str, bar: float, most: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Rerank strategies, compressor, segmenter and search kinds against cases by hand and plain restatements."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -128,3 +129,25 @@ def test_search_kinds_over_a_small_graph(spark):
     empty = retrievers.OverlapRetriever(spark)
     with pytest.raises(ValueError):
         empty.query(spark.createDataFrame([(1, "x")], "query int, question string"), 1)
+
+
+def test_texts_with_few_rare_words_need_no_join(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(30)], [1 / (i + 1) for i in range(30)], k=rng.randint(0, 14))) for _ in range(80)]
+    texts += ["a\u00a0b  c\t d", None, " ", " ".join(f"own{i}" for i in range(9)) + " w0 w1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    number = Counter(w for t in texts if t for w in re.split(r"[ \t]+", t) if w)
+
+    def plain(t):
+        words = [w for w in re.split(r"[ \t]+", t or "") if w]
+        first = sorted(range(len(words)), key=lambda i: (number[words[i]], i))[: max(1, int(len(words) * 0.5))]
+        return " ".join(words[i] for i in sorted(first))
+
+    joined, by_join = [], rerank._kept_by_join
+    monkeypatch.setattr(rerank, "_kept_by_join", lambda texts, *more: joined.append(texts.count()) or by_join(texts, *more))
+    for known in (1 << 16, 8, 1, 0):
+        got = {r["id"]: r["kept"] for r in rerank.entropy_kept(df, "id", "t", 0.5, known).collect()}
+        assert got == {i: plain(t) for i, t in enumerate(texts)}
+    assert joined[0] == 0 < joined[1] < joined[2] <= joined[3]
+    two = rerank.entropy_kept(spark.createDataFrame([(1, "a b c d"), (1, None), (2, "x y")], "id int, t string"), "id", "t", 0.5).collect()
+    assert sorted(map(tuple, two)) == [(1, "a b"), (2, "x")]

@@ -67,10 +67,12 @@ def idf_of(df: DataFrame, size: DataFrame, epsilon: float = 0.25) -> DataFrame:
 def bm25_scores(ix: Index, queries: DataFrame, key: str, tokens: Column, k1: float = 1.5, b: float = 0.75, distinct: bool = False) -> DataFrame:
     """(query, doc, score) of every document with a query term; repeated query terms count repeatedly unless distinct."""
     q = queries.select(F.col(key).alias("query"), F.explode(F.array_distinct(tokens) if distinct else tokens).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qtf"))
-    hits = ix.postings.join(q.select("term").distinct(), "term", "left_semi").join(ix.terms, "term").crossJoin(F.broadcast(ix.size))
+    q = cut(q.join(ix.terms.select("term", "idf"), "term"), "query-terms")  # Catalyst sees its size then
+    hits = ix.postings.join(q.select("term", "idf").distinct(), "term").crossJoin(F.broadcast(ix.size))  # size is one row
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = hits.select("term", "doc", part.alias("part"))
-    return weighted.join(q, "term").groupBy("query", "doc").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
+    # Postings meet by document before they meet the queries: a posting is moved once, not once for each query with its term.
+    weighted = hits.select("term", "doc", part.alias("part")).repartition("doc")
+    return weighted.join(q.select("query", "term", "qtf"), "term").groupBy("query", "doc").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
 
 
 def bm25_top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:

@@ -98,3 +98,10 @@ def test_statistics_equal_the_index_without_its_postings(spark, monkeypatch):
     assert rows(lexical.statistics(docs, "doc", words)) == want and "postings" not in stored
     twice = spark.createDataFrame([(1, "a b"), (1, "b c"), (2, "b"), (None, "a"), (None, "a d"), (3, None)], "doc long, text string")
     assert {r["term"]: r["df"] for r in lexical.statistics(twice, "doc", words).collect()} == {"a": 2, "b": 2, "c": 1, "d": 1}
+
+
+def test_scores_are_not_shuffled_by_query(spark):
+    docs, _ = corpus(spark)
+    q = spark.createDataFrame([(1, "the of rare3 w7 w7"), (2, "the of")], "query int, text string")
+    scores = lexical.bm25_scores(lexical.index(docs, "doc", tx.words(F.col("text"))), q, "query", tx.words(F.col("text")))
+    assert scores.count() > 0 and "hashpartitioning(query" not in scores._jdf.queryExecution().executedPlan().toString()

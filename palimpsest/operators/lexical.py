@@ -86,7 +86,12 @@ def tfidf_vectors(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     rows = docs.select(F.col(key).alias("doc"), tokens.alias("tokens"))
     n = rows.agg(F.count("*").alias("n"))
     tf = rows.select("doc", F.explode("tokens").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    return tfidf_weights(tf, tf.groupBy("term").agg(F.count("*").alias("df")), n)
+
+
+def tfidf_weights(tf: DataFrame, df: DataFrame, n: DataFrame) -> DataFrame:
+    """tfidf_vectors of counted terms (doc, term, tf), which may be some documents' only; df (term, df) and the row n are those of all."""
+    idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     raw = tf.join(idf, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w"))
     length = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     return raw.join(length, "doc").select("doc", "term", (F.col("w") / F.col("len")).alias("w"))

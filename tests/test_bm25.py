@@ -139,3 +139,14 @@ def test_queries_shuffle_neither_postings_nor_scores(spark):
     plan = catalog.QUERIES["bm25_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     keys = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
     assert keys and all(x.startswith("query#") and x.count("#") == 1 for x in keys)
+
+
+def test_only_candidates_get_vectors(spark, monkeypatch):
+    from palimpsest.plans import q_lexical
+
+    stored, cut = {}, q_lexical.cut
+    monkeypatch.setattr(q_lexical, "cut", lambda df, name: stored.setdefault(name, cut(df, name)))
+    q_lexical.k3(spark, "/root/testdata/sf0.001")
+    wanted = stored["candidates"].select("doc").distinct().count()
+    assert 0 < stored["tfidf"].filter("doc >= 0").select("doc").distinct().count() <= wanted
+    assert stored["tfidf"].filter("doc >= 0").join(stored["candidates"], "doc", "left_anti").count() == 0

@@ -67,7 +67,7 @@ def s18(spark, d):
     """Documents as JSON Lines, loaded, indexed and searched by the benchmark's items, with the texts that are found."""
     docs = table(spark, d, "documents")
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/corpus-{uuid.uuid4().hex}"
-    docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"), F.col("text").alias("contents")).write.json(path)
+    docs.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"), F.col("text").alias("contents")).write.json(path, compression="gzip")
     held = corpus.indexed(corpus.load(spark, path))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
     return held.search(items, 3).withColumn("text", F.md5("text"))

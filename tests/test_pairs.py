@@ -170,3 +170,11 @@ def test_j17_gives_every_line_with_every_document_that_holds_it(spark, tmp_path)
     got = [tuple(r) for r in catalog.QUERIES["j17_contained"](spark, str(tmp_path)).collect()]
     lines = [(i, n, x) for i, t in docs for n, x in enumerate(t.split("\n")) if x]
     assert sorted(got) == sorted((f"{i}:{n}", j) for i, n, x in lines for j, t in docs if x in t)
+
+
+def test_every_vector_is_asked_for_its_neighbours(spark):
+    from palimpsest.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["j6_blocked_knn"](spark, d).groupBy("query").count().collect()
+    assert len(got) == spark.read.parquet(f"{d}/embeddings.parquet").count() and {r["count"] for r in got} == {5}

@@ -121,9 +121,11 @@ def class_pairs(vectors: DataFrame, least: float) -> DataFrame:
     return whole.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
-def tfidf_pairs(vectors: DataFrame, least: float, most: int = MEMBERS) -> DataFrame:
+def tfidf_pairs(vectors: DataFrame, least: float, most: int = MEMBERS, digits: int | None = None) -> DataFrame:
     """(a, b, similarity) for a < b of unit vectors (doc, term, w) whose cosine is at least `least` (over 0), over the whole table.
 
+    With digits, similarity is rounded, once for each pair of classes.
+
     Equal vectors meet others once, as a class; pairs of classes then give all pairs of their documents, where they are
     made: rows of about `most` documents meet, and the pairs themselves are never shuffled.
     """
@@ -132,6 +134,8 @@ def tfidf_pairs(vectors: DataFrame, least: float, most: int = MEMBERS) -> DataFr
     own = vectors.join(of.filter("doc = class").select("doc"), "doc", "left_semi")
     alone = own.groupBy(F.col("doc").alias("a")).agg(F.sum(F.col("w") * F.col("w")).alias("similarity")).filter(F.col("similarity") >= least)
     pairs = class_pairs(own, least).unionByName(alone.select("a", F.col("a").alias("b"), "similarity"))
+    if digits is not None:
+        pairs = pairs.withColumn("similarity", F.round("similarity", digits))
     held = members(of, "class", "doc", most)
     side = lambda key, docs: held.select(F.col("class").alias(key), F.col("docs").alias(docs))
     met = pairs.join(side("a", "of_a"), "a").join(side("b", "of_b"), "b")

@@ -178,3 +178,10 @@ def test_every_vector_is_asked_for_its_neighbours(spark):
     d = "/root/testdata/sf0.001"
     got = catalog.QUERIES["j6_blocked_knn"](spark, d).groupBy("query").count().collect()
     assert len(got) == spark.read.parquet(f"{d}/embeddings.parquet").count() and {r["count"] for r in got} == {5}
+
+
+def test_similarities_are_rounded_before_pairs_of_copies_are_made(spark):
+    from palimpsest.plans import catalog
+
+    plan = catalog.QUERIES["x2_tfidf_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("round(")
